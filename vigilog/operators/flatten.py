@@ -23,8 +23,8 @@ def parse_dict_text(text: Column) -> Column:
     requoted = F.regexp_replace(text, r"'([^'\"]*)'", '"$1"')
     for word, json_word in (("True", "true"), ("False", "false"), ("None", "null")):
         requoted = F.regexp_replace(requoted, rf"([:\[,]\s*){word}(?=\s*[,}}\]])", f"$1{json_word}")
-    parsed = F.coalesce(F.try_parse_json(swapped), F.try_parse_json(requoted))
-    return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
+    # A parsed text that opens with a brace is an object; testing the text keeps the parse single.
+    return F.when(text.rlike(r"^\s*\{"), F.coalesce(F.try_parse_json(swapped), F.try_parse_json(requoted)))
 
 
 @dataclass(frozen=True)

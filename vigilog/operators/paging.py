@@ -77,7 +77,8 @@ def most_recent(df: DataFrame, ts: str, tie: str, n: int) -> DataFrame:
 
 def repeatable_sample(df: DataFrame, number: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows chosen by a hash of the row number and a seed; same rows on every run."""
-    mixed = F.pmod(F.col(number) * F.lit(1103515245) + F.lit(seed * 12345), F.lit(2147483647))
+    modulus = F.lit(2147483647)
+    mixed = F.pmod(F.pmod(F.col(number), modulus) * F.lit(1103515245) + F.lit(seed * 12345), modulus)
     return top_k(df.withColumn("_mixed", mixed), [F.col("_mixed"), F.col(number)], n).drop("_mixed")
 
 
