@@ -151,6 +151,13 @@ def exact_percentiles(
     counted = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(
         F.count(F.lit(1)).alias("n")
     )
+    return percentiles_of_counts(counted, percents, local_values)
+
+
+def percentiles_of_counts(
+    counted: DataFrame, percents: Sequence[float], local_values: int = 1_000_000
+) -> dict[float, float]:
+    """Exact percentiles of a table of distinct values ``v`` with counts ``n``."""
     size = counted.agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows")).first()
     if not size["rows"]:
         return {p: None for p in percents}

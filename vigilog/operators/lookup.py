@@ -52,6 +52,38 @@ def profile_keys(df: DataFrame, keys: Sequence[str | Sequence[str]]) -> KeyProfi
     return KeyProfile(row["rows"], {key_name(k): row[f"k{i}"] for i, k in enumerate(keys)})
 
 
+def key_stats(
+    source: DataFrame, key: str | Sequence[str], aggregates: dict[str, Column], weight: str | None = None
+) -> DataFrame:
+    """Aggregates per non-null key, with the number of rows behind each key in ``_key_rows``.
+
+    ``weight`` names a row count when the source is already partly aggregated.
+    """
+    names = _names(key)
+    filled = source
+    for name in names:
+        filled = filled.filter(F.col(name).isNotNull())
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return filled.groupBy(*names).agg(
+        rows.alias("_key_rows"), *[expr.alias(alias) for alias, expr in aggregates.items()]
+    )
+
+
+def attach_stats(
+    df: DataFrame,
+    key: str | Sequence[str],
+    stats: DataFrame,
+    profile: KeyProfile,
+    broadcast_keys: int = BROADCAST_KEYS,
+) -> DataFrame:
+    """Bring a table of key statistics (with ``_key_rows``) back to the rows; null keys get nulls."""
+    names = _names(key)
+    values = [c for c in stats.columns if c not in (*names, "_key_rows")]
+    if profile.few(key, broadcast_keys):
+        return df.join(F.broadcast(stats.drop("_key_rows")), names, "left")
+    return attach_large(df, stats, names, values, profile.rows)
+
+
 def attach(
     df: DataFrame,
     key: str | Sequence[str],
@@ -61,18 +93,9 @@ def attach(
     broadcast_keys: int = BROADCAST_KEYS,
 ) -> DataFrame:
     """Add per-key aggregates to every row. Rows with a null key get nulls."""
-    names = _names(key)
     source = df if source is None else source
     profile = profile or profile_keys(source, [key])
-    filled = source
-    for name in names:
-        filled = filled.filter(F.col(name).isNotNull())
-    stats = filled.groupBy(*names).agg(
-        F.count(F.lit(1)).alias("_key_rows"), *[expr.alias(alias) for alias, expr in aggregates.items()]
-    )
-    if profile.few(key, broadcast_keys):
-        return df.join(F.broadcast(stats.drop("_key_rows")), names, "left")
-    return attach_large(df, stats, names, list(aggregates), profile.rows)
+    return attach_stats(df, key, key_stats(source, key, aggregates), profile, broadcast_keys)
 
 
 def attach_large(df: DataFrame, stats: DataFrame, names: list[str], values: list[str], rows: int) -> DataFrame:
@@ -101,18 +124,17 @@ def attach_large(df: DataFrame, stats: DataFrame, names: list[str], values: list
     )
 
 
-def known_flag(df: DataFrame, key: str, known: DataFrame, alias: str) -> DataFrame:
-    """1.0 for rows whose key is not among the known ones, on every row of a new key; null is never new."""
-    fresh = (
-        df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_key_rows"))
-        .join(known.select(F.col(key)).distinct(), key, "left_anti")
-        .withColumn(alias, F.lit(1.0))
-    )
-    profile = profile_keys(df, [key])
-    if profile.few(key, BROADCAST_KEYS):
-        out = df.join(F.broadcast(fresh.drop("_key_rows")), key, "left")
-    else:
-        out = attach_large(df, fresh, [key], [alias], profile.rows)
+def mark_new(stats: DataFrame, key: str, known: DataFrame, alias: str) -> DataFrame:
+    """Flag the keys of a statistics table that are not known yet; works on keys, not on rows."""
+    seen = known.select(key).distinct().withColumn("_seen", F.lit(True))
+    return stats.join(seen, key, "left").withColumn(
+        alias, F.when(F.col("_seen").isNull(), F.lit(1.0)).otherwise(F.lit(0.0))).drop("_seen")
+
+
+def new_key_flag(df: DataFrame, key: str, known: DataFrame, alias: str) -> DataFrame:
+    """1.0 on every row of a key that is not known yet; a null is never new."""
+    stats = mark_new(key_stats(df, key, {}), key, known, alias)
+    out = attach_stats(df, key, stats, profile_keys(df, [key]))
     return out.withColumn(alias, F.coalesce(F.col(alias), F.lit(0.0)))
 
 

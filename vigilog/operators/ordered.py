@@ -108,15 +108,16 @@ def rank_values(df: DataFrame, order: Sequence[str], name: str, local_rows: int
     return global_position(df, order, name)
 
 
-def ema_column(value: Column, keep: Column, bring: Column, rank: Column, window) -> Column:
-    """Exponential mean y[t] = keep[t]*y[t-1] + bring[t]*x[t] from two running sums over ``window``.
+def ema(df: DataFrame, value: str, keep: Column, bring: Column, first: Column, window, name: str) -> DataFrame:
+    """Exponential mean y[t] = keep[t]*y[t-1] + bring[t]*x[t], from two running sums over ``window``.
 
-    With P[t] the product of all keep factors, y[t] = P[t] * sum(bring[i]*x[i] / P[i]). The product
-    is kept as a sum of logarithms; windows must stay short (bucket plus halo) so it cannot overflow.
-    The first value of all (``rank`` = 1) enters with weight one.
+    With P[t] the product of all keep factors so far, y[t] = P[t] * sum(bring[i]*x[i] / P[i]). The
+    product is carried as a sum of logarithms; windows stay short (bucket and halo), so neither side
+    leaves the range of a double. The very first value (``first``) enters with weight one.
     """
     running = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    log_keep = F.when(rank == 1, F.lit(0.0)).otherwise(F.log(keep))
-    log_product = F.sum(log_keep).over(running)
-    weight = F.when(rank == 1, F.lit(1.0)).otherwise(bring)
-    return log_product, weight * value
+    log_keep = F.when(first, F.lit(0.0)).otherwise(F.log(keep))
+    weighted = F.when(first, F.col(value).cast("double")).otherwise(bring * F.col(value))
+    out = df.withColumn("_log_product", F.sum(log_keep).over(running)).withColumn("_weighted", weighted)
+    scaled = F.sum(F.col("_weighted") * F.exp(-F.col("_log_product"))).over(running)
+    return out.withColumn(name, scaled * F.exp("_log_product")).drop("_log_product", "_weighted")
