@@ -12,7 +12,17 @@ from .registry import on_logs, query
 SPLIT = "TIMESTAMP '2024-01-11 00:00:00'"
 BATCH = {
     "seen": f"SELECT * FROM logs WHERE ts < {SPLIT}",
-    "b": f"SELECT * FROM logs WHERE ts >= {SPLIT}",
+    "b0": f"SELECT * FROM logs WHERE ts >= {SPLIT}",
+    "seen_users": "SELECT user_name, count(*) AS user_history FROM seen WHERE user_name IS NOT NULL GROUP BY 1",
+    "seen_ips": "SELECT DISTINCT source_ip, true AS ip_seen FROM seen WHERE source_ip IS NOT NULL",
+    "user_hosts": "SELECT user_name, count(DISTINCT host_name) AS user_hosts FROM b0 GROUP BY 1",
+    "ip_users": "SELECT source_ip, count(DISTINCT user_name) AS ip_users, count(*) AS ip_n FROM b0 GROUP BY 1",
+    "ip_ports": "SELECT source_ip, CASE WHEN count(*) > 1 THEN ln(sum(n)) - sum(n * ln(n)) / sum(n) ELSE 0e0 END AS port_entropy "
+                "FROM (SELECT source_ip, destination_port, count(*) AS n FROM b0 WHERE destination_port IS NOT NULL GROUP BY 1, 2) "
+                "GROUP BY 1",
+    "b": "SELECT b0.*, user_history, ip_seen, user_hosts, ip_users, ip_n, port_entropy FROM b0 LEFT JOIN seen_users USING (user_name) "
+         "LEFT JOIN seen_ips USING (source_ip) LEFT JOIN user_hosts USING (user_name) LEFT JOIN ip_users USING (source_ip) "
+         "LEFT JOIN ip_ports USING (source_ip)",
 }
 
 
@@ -49,35 +59,28 @@ BEHAVIOUR_SQL = {
     },
     "user": {
         "user_is_new": (
-            "CASE WHEN user_name IS NOT NULL AND user_name NOT IN (SELECT user_name FROM seen WHERE user_name IS NOT NULL) "
-            "THEN 1e0 ELSE 0e0 END"),
+            "CASE WHEN user_name IS NOT NULL AND user_history IS NULL THEN 1e0 ELSE 0e0 END"),
         "user_burst_score": (
             "CASE WHEN user_name IS NULL THEN 1e0 ELSE count(*) OVER (PARTITION BY user_name) * 1e0 / "
-            "(count(*) OVER (PARTITION BY user_name) + (SELECT count(*) FROM seen WHERE seen.user_name = b.user_name)) END"),
+            "(count(*) OVER (PARTITION BY user_name) + coalesce(user_history, 0)) END"),
         "user_failed_login_ratio": (
             "CASE WHEN user_name IS NULL THEN 0e0 ELSE avg(CASE WHEN lower(event_outcome) = 'failure' THEN 1e0 ELSE 0e0 END) "
             "OVER (PARTITION BY user_name) END"),
         "user_unique_hosts_accessed": (
-            "CASE WHEN user_name IS NULL THEN 0e0 ELSE CAST((SELECT count(DISTINCT host_name) FROM b b2 "
-            "WHERE b2.user_name = b.user_name) AS DOUBLE) END"),
+            "CASE WHEN user_name IS NULL THEN 0e0 ELSE CAST(user_hosts AS DOUBLE) END"),
         "user_priv_escalation_flag": (
             "CASE WHEN lower(event_action) IN ('sudo', 'su', 'elevated', 'privilege_escalation') THEN 1e0 ELSE 0e0 END"),
     },
     "ip": {
         "ip_is_new": (
-            "CASE WHEN source_ip IS NOT NULL AND source_ip NOT IN (SELECT source_ip FROM seen WHERE source_ip IS NOT NULL) "
-            "THEN 1e0 ELSE 0e0 END"),
+            "CASE WHEN source_ip IS NOT NULL AND ip_seen IS NULL THEN 1e0 ELSE 0e0 END"),
         "ip_rarity": (
-            "CASE WHEN source_ip IS NULL THEN 1e0 ELSE 1e0 - count(*) OVER (PARTITION BY source_ip) * 1e0 / "
-            "(SELECT count(source_ip) FROM b) END"),
+            "CASE WHEN source_ip IS NULL THEN 1e0 ELSE 1e0 - ip_n * 1e0 / (SELECT count(source_ip) FROM b0) END"),
         "ip_unique_users": (
-            "CASE WHEN source_ip IS NULL THEN 0e0 ELSE CAST((SELECT count(DISTINCT user_name) FROM b b2 "
-            "WHERE b2.source_ip = b.source_ip) AS DOUBLE) END"),
+            "CASE WHEN source_ip IS NULL THEN 0e0 ELSE CAST(ip_users AS DOUBLE) END"),
         "ip_is_private": f"coalesce({PRIVATE}, 0e0)",
         "ip_port_entropy": (
-            "coalesce((SELECT CASE WHEN count(*) > 1 THEN ln(sum(n)) - sum(n * ln(n)) / sum(n) ELSE 0e0 END FROM "
-            "(SELECT source_ip, destination_port, count(*) AS n FROM b WHERE destination_port IS NOT NULL GROUP BY 1, 2) p "
-            "WHERE p.source_ip = b.source_ip), 0e0)"),
+            "coalesce(port_entropy, 0e0)"),
         "ip_impossible_travel": "0e0",
     },
     "host": {
@@ -86,15 +89,15 @@ BEHAVIOUR_SQL = {
             "THEN 1e0 ELSE 0e0 END"),
         "host_freq": (
             "CASE WHEN host_name IS NULL THEN 0e0 ELSE count(*) OVER (PARTITION BY host_name) * 1e0 / "
-            "(SELECT count(host_name) FROM b) END"),
+            "(SELECT count(host_name) FROM b0) END"),
         "host_rarity": (
             "CASE WHEN host_name IS NULL THEN 1e0 ELSE 1e0 - count(*) OVER (PARTITION BY host_name) * 1e0 / "
-            "(SELECT count(host_name) FROM b) END"),
+            "(SELECT count(host_name) FROM b0) END"),
     },
     "process": {
         "process_rarity": (
             "CASE WHEN process_name IS NULL THEN 1e0 ELSE 1e0 - count(*) OVER (PARTITION BY process_name) * 1e0 / "
-            "(SELECT count(process_name) FROM b) END"),
+            "(SELECT count(process_name) FROM b0) END"),
         "process_is_script_engine": (
             "CASE WHEN lower(process_name) IN ('powershell.exe', 'pwsh.exe', 'cmd.exe', 'bash', 'sh', 'zsh', "
             "'wscript.exe', 'cscript.exe') THEN 1e0 ELSE 0e0 END"),
@@ -108,7 +111,7 @@ BEHAVIOUR_SQL = {
     "event": {
         "event_category_rarity": (
             "CASE WHEN event_category IS NULL THEN 1e0 ELSE 1e0 - count(*) OVER (PARTITION BY event_category) * 1e0 / "
-            "(SELECT count(event_category) FROM b) END"),
+            "(SELECT count(event_category) FROM b0) END"),
         "event_is_file_mod": "CASE WHEN contains(lower(event_category), 'file') THEN 1e0 ELSE 0e0 END",
         "event_is_network": "CASE WHEN contains(lower(event_category), 'network') THEN 1e0 ELSE 0e0 END",
         "event_is_auth_failure": (

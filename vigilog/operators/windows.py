@@ -52,7 +52,7 @@ def volume_statistics(df: DataFrame, key: str, order: Sequence[str], prefix: str
     t = F.col("_t").cast("double")
     lag = (F.lit(1.0 - ALPHA) - F.pow(F.lit(1.0 - ALPHA), t)) / F.lit(ALPHA)
     n = F.least(t, F.lit(10.0))
-    std = F.when(t < 2, F.lit(0.0)).otherwise(F.sqrt(n * (n + 1) / 12.0))
+    std = F.when(t >= 2, F.sqrt(n * (n + 1) / 12.0)).when(t < 2, F.lit(0.0))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return out.withColumns({
         f"{prefix}_ema": zero(t - lag), f"{prefix}_std": zero(std), f"{prefix}_zscore": zero(lag / (std + EPSILON)),
