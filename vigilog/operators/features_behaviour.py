@@ -89,7 +89,7 @@ def port_entropy(base: DataFrame, key: str, value: str, name: str) -> DataFrame:
 
 
 def address_features(df: DataFrame, base: DataFrame, state: EntityState, profile: KeyProfile) -> DataFrame:
-    total = base.agg(F.count("source_ip")).first()[0]
+    total = profile.filled["source_ip"]
     known = state.addresses if state.addresses is not None else _empty(df, "source_ip string")
     stats = key_stats(base, "source_ip", {"_users": F.countDistinct("user_name")})
     stats = mark_new(stats, "source_ip", known, f"{PREFIX}ip_is_new")
@@ -110,7 +110,7 @@ def address_features(df: DataFrame, base: DataFrame, state: EntityState, profile
 
 
 def host_features(df: DataFrame, base: DataFrame, state: EntityState, profile: KeyProfile) -> DataFrame:
-    total = base.agg(F.count("host_name")).first()[0]
+    total = profile.filled["host_name"]
     known = state.hosts if state.hosts is not None else _empty(df, "host_name string")
     stats = mark_new(key_stats(base, "host_name", {}), "host_name", known, f"{PREFIX}host_is_new")
     stats = stats.withColumn(f"{PREFIX}host_freq", share(F.col("_key_rows"), total))
@@ -124,7 +124,7 @@ def host_features(df: DataFrame, base: DataFrame, state: EntityState, profile: K
 
 def rarity(df: DataFrame, base: DataFrame, key: str, name: str, profile: KeyProfile) -> DataFrame:
     """1 - share of the value among filled rows; a null is fully rare."""
-    total = base.agg(F.count(key)).first()[0]
+    total = profile.filled[key]
     stats = key_stats(base, key, {}).withColumn(name, 1.0 - share(F.col("_key_rows"), total))
     out = attach_stats(df, key, stats, profile)
     return out.withColumn(name, F.coalesce(F.col(name), F.lit(1.0)))

@@ -32,10 +32,11 @@ def _names(key: str | Sequence[str]) -> list[str]:
 
 @dataclass(frozen=True)
 class KeyProfile:
-    """Row count and approximate number of keys, measured in one pass."""
+    """Row count, approximate number of keys and filled rows per key, measured in one pass."""
 
     rows: int
     keys: dict[str, int] = field(default_factory=dict)
+    filled: dict[str, int] = field(default_factory=dict)
 
     def few(self, key: str | Sequence[str], limit: int) -> bool:
         return self.keys[key_name(key)] <= limit
@@ -48,8 +49,15 @@ def profile_keys(df: DataFrame, keys: Sequence[str | Sequence[str]]) -> KeyProfi
         names = _names(key)
         value = F.col(names[0]) if len(names) == 1 else F.struct(*names)
         sketches.append(F.approx_count_distinct(value).alias(f"k{i}"))
+        known = F.col(names[0]).isNotNull()
+        for name in names[1:]:
+            known = known & F.col(name).isNotNull()
+        sketches.append(F.count(F.when(known, 1)).alias(f"f{i}"))
     row = df.agg(F.count(F.lit(1)).alias("rows"), *sketches).first()
-    return KeyProfile(row["rows"], {key_name(k): row[f"k{i}"] for i, k in enumerate(keys)})
+    return KeyProfile(
+        row["rows"], {key_name(k): row[f"k{i}"] for i, k in enumerate(keys)},
+        {key_name(k): row[f"f{i}"] for i, k in enumerate(keys)},
+    )
 
 
 def key_stats(

@@ -141,7 +141,8 @@ def severity_distribution(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 def tactic_counts(matches: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Attack tags per match. Matches are counted per rule before the tags multiply them."""
     per_rule = with_rule_details(triggers_per_rule(matches), rules)
-    return per_rule.select("n", tactic_of(F.explode("tags")).alias("tactic")).filter(
+    tagged = per_rule.select("n", F.explode("tags").alias("tag"))
+    return tagged.select("n", tactic_of(F.col("tag")).alias("tactic")).filter(
         F.col("tactic").isNotNull()).groupBy("tactic").agg(F.sum("n").alias("n"))
 
 
