@@ -6,10 +6,10 @@ from ..operators import features_batch as fb
 from ..operators import features_behaviour as beh
 from ..operators import features_clean as fc
 from ..operators import features_local as fl
-from ..sources.logs import first_days, later_days, logs
+from ..sources.logs import opening, afterwards, logs
 from .registry import on_logs, query
 
-SPLIT = "TIMESTAMP '2024-01-11 00:00:00'"
+SPLIT = "TIMESTAMP '2024-01-01 12:00:00'"
 BATCH = {
     "seen": f"SELECT * FROM logs WHERE ts < {SPLIT}",
     "b0": f"SELECT * FROM logs WHERE ts >= {SPLIT}",
@@ -31,13 +31,13 @@ def on_batch(body: str, **ctes: str) -> str:
 
 
 def state_of(df):
-    early = first_days(df)
+    early = opening(df)
     return beh.next_state(early, beh.EntityState())
 
 
 def family(spark, sf, name):
     df = logs(spark, sf)
-    out = beh.behaviour_features(later_days(df), state_of(df), [name])
+    out = beh.behaviour_features(afterwards(df), state_of(df), [name])
     return out.select("doc_id", *[F.round(c, 6).alias(c) for c in out.columns if c.startswith(beh.PREFIX)])
 
 
@@ -174,7 +174,7 @@ def _(spark, sf):
     f"SELECT doc_id, {family_sql('time', 'user', 'ip', 'host', 'process', 'event')} FROM b"))
 def _(spark, sf):
     df = logs(spark, sf)
-    out = beh.behaviour_features(later_days(df), state_of(df), beh.FAMILIES[:-1])
+    out = beh.behaviour_features(afterwards(df), state_of(df), beh.FAMILIES[:-1])
     return out.select("doc_id", *[F.round(c, 6).alias(c) for c in out.columns if c.startswith(beh.PREFIX)])
 
 
@@ -184,7 +184,7 @@ def _(spark, sf):
     "UNION ALL SELECT 'host', host_name, NULL FROM logs WHERE host_name IS NOT NULL GROUP BY 2"))
 def _(spark, sf):
     df = logs(spark, sf)
-    state = beh.next_state(later_days(df), state_of(df))
+    state = beh.next_state(afterwards(df), state_of(df))
     none = F.lit(None).cast("long")
     users = state.users.join(state.user_counts, "user_name", "left")
     return (

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lookup
 from ..operators.rules import SAMPLE_RULES, with_rule_details
-from ..sources.logs import first_days, later_days, logs, scores, table
+from ..sources.logs import opening, afterwards, logs, scores, table
 from .registry import on_logs, query
 from .rules import MATCH_CTES, matches, on_threats, threats
 from ..sources.logs import SCORE_SQL
@@ -51,11 +51,11 @@ def _(spark, sf):
 
 @query("jon6_membership", on_logs(
     "SELECT doc_id, CASE WHEN source_ip IS NOT NULL AND source_ip NOT IN (SELECT source_ip FROM logs WHERE source_ip IS NOT NULL "
-    "AND ts < TIMESTAMP '2024-01-11') THEN 1e0 ELSE 0e0 END AS fresh FROM logs WHERE ts >= TIMESTAMP '2024-01-11'"))
+    "AND ts < TIMESTAMP '2024-01-01 12:00:00') THEN 1e0 ELSE 0e0 END AS fresh FROM logs WHERE ts >= TIMESTAMP '2024-01-01 12:00:00'"))
 def _(spark, sf):
     df = logs(spark, sf).select("doc_id", "source_ip", "ts")
-    known = first_days(df).filter("source_ip IS NOT NULL").select("source_ip")
-    return lookup.new_key_flag(later_days(df), "source_ip", known, "fresh").select("doc_id", "fresh")
+    known = opening(df).filter("source_ip IS NOT NULL").select("source_ip")
+    return lookup.new_key_flag(afterwards(df), "source_ip", known, "fresh").select("doc_id", "fresh")
 
 
 @query("jon7_counts_with_max_threat", on_threats(

@@ -3,14 +3,14 @@
 from pyspark.sql import functions as F
 
 from ..sources import state
-from ..sources.logs import first_days, later_days, logs
+from ..sources.logs import opening, afterwards, logs
 from .features import on_batch
 from .registry import query
 
 
 def both(spark, sf, *columns):
     df = logs(spark, sf).select("ts", *columns)
-    return first_days(df), later_days(df)
+    return opening(df), afterwards(df)
 
 
 @query("set1_unseen_entities", on_batch(

@@ -174,13 +174,13 @@ def scored(logs_df: DataFrame) -> DataFrame:
     )
 
 
-FIRST_DAYS_END = "2024-01-11 00:00:00"
+OPENING_END = "2024-01-01 12:00:00"
 
 
-def first_days(logs_df: DataFrame) -> DataFrame:
-    """The ten days whose entities count as already seen."""
-    return logs_df.filter(F.col("ts") < F.lit(FIRST_DAYS_END).cast("timestamp_ntz"))
+def opening(logs_df: DataFrame) -> DataFrame:
+    """The opening half day whose entities count as already seen."""
+    return logs_df.filter(F.col("ts") < F.lit(OPENING_END).cast("timestamp_ntz"))
 
 
-def later_days(logs_df: DataFrame) -> DataFrame:
-    return logs_df.filter(F.col("ts") >= F.lit(FIRST_DAYS_END).cast("timestamp_ntz"))
+def afterwards(logs_df: DataFrame) -> DataFrame:
+    return logs_df.filter(F.col("ts") >= F.lit(OPENING_END).cast("timestamp_ntz"))
