@@ -1,40 +1,61 @@
 """State and model tables kept between batches.
 
 A state table is a folder of parquet parts, one sub-folder per batch number. Writing a batch again
-replaces its own folder only, so a repeated batch leaves the same state behind.
+replaces its own folder only, so a repeated batch leaves the same state behind. Every so many
+batches the parts are merged into a snapshot, so reading the state stays cheap on a long stream.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 class StateTable:
-    """Append-by-batch table with idempotent writes."""
+    """Append-by-batch table with idempotent writes and merged snapshots."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
+    def __init__(
+        self, spark: SparkSession, path: str, schema: str,
+        merge: Callable[[DataFrame], DataFrame] | None = None, snapshot_every: int = 50,
+    ):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.merge, self.snapshot_every = merge or (lambda df: df), snapshot_every
 
-    def _exists(self) -> bool:
+    def _folders(self) -> dict[str, list[int]]:
+        """Numbers of complete batch and snapshot folders."""
         jvm = self.spark.sparkContext._jvm
         folder = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return fs.exists(folder) and len(fs.listStatus(folder)) > 0
+        found: dict[str, list[int]] = {"batch": [], "snapshot": []}
+        if fs.exists(folder):
+            for status in fs.listStatus(folder):
+                kind, _, number = status.getPath().getName().partition("=")
+                done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+                if kind in found and fs.exists(done):
+                    found[kind].append(int(number))
+        return found
 
     def before(self, batch: int | None = None) -> DataFrame:
-        """Everything written by batches before ``batch`` (all of it when None)."""
-        if not self._exists():
+        """The state left by all batches before ``batch`` (by all of them when None)."""
+        found = self._folders()
+        inside = lambda n: batch is None or n < batch
+        snapshots = [n for n in found["snapshot"] if batch is None or n <= batch]
+        start = max(snapshots, default=None)
+        paths = [f"{self.path}/batch={n}" for n in sorted(found["batch"]) if inside(n) and (start is None or n >= start)]
+        if start is not None:
+            paths.append(f"{self.path}/snapshot={start}")
+        if not paths:
             return self.spark.createDataFrame([], self.schema)
-        df = self.spark.read.schema(self.schema + ", batch long").parquet(self.path)
-        if batch is not None:
-            df = df.filter(F.col("batch") < batch)
-        return df.drop("batch")
+        return self.merge(self.spark.read.schema(self.schema).parquet(*paths))
 
     def write(self, df: DataFrame, batch: int) -> None:
+        """Store what ``batch`` adds; from time to time store a snapshot of everything so far."""
         df.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        if (batch + 1) % self.snapshot_every == 0:
+            self.before(batch + 1).write.mode("overwrite").parquet(f"{self.path}/snapshot={batch + 1}")
 
 
 def seen_after(known: DataFrame, batch: DataFrame, key: str) -> DataFrame:
