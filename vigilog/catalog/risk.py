@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features_behaviour as beh
 from ..operators import risk
-from ..sources.logs import SCORE_SQL, afterwards, logs
+from ..sources.logs import SCORE_SQL, afterwards, spread_logs
 from .features import BEHAVIOUR_SQL, on_batch, state_of
 from .registry import query
 from .windows import FAILED_SQL
@@ -49,9 +49,10 @@ def on_risk(tail: str) -> str:
 
 
 def pillars(spark, sf):
-    df = logs(spark, sf)
-    ready = beh.behaviour_features(afterwards(df), state_of(df), ["user", "ip", "process"])
-    return risk.with_pillars(ready.withColumn("ml_confidence", F.expr(SCORE_SQL)))
+    df = spread_logs(spark, sf)
+    rows = afterwards(df)
+    ready = beh.behaviour_features(rows, state_of(df), ["user", "ip", "process"])
+    return risk.with_pillars(ready.withColumn("ml_confidence", F.expr(SCORE_SQL)), rows)
 
 
 def _pillar(key, column):

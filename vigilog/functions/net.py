@@ -75,23 +75,31 @@ def _ipv6_digits(bare: Column) -> Column:
 
 
 def _within(value: Column, networks: list[str], bound) -> Column:
-    result = F.lit(False)
+    """Whether the value lies in one of the networks, given as a constant list of ranges."""
+    ranges = []
     for text in networks:
         net = ipaddress.ip_network(text)
-        result = result | value.between(bound(net.network_address), bound(net.broadcast_address))
-    return result
+        ranges.append(f"struct({bound(net.network_address)} AS lo, {bound(net.broadcast_address)} AS hi)")
+    return F.exists(F.expr(f"array({', '.join(ranges)})"), lambda r: value.between(r["lo"], r["hi"]))
+
+
+def _whole(address) -> str:
+    return f"{int(address)}L"
+
+
+def _hexed(address) -> str:
+    return "'" + address.exploded.replace(":", "") + "'"
 
 
 def _private_four(number: Column) -> Column:
-    return _within(number, PRIVATE_IPV4, int) & ~_within(number, PUBLIC_INSIDE_PRIVATE_IPV4, int)
+    return _within(number, PRIVATE_IPV4, _whole) & ~_within(number, PUBLIC_INSIDE_PRIVATE_IPV4, _whole)
 
 
 def _private_six(digits: Column) -> Column:
-    hexed = lambda address: address.exploded.replace(":", "")
     # An address that maps an IPv4 one is judged by that.
     mapped = F.conv(F.substring(digits, 25, 8), 16, 10).cast("long")
     return F.when(digits.startswith("0" * 20 + "ffff"), _let(mapped, _private_four)).when(
-        digits.isNotNull(), _within(digits, PRIVATE_IPV6, hexed) & ~_within(digits, PUBLIC_INSIDE_PRIVATE_IPV6, hexed))
+        digits.isNotNull(), _within(digits, PRIVATE_IPV6, _hexed) & ~_within(digits, PUBLIC_INSIDE_PRIVATE_IPV6, _hexed))
 
 
 def is_private_ip(ip: Column) -> Column:

@@ -158,28 +158,37 @@ def percentiles_of_counts(
     counted: DataFrame, percents: Sequence[float], local_values: int = 1_000_000
 ) -> dict[float, float]:
     """Exact percentiles of a table of distinct values ``v`` with counts ``n``."""
-    size = counted.agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows")).first()
-    if not size["rows"]:
-        return {p: None for p in percents}
-    if size["values"] <= local_values:
-        row = counted.agg(
-            F.percentile("v", [p / 100.0 for p in percents], F.col("n")).alias("p")
-        ).first()
-        return dict(zip(percents, row["p"]))
-    return {p: _select_percentile(counted, size["rows"], p / 100.0, local_values) for p in percents}
-
-
-def _select_percentile(counted: DataFrame, rows: int, share: float, local_values: int) -> float:
+    counted = counted.persist()
+    try:
+        size = counted.agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows")).first()
+        if not size["rows"]:
+            return {p: None for p in percents}
+        targets = {p: p / 100.0 * (size["rows"] - 1) for p in percents}
+        if size["values"] <= local_values:
+            return _values_at(counted, targets, 0, size["rows"])
+        return {p: _select_percentile(counted, size["rows"], t, local_values) for p, t in targets.items()}
+    finally:
+        counted.unpersist()
+
+
+def _values_at(counted: DataFrame, targets: dict[float, float], below: int, rows: int) -> dict[float, float]:
+    """Interpolated values at fractional ranks of a bounded list of (value, count)."""
+    window = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = counted.withColumn("end", F.sum("n").over(window) + below)
+    pick = lambda rank: F.min(F.when(F.col("end") > rank, F.col("v")))
+    row = ends.agg(*[e for i, t in enumerate(targets.values()) for e in (
+        pick(int(t)).alias(f"a{i}"), pick(min(int(t) + 1, rows - 1)).alias(f"b{i}"))]).first()
+    return {p: row[f"a{i}"] + (row[f"b{i}"] - row[f"a{i}"]) * (t - int(t)) for i, (p, t) in enumerate(targets.items())}
+
+
+def _select_percentile(counted: DataFrame, rows: int, target: float, local_values: int) -> float:
     """Value at a fractional rank of (value, count) rows by closing in on it from both sides."""
-    target = share * (rows - 1)
     below, kept = 0, counted
     while True:
-        info = kept.agg(
-            F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows"), F.min("v").alias("lo"), F.max("v").alias("hi")
-        ).first()
+        info = kept.agg(F.count(F.lit(1)).alias("values"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
         if info["values"] <= local_values or info["lo"] == info["hi"]:
             break
-        # Evenly spaced cuts over the rows still in question; counts decide which gap holds the target.
+        # Evenly spaced cuts over the values still in question; counts decide which gap holds the target.
         cuts = kept.agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)], 1000).alias("c")).first()["c"]
         cuts = sorted(set(cuts))
         sums = kept.agg(*[F.sum(F.when(F.col("v") <= c, F.col("n")).otherwise(0)).alias(f"c{i}")
@@ -190,21 +199,14 @@ def _select_percentile(counted: DataFrame, rows: int, share: float, local_values
                 low, skipped = cut, sums[f"c{i}"]
             elif high is None and below + sums[f"c{i}"] >= int(target) + 2:
                 high = cut
-        narrowed = kept
         if low is not None:
-            narrowed = narrowed.filter(F.col("v") > low)
+            kept = kept.filter(F.col("v") > low)
         if high is not None:
-            narrowed = narrowed.filter(F.col("v") <= high)
+            kept = kept.filter(F.col("v") <= high)
+        below += skipped
         if low is None and high is None:
             break
-        kept, below = narrowed, below + skipped
-        if narrowed.agg(F.count(F.lit(1))).first()[0] == info["values"]:
-            break
-    window = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = kept.withColumn("end", F.sum("n").over(window) + below)
-    pick = lambda rank: F.min(F.when(F.col("end") > rank, F.col("v")))
-    row = ends.agg(pick(int(target)).alias("a"), pick(min(int(target) + 1, rows - 1)).alias("b")).first()
-    return row["a"] + (row["b"] - row["a"]) * (target - int(target))
+    return _values_at(kept, {0.0: target}, below, rows)[0.0]
 
 
 def percentile_table(df: DataFrame, column: str, percents: Sequence[float]) -> DataFrame:

@@ -39,11 +39,18 @@ class Leaf:
         return "$" + "".join(f'["{key}"]' for key in self.path)
 
 
+def discover_all(df: DataFrame, columns: Sequence[str]) -> dict[str, T.DataType]:
+    """Common type of each variant column, found in one aggregation over the data."""
+    row = df.agg(*[F.schema_of_variant_agg(col_of(c)).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    spark, found = df.sparkSession, {}
+    for i, name in enumerate(columns):
+        ddl = re.sub(r"\bOBJECT\b", "STRUCT", row[f"s{i}"] or "VOID").replace("STRUCT<>", "STRING").replace("VOID", "STRING")
+        found[name] = spark.range(0).select(F.lit(None).cast(ddl).alias("x")).schema["x"].dataType
+    return found
+
+
 def discover(df: DataFrame, column: str) -> T.DataType:
-    """Common type of a variant column, found in one aggregation over the data."""
-    text = df.agg(F.schema_of_variant_agg(column).alias("s")).first()["s"] or "VOID"
-    ddl = re.sub(r"\bOBJECT\b", "STRUCT", text).replace("STRUCT<>", "STRING").replace("VOID", "STRING")
-    return df.sparkSession.range(0).select(F.lit(None).cast(ddl).alias("x")).schema["x"].dataType
+    return discover_all(df, [column])[column]
 
 
 def leaves(kind: T.DataType, prefix: tuple[str, ...] = (), depth: int = 64) -> list[Leaf]:
@@ -81,11 +88,11 @@ def flatten(
     ``kinds`` gives the types when they are known; otherwise one pass finds them. No join is needed:
     all parts come from the same row.
     """
-    kinds = kinds or {}
+    unknown = [c for c in columns if c not in (kinds or {})]
+    kinds = {**(kinds or {}), **(discover_all(df, unknown) if unknown else {})}
     parts: list[Column] = [col_of(c) for c in df.columns if c not in columns]
     for name in columns:
-        kind = kinds.get(name) or discover(df, name)
-        for leaf in leaves(kind, depth=depth):
+        for leaf in leaves(kinds[name], depth=depth):
             if leaf.path:
                 parts.append(_value(col_of(name), leaf, long_lists).alias(sep.join((name, *leaf.path))))
     return df.select(*parts)
@@ -116,13 +123,12 @@ def observed_types(df: DataFrame, column: str, depth: int = 8) -> DataFrame:
     kind = lambda v: F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
     level = df.select(F.lit(column).alias("field"), col_of(column).alias("value")).filter(F.col("value").isNotNull())
     parts = []
-    spark = df.sparkSession
+    spark, nested = df.sparkSession, discover(df, column)
     for _ in range(depth):
         seen = level.select("field", "value", kind(F.col("value")).alias("type"))
         parts.append(seen.groupBy("field", "type").agg(F.count(F.lit(1)).alias("n")))
         inner = spark.tvf.variant_explode(F.col("value").outer()).select(
             F.col("key"), F.col("value").alias("inner_value"))
-        nested = discover(df, column)
         if not _has_depth(nested, len(parts)):
             break
         level = seen.filter(F.col("type") == "OBJECT").lateralJoin(inner).select(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import scalar
+from ..session import durable
 from .features_behaviour import is_auth_failure
 from .ordered import global_position
 from .windows import failures_in_window
@@ -70,18 +71,29 @@ def _critical_host() -> Column:
     return test
 
 
-def with_pillars(df: DataFrame, order: tuple[str, ...] = ("ts", "doc_id"), window: int = K.FAILURE_WINDOW) -> DataFrame:
+def recent_failures(logs: DataFrame, number: str, order: tuple[str, ...], window: int = K.FAILURE_WINDOW) -> DataFrame:
+    """Per event: failures of the same user among the events before it. Only the needed columns are ordered."""
+    narrow = logs.select(
+        number, *[c for c in order if c != number], F.coalesce("user_name", F.lit("unknown")).alias("_who"),
+        F.coalesce(is_auth_failure(), F.lit(False)).alias("_failed"))
+    return failures_in_window(narrow, "_who", "_failed", list(order), "_recent", window).select(number, "_recent")
+
+
+def with_pillars(
+    df: DataFrame, logs: DataFrame | None = None, order: tuple[str, ...] = ("ts", "doc_id"), number: str = "doc_id",
+    window: int = K.FAILURE_WINDOW,
+) -> DataFrame:
     """Add the five pillars; history holds the asset part only until the fold has run.
 
-    Needs ``ml_confidence`` and the behaviour features of users, addresses and processes.
+    Needs ``ml_confidence`` and the behaviour features of users, addresses and processes. ``logs`` are
+    the rows before the features were added: ordering them is cheaper than ordering ``df``.
     """
     message = [F.col("message")] if "message" in df.columns else []
     command = F.coalesce(F.col("command_line"), *message, F.lit(""))
-    df = df.withColumns({
+    df = df.join(recent_failures(df if logs is None else logs, number, order, window), number).withColumns({
         "_who": F.coalesce("user_name", F.lit("unknown")), "_failed": F.coalesce(is_auth_failure(), F.lit(False)),
         "_base64": scalar.has_base64_run(command), "_keyword": scalar.first_keyword(command),
     })
-    df = failures_in_window(df, "_who", "_failed", list(order), "_recent", window)
     s = signals()
     return df.withColumns({
         "ml_pillar": F.col("ml_confidence") * 100.0,
@@ -162,7 +174,7 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["_bucket", "_who", "_entry"])
 
 
-def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
+def _replay(pdf: pd.DataFrame, number: str) -> pd.DataFrame:
     """Risk, past risk and mean of every event of a bucket, users one after the other."""
     pdf = pdf.sort_values("_pos")
     current, past, before, risks, after = None, None, [], [], []
@@ -173,23 +185,27 @@ def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
         risk, past = _step(past, low, high)
         risks.append(risk)
         after.append(past)
-    return pd.DataFrame({"_pos": pdf["_pos"], "past_risk": before, "final_risk": risks, "user_risk": after})
+    return pd.DataFrame({number: pdf[number], "past_risk": before, "final_risk": risks, "user_risk": after})
 
 
 def user_risk_fold(
-    df: DataFrame, order: tuple[str, ...], initial: DataFrame | None = None, bucket_rows: int = BUCKET_ROWS
+    df: DataFrame, order: tuple[str, ...], initial: DataFrame | None = None, bucket_rows: int = BUCKET_ROWS,
+    number: str = "doc_id",
 ) -> DataFrame:
     """Fold the risk per ``_who`` in order. Needs ``_calm`` and ``_tense``: the risk without and with a bad past.
 
     ``initial`` (``_who``, ``initial``) carries the mean of earlier batches. Adds ``past_risk``,
-    ``final_risk`` and ``user_risk`` (the mean after the event).
+    ``final_risk`` and ``user_risk`` (the mean after the event). Only the narrow columns are ordered;
+    the result returns to the rows by their unique ``number``.
     """
     spark = df.sparkSession
-    placed = global_position(df, ["_who", *order]).withColumn("_bucket", F.floor(F.col("_pos") / bucket_rows).cast("long"))
-    narrow = placed.select("_pos", "_bucket", "_who", "_calm", "_tense")
+    columns = list(dict.fromkeys([number, "_who", *order, "_calm", "_tense"]))
+    placed = global_position(df.select(*columns), ["_who", *order])
+    narrow = placed.select(
+        number, "_pos", F.floor(F.col("_pos") / bucket_rows).cast("long").alias("_bucket"), "_who", "_calm", "_tense")
+    start = initial if initial is not None else spark.createDataFrame([], "_who string, initial double")
     runs = narrow.groupBy("_bucket").applyInPandas(
         _run_summaries, "_who string, _bucket long, slope double, fresh double, starts array<double>, shifts array<double>")
-    start = initial if initial is not None else spark.createDataFrame([], "_who string, initial double")
     entries = runs.join(start, "_who", "left").groupBy("_who").applyInPandas(
         _chain, "_bucket long, _who string, _entry double")
     # Users inside one bucket have no run of their own in ``entries``; they only need the initial value.
@@ -197,20 +213,25 @@ def user_risk_fold(
     if initial is not None:
         with_entry = with_entry.join(start, "_who", "left").withColumn(
             "_entry", F.coalesce("_entry", "initial")).drop("initial")
+    kind = df.schema[number].dataType.simpleString()
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _replay(pdf, number)
+
     folded = with_entry.groupBy("_bucket").applyInPandas(
-        _replay, "_pos long, past_risk double, final_risk double, user_risk double")
-    return placed.drop("_bucket").join(folded, "_pos").drop("_pos")
+        replay, f"{number} {kind}, past_risk double, final_risk double, user_risk double")
+    return df.join(folded, number)
 
 
 def with_risk(
     df: DataFrame, order: tuple[str, ...] = ("ts", "doc_id"), initial: DataFrame | None = None,
-    bucket_rows: int = BUCKET_ROWS,
+    bucket_rows: int = BUCKET_ROWS, number: str = "doc_id",
 ) -> DataFrame:
     """Final risk of rows with pillars, with the past of each user fed back."""
-    ready = df.withColumns({
+    ready = durable(df.withColumns({
         "_calm": weighted_risk(history_points(F.lit(0.0))), "_tense": weighted_risk(history_points(F.lit(100.0))),
-    })
-    out = user_risk_fold(ready, order, initial, bucket_rows).drop("_calm", "_tense")
+    }))
+    out = user_risk_fold(ready, order, initial, bucket_rows, number).drop("_calm", "_tense")
     return out.withColumns({
         "history_pillar": history_points(F.col("past_risk")),
         "risk_score": F.floor("final_risk").cast("int"), "risk_level": scalar.score_level(F.col("final_risk")),

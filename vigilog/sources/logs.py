@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare
+from ..session import prepare, spread
 
 _HOST_NUMBER = "(user_id * 7 + event_id % 5) % 40"
 
@@ -154,9 +154,14 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs_over(table(spark, sf_dir, "events"))
 
 
+def spread_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log view for costly per-row work: never fewer partitions than cores."""
+    return logs_over(spread(table(spark, sf_dir, "events")))
+
+
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested text columns as a raw log file holds them."""
-    return logs(spark, sf_dir).select(*[F.expr(expr).alias(name) for name, expr in RAW_COLUMNS_SQL.items()])
+    return spread_logs(spark, sf_dir).select(*[F.expr(expr).alias(name) for name, expr in RAW_COLUMNS_SQL.items()])
 
 
 SCORE_SQL = "CAST(event_no * 7919 % 1000 AS DOUBLE) / 999e0"
