@@ -101,17 +101,22 @@ def _(spark, sf):
     return cl.quality_report(raw, cl.deduplicate(raw))
 
 
+_FREQ = ", ".join(
+    f"CASE WHEN {c} IS NOT NULL THEN count(*) OVER (PARTITION BY {c}) END AS _feat_{label}_batch_freq"
+    for c, label in (("host_name", "hostname"), ("user_name", "username"), ("source_ip", "src_ip")))
+
+
 @query("cln8_full_cleaning", on_logs(
     f"SELECT doc_id, ts_text, TRY_CAST(bytes_text AS DOUBLE) AS bytes_text, user_name AS username, {_DT} AS ts_text_dt, "
     f"CAST(hour({_DT}) AS INTEGER) AS _feat_hour, CAST(isodow({_DT}) - 1 AS INTEGER) AS _feat_day_of_week, "
-    f"hour({_DT}) < 6 OR hour({_DT}) >= 22 AS _feat_is_night FROM logs"))
+    f"hour({_DT}) < 6 OR hour({_DT}) >= 22 AS _feat_is_night, {_FREQ} FROM logs"))
 def _(spark, sf):
-    from ..operators.features_clean import time_features
+    from ..plans.cleaning import cleaning_run
 
     df = with_copies(logs(spark, sf)).select(
-        "event_no", "doc_id", "ts_text", "bytes_text", "user_name", F.lit("x").alias("_index"),
+        "event_no", "doc_id", "ts_text", "bytes_text", "user_name", "host_name", "source_ip", F.lit("x").alias("_index"),
         F.when(F.col("event_no") % 50 == 0, "x").alias("rare"))
     plan = cl.CleaningPlan(time_column="ts_text", renames={"user_name": "username"}, dedup_keys=["doc_id"])
-    out = time_features(cl.clean(df, plan), "ts_text_dt")
-    return out.select("doc_id", "ts_text", "bytes_text", "username", "ts_text_dt", "_feat_hour", "_feat_day_of_week",
-                      "_feat_is_night")
+    return cleaning_run(df, plan).features.select(
+        "doc_id", "ts_text", "bytes_text", "username", "ts_text_dt", "_feat_hour", "_feat_day_of_week", "_feat_is_night",
+        "_feat_hostname_batch_freq", "_feat_username_batch_freq", "_feat_src_ip_batch_freq")

@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import METADATA_COLUMNS, NUMERIC_NAME_PARTS
-from ..functions.fields import col_of, drop_metadata, rename_existing
+from ..constants import NUMERIC_NAME_PARTS
+from ..functions.fields import col_of
 from ..functions.scalar import parse_timestamp
 
 _NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
@@ -134,16 +134,6 @@ class CleaningPlan:
     keep: list[str] = field(default_factory=list)
 
 
-def clean(df: DataFrame, plan: CleaningPlan) -> DataFrame:
-    """Metadata, times, numbers, missing values, names, duplicates: in this order."""
-    df = drop_metadata(df, METADATA_COLUMNS)
-    if plan.time_column in df.columns:
-        df = add_parsed_time(df, plan.time_column)
-    df, _ = coerce_numbers(df)
-    df = handle_missing(drop_sparse(df, plan.null_limit, plan.keep), plan.strategy)
-    return deduplicate(rename_existing(df, plan.renames), plan.dedup_keys, plan.order)
-
-
 def quality_report(raw: DataFrame, cleaned: DataFrame, before_dedup: DataFrame | None = None) -> DataFrame:
     """One row: sizes, duplicates, null columns, retention, coverage and duplicate rates."""
     profile = null_profile(raw)

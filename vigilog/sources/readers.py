@@ -54,7 +54,6 @@ def with_origin(df: DataFrame, name: str = "origin") -> DataFrame:
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str]) -> None:
-    """Write by partition columns. Rows are spread by a hash next to the columns, so a large
-    partition value is written by many tasks."""
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(16))
-    df.repartition(*[F.col(c) for c in by], spread).write.mode("overwrite").partitionBy(*by).parquet(path)
+    """Write by partition columns. Rebalancing joins small pieces of a partition value and splits a
+    large one over several tasks, by measured size."""
+    df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)
