@@ -38,9 +38,12 @@ _ROWS = ("SELECT event_no, row_number() OVER (ORDER BY ts, event_no) - 1 AS pos,
          "row_number() OVER (PARTITION BY host_name ORDER BY ts, event_no) END AS x FROM logs")
 _SEQ = ("SELECT *, row_number() OVER (ORDER BY pos) - 1 AS seq, pow(9e0 / 11, coalesce(pos - lag(pos) OVER (ORDER BY pos), 1)) AS old "
         "FROM r WHERE x IS NOT NULL")
-_COEF = ("SELECT pos, seq, CASE WHEN seq = 0 THEN x * 1e0 ELSE x * (2e0 / 11) / (old + 2e0 / 11) END AS w, "
-         "sum(CASE WHEN seq = 0 THEN 0e0 ELSE ln(old / (old + 2e0 / 11)) END) OVER (ORDER BY seq) AS lp FROM s")
-_MEAN = "SELECT a.pos, sum(b.w * exp(a.lp - b.lp)) AS y FROM c a JOIN c b ON b.seq BETWEEN a.seq - 300 AND a.seq GROUP BY a.pos, a.seq"
+# Logarithms are summed per block of 1,000 rows; sums over everything would lose digits.
+_COEF = ("SELECT pos, seq, seq // 1000 AS blk, w, sum(l) OVER (PARTITION BY seq // 1000 ORDER BY seq) AS lp, "
+         "sum(l) OVER (PARTITION BY seq // 1000) AS total FROM (SELECT pos, seq, CASE WHEN seq = 0 THEN x * 1e0 ELSE "
+         "x * (2e0 / 11) / (old + 2e0 / 11) END AS w, CASE WHEN seq = 0 THEN 0e0 ELSE ln(old / (old + 2e0 / 11)) END AS l FROM s)")
+_MEAN = ("SELECT a.pos, sum(b.w * exp(CASE WHEN a.blk = b.blk THEN a.lp - b.lp ELSE a.lp + b.total - b.lp END)) AS y "
+         "FROM c a JOIN c b ON b.seq BETWEEN a.seq - 300 AND a.seq GROUP BY a.pos, a.seq")
 _FRAME = ("SELECT r.event_no, r.x, last_value(y IGNORE NULLS) OVER (ORDER BY r.pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y, "
           "coalesce(stddev_samp(r.x) OVER (ORDER BY r.pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 0e0) AS s "
           "FROM r LEFT JOIN m USING (pos)")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..constants import NUMERIC_NAME_PARTS
 from ..functions.fields import col_of
 from ..functions.scalar import parse_timestamp
+from .lookup import side_by_side
 
 _NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
@@ -143,14 +144,8 @@ def quality_report(raw: DataFrame, cleaned: DataFrame, before_dedup: DataFrame |
         F.count(F.when((F.col("null_share") >= 0.5) & (F.col("null_share") < 1.0), 1)).alias("high_null_fields"),
         F.round(F.lit(100.0) - F.avg("null_share") * 100.0, 1).alias("coverage_score"),
     )
-    # Three single-row tables side by side.
-    sizes = (
-        raw.agg(F.count(F.lit(1)).alias("n")).select(F.lit("input").alias("k"), "n")
-        .unionByName(cleaned.agg(F.count(F.lit(1)).alias("n")).select(F.lit("output").alias("k"), "n"))
-        .unionByName((before_dedup or raw).agg(F.count(F.lit(1)).alias("n")).select(F.lit("kept").alias("k"), "n"))
-        .agg(*[F.max(F.when(F.col("k") == k, F.col("n"))).alias(k) for k in ("input", "output", "kept")])
-    )
-    both = sizes.withColumn("_one", F.lit(1)).join(columns.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    size = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    both = side_by_side([size(raw, "input"), size(cleaned, "output"), size(before_dedup or raw, "kept"), columns])
     removed = F.col("kept") - F.col("output")
     share = lambda part: F.when(F.col("input") > 0, F.round(part / F.col("input") * 100.0, 1))
     return both.select(

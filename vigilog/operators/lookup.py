@@ -6,7 +6,7 @@ shuffle) and brought back to the rows. How it comes back depends on the measured
 * few keys: the statistics are broadcast, the rows are not shuffled;
 * many keys: the statistics of hot keys (those holding at least one row in ``HOT_PARTS``, hence
   at most ``HOT_PARTS`` of them) are broadcast, all other keys go through a shuffled join in
-  which rows of hot or null keys are spread by a row hash and therefore pile up nowhere.
+  which rows of hot or null keys are spread by a hash and therefore pile up nowhere.
 """
 
 from __future__ import annotations
@@ -118,7 +118,9 @@ def attach_large(df: DataFrame, stats: DataFrame, names: list[str], values: list
     settled = F.col("_hot").isNotNull()
     for name in names:
         settled = settled | F.col(name).isNull()
-    row_hash = F.xxhash64(*columns)
+    # The partition number keeps identical copies of a row apart, and is the same when a task is repeated.
+    hashable = [f.name for f in df.schema.fields if f.dataType.simpleString().split("<")[0] not in ("map", "variant")]
+    row_hash = F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in hashable])
     tagged = tagged.withColumn(
         "_spread", F.when(settled, F.pmod(row_hash, F.lit(SPREAD)) + 1).otherwise(F.lit(0).cast("long"))
     )
@@ -157,3 +159,11 @@ def left_with_default(df: DataFrame, other: DataFrame, key: str, defaults: dict[
     for name, value in defaults.items():
         joined = joined.withColumn(name, F.coalesce(F.col(name), F.lit(value)))
     return joined
+
+
+def side_by_side(rows: Sequence[DataFrame]) -> DataFrame:
+    """Several one-row tables as one row, without joining them."""
+    table = rows[0]
+    for row in rows[1:]:
+        table = table.unionByName(row, allowMissingColumns=True)
+    return table.agg(*[F.max(F.col(f"`{c}`")).alias(c) for c in table.columns])

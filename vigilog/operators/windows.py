@@ -15,6 +15,8 @@ from .ordered import BUCKET_ROWS, ema, framed, global_position, halo_buckets, pe
 ALPHA = 2.0 / (EMA_SPAN + 1)
 # (1 - ALPHA) ** 240 is below double precision, so earlier rows cannot show.
 EMA_REACH = 240
+# Short buckets keep the running products near one, which keeps digits.
+EMA_BUCKET = 500
 
 
 def seconds_since_previous(
@@ -76,7 +78,7 @@ def volume_statistics_row_order(df: DataFrame, key: str, order: Sequence[str], p
         total = F.col("_old") + ALPHA
         return ema(part, "_x", F.col("_old") / total, F.lit(ALPHA) / total, F.col("_seq") == 0, window, "_ema").drop("_old")
 
-    means = framed(filled, EMA_REACH, mean, position="_seq").select("_pos", "_ema")
+    means = framed(filled, EMA_REACH, mean, position="_seq", rows=EMA_BUCKET).select("_pos", "_ema")
     joined = placed.join(means, "_pos", "left")
 
     def rolling(part: DataFrame, window) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import percentage
 from ..operators.aggregates import many_top_terms
+from ..operators.lookup import side_by_side
 
 HIGH_RISK = 60
 
@@ -45,9 +46,7 @@ def session_overview(logs: DataFrame, scored: DataFrame, threats: DataFrame) ->
     levels = threats.agg(F.count(F.lit(1)).alias("alerts"), *[
         F.count(F.when(F.col("risk_level") == level, 1)).alias(level.lower())
         for level in ("Critical", "High", "Medium", "Low")])
-    # Three single rows side by side, joined on a constant.
-    one = lambda df: df.withColumn("_one", F.lit(1))
-    return one(base).join(one(anomalies), "_one").join(one(levels), "_one").drop("_one")
+    return side_by_side([base, anomalies, levels])
 
 
 def overview_entities(logs: DataFrame, n: int = 5) -> DataFrame:
