@@ -22,8 +22,14 @@ def on_matrix(body: str, **more: str) -> str:
 
 
 def matrix(spark, sf):
-    """The batch features, written once: detectors pass over them several times."""
-    return durable(feature_matrix(spark, sf))
+    """The batch features, written once: detectors pass over them several times.
+
+    Scoring is costly per row, so a scan of few splits is written in one part per core.
+    """
+    df = feature_matrix(spark, sf)
+    cores = spark.sparkContext.defaultParallelism
+    few = table(spark, sf, "events").rdd.getNumPartitions() < cores
+    return durable(df.repartition(cores) if few else df)
 
 
 def scaled(spark, sf):

@@ -6,7 +6,7 @@ from ..operators import features_batch as fb
 from ..operators import features_behaviour as beh
 from ..operators import features_clean as fc
 from ..operators import features_local as fl
-from ..sources.logs import afterwards, logs, opening, spread_logs
+from ..sources.logs import afterwards, logs, opening
 from .registry import on_logs, query
 
 SPLIT = "TIMESTAMP '2024-01-01 12:00:00'"
@@ -241,7 +241,7 @@ def batch_sql(names) -> str:
 
 def feature_matrix(spark, sf):
     """Event number and the batch features."""
-    return fb.batch_features(spread_logs(spark, sf)).select("event_no", "doc_id", "ts", *fb.FEATURES)
+    return fb.batch_features(logs(spark, sf)).select("event_no", "doc_id", "ts", *fb.FEATURES)
 
 
 def _register_batch(key, names):

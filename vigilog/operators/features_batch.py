@@ -9,6 +9,7 @@ from ..constants import EPSILON, FAILURE_WORDS
 from ..functions import net, scalar
 from ..functions.fields import col_of, resolve
 from ..functions.scalar import flag
+from ..session import durable
 from .aggregates import percentiles_of_counts
 from .lookup import attach_stats, key_stats, profile_keys
 
@@ -85,7 +86,8 @@ def batch_features(df: DataFrame, min_rows: int = 5) -> DataFrame:
                 parts[PREFIX + "src_failure_ratio"] = F.avg(failed)
             if have("bytes_sent"):
                 parts[PREFIX + "src_total_bytes_log"] = F.log1p(F.sum(bytes_))
-        stats = key_stats(df, key, parts).withColumn(
+        # Bounds, medians and the look-up all read the statistics: compute them once and keep them.
+        stats = durable(key_stats(df, key, parts)).withColumn(
             f"{PREFIX}{label}_event_count", F.col("_key_rows").cast("double"))
         if logical == "src_ip":
             stats = _address_stats(stats, key)
@@ -96,8 +98,10 @@ def batch_features(df: DataFrame, min_rows: int = 5) -> DataFrame:
             for name in FEATURES}
     if have("timestamp"):
         # Hours and weekdays have at most 24 values, so their medians are small aggregates.
-        row = out.agg(F.percentile(PREFIX + "hour", 0.5).alias("h"), F.percentile(PREFIX + "day_of_week", 0.5).alias("d")).first() \
-            if _has_null(df, names["timestamp"]) else {"h": 0.0, "d": 0.0}
+        row = {"h": 0.0, "d": 0.0}
+        if _has_null(df, names["timestamp"]):
+            ts = c("timestamp")
+            row = df.agg(F.percentile(F.hour(ts), 0.5).alias("h"), F.percentile(F.weekday(ts), 0.5).alias("d")).first()
         fill[PREFIX + "hour"] = F.coalesce(F.col(PREFIX + "hour"), F.lit(float(row["h"] or 0.0)))
         fill[PREFIX + "day_of_week"] = F.coalesce(F.col(PREFIX + "day_of_week"), F.lit(float(row["d"] or 0.0)))
     return out.withColumns(fill)
