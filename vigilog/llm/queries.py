@@ -5,13 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, simhash, token_counts
+from . import decontamination, packing, quality, simhash, token_counts
 from .common import table
+from .decontamination_sql import LEAKS_SQL
+from .quality_sql import QUALITY_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op2_packing_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -20,12 +27,21 @@ def op4_token_counts_resync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+
+
 def op10_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_packing_sum_of_squares, op4_token_counts_resync, op10_simhash_vantage)
-}
+    f.__name__: f
+    for f in (
+        op1_quality_divergence, op2_packing_sum_of_squares, op4_token_counts_resync, op6_simhash_decontamination,
+        op10_simhash_vantage,
+    )
+}
 #: Queries whose rows SQL can express; the others are tested against brute force.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_quality_divergence": QUALITY_SQL, "op6_simhash_decontamination": LEAKS_SQL}
