@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, quality, simhash, token_counts
+from . import decontamination, licences, packing, pii, quality, simhash, token_counts
 from .common import table
 from .decontamination_sql import LEAKS_SQL
 from .quality_sql import QUALITY_SQL
@@ -32,6 +32,15 @@ def op6_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
 
 
+def op7_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.found_spans(docs, pii.fit(docs))
+
+
+def op8_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,7 +49,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality_divergence, op2_packing_sum_of_squares, op4_token_counts_resync, op6_simhash_decontamination,
-        op10_simhash_vantage,
+        op7_pii_boosting, op8_licence_rules, op10_simhash_vantage,
     )
 }
 #: Queries whose rows SQL can express; the others are tested against brute force.
