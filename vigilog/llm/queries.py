@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licences, packing, pii, quality, simhash, token_counts
+from . import decontamination, licences, packing, pii, quality, simhash, substrings, token_counts
 from .common import table
 from .decontamination_sql import LEAKS_SQL
 from .quality_sql import QUALITY_SQL
@@ -41,6 +41,10 @@ def op8_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_scan(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op10_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality_divergence, op2_packing_sum_of_squares, op4_token_counts_resync, op6_simhash_decontamination,
-        op7_pii_boosting, op8_licence_rules, op10_simhash_vantage,
+        op7_pii_boosting, op8_licence_rules, op9_substring_automata,
+        op10_simhash_vantage,
     )
 }
 #: Queries whose rows SQL can express; the others are tested against brute force.
