@@ -36,7 +36,8 @@ WINDOW, ANCHOR = 50, 10
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _word_hashes(words: list[bytes], seed: int) -> np.ndarray:
+def word_hashes(words: list[bytes], seed: int) -> np.ndarray:
+    """XXH64 of each word; equal words are hashed once."""
     seen: dict[bytes, int] = {}
     digest = xxhash.xxh64_intdigest
     for w in words:
@@ -62,7 +63,7 @@ def anchors(words: list[bytes], size: int = WINDOW, anchor: int = ANCHOR) -> np.
     """The anchor hash of each window, in order."""
     if len(words) < size:
         return np.zeros(0, np.int64)
-    grams = run_hashes(_word_hashes(words, 7), anchor)
+    grams = run_hashes(word_hashes(words, 7), anchor)
     least, width, reach = grams, 1, size - anchor + 1
     while width < reach:  # minima over powers of two, then the two that overlap
         step = min(width, reach - width)
@@ -200,7 +201,7 @@ def _matched(dealt: DataFrame, kind: str, size: int) -> DataFrame:
                 length = np.fromiter(built[1].matching(words), np.int64, len(words))[size - 1 :]
                 spans.append(_spans(first + np.flatnonzero(length >= size)))
                 left = np.flatnonzero(length < size)
-                pair = [run_hashes(_word_hashes(words, seed), size)[left].view(np.int64).tolist() for seed in (1, 2)] if len(left) else [[], []]
+                pair = [run_hashes(word_hashes(words, seed), size)[left].view(np.int64).tolist() for seed in (1, 2)] if len(left) else [[], []]
                 rests.append([{"at": first + int(i), "h": h, "k": k} for i, h, k in zip(left, *pair)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int64())), pa.array(rests, pa.list_(pa.struct([("at", pa.int64()), ("h", pa.int64()), ("k", pa.int64())])))],
