@@ -70,7 +70,7 @@ RULES = [
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
 _BREAK = re.compile(r"[.!?;:\n]")
 #: A known sentence or copyright line has one of these; other texts need no reading.
-_SIGN = re.compile("licen[cs]e|copyright|permission|rights reserved|public domain|redistribut|warrant|©|\(c\)|cc0|gpl|free software", re.IGNORECASE)
+_SIGN = re.compile(r"licen[cs]e|copyright|permission|rights reserved|public domain|redistribut|warrant|©|\(c\)|cc0|gpl|free software", re.IGNORECASE)
 _COPYRIGHT = re.compile(r"(?:copyright|©|\(c\))[^\n]{0,20}?(?:19|20)[0-9]{2}", re.IGNORECASE)
 
 

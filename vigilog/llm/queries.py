@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licences, packing, pii, quality, simhash, substrings, token_counts
+from . import decontamination, lattice, licences, packing, pages, pii, quality, simhash, substrings, token_counts
 from .common import table
 from .decontamination_sql import LEAKS_SQL
 from .quality_sql import QUALITY_SQL
@@ -23,10 +23,18 @@ def op2_packing_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op3_html_host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_token_counts_resync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.scores(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
@@ -52,7 +60,8 @@ def op10_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_quality_divergence, op2_packing_sum_of_squares, op4_token_counts_resync, op6_simhash_decontamination,
+        op1_quality_divergence, op2_packing_sum_of_squares, op3_html_host_suffixes, op4_token_counts_resync,
+        op5_lattice_likelihood, op6_simhash_decontamination,
         op7_pii_boosting, op8_licence_rules, op9_substring_automata,
         op10_simhash_vantage,
     )
