@@ -43,16 +43,16 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) a row of ``docs``; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, fp) a row of ``docs``; fp is the fingerprint as a signed long."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], [key, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(hashed, f"doc_id {kind}, fp long")
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, "text").mapInArrow(hashed, f"{key} {kind}, fp long")
 
 
 class VantageTree:
@@ -199,6 +199,12 @@ def components(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def headed(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (each distinct fp once) with ``head``, the least fingerprint of the node's component."""
+    linked = components(links(nodes)).select(F.col("a").alias("fp"), F.col("b").alias("head"))
+    return nodes.join(linked, "fp", "left").withColumn("head", F.coalesce("head", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, one row a row of ``docs``.
 
@@ -208,10 +214,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows of their own. Other columns are ignored whatever their names; an empty table gives an empty table.
     """
     rows = stored(fingerprints(docs), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    linked = components(links(nodes))
-    least = linked.select(F.col("a").alias("fp"), F.col("b").alias("head"))
-    headed = nodes.join(least, "fp", "left").withColumn("head", F.coalesce("head", "fp"))
-    heads = headed.groupBy("head").agg(F.min("first").alias("component_id"))
-    named = headed.join(heads, "head").select("fp", "component_id")
+    nodes = headed(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    heads = nodes.groupBy("head").agg(F.min("first").alias("component_id"))
+    named = nodes.join(heads, "head").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, with one row of each component: the one with the least doc_id (null last, then the first read)."""
+    rows = stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("place")), "documents")
+    known = stored(fingerprints(rows.select("place", "row.text"), "place").join(rows.select("place", "row.doc_id"), "place"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "place")).alias("first")
+    nodes = headed(known.groupBy("fp").agg(first))
+    kept = nodes.groupBy("head").agg(F.min("first").alias("first")).select("first.place")
+    return rows.join(stored(kept, "representatives"), "place", "left_semi").select("row.*")
