@@ -108,6 +108,23 @@ def test_volume_in_row_order_with_gaps(spark):
         assert abs(r.v_ema - (mean or 0.0)) < 1e-8
 
 
+def test_mean_is_carried_over_long_gaps(spark):
+    df = spark.range(1_500).select("id", F.when((F.col("id") < 20) | (F.col("id") >= 1_400), "a").alias("k"))
+    got = windows.volume_statistics_row_order(df, "k", ["id"], "v").orderBy("id").collect()
+    assert got[19].v_ema > 0 and all(abs(r.v_ema - got[19].v_ema) < 1e-9 for r in got[20:1_400])
+
+
+def test_last_known_over_several_levels(spark):
+    rng = np.random.default_rng(3)
+    values = [float(i) if rng.random() < 0.01 else None for i in range(2_000)]
+    df = spark.createDataFrame(list(enumerate(values)), "_pos long, v double")
+    last, want = None, []
+    for v in values:
+        last = v if v is not None else last
+        want.append(last)
+    assert [r.c for r in ordered.last_known(df, "v", "c", rows=7).orderBy("_pos").collect()] == want
+
+
 @pytest.mark.parametrize("local", [1_000_000, 50])
 def test_percentiles_are_exact(spark, local):
     rng = np.random.default_rng(1)

@@ -71,7 +71,7 @@ SEVERITIES = ["Critical", "high", "medium", "low", "3"]
         f"nullif(count(*) FILTER (WHERE event_severity = '{s}'), 0) AS n_{s.lower()}" for s in SEVERITIES)
     + f" FROM logs WHERE {RANGE} GROUP BY 1"))
 def _(spark, sf):
-    return agg.time_histogram_by(in_range(logs(spark, sf)), "ts", "1d", "event_severity", SEVERITIES)
+    return agg.time_histogram_by(in_range(logs(spark, sf)), "ts", "1d", "event_severity")
 
 
 @query("agg4_top_terms_by_metric", on_logs(

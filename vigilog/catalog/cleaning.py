@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import cleaning as cl
-from ..sources.logs import logs, table
+from ..sources.logs import LOG_COLUMNS, logs, table
 from .registry import on_logs, query
 
 _DT = "CASE WHEN ts_text IN ('', 'bad') THEN NULL ELSE TIMESTAMP '2024-01-02 03:04:05' END"
@@ -39,7 +39,7 @@ def _(spark, sf):
     return cl.coerce_numbers(logs(spark, sf).select("doc_id", "host_name", "bytes_text"))[0]
 
 
-_NULL_COLUMNS = ["doc_id", "user_name", "host_name", "source_ip", "network_bytes", "file_name"]
+_NULL_COLUMNS = list(LOG_COLUMNS)
 
 
 @query("cln3_null_profile", on_logs(" UNION ALL ".join(
@@ -84,13 +84,18 @@ def _(spark, sf):
     return cl.deduplicate(df, ["host_name", "event_action"], ["ts", "doc_id"])
 
 
+def _fields(condition: str) -> str:
+    """How many of the reported columns meet a condition on their counts."""
+    return "CAST(" + " + ".join(f"(CASE WHEN {condition.format(c=c)} THEN 1 ELSE 0 END)" for c in _REPORT) + " AS BIGINT)"
+
+
 _REPORT = ["doc_id", "event_no", "user_name", "network_bytes", "file_name", "ts_text"]
 
 
 @query("cln7_quality_report", on_logs(
     "SELECT count(*) AS input_count, (SELECT count(*) FROM logs) AS output_count, "
     "count(*) - (SELECT count(*) FROM logs) AS duplicates_removed, CAST(6 AS BIGINT) AS total_fields, "
-    "CAST(0 AS BIGINT) AS fully_null_fields, CAST(2 AS BIGINT) AS high_null_fields, "
+    "" + _fields("count({c}) = 0") + " AS fully_null_fields, " + _fields("count({c}) > 0 AND round((count(*) - count({c})) * 1e0 / count(*), 4) >= 0.5e0") + " AS high_null_fields, "
     "round((SELECT count(*) FROM logs) * 100e0 / count(*), 1) AS retention_rate, "
     "round(100e0 - (" + " + ".join(f"round((count(*) - count({c})) * 1e0 / count(*), 4)" for c in _REPORT)
     + ") / 6 * 100, 1) AS coverage_score, "

@@ -58,7 +58,7 @@ def _(spark, sf):
 @query("det3_one_class_boundary")
 def _(spark, sf):
     df = scaled(spark, sf)
-    model = density.OneClassBoundary(FEATURES).fit(common.latest_rows(df, ORDER, density.HISTORY_ROWS))
+    model = density.OneClassBoundary(FEATURES).fit(df)
     return unpack(model.transform(df), "ocsvm", "doc_id")
 
 
@@ -111,15 +111,11 @@ def _(spark, sf):
     return unpack(statistical.FrequencyRarity(FEATURES).fit(df).transform(df), "frequency", "doc_id")
 
 
-_ROLLED = ["_ml_hour", "_ml_severity_score", "_ml_dst_privileged_port", "_ml_is_failure", "_ml_user_event_count",
-           "_ml_host_unique_users"]
-
-
 @query("det7_rolling", on_matrix(
     "SELECT event_no, round(deviation, 6) AS raw, round(least(greatest(deviation / 5, 0e0), 1e0), 6) AS confidence, "
-    "least(greatest(deviation / 5, 0e0), 1e0) > 0.8e0 AS anomaly FROM d", d=deviation_sql(_ROLLED, "fm")))
+    "least(greatest(deviation / 5, 0e0), 1e0) > 0.8e0 AS anomaly FROM d", d=deviation_sql([f"_ml_{n}" for n in NAMES], "fm")))
 def _(spark, sf):
-    return unpack(statistical.rolling(matrix(spark, sf), ORDER, _ROLLED), "rolling", "event_no")
+    return unpack(statistical.rolling(matrix(spark, sf), ORDER, FEATURES), "rolling", "event_no")
 
 
 _CONFIDENCE = {name: f"CAST(event_no * {p} % 1000 AS DOUBLE) / 999e0" for name, p in zip(
@@ -156,15 +152,17 @@ def _(spark, sf):
     return out.select("doc_id", F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly")
 
 
-@query("det10_incremental_refit")
+@query("det10_incremental_refit", (
+    "SELECT CAST(b AS INTEGER) AS batch, n AS samples, CASE b WHEN 1 THEN 'fit' ELSE 'partial_fit' END AS mode, "
+    "CAST(sum(n) OVER (ORDER BY b) AS BIGINT) AS total_seen FROM (SELECT 1 + (ts >= TIMESTAMP '2024-01-11')::INT + "
+    "(ts >= TIMESTAMP '2024-01-21')::INT AS b, count(*) AS n FROM events GROUP BY 1)"))
 def _(spark, sf):
     df = matrix(spark, sf)
-    model, reservoir = forest.ScaledForest(FEATURES, trees=50), None
-    cuts = ["2024-01-01", "2024-01-11", "2024-01-21", "2024-02-01"]
-    for start, stop in zip(cuts, cuts[1:]):
-        batch = df.filter((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < F.lit(stop).cast("timestamp_ntz")))
-        reservoir = forest.keep_reservoir(reservoir, batch, "event_no")
-        model.refit(reservoir, "event_no")
+    model = forest.ScaledForest(FEATURES, trees=50)
+    # The first and the last batch are open, so that every row is in one.
+    cuts = [F.lit(c).cast("timestamp_ntz") for c in ("2024-01-11", "2024-01-21")]
+    for batch in (F.col("ts") < cuts[0], (F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1]), F.col("ts") >= cuts[1]):
+        model.refit(df.filter(batch), "event_no")
     return spark.createDataFrame([tuple(r.values()) for r in model.log], "batch int, samples long, mode string, total_seen long")
 
 

@@ -30,6 +30,10 @@ def on_batch(body: str, **ctes: str) -> str:
     return on_logs(body, **BATCH, **ctes)
 
 
+# Families that know no state are computed over all rows.
+WHOLE = {"b0": "SELECT * FROM logs", "b": "SELECT * FROM b0"}
+
+
 def state_of(df):
     early = opening(df)
     return beh.next_state(early, beh.EntityState())
@@ -41,6 +45,11 @@ def family(spark, sf, name):
     return out.select("doc_id", *[F.round(c, 6).alias(c) for c in out.columns if c.startswith(beh.PREFIX)])
 
 
+def whole_family(spark, sf, name):
+    out = beh.behaviour_features(logs(spark, sf), beh.EntityState(), [name])
+    return out.select("doc_id", *[F.round(c, 6).alias(c) for c in out.columns if c.startswith(beh.PREFIX)])
+
+
 PRIVATE = (
     "CASE WHEN regexp_matches(source_ip, '^[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+$') THEN "
     "CASE WHEN source_ip LIKE '10.%' OR source_ip LIKE '192.168.%' OR source_ip LIKE '198.18.%' THEN 1e0 ELSE 0e0 END "
@@ -140,8 +149,8 @@ VOLUME_SQL = (
 )
 
 
-def on_volume(tail: str) -> str:
-    return on_batch("", **VOLUME_CTES).replace("WITH logs", "WITH RECURSIVE logs", 1).rstrip() + VOLUME_SQL + tail
+def on_volume(tail: str, batch: dict[str, str] = BATCH) -> str:
+    return on_logs("", **batch, **VOLUME_CTES).replace("WITH logs", "WITH RECURSIVE logs", 1).rstrip() + VOLUME_SQL + tail
 
 
 _VOLUME_TAIL = (
@@ -157,24 +166,34 @@ def _register(key, name):
         return family(spark, sf, name)
 
 
-_register("t1_t4_time_features", "time")
+def _register_whole(key, name):
+    @query(key, on_logs(f"SELECT doc_id, {family_sql(name)} FROM b", **WHOLE))
+    def _(spark, sf):
+        return whole_family(spark, sf, name)
+
+
+_register_whole("t1_t4_time_features", "time")
 _register("u1_u5_user_features", "user")
 _register("i1_i6_address_features", "ip")
 _register("h1_h3_host_features", "host")
-_register("p1_p4_process_features", "process")
-_register("e1_e3_event_features", "event")
+_register_whole("p1_p4_process_features", "process")
+_register_whole("e1_e3_event_features", "event")
 
 
-@query("q1_host_volume", on_volume(_VOLUME_TAIL))
+@query("q1_host_volume", on_volume(_VOLUME_TAIL, WHOLE))
 def _(spark, sf):
-    return family(spark, sf, "volume")
+    return whole_family(spark, sf, "volume")
+
+
+_FRAME_TAIL = (
+    f"SELECT f.*, v.* EXCLUDE (doc_id) FROM (SELECT doc_id, {family_sql('time', 'user', 'ip', 'host', 'process', 'event')} FROM b) f "
+    f"JOIN ({_VOLUME_TAIL}) v ON f.doc_id = v.doc_id")
 
 
-@query("fx_feature_frame", on_batch(
-    f"SELECT doc_id, {family_sql('time', 'user', 'ip', 'host', 'process', 'event')} FROM b"))
+@query("fx_feature_frame", on_volume(_FRAME_TAIL))
 def _(spark, sf):
     df = logs(spark, sf)
-    out = beh.behaviour_features(afterwards(df), state_of(df), beh.FAMILIES[:-1])
+    out = beh.behaviour_features(afterwards(df), state_of(df), beh.FAMILIES)
     return out.select("doc_id", *[F.round(c, 6).alias(c) for c in out.columns if c.startswith(beh.PREFIX)])
 
 
@@ -263,12 +282,12 @@ _register_batch("b20_full_matrix", list(BATCH_SQL))
 
 @query("agg30_describe_batch_features", on_logs(" UNION ALL ".join(
     f"SELECT '_ml_{n}' AS feature, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS std, round(min(x), 4) AS min, "
-    f"round(max(x), 4) AS max, 0e0 AS null_pct FROM (SELECT {BATCH_SQL[n]} AS x FROM raw)" for n in ("hour", "user_event_count")),
+    f"round(max(x), 4) AS max, 0e0 AS null_pct FROM (SELECT {BATCH_SQL[n]} AS x FROM raw)" for n in BATCH_SQL),
     **BATCH_CTES))
 def _(spark, sf):
     from ..operators.aggregates import describe_features
 
-    return describe_features(feature_matrix(spark, sf), ["_ml_hour", "_ml_user_event_count"])
+    return describe_features(feature_matrix(spark, sf), [f"_ml_{n}" for n in BATCH_SQL])
 
 
 # --- cleaning features -----------------------------------------------------------

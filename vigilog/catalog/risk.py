@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..operators import features_behaviour as beh
 from ..operators import risk
 from ..sources.logs import SCORE_SQL, afterwards, spread_logs
@@ -85,14 +86,23 @@ def _(spark, sf):
     return risk.with_risk(pillars(spark, sf)).select("doc_id", "risk_score", "risk_level", "confidence")
 
 
+def _detail(*cases: str) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} END" for c in cases) + "], lambda x: x IS NOT NULL), ', ')"
+
+
+_BEHAVIOUR = _detail("new_user > 0 THEN 'New user detection'", "new_ip > 0 THEN 'New IP detection'",
+                     "odd > 0 THEN 'Suspicious command structure'", "ratio > 0.5e0 THEN 'High failed login ratio'")
+_INTEL = _detail("b64 THEN 'Base64 payload detected'", "keyword IS NOT NULL THEN concat('Suspicious keyword: ', keyword)",
+                 "bad_port THEN concat('Suspicious port connection: ', destination_port)")
+_PAST = _detail("asset THEN 'Target is a highly critical asset'", "past > 80 THEN 'User has a history of high-risk behavior'")
 _CONTRIBUTORS = (
     "array_to_string(list_transform(list_sort(list_filter(["
-    "CASE WHEN ml_pillar > 60 THEN {'s': -ml_pillar, 'i': 0, 'n': 'Machine Learning'} END, "
-    "CASE WHEN behaviour_pillar > 0 THEN {'s': -behaviour_pillar, 'i': 1, 'n': 'Behavioural'} END, "
-    "CASE WHEN intel_pillar > 0 THEN {'s': -intel_pillar, 'i': 2, 'n': 'Threat Intelligence'} END, "
-    "CASE WHEN history_pillar > 0 THEN {'s': -history_pillar, 'i': 3, 'n': 'Historical Context'} END, "
-    "CASE WHEN temporal_pillar > 0 THEN {'s': -temporal_pillar, 'i': 4, 'n': 'Temporal Correlation'} END], "
-    "lambda x: x IS NOT NULL)), lambda x: x.n), ' > ')"
+    "CASE WHEN ml_pillar > 60 THEN {'s': -ml_pillar, 'i': 0, 'n': 'Machine Learning', 'd': 'High ML ensemble anomaly confidence.'} END, "
+    f"CASE WHEN behaviour_pillar > 0 THEN {{'s': -behaviour_pillar, 'i': 1, 'n': 'Behavioural', 'd': {_BEHAVIOUR}}} END, "
+    f"CASE WHEN intel_pillar > 0 THEN {{'s': -intel_pillar, 'i': 2, 'n': 'Threat Intelligence', 'd': {_INTEL}}} END, "
+    f"CASE WHEN history_pillar > 0 THEN {{'s': -history_pillar, 'i': 3, 'n': 'Historical Context', 'd': {_PAST}}} END, "
+    "CASE WHEN temporal_pillar > 0 THEN {'s': -temporal_pillar, 'i': 4, 'n': 'Temporal Correlation', 'd': 'Brute-force success pattern'} END], "
+    "lambda x: x IS NOT NULL)), lambda x: concat(x.n, ' ', CAST(round(-x.s * 100) AS BIGINT), ': ', x.d)), ' > ')"
 )
 _REASONS = (
     "list_filter([CASE WHEN ml_pillar > 60 THEN 'was flagged by multiple ML anomaly detection models' END, "
@@ -110,8 +120,8 @@ _REASONS = (
 )
 _REPORT = (
     f"SELECT doc_id, {_CONTRIBUTORS} AS contributors, "
-    "array_to_string(list_filter([CASE WHEN b64 THEN 'T1027' END, CASE WHEN keyword IS NOT NULL THEN 'T1059' END, "
-    "CASE WHEN bad_port THEN 'T1043' END, CASE WHEN asset THEN 'T1484' END, CASE WHEN temporal_pillar > 0 THEN 'T1110' END], "
+    f"array_to_string(list_filter([CASE WHEN b64 THEN '{K.TECHNIQUE_BASE64}' END, CASE WHEN keyword IS NOT NULL THEN '{K.TECHNIQUE_KEYWORD}' END, "
+    f"CASE WHEN bad_port THEN '{K.TECHNIQUE_PORT}' END, CASE WHEN asset THEN '{K.TECHNIQUE_ASSET}' END, CASE WHEN temporal_pillar > 0 THEN '{K.TECHNIQUE_BRUTE_FORCE}' END], "
     "lambda x: x IS NOT NULL), ',') AS mitre, "
     "CASE WHEN b64 THEN 'Isolate endpoint immediately' WHEN keyword IS NOT NULL THEN 'Review process tree' "
     "WHEN bad_port THEN 'Block port at firewall' WHEN asset THEN 'Escalate to Tier 3 Incident Response' "
@@ -128,8 +138,9 @@ _REPORT = (
 def _(spark, sf):
     out = risk.with_report(risk.with_risk(pillars(spark, sf)))
     return out.select(
-        "doc_id", F.array_join(F.transform("contributors", lambda c: c["pillar"]), " > ").alias("contributors"),
-        F.array_join(F.transform("mitre", lambda m: F.substring(m, 1, 5)), ",").alias("mitre"),
+        "doc_id", F.array_join(F.transform("contributors", lambda c: F.concat(
+            c["pillar"], F.lit(" "), F.round(c["score"] * 100).cast("bigint").cast("string"), F.lit(": "), c["detail"])), " > ").alias("contributors"),
+        F.array_join("mitre", ",").alias("mitre"),
         "recommended_action", "explanation")
 
 

@@ -92,9 +92,9 @@ def _(spark, sf):
 
 @query("fun14_numbers", (
     "SELECT event_id, round(ln(1 + value), 6) AS log_value, round(least(greatest(value, 5e0), 20e0), 6) AS clipped, "
-    "round(value / (user_id + 1e-9), 6) AS ratio FROM events WHERE user_id > 0"))
+    "round(value / (user_id + 1e-9), 6) AS ratio FROM events"))
 def _(spark, sf):
-    return table(spark, sf, "events").filter("user_id > 0").select(
+    return table(spark, sf, "events").select(
         "event_id", F.round(F.log1p("value"), 6).alias("log_value"), F.round(scalar.clip(COL("value"), 5, 20), 6).alias("clipped"),
         F.round(scalar.safe_ratio(COL("value"), COL("user_id")), 6).alias("ratio"))
 

@@ -11,7 +11,7 @@ from .registry import on_logs, query
 from .risk import on_risk, pillars
 from .windows import FAILED_SQL
 
-CUTS = ["2024-01-01", "2024-01-03", "2024-01-10", "2024-02-15"]
+CUTS = ["2024-01-03", "2024-01-10"]
 _PART = "CASE WHEN ts < TIMESTAMP '2024-01-03' THEN 0 WHEN ts < TIMESTAMP '2024-01-10' THEN 1 ELSE 2 END"
 
 
@@ -19,9 +19,11 @@ def replay(spark, df, run):
     """Write one period after the other as new files and run the stream after each."""
     base = scratch_path(spark, "stream")
     source, out, state, checkpoint = (f"{base}/{n}" for n in ("in", "out", "state", "checkpoint"))
-    for i, (start, stop) in enumerate(zip(CUTS, CUTS[1:])):
-        part = df.filter((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < F.lit(stop).cast("timestamp_ntz")))
-        part.coalesce(1).write.parquet(f"{source}/part{i}")
+    # The first and the last period are open, so that every row is replayed.
+    for i, (start, stop) in enumerate(zip([None, *CUTS], [*CUTS, None])):
+        part = df if start is None else df.filter(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+        part = part if stop is None else part.filter(F.col("ts") < F.lit(stop).cast("timestamp_ntz"))
+        part.write.parquet(f"{source}/part{i}")
         run(st.file_stream(spark, f"{source}/*", df.schema), out, state, checkpoint)
     return out, state
 

@@ -138,3 +138,29 @@ TECHNIQUE_KEYWORD = "T1059 (Command and Scripting Interpreter)"
 TECHNIQUE_PORT = "T1043 (Commonly Used Port)"
 TECHNIQUE_ASSET = "T1484 (Domain Policy Modification Target)"
 TECHNIQUE_BRUTE_FORCE = "T1110 (Brute Force)"
+
+# Details of the contributors and sentences of the risk report.
+REPORT_NEW_USER = "New user detection"
+REPORT_NEW_IP = "New IP detection"
+REPORT_ODD_COMMAND = "Suspicious command structure"
+REPORT_FAILED_OFTEN = "High failed login ratio"
+REPORT_BASE64 = "Base64 payload detected"
+REPORT_KEYWORD = "Suspicious keyword: "
+REPORT_PORT = "Suspicious port connection: "
+REPORT_ASSET = "Target is a highly critical asset"
+REPORT_PAST = "User has a history of high-risk behavior"
+REPORT_MODELS = "High ML ensemble anomaly confidence."
+REPORT_BRUTE_FORCE = "Brute-force success pattern"
+REASON_MODELS = "was flagged by multiple ML anomaly detection models"
+REASON_NEW_USER = "logged in as a completely new user"
+REASON_NEW_IP = "originated from a previously unseen IP address"
+REASON_ODD_COMMAND = "executed an obfuscated or suspicious command"
+REASON_FAILED_OFTEN = "triggered multiple authentication failures"
+REASON_BASE64 = "utilized a Base64 encoded payload"
+REASON_KEYWORD = "executed known suspicious command '"
+REASON_PORT = "connected to sensitive port "
+REASON_ASSET = "targeted a critical production asset"
+REASON_PAST = "is an account with a history of severe security violations"
+REASON_BRUTE_FORCE = "successfully authenticated immediately following a brute-force sequence"
+REASON_LEAD = "Risk increased because the activity "
+REASON_NONE = "Event occurred within normal baseline parameters with no significant threat indicators."

@@ -59,8 +59,14 @@ def time_histogram(
     return joined.select("bucket", *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in aggregates])
 
 
-def time_histogram_by(df: DataFrame, ts: str, interval: str, by: str, values: Sequence[str]) -> DataFrame:
-    """Wide trend: total and one column per value; a value absent from a bucket is null."""
+def time_histogram_by(df: DataFrame, ts: str, interval: str, by: str, values: Sequence[str] | None = None, most: int = 10) -> DataFrame:
+    """Wide trend: total and one column per value; a value absent from a bucket is null.
+
+    Unless given, the values are the ``most`` frequent ones of the data, ties by value.
+    """
+    if values is None:
+        terms = df.where(F.col(by).isNotNull()).groupBy(by).count().orderBy(F.desc("count"), by).limit(most)
+        values = [r[0] for r in terms.collect()]
     hits = {f"n_{v.lower()}": F.when(F.count(F.when(F.col(by) == v, 1)) > 0, F.count(F.when(F.col(by) == v, 1))) for v in values}
     return time_histogram(df, ts, interval, {"total": F.count(F.lit(1)), **hits}, fill=False)
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,8 +108,9 @@ class LocalOutlierFactor:
 class OneClassBoundary:
     """One-class support vector machine with a Gaussian kernel, approximated by random cosine features.
 
-    Rahimi and Recht (2007). The linear problem over the features is solved by subgradient steps; each
-    step is one tree aggregation over the distributed history.
+    Rahimi and Recht (2007). The linear problem over the features is solved by subgradient steps over all rows of the
+    history; a step is two passes of partial sums, one small row a task. The best offset for a direction is the
+    nu-quantile of the projections, found on a histogram.
     """
 
     def __init__(self, features: Sequence[str], nu: float = 0.05, width: int = 128, steps: int = 40, seed: int = 42):
@@ -127,22 +129,36 @@ class OneClassBoundary:
         self.directions = rng.normal(0.0, np.sqrt(2.0 * gamma), (len(names), self.width))
         self.phases = rng.uniform(0.0, 2.0 * np.pi, self.width)
         mapped = self._map
-        blocks = history.select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in names]).rdd.mapPartitions(
-            lambda rows: [mapped(np.array(part))] if (part := [tuple(r) for r in rows]) else []).persist()
-        n, mean = blocks.map(lambda z: (len(z), z.sum(axis=0))).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))
-        w, nu = mean / n, self.nu
+        rows = history.select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in names])
+
+        def summed(part) -> np.ndarray:
+            """The sum over all rows of what ``part`` gives for the mapped rows of a batch."""
+
+            def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = None
+                for batch in batches:
+                    own = part(mapped(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])))
+                    total = own if total is None else total + own
+                if total is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+            return np.sum([r[0] for r in rows.mapInArrow(partial, "sums array<double>").collect()], axis=0)
+
+        total = summed(lambda z: np.append(z.sum(axis=0), len(z)))
+        n, nu = int(total[-1]), self.nu
+        w = total[:-1] / n
         best, best_loss = (w, 0.0), np.inf
         for step in range(self.steps):
-            # The best offset for a direction is the nu-quantile of the projections, found on a histogram.
-            rho = _quantile(blocks, w, nu, n)
-            outside, total, short = blocks.map(lambda z, w=w, r=rho: _violations(z, w, r)).treeReduce(
-                lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]))
+            edges = _edges(w)
+            counts = summed(lambda z, w=w, edges=edges: np.histogram(z @ w, bins=edges)[0].astype(float))
+            rho = float(edges[min(int(np.searchsorted(np.cumsum(counts), nu * n)) + 1, len(edges) - 1)])
+            beyond = summed(lambda z, w=w, rho=rho: _violations(z, w, rho))
+            total, short = beyond[:-1], beyond[-1]
             loss = 0.5 * w @ w - rho + short / (nu * n)
             if loss < best_loss:
                 best, best_loss = (w, rho), loss
             rate = 1.0 / (step + 2.0)
             w = (1.0 - rate) * w + rate * total / max(nu * n, 1.0)
-        blocks.unpersist()
         self.w, self.rho = best
         self.scale = nu * n
         return self
@@ -162,19 +178,17 @@ class OneClassBoundary:
         return detection(scored, name, value, clip(0.5 - value / 10.0, 0, 1), value < 0).drop("_decision")
 
 
-def _violations(z: np.ndarray, w: np.ndarray, rho: float) -> tuple[int, np.ndarray, float]:
+def _violations(z: np.ndarray, w: np.ndarray, rho: float) -> np.ndarray:
+    """The sum of the rows outside, and by how much they are."""
     projected = z @ w
     outside = projected < rho
-    return int(outside.sum()), z[outside].sum(axis=0), float((rho - projected[outside]).sum())
+    return np.append(z[outside].sum(axis=0), (rho - projected[outside]).sum())
 
 
-def _quantile(blocks, w: np.ndarray, share: float, n: int, cells: int = 2_000) -> float:
-    """Quantile of the projections from one histogram over their possible range."""
+def _edges(w: np.ndarray, cells: int = 2_000) -> np.ndarray:
+    """Histogram edges over the possible range of the projections."""
     reach = float(np.abs(w).sum()) * np.sqrt(2.0 / len(w)) + 1e-12
-    edges = np.linspace(-reach, reach, cells + 1)
-    counts = blocks.map(lambda z: np.histogram(z @ w, bins=edges)[0]).treeReduce(lambda a, b: a + b)
-    place = int(np.searchsorted(np.cumsum(counts), share * n))
-    return float(edges[min(place + 1, cells)])
+    return np.linspace(-reach, reach, cells + 1)
 
 
 class ReconstructionError:

@@ -105,8 +105,8 @@ def not_loopback(ip: Column) -> Column:
     return ~ip.isin(LOOPBACK)
 
 
-def sanitize(df: DataFrame, max_rows: int | None = 10_000, order: Sequence[str] = ()) -> DataFrame:
-    """Infinities become null; at most ``max_rows`` rows for display, the first in ``order``."""
+def sanitize(df: DataFrame, max_rows: int | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """Infinities become null; if asked for, only the first ``max_rows`` rows in ``order``."""
     numeric = {f.name for f in df.schema.fields if f.dataType.simpleString() in ("double", "float")}
     cleaned = df.select(*[(finite(col_of(c)).alias(c) if c in numeric else col_of(c)) for c in df.columns])
     if max_rows is None:

@@ -118,13 +118,13 @@ def hits_to_rows(df: DataFrame, source: str = "source", **options) -> DataFrame:
     ])
 
 
-def observed_types(df: DataFrame, column: str, depth: int = 8) -> DataFrame:
-    """Field paths of a variant column with the kinds of value seen and how often."""
+def observed_types(df: DataFrame, column: str) -> DataFrame:
+    """Field paths of a variant column, to whatever depth there is, with the kinds of value seen and how often."""
     kind = lambda v: F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
     level = df.select(F.lit(column).alias("field"), col_of(column).alias("value")).filter(F.col("value").isNotNull())
     parts = []
     spark, nested = df.sparkSession, discover(df, column)
-    for _ in range(depth):
+    while True:
         seen = level.select("field", "value", kind(F.col("value")).alias("type"))
         parts.append(seen.groupBy("field", "type").agg(F.count(F.lit(1)).alias("n")))
         inner = spark.tvf.variant_explode(F.col("value").outer()).select(

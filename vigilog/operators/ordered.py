@@ -71,6 +71,25 @@ def framed(
     return without_halo(build(halo_buckets(df, halo, position, rows), window))
 
 
+def last_known(df: DataFrame, value: str, name: str, position: str = "_pos", rows: int = BUCKET_ROWS) -> DataFrame:
+    """Add the last non-null ``value`` at or before each position, however far back it is.
+
+    A bucket of positions looks into itself; the last value of the buckets before it comes from the table of buckets,
+    by the same steps. Each level is smaller by ``rows``, so no task ever orders more than one bucket.
+    """
+    cell = f"_cell{position}"
+    placed = df.withColumn(cell, F.floor(F.col(position) / rows).cast("long"))
+    window = Window.partitionBy(cell).orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = placed.withColumn(name, F.last(value, ignorenulls=True).over(window))
+    if (df.agg(F.max(position)).first()[0] or 0) < rows:
+        return inside.drop(cell)
+    known = F.col(value).isNotNull()
+    cells = placed.groupBy(cell).agg(F.max_by(F.when(known, F.col(value)), F.when(known, F.col(position))).alias(f"{cell}_value"))
+    # What is known behind a bucket is what the next one starts with.
+    before = last_known(durable(cells), f"{cell}_value", f"{cell}_before", cell, rows).select((F.col(cell) + 1).alias(cell), f"{cell}_before")
+    return inside.join(before, cell, "left").withColumn(name, F.coalesce(name, f"{cell}_before")).drop(cell, f"{cell}_before")
+
+
 def largest_group(df: DataFrame, key: str) -> int:
     row = df.groupBy(key).count().agg(F.max("count").alias("n")).first()
     return row["n"] or 0

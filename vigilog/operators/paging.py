@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.fields import keep_existing
 from .filters import LogQuery
 
-MAX_PAGE = 1_000
-
 
 def page_by_offset(df: DataFrame, query: LogQuery, page: int, order: Sequence[str] = ("ts", "doc_id")) -> DataFrame:
     """One page in time order. Meant for the first pages; deep pages go by cursor."""
-    size = min(query.page_size, MAX_PAGE)
+    size = query.page_size
     keys = [F.col(c).desc() if query.descending else F.col(c).asc() for c in order]
     rows = query.apply(df).orderBy(*keys).offset(page * size).limit(size)
     return keep_existing(rows, query.columns) if query.columns else rows
@@ -23,7 +21,7 @@ def page_by_offset(df: DataFrame, query: LogQuery, page: int, order: Sequence[st
 
 def page_info(df: DataFrame, query: LogQuery, page: int) -> DataFrame:
     """Total matches and whether a further page exists."""
-    size = min(query.page_size, MAX_PAGE)
+    size = query.page_size
     total = F.count(F.lit(1))
     return query.apply(df).agg(
         total.alias("total"), (total > F.lit((page + 1) * size)).alias("has_next")

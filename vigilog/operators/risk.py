@@ -252,45 +252,45 @@ def with_report(df: DataFrame) -> DataFrame:
     port = F.col("destination_port").cast("string")
     detail = lambda parts: F.array_join(_texts(parts), ", ")
     behaviour = detail([
-        (s.new_user, F.lit("New user detection")), (s.new_ip, F.lit("New IP detection")),
-        (s.odd_command, F.lit("Suspicious command structure")), (s.failed_often, F.lit("High failed login ratio"))])
+        (s.new_user, F.lit(K.REPORT_NEW_USER)), (s.new_ip, F.lit(K.REPORT_NEW_IP)),
+        (s.odd_command, F.lit(K.REPORT_ODD_COMMAND)), (s.failed_often, F.lit(K.REPORT_FAILED_OFTEN))])
     intel = detail([
-        (s.base64, F.lit("Base64 payload detected")),
-        (s.keyword, F.concat(F.lit("Suspicious keyword: "), F.col("_keyword"))),
-        (s.port, F.concat(F.lit("Suspicious port connection: "), port))])
+        (s.base64, F.lit(K.REPORT_BASE64)),
+        (s.keyword, F.concat(F.lit(K.REPORT_KEYWORD), F.col("_keyword"))),
+        (s.port, F.concat(F.lit(K.REPORT_PORT), port))])
     history = detail([
-        (s.critical_host, F.lit("Target is a highly critical asset")),
-        (past, F.lit("User has a history of high-risk behavior"))])
+        (s.critical_host, F.lit(K.REPORT_ASSET)),
+        (past, F.lit(K.REPORT_PAST))])
     pillar = lambda place, name, score, shown, text: F.when(shown, F.struct(
         (-score).alias("rank"), F.lit(place).alias("place"), F.lit(name).alias("pillar"), score.alias("score"),
         text.alias("detail")))
     listed = F.array_compact(F.array(
         pillar(0, "Machine Learning", F.col("ml_pillar"), F.col("ml_pillar") > 60,
-               F.lit("High ML ensemble anomaly confidence.")),
+               F.lit(K.REPORT_MODELS)),
         pillar(1, "Behavioural", F.col("behaviour_pillar"), F.col("behaviour_pillar") > 0, behaviour),
         pillar(2, "Threat Intelligence", F.col("intel_pillar"), F.col("intel_pillar") > 0, intel),
         pillar(3, "Historical Context", F.col("history_pillar"), F.col("history_pillar") > 0, history),
         pillar(4, "Temporal Correlation", F.col("temporal_pillar"), F.col("temporal_pillar") > 0,
-               F.lit("Brute-force success pattern")),
+               F.lit(K.REPORT_BRUTE_FORCE)),
     ))
     points = _texts([
-        (F.col("ml_pillar") > 60, F.lit("was flagged by multiple ML anomaly detection models")),
-        (s.new_user, F.lit("logged in as a completely new user")),
-        (s.new_ip, F.lit("originated from a previously unseen IP address")),
-        (s.odd_command, F.lit("executed an obfuscated or suspicious command")),
-        (s.failed_often, F.lit("triggered multiple authentication failures")),
-        (s.base64, F.lit("utilized a Base64 encoded payload")),
-        (s.keyword, F.concat(F.lit("executed known suspicious command '"), F.col("_keyword"), F.lit("'"))),
-        (s.port, F.concat(F.lit("connected to sensitive port "), port)),
-        (s.critical_host, F.lit("targeted a critical production asset")),
-        (past, F.lit("is an account with a history of severe security violations")),
-        (s.brute_force, F.lit("successfully authenticated immediately following a brute-force sequence")),
+        (F.col("ml_pillar") > 60, F.lit(K.REASON_MODELS)),
+        (s.new_user, F.lit(K.REASON_NEW_USER)),
+        (s.new_ip, F.lit(K.REASON_NEW_IP)),
+        (s.odd_command, F.lit(K.REASON_ODD_COMMAND)),
+        (s.failed_often, F.lit(K.REASON_FAILED_OFTEN)),
+        (s.base64, F.lit(K.REASON_BASE64)),
+        (s.keyword, F.concat(F.lit(K.REASON_KEYWORD), F.col("_keyword"), F.lit("'"))),
+        (s.port, F.concat(F.lit(K.REASON_PORT), port)),
+        (s.critical_host, F.lit(K.REASON_ASSET)),
+        (past, F.lit(K.REASON_PAST)),
+        (s.brute_force, F.lit(K.REASON_BRUTE_FORCE)),
     ])
     df = df.withColumn("_points", points)
     n = F.size("_points")
-    lead = F.lit("Risk increased because the activity ")
+    lead = F.lit(K.REASON_LEAD)
     explanation = (
-        F.when(n == 0, "Event occurred within normal baseline parameters with no significant threat indicators.")
+        F.when(n == 0, K.REASON_NONE)
         .when(n == 1, F.concat(lead, F.get("_points", F.lit(0)), F.lit(".")))
         .otherwise(F.concat(lead, F.array_join(F.slice("_points", F.lit(1), n - 1), ", "), F.lit(", and "),
                             F.element_at("_points", -1), F.lit("."))))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..constants import EMA_SPAN, EPSILON, FAILURE_WINDOW, GAP_LIMIT_SECONDS
 from ..functions.scalar import clip, epoch_micros
-from .ordered import BUCKET_ROWS, ema, framed, global_position, halo_buckets, per_key_frames, without_halo
+from .ordered import BUCKET_ROWS, ema, framed, global_position, halo_buckets, last_known, per_key_frames, without_halo
 
 ALPHA = 2.0 / (EMA_SPAN + 1)
 # (1 - ALPHA) ** 240 is below double precision, so earlier rows cannot show.
@@ -84,10 +84,9 @@ def volume_statistics_row_order(df: DataFrame, key: str, order: Sequence[str], p
     def rolling(part: DataFrame, window) -> DataFrame:
         last10 = window.rowsBetween(-9, 0)
         std = F.when(F.count("_x").over(last10) >= 2, F.stddev_samp("_x").over(last10))
-        carried = F.last("_ema", ignorenulls=True).over(window.rowsBetween(-EMA_REACH, 0))
-        return part.withColumn("_std", F.coalesce(std, F.lit(0.0))).withColumn("_carried", carried)
+        return part.withColumn("_std", F.coalesce(std, F.lit(0.0)))
 
-    out = framed(joined, EMA_REACH, rolling)
+    out = last_known(framed(joined, 9, rolling), "_ema", "_carried")
     zscore = (F.col("_x") - F.col("_carried")) / (F.col("_std") + EPSILON)
     return out.withColumns({
         f"{prefix}_ema": F.coalesce("_carried", F.lit(0.0)), f"{prefix}_std": F.col("_std"),

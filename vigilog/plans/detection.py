@@ -34,7 +34,7 @@ def ensemble_detection(
     if "lof" in wanted:
         out = density.LocalOutlierFactor(features).fit(history).transform(out)
     if "ocsvm" in wanted:
-        out = density.OneClassBoundary(features).fit(history).transform(out)
+        out = density.OneClassBoundary(features).fit(df).transform(out)
     if "statistical" in wanted:
         out = statistical.z_score(out, statistical.moments(df, features))
     if "frequency" in wanted:
