@@ -114,6 +114,17 @@ def test_mean_is_carried_over_long_gaps(spark):
     assert got[19].v_ema > 0 and all(abs(r.v_ema - got[19].v_ema) < 1e-9 for r in got[20:1_400])
 
 
+def test_a_run_leaves_no_files(spark):
+    from pathlib import Path
+
+    from vigilog import session
+
+    assert session.durable(spark.range(5)).count() == 5
+    assert list(Path(session.run_folder(spark)).glob("cut-*"))
+    session.remove_scratch(spark)
+    assert not Path(session.run_folder(spark)).exists()
+
+
 def test_last_known_over_several_levels(spark):
     rng = np.random.default_rng(3)
     values = [float(i) if rng.random() < 0.01 else None for i in range(2_000)]

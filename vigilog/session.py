@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -53,22 +55,38 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = os.environ.get("VIGILOG_LOCAL_SCRATCH") or tempfile.mkdtemp(prefix="vigilog-")
-    os.environ["VIGILOG_LOCAL_SCRATCH"] = folder
+    folder = os.environ.get("VIGILOG_LOCAL_SCRATCH")
+    if not folder:
+        folder = os.environ["VIGILOG_LOCAL_SCRATCH"] = tempfile.mkdtemp(prefix="vigilog-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables, below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/vigilog/{spark.sparkContext.applicationId}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove the application's intermediate tables; call it when its results are written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh, not yet existing path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/vigilog/{label}-{uuid.uuid4().hex}"
+    """A fresh, not yet existing path in the application's folder."""
+    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, executors may die."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder as Parquet and read it back: lineage is cut, executors may die.
+
+    The plan runs once, later readers take only the columns they need, and the planner knows the size.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
