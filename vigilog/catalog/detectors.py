@@ -195,3 +195,97 @@ def _(spark, sf):
 
     out = analyse(logs(spark, sf))
     return out.select("doc_id", F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly", "threat_level")
+
+
+# --- given models: the same detectors with stated parameters, so that SQL can follow them -------------------
+_PAIR = ["value", "user_id"]
+# tree, node, feature, threshold, left, right, size, depth
+_GIVEN = [
+    (0, 0, 0, 20.0, 1, 2, 100, 0), (0, 1, -1, 0.0, -1, -1, 60, 1), (0, 2, 1, 50.0, 3, 4, 40, 1), (0, 3, -1, 0.0, -1, -1, 30, 2),
+    (0, 4, -1, 0.0, -1, -1, 10, 2), (1, 0, 1, 30.0, 1, 2, 100, 0), (1, 1, -1, 0.0, -1, -1, 25, 1), (1, 2, -1, 0.0, -1, -1, 75, 1),
+]
+
+
+def given_forest():
+    import pandas as pd
+
+    model = forest.IsolationForest(_PAIR, trees=2)
+    model.nodes = pd.DataFrame(_GIVEN, columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"])
+    model.per_tree, model.offset = 100, -0.5
+    return model
+
+
+def _mean_path(n: int) -> str:
+    return f"(2 * (ln({n - 1}e0) + 0.5772156649015329e0) - 2 * {n - 1}e0 / {n}e0)"
+
+
+def _leaf(size: int, depth: int) -> str:
+    return f"{depth} + {_mean_path(size)}"
+
+
+_LENGTH = (
+    f"((CASE WHEN value <= 20 THEN {_leaf(60, 1)} WHEN user_id <= 50 THEN {_leaf(30, 2)} ELSE {_leaf(10, 2)} END) + "
+    f"(CASE WHEN user_id <= 30 THEN {_leaf(25, 1)} ELSE {_leaf(75, 1)} END)) / 2")
+_SCORE = f"(-pow(2e0, -({_LENGTH}) / {_mean_path(100)}))"
+
+
+@query("det1_given_forest", (
+    f"SELECT event_id, round({_SCORE}, 6) AS raw, round(-{_SCORE}, 6) AS confidence, {_SCORE} < -0.5e0 AS anomaly FROM events"))
+def _(spark, sf):
+    return unpack(given_forest().transform(table(spark, sf, "events")), "iforest", "event_id")
+
+
+@query("det11_given_forest_sums", f"SELECT event_id, round({_LENGTH}, 6) AS path_length FROM events WHERE event_id % 100 = 0")
+def _(spark, sf):
+    """Contributions and the base value add up to a row's mean path length."""
+    model = given_forest()
+    asked = table(spark, sf, "events").filter("event_id % 100 = 0").select("event_id", *_PAIR)
+    parts = model.attribute(asked, "event_id").groupBy("event_id").agg(F.sum("contribution").alias("total"))
+    return parts.select("event_id", F.round(F.col("total") + model.base_value(), 6).alias("path_length"))
+
+
+@query("det4_given_basis", (
+    "SELECT event_id, round(e, 6) AS raw, round(1 - exp(-0.5e0 * e), 6) AS confidence, 1 - exp(-0.5e0 * e) > 0.8e0 AS anomaly FROM ("
+    "SELECT event_id, (pow(a - 0.6e0 * p, 2) + pow(b - 0.8e0 * p, 2)) / 2 AS e FROM (SELECT event_id, a, b, 0.6e0 * a + 0.8e0 * b AS p FROM "
+    "(SELECT event_id, value / 100 - 0.25e0 AS a, user_id / 100e0 - 0.5e0 AS b FROM events)))"))
+def _(spark, sf):
+    import numpy as np
+
+    model = density.ReconstructionError(["a", "b"], bottleneck=1)
+    model.mean, model.components = np.array([0.25, 0.5]), np.array([[0.6], [0.8]])
+    df = table(spark, sf, "events").select("event_id", (F.col("value") / 100).alias("a"), (F.col("user_id") / 100).alias("b"))
+    return unpack(model.transform(df), "autoencoder", "event_id")
+
+
+_HISTORY = "event_id < 400"
+
+
+@query("det2_given_history", (
+    "WITH e AS (SELECT event_id, value, user_id + event_id / 10000e0 AS place FROM events), h AS (SELECT * FROM e WHERE " + _HISTORY + "), "
+    "hh AS (SELECT a.event_id AS i, b.event_id AS j, sqrt(pow(a.value - b.value, 2) + pow(a.place - b.place, 2)) AS d FROM h a JOIN h b ON a.event_id <> b.event_id), "
+    "hk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM hh) WHERE r <= 5), "
+    "reach AS (SELECT i, max(d) AS kd FROM hk GROUP BY i), "
+    "dens AS (SELECT hk.i, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM hk JOIN reach ON reach.i = hk.j GROUP BY hk.i), "
+    "q AS (SELECT a.event_id AS i, b.event_id AS j, sqrt(pow(a.value - b.value, 2) + pow(a.place - b.place, 2)) AS d FROM e a CROSS JOIN h b), "
+    "qk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM q) WHERE r <= 5) "
+    "SELECT qk.i AS event_id, round(-avg(lrd) * (avg(greatest(d, kd)) + 1e-10), 4) AS raw FROM qk JOIN reach ON reach.i = qk.j JOIN dens ON dens.i = qk.j GROUP BY qk.i"))
+def _(spark, sf):
+    # The second feature has a part of the number, so that no two distances are equal.
+    df = table(spark, sf, "events").select("event_id", "value", (F.col("user_id") + F.col("event_id") / 10000).alias("place"))
+    model = density.LocalOutlierFactor(["value", "place"], k=5).fit(df.filter(_HISTORY).orderBy("event_id"))
+    return unpack(model.transform(df), "lof", "event_id", digits=4).select("event_id", "raw")
+
+
+_DECISION = "(5 * (0.6e0 * cos(0.01e0 * value + 0.02e0 * user_id + 0.5e0) + 0.4e0 * cos(0.03e0 * value - 0.01e0 * user_id + 1) - 0.1e0))"
+
+
+@query("det3_given_boundary", (
+    f"SELECT event_id, round({_DECISION}, 6) AS raw, round(least(greatest(0.5e0 - {_DECISION} / 10, 0e0), 1e0), 6) AS confidence, "
+    f"{_DECISION} < 0 AS anomaly FROM events"))
+def _(spark, sf):
+    import numpy as np
+
+    model = density.OneClassBoundary(_PAIR, width=2)
+    model.directions, model.phases = np.array([[0.01, 0.03], [0.02, -0.01]]), np.array([0.5, 1.0])
+    model.w, model.rho, model.scale = np.array([0.6, 0.4]), 0.1, 5.0
+    return unpack(model.transform(table(spark, sf, "events")), "ocsvm", "event_id")
