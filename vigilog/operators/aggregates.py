@@ -41,8 +41,8 @@ def time_histogram(
 ) -> DataFrame:
     """Rows per bucket, empty buckets between the first and the last included as 0.
 
-    The counts are computed once and are as small as the number of buckets; the gap filling works
-    on them alone.
+    The counts are computed once and are as small as the number of buckets; each bucket fills the gap
+    up to the next one.
     """
     aggregates = aggregates or {"n": F.count(F.lit(1))}
     counted = (
@@ -51,12 +51,12 @@ def time_histogram(
     )
     if not fill:
         return counted
-    bounds = counted.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).filter(F.col("lo").isNotNull())
-    buckets = bounds.select(
-        F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL {interval_step(interval)}"))).alias("bucket")
-    )
-    joined = buckets.join(counted, "bucket", "left")
-    return joined.select("bucket", *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in aggregates])
+    step = F.expr(f"INTERVAL {interval_step(interval)}")
+    following = F.lead("bucket").over(Window.orderBy("bucket"))
+    filled = counted.withColumn("_next", following).withColumn("_bucket", F.explode(F.when(
+        F.col("_next") > F.col("bucket") + step, F.sequence(F.col("bucket"), F.col("_next") - step, step)).otherwise(F.array("bucket"))))
+    counts = [F.when(F.col("_bucket") == F.col("bucket"), F.coalesce(F.col(n), F.lit(0))).otherwise(F.lit(0)).alias(n) for n in aggregates]
+    return filled.select(F.col("_bucket").alias("bucket"), *counts)
 
 
 def time_histogram_by(df: DataFrame, ts: str, interval: str, by: str, values: Sequence[str] | None = None, most: int = 10) -> DataFrame:
