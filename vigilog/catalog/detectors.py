@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..constants import ENSEMBLE_WEIGHTS
-from ..operators.detectors import common, density, forest, scaling, statistical
+from ..operators.detectors import density, forest, scaling, statistical
 from ..operators.features_batch import FEATURES
 from ..session import durable
 from ..sources.logs import logs, table
@@ -50,9 +50,7 @@ def _(spark, sf):
 
 @query("det2_local_outlier_factor")
 def _(spark, sf):
-    df = scaled(spark, sf)
-    model = density.LocalOutlierFactor(FEATURES).fit(common.latest_rows(df, ORDER, density.HISTORY_ROWS))
-    return unpack(model.transform(df), "lof", "doc_id")
+    return unpack(density.outlier_factors(scaled(spark, sf), FEATURES, "event_no"), "lof", "doc_id")
 
 
 @query("det3_one_class_boundary")
@@ -178,15 +176,14 @@ def _(spark, sf):
 @query("jon8_nearest_in_history", (
     "SELECT vec_id, round(d, 4) AS distance FROM (SELECT a.vec_id, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d, "
     "row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS r FROM embeddings a CROSS JOIN "
-    "(SELECT * FROM embeddings ORDER BY vec_id DESC LIMIT 5000) b) WHERE r = 5"))
+    "embeddings b WHERE a.vec_id % 100 = 0) WHERE r = 5"))
 def _(spark, sf):
     df = table(spark, sf, "embeddings")
     width = df.agg(F.max(F.size("embedding"))).first()[0]
     features = [f"e{i}" for i in range(width)]
     wide = df.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f) for i, f in enumerate(features)])
-    history = common.collect_matrix(common.latest_rows(wide, ["vec_id"], density.HISTORY_ROWS), features)
-    return density.nearest_distance(wide, features, history, 5, "distance").select(
-        "vec_id", F.round("distance", 4).alias("distance"))
+    out = density.nearest_of_all(wide.filter("vec_id % 100 = 0"), wide, features, "vec_id", 5, "distance")
+    return out.select("vec_id", F.round("distance", 4).alias("distance"))
 
 
 @query("det1_single_table_analysis")

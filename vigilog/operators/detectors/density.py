@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.scalar import clip
+from ...session import durable
 from .common import as_matrix, collect_matrix, detection
 
 HISTORY_ROWS = 5_000
@@ -51,6 +52,41 @@ def nearest_distance(df: DataFrame, features: Sequence[str], history: np.ndarray
     return df.withColumn(name, kth(*[F.col(f).cast("double") for f in features]))
 
 
+def nearest_of_all(
+    asked: DataFrame, df: DataFrame, features: Sequence[str], number: str, k: int, name: str, block: int = 2_000
+) -> DataFrame:
+    """(number, name): the distance of each asked row to its k-th nearest of all rows of ``df``, exactly.
+
+    The asked rows are a stated set. They go to the rows in blocks of ``block``, one pass a block; a task keeps the k
+    nearest of its own rows for each asked one, so k values a task and asked row are shuffled.
+    """
+    columns = [number, *features]
+    kind = df.schema[number].dataType.simpleString()
+    numbered = asked.select(*columns).orderBy(number)
+    total, found = asked.count(), None
+    for start in range(0, max(total, 1), block):
+        part = numbered.offset(start).limit(block)
+        keys = [r[0] for r in part.select(number).collect()]
+        shared = df.sparkSession.sparkContext.broadcast((keys, collect_matrix(part, features)))
+
+        def closest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own, x = shared.value
+            best = np.full((len(own), k), np.inf)
+            for batch in batches:
+                rows = np.nan_to_num(np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns]), nan=0.0)
+                for at in range(0, len(rows), _ROWS_AT_ONCE):
+                    some = rows[at:at + _ROWS_AT_ONCE]
+                    d = np.stack([((some - q) ** 2).sum(axis=1) for q in x]) if len(x) else np.zeros((0, len(some)))
+                    best = np.partition(np.hstack([best, d]), k - 1, axis=1)[:, :k]
+            near = np.isfinite(best)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([own[i] for i in np.nonzero(near)[0]]), pa.array(np.sqrt(best[near]))], [number, "d"])
+
+        near = df.select(*features).mapInArrow(closest, f"{number} {kind}, d double")
+        found = near if found is None else found.unionByName(near)
+    return found.groupBy(number).agg(F.get(F.sort_array(F.collect_list("d")), F.lit(k - 1)).alias(name))
+
+
 class LocalOutlierFactor:
     """Density around a row against the density around its neighbours (Breunig et al. 2000).
 
@@ -105,6 +141,56 @@ class LocalOutlierFactor:
         return detection(scored, name, -value, clip((value - 1.0) / 2.0, 0, 1), -value < self.offset).drop("_factor")
 
 
+def neighbours_by_cells(
+    df: DataFrame, features: Sequence[str], number: str, k: int, directions: int = 3, cell: int = 1_000, seed: int = 42
+) -> DataFrame:
+    """(number, near): the k nearest rows found for every row, as (d, id), nearest first.
+
+    All rows are ordered along a few random directions; each order is cut into cells of ``cell`` rows twice, the second
+    time half a cell on, and the neighbours inside a cell are exact. Rows near each other are near in every order, so
+    they meet in most cells; the best of all cells are kept. Equal or crowded rows fill more cells, never a larger one.
+    """
+    from ..ordered import global_position
+
+    kind = df.schema[number].dataType.simpleString()
+    values = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]
+    rng, found = np.random.default_rng(seed), None
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, x = pdf[number].to_numpy(), pdf[list(features)].to_numpy(dtype=float)
+        if len(x) < 2:
+            return pd.DataFrame({number: ids, "d": [[] for _ in ids], "id": [[] for _ in ids]})
+        d, p = nearest(x, x, min(k, len(x) - 1), skip=np.arange(len(x)))
+        return pd.DataFrame({number: ids, "d": list(d), "id": list(ids[p])})
+
+    for _ in range(directions):
+        way = rng.normal(size=len(features))
+        along = sum((F.coalesce(F.col(f).cast("double"), F.lit(0.0)) * float(w) for f, w in zip(features, way)), F.lit(0.0))
+        placed = global_position(df.select(number, *values, along.alias("_along")), ["_along", number])
+        for shift in (0, cell // 2):
+            cells = placed.withColumn("_cell", F.floor((F.col("_pos") + shift) / cell)).groupBy("_cell")
+            near = cells.applyInPandas(inside, f"{number} {kind}, d array<double>, id array<{kind}>")
+            near = near.select(number, F.arrays_zip("d", "id").alias("near"))
+            found = near if found is None else found.unionByName(near)
+    best = F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k)
+    return found.groupBy(number).agg(best.alias("near"))
+
+
+def outlier_factors(df: DataFrame, features: Sequence[str], number: str, k: int = 20, contamination: float = 0.05, name: str = "lof") -> DataFrame:
+    """Local outlier factor of every row against all rows, with neighbours from cells; no history is cut."""
+    near = durable(neighbours_by_cells(df, features, number, k))
+    reach = near.select(F.col(number).alias("id"), F.element_at("near", -1)["d"].alias("_reach"))
+    pairs = near.select(number, F.explode("near").alias("n")).select(number, "n.d", "n.id")
+    density = 1.0 / (F.avg(F.greatest("d", "_reach")) + 1e-10)
+    dense = durable(pairs.join(reach, "id").groupBy(number).agg(density.alias("_density")))
+    around = pairs.join(dense.withColumnRenamed(number, "id"), "id").groupBy(number).agg(F.avg("_density").alias("_around"))
+    factors = durable(around.join(dense, number).select(number, (F.col("_around") / F.col("_density")).alias("_factor")))
+    offset = factors.agg(F.percentile_approx(-F.col("_factor"), contamination, 100_000)).first()[0]
+    value = F.col("_factor")
+    scored = df.join(factors, number, "left").withColumn("_factor", F.coalesce("_factor", F.lit(1.0)))
+    return detection(scored, name, -value, clip((value - 1.0) / 2.0, 0, 1), F.coalesce(-value < F.lit(offset), F.lit(False))).drop("_factor")
+
+
 class OneClassBoundary:
     """One-class support vector machine with a Gaussian kernel, approximated by random cosine features.
 

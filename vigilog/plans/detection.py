@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ENSEMBLE_WEIGHTS
-from ..operators.detectors import common, density, forest, statistical
+from ..operators.detectors import density, forest, statistical
 from ..operators.features_local import FEATURES as LOCAL_FEATURES
 from ..operators.features_local import local_features
 from ..operators.threat import with_threat_level
@@ -23,7 +23,6 @@ def ensemble_detection(
     """
     weights = ENSEMBLE_WEIGHTS if weights is None else weights
     wanted = [name for name, weight in weights.items() if weight]
-    history = common.latest_rows(df, order, density.HISTORY_ROWS)
     out = df
     if "rolling" in wanted:
         out = statistical.rolling(out, order, features)
@@ -32,7 +31,7 @@ def ensemble_detection(
     if "autoencoder" in wanted:
         out = density.ReconstructionError(features).fit(df).transform(out)
     if "lof" in wanted:
-        out = density.LocalOutlierFactor(features).fit(history).transform(out)
+        out = density.outlier_factors(out, features, number)
     if "ocsvm" in wanted:
         out = density.OneClassBoundary(features).fit(df).transform(out)
     if "statistical" in wanted:
