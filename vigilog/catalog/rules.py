@@ -4,10 +4,9 @@ from pyspark.sql import functions as F
 
 from ..operators import rules as rul
 from ..operators.rules import SAMPLE_RULES
-from ..operators.threat import unified_scores
-from ..sources.logs import logs, scores
+from ..operators.threat import scores_by_row, unified_scores
+from ..sources.logs import SCORE_SQL, logs, scores
 from .registry import on_logs, query
-from ..sources.logs import SCORE_SQL
 
 _R1 = "event_category = 'authentication' AND event_outcome = 'failure' AND event_kind = 'info'"
 _R2 = "event_category = 'process' AND process_name IN ('cmd.exe', 'powershell.exe')"
@@ -50,6 +49,12 @@ def matches(df, keep=("doc_id",)):
 
 def threats(spark, sf, df=None):
     df = logs(spark, sf) if df is None else df
+    return scores_by_row(df, SAMPLE_RULES, F.expr(SCORE_SQL))
+
+
+def joined_threats(spark, sf):
+    """The form for matches and scores that come as tables."""
+    df = logs(spark, sf)
     detailed = rul.with_rule_details(matches(df), SAMPLE_RULES)
     return unified_scores(df, detailed.select("doc_id", "title", "level"), scores(logs(spark, sf)))
 
@@ -110,6 +115,11 @@ def _(spark, sf):
     return threats(spark, sf).select("doc_id", "rule_points", "ml_points", "threat_score")
 
 
+@query("thr2_unified_score_of_tables", on_threats("SELECT doc_id, rule_points, ml_points, threat_score FROM threats"))
+def _(spark, sf):
+    return joined_threats(spark, sf).select("doc_id", "rule_points", "ml_points", "threat_score")
+
+
 @query("thr3_scored_levels", on_threats("SELECT doc_id, threat_score, risk_level FROM threats"))
 def _(spark, sf):
     return threats(spark, sf).select("doc_id", "threat_score", "risk_level").orderBy(F.col("threat_score").desc(), "doc_id")

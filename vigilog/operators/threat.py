@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,9 @@ from ..functions.fields import field
 from ..functions.scalar import command_families, score_level
 from .lookup import left_with_default
 
+if TYPE_CHECKING:
+    from .rules import Rule
+
 
 def threat_level(df: DataFrame, anomaly: Column | None = None) -> Column:
     """Level of an event; the strongest reason is tested first."""
@@ -72,6 +78,17 @@ def explain_threat(rule_points: Column, titles: Column, points: Column, raw: Col
         F.lit("Flagged with score "), total.cast("string"), F.lit("/100 because the event "), reason, F.lit(".")))
 
 
+def scores_by_row(events: DataFrame, rules: Sequence[Rule], anomaly: Column, keep_zero: bool = False) -> DataFrame:
+    """The same fusion where rules are predicates and the score is a column: one scan, no join and no shuffle."""
+    hits = [rule.predicate(events) for rule in rules]
+    points = [F.when(hit, level_points(F.lit(rule.level))).otherwise(0) for hit, rule in zip(hits, rules)]
+    titles = F.array(*[F.when(hit, F.lit(rule.title)) for hit, rule in zip(hits, rules)])
+    return _fused(events.withColumns({
+        "rule_points": F.greatest(F.lit(0), *points), "rules": F.sort_array(F.array_distinct(F.array_compact(titles))),
+        "anomaly_score": anomaly, "ml_points": anomaly_points(anomaly),
+    }), keep_zero)
+
+
 def unified_scores(events: DataFrame, matches: DataFrame, anomaly: DataFrame, keep_zero: bool = False) -> DataFrame:
     """Fuse rule matches (doc_id, title, level) and anomaly scores (doc_id, anomaly_score) per event.
 
@@ -87,6 +104,11 @@ def unified_scores(events: DataFrame, matches: DataFrame, anomaly: DataFrame, ke
         "rules": F.coalesce("rules", F.array().cast("array<string>")),
         "ml_points": anomaly_points(F.col("anomaly_score")),
     })
+    return _fused(scored, keep_zero)
+
+
+def _fused(scored: DataFrame, keep_zero: bool) -> DataFrame:
+    """Total, level and explanation from the two kinds of points."""
     scored = scored.withColumn("threat_score", F.least(F.lit(100), F.col("rule_points") + F.col("ml_points")))
     scored = scored.withColumns({
         "risk_level": score_level(F.col("threat_score")),
