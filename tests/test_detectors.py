@@ -116,3 +116,27 @@ def test_scaled_forest_keeps_columns_and_range(frame):
     assert set(frame.columns) <= set(out.columns)
     with pytest.raises(ValueError):
         forest.ScaledForest(NAMES).fit(frame.limit(5), "id")
+
+
+def test_outlier_factors_see_the_oldest_rows(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3_000, 3))
+    x[0] = [9.0, -9.0, 9.0]
+    frame = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double")
+    near = {r.id: [n["_id"] for n in r.near] for r in density.neighbours_by_cells(frame, ["a", "b", "c"], "id", 10).collect()}
+    some = range(0, 3_000, 100)
+    _, exact = density.nearest(x[list(some)], x, 10, skip=np.array(list(some)))
+    recall = np.mean([len(set(near[i]) & set(p)) / 10 for i, p in zip(some, exact)])
+    assert recall >= 0.8, recall
+    out = {r.id: r.lof.raw for r in density.outlier_factors(frame, ["a", "b", "c"], "id", 10).collect()}
+    assert len(out) == 3_000 and min(out, key=out.get) == 0
+
+
+def test_nearest_of_all_is_exact_in_blocks(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(700, 4))
+    frame = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double, d double").repartition(5)
+    got = {r.id: r.far for r in density.nearest_of_all(frame.filter("id % 10 = 0"), frame, ["a", "b", "c", "d"], "id", 5, "far", block=30).collect()}
+    for i in range(0, 700, 10):
+        assert abs(np.sort(np.linalg.norm(x - x[i], axis=1))[4] - got[i]) < 1e-9
+    assert len(got) == 70

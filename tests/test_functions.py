@@ -70,3 +70,21 @@ def test_severity_and_levels(spark):
     df = spark.createDataFrame([("CRITICAL", 80.0), (None, 79.9), ("x", 20.0), ("debug", 19.9)], "s string, v double")
     got = df.select(scalar.severity_number(F.col("s")), scalar.score_level(F.col("v"))).collect()
     assert [tuple(r) for r in got] == [(4, "Critical"), (1, "High"), (1, "Low"), (-1, "Info")]
+
+
+def test_observed_types_reach_every_level(spark):
+    from vigilog.operators.flatten import observed_types
+
+    text = "1"
+    for name in reversed("abcdefghij"):
+        text = '{"%s": %s}' % (name, text)
+    df = spark.range(1).select(F.parse_json(F.lit(text)).alias("event"))
+    found = {r.field: r.type for r in observed_types(df, "event").collect()}
+    assert len(found) == 11 and found["event.a.b.c.d.e.f.g.h.i"] == "OBJECT" and "event.a.b.c.d.e.f.g.h.i.j" in found
+
+
+def test_long_keys_are_not_broadcast():
+    from vigilog.operators.lookup import KeyProfile
+
+    assert KeyProfile(10, {"k": 1_000}, {"k": 10}, {"k": 50}).few("k", 2_000)
+    assert not KeyProfile(10, {"k": 1_000}, {"k": 10}, {"k": 100_000}).few("k", 2_000)

@@ -144,7 +144,7 @@ class LocalOutlierFactor:
 def neighbours_by_cells(
     df: DataFrame, features: Sequence[str], number: str, k: int, directions: int = 3, cell: int = 1_000, seed: int = 42
 ) -> DataFrame:
-    """(number, near): the k nearest rows found for every row, as (d, id), nearest first.
+    """(number, near): the k nearest rows found for every row, as (_d, _id), nearest first.
 
     All rows are ordered along a few random directions; each order is cut into cells of ``cell`` rows twice, the second
     time half a cell on, and the neighbours inside a cell are exact. Rows near each other are near in every order, so
@@ -159,9 +159,9 @@ def neighbours_by_cells(
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, x = pdf[number].to_numpy(), pdf[list(features)].to_numpy(dtype=float)
         if len(x) < 2:
-            return pd.DataFrame({number: ids, "d": [[] for _ in ids], "id": [[] for _ in ids]})
+            return pd.DataFrame({number: ids, "_d": [[] for _ in ids], "_id": [[] for _ in ids]})
         d, p = nearest(x, x, min(k, len(x) - 1), skip=np.arange(len(x)))
-        return pd.DataFrame({number: ids, "d": list(d), "id": list(ids[p])})
+        return pd.DataFrame({number: ids, "_d": list(d), "_id": list(ids[p])})
 
     for _ in range(directions):
         way = rng.normal(size=len(features))
@@ -169,8 +169,8 @@ def neighbours_by_cells(
         placed = global_position(df.select(number, *values, along.alias("_along")), ["_along", number])
         for shift in (0, cell // 2):
             cells = placed.withColumn("_cell", F.floor((F.col("_pos") + shift) / cell)).groupBy("_cell")
-            near = cells.applyInPandas(inside, f"{number} {kind}, d array<double>, id array<{kind}>")
-            near = near.select(number, F.arrays_zip("d", "id").alias("near"))
+            near = cells.applyInPandas(inside, f"{number} {kind}, _d array<double>, _id array<{kind}>")
+            near = near.select(number, F.arrays_zip("_d", "_id").alias("near"))
             found = near if found is None else found.unionByName(near)
     best = F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k)
     return found.groupBy(number).agg(best.alias("near"))
@@ -179,11 +179,11 @@ def neighbours_by_cells(
 def outlier_factors(df: DataFrame, features: Sequence[str], number: str, k: int = 20, contamination: float = 0.05, name: str = "lof") -> DataFrame:
     """Local outlier factor of every row against all rows, with neighbours from cells; no history is cut."""
     near = durable(neighbours_by_cells(df, features, number, k))
-    reach = near.select(F.col(number).alias("id"), F.element_at("near", -1)["d"].alias("_reach"))
-    pairs = near.select(number, F.explode("near").alias("n")).select(number, "n.d", "n.id")
-    density = 1.0 / (F.avg(F.greatest("d", "_reach")) + 1e-10)
-    dense = durable(pairs.join(reach, "id").groupBy(number).agg(density.alias("_density")))
-    around = pairs.join(dense.withColumnRenamed(number, "id"), "id").groupBy(number).agg(F.avg("_density").alias("_around"))
+    reach = near.select(F.col(number).alias("_id"), F.element_at("near", -1)["_d"].alias("_reach"))
+    pairs = near.select(number, F.explode("near").alias("_n")).select(number, "_n._d", "_n._id")
+    density = 1.0 / (F.avg(F.greatest("_d", "_reach")) + 1e-10)
+    dense = durable(pairs.join(reach, "_id").groupBy(number).agg(density.alias("_density")))
+    around = pairs.join(dense.withColumnRenamed(number, "_id"), "_id").groupBy(number).agg(F.avg("_density").alias("_around"))
     factors = durable(around.join(dense, number).select(number, (F.col("_around") / F.col("_density")).alias("_factor")))
     offset = factors.agg(F.percentile_approx(-F.col("_factor"), contamination, 100_000)).first()[0]
     value = F.col("_factor")

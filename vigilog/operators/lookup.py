@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_KEYS = 200_000
+#: Most bytes of keys that are broadcast, by the longest key.
+BROADCAST_BYTES = 64 << 20
 HOT_PARTS = 1_000
 SPREAD = 4_096
 
@@ -32,14 +34,17 @@ def _names(key: str | Sequence[str]) -> list[str]:
 
 @dataclass(frozen=True)
 class KeyProfile:
-    """Row count, approximate number of keys and filled rows per key, measured in one pass."""
+    """Row count, approximate number of keys, filled rows and longest key (bytes) per key, measured in one pass."""
 
     rows: int
     keys: dict[str, int] = field(default_factory=dict)
     filled: dict[str, int] = field(default_factory=dict)
+    longest: dict[str, int] = field(default_factory=dict)
 
     def few(self, key: str | Sequence[str], limit: int) -> bool:
-        return self.keys[key_name(key)] <= limit
+        """Whether the keys are few and, even if all were as long as the longest, small."""
+        keys = self.keys[key_name(key)]
+        return keys <= limit and keys * self.longest.get(key_name(key), 0) <= BROADCAST_BYTES
 
 
 def profile_keys(df: DataFrame, keys: Sequence[str | Sequence[str]]) -> KeyProfile:
@@ -53,10 +58,12 @@ def profile_keys(df: DataFrame, keys: Sequence[str | Sequence[str]]) -> KeyProfi
         for name in names[1:]:
             known = known & F.col(name).isNotNull()
         sketches.append(F.count(F.when(known, 1)).alias(f"f{i}"))
+        sketches.append(F.max(sum((F.octet_length(F.col(n).cast("string")) for n in names[1:]), F.octet_length(F.col(names[0]).cast("string")))).alias(f"w{i}"))
     row = df.agg(F.count(F.lit(1)).alias("rows"), *sketches).first()
     return KeyProfile(
         row["rows"], {key_name(k): row[f"k{i}"] for i, k in enumerate(keys)},
         {key_name(k): row[f"f{i}"] for i, k in enumerate(keys)},
+        {key_name(k): row[f"w{i}"] or 0 for i, k in enumerate(keys)},
     )
 
 
