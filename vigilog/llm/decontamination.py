@@ -21,6 +21,8 @@ from .common import bind, stored
 SHINGLE, SIMILARITY_PERCENT, RADIUS, BLOCKS = 5, 80, 23, 8
 #: Shingles broadcast at once, about 40 bytes each.
 BROADCAST_SHINGLES = 500_000
+#: Leaking texts up to which their keys are broadcast, about 40 bytes each; more are joined by a shuffle.
+BROADCAST_LEAKS = 200_000
 
 
 def plain_words(text: Column) -> Column:
@@ -146,6 +148,7 @@ def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """``docs``, all columns, without the rows whose text repeats a benchmark item. Rows with null texts stay."""
     bad = stored(leaks(docs, bench).select("doc_id", "text_key").distinct(), "leaks")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_LEAKS else bad
     rows = docs.select(F.struct("*").alias("row"), F.md5(F.coalesce("text", F.lit(""))).alias("text_key"))
     kept = rows.join(bad, (rows["text_key"] == bad["text_key"]) & F.col("row.doc_id").eqNullSafe(bad["doc_id"]), "left_anti")
     return kept.select("row.*")
