@@ -11,10 +11,12 @@ def _words(table: str, key: str) -> str:
     return f"SELECT {key}, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {table}"
 
 
-LEAKS_SQL = f"""WITH docs AS ({_words('documents', 'doc_id')}), items AS ({_words('benchmark', 'item_id')}),
-item_parts AS (SELECT item_id, len(w) AS m, unnest({_PARTS}) AS s, generate_subscripts({_PARTS}, 1) AS p FROM items WHERE len(w) > 0),
-doc_parts AS (SELECT doc_id, len(w) AS n, unnest({_PARTS}) AS s, generate_subscripts({_PARTS}, 1) AS p FROM docs WHERE len(w) > 0),
-windows AS (SELECT DISTINCT d.doc_id, i.item_id, m, greatest(1, least(d.p - i.p + 1, n - m + 1)) AS first FROM doc_parts d JOIN item_parts i USING (s)),
+LEAKS_SQL = f"""WITH docs AS MATERIALIZED ({_words('documents', 'doc_id')}), items AS ({_words('benchmark', 'item_id')}),
+item_lists AS MATERIALIZED (SELECT item_id, len(w) AS m, {_PARTS} AS l FROM items WHERE len(w) > 0),
+doc_lists AS MATERIALIZED (SELECT doc_id, len(w) AS n, {_PARTS} AS l FROM docs WHERE len(w) > 0),
+item_parts AS (SELECT item_id, m, l[p] AS s, p FROM (SELECT item_id, m, l, unnest(range(1, len(l) + 1)) AS p FROM item_lists)),
+doc_parts AS (SELECT doc_id, n, unnest(l) AS s, unnest(range(1, len(l) + 1)) AS p FROM doc_lists),
+windows AS MATERIALIZED (SELECT DISTINCT d.doc_id, i.item_id, m, greatest(1, least(d.p - i.p + 1, n - m + 1)) AS first FROM doc_parts d JOIN item_parts i USING (s)),
 window_counts AS (SELECT w.doc_id, w.item_id, w.first, d.s, count(*) AS n FROM windows w JOIN doc_parts d ON d.doc_id = w.doc_id AND d.p BETWEEN w.first AND w.first + greatest(w.m - {SHINGLE}, 0) GROUP BY ALL),
 item_counts AS (SELECT item_id, s, count(*) AS n FROM item_parts GROUP BY ALL),
 sizes AS (SELECT item_id, sum(n) AS n FROM item_counts GROUP BY ALL),
