@@ -230,7 +230,9 @@ def removed_windows(docs: DataFrame, rows: DataFrame, size: int = WINDOW) -> tup
     ids = shared.select("doc_id").unionByName(shared.select(F.explode("table.owner").alias("doc_id"))).distinct()
     text = stored(_texts(docs).join(ids, "doc_id", "left_semi"), "texts")
     runs = stored(_runs(text.join(shared, "doc_id"), kind, size), "runs")
-    references = text.join(runs.select(F.col("owner").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("owner"), F.col("text").alias("reference"))
+    owned = text.join(runs.select(F.col("owner").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # Stored, so that the join below shuffles both sides and the runs of a hot owner can be split among tasks.
+    references = stored(owned.select(F.col("doc_id").alias("owner"), F.col("text").alias("reference")), "references")
     matched = stored(_matched(runs.join(references, "owner"), kind, size), "matched")
     rest = matched.select("doc_id", "copy", F.explode("rest").alias("r")).select("doc_id", "copy", "r.*")
     first = rest.groupBy("h", "k").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("largest")).where("least < largest").select("h", "k", "least")
