@@ -71,6 +71,26 @@ def test_trees_add_what_the_patterns_miss(spark):
     assert clean[1].text is None and clean[1].n_chars is None
 
 
+def test_taken_stretches():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        spans = [(0, int(a), int(a + n)) for a, n in zip(rng.integers(0, 60, 6), rng.integers(1, 8, 6))]
+        taken, asked = pii.Taken(spans[:3]), spans[:3]
+        for s in spans[3:]:
+            assert taken.overlaps(s) == any(o[1] < s[2] and s[1] < o[2] for o in asked)
+            if not taken.overlaps(s):
+                taken.add(s)
+                asked.append(s)
+
+
+def test_many_numbers_take_linear_time():
+    text = " ".join(f"10.{i % 256}.{i % 199}.7 4111111111111111 {i}" for i in range(20_000))
+    model = pii.SpanModel(pii.BoostedTrees(), [0.0] * 4)
+    base = pii.base_spans(text)
+    taken, added = pii.Taken(base), model.added([text], [base])[0]
+    assert len(base) >= 20_000 and added and not any(taken.overlaps(s) for s in added)
+
+
 def slow_removal(rows, size):
     first, got = {}, []
     for r in sorted((r for r in rows if r.doc_id is not None), key=lambda r: r.doc_id):
