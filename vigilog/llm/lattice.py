@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import stored
 from .token_counts import encoder
 
+_LN10 = math.log(10)
 HOT, HOT_BYTES = 1 << 18, 64
 #: Added to the count of each piece.
 SMOOTHING = 0.1
@@ -100,18 +102,27 @@ class Lattice:
         usable = {p: counts.get(i, 0) for i, p in enumerate(pieces) if p and b" " not in p[1:]}
         total = math.log10(sum(usable.values()) + ends + smoothing * (len(usable) + 1))
         self.score = {p: math.log10(n + smoothing) - total for p, n in usable.items()}
+        self.natural = {p: s * _LN10 for p, s in self.score.items()}
         self.end = math.log10(ends + smoothing) - total
         self.longest = max(map(len, self.score), default=1)
 
     def word(self, word: bytes) -> float:
         """Log10 of the summed probability of all segmentations of a space and the word."""
-        text, known = b" " + word, self.score
-        forward = [0.0]
-        for end in range(1, len(text) + 1):
-            paths = [forward[at] + known[p] for at in range(max(0, end - self.longest), end) if (p := text[at:end]) in known]
-            best = max(paths)
-            forward.append(best if len(paths) == 1 else best + math.log10(sum(10 ** (x - best) for x in paths)))
-        return forward[-1]
+        return next(self.words([word]))
+
+    def words(self, words: Iterable[bytes]) -> Iterator[float]:
+        """The value of each word. Words that begin like the one before share its recursion so far: sort them."""
+        known, longest, log, exp = self.natural, self.longest, math.log, math.exp
+        before, forward = b"", [0.0]
+        for word in words:
+            text = b" " + word
+            del forward[len(commonprefix((before, text))) + 1 :]
+            for end in range(len(forward), len(text) + 1):
+                paths = [forward[at] + known[p] for at in range(max(0, end - longest), end) if (p := text[at:end]) in known]
+                best = max(paths)
+                forward.append(best if len(paths) == 1 else best + log(sum([exp(x - best) for x in paths])))
+            before = text
+            yield forward[-1] / _LN10
 
 
 def scored_words(words: DataFrame, lattice: Lattice, size: float) -> DataFrame:
@@ -119,11 +130,11 @@ def scored_words(words: DataFrame, lattice: Lattice, size: float) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            value = [lattice.word(w.encode()) for w in batch.column(0).to_pylist()]
+            value = list(lattice.words(w.encode() for w in batch.column(0).to_pylist()))
             base = np.log10((batch.column(1).to_numpy() + 1) / size)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base), pa.array(value, pa.float64())], ["word", "c", "base", "value"])
 
-    return words.select("word", "c").mapInArrow(score, "word string, c long, base double, value double")
+    return words.select("word", "c").sortWithinPartitions("word").mapInArrow(score, "word string, c long, base double, value double")
 
 
 def scores(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
