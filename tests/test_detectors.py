@@ -132,6 +132,21 @@ def test_outlier_factors_see_the_oldest_rows(spark):
     assert len(out) == 3_000 and min(out, key=out.get) == 0
 
 
+def test_neighbours_of_many_features_are_exact_beyond_a_cell(spark):
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(6_000, 19)) * rng.uniform(0.1, 2.0, 19), 1)
+    x[:60] = x[0]  # more equal rows than neighbours
+    names = [f"f{i}" for i in range(19)]
+    frame = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, " + ", ".join(f"{f} double" for f in names))
+    near = {r.id: r.near for r in density.neighbours_by_cells(frame, names, "id", 20, cell=300).collect()}
+    some = np.arange(0, 6_000, 50)
+    exact, _ = density.nearest(x[some], x, 20, skip=some)
+    assert len(near) == 6_000
+    for i, d in zip(some, exact):
+        assert np.allclose([n["_d"] for n in near[i]], d) and i not in {n["_id"] for n in near[i]}
+        assert len({n["_id"] for n in near[i]}) == 20
+
+
 def test_nearest_of_all_is_exact_in_blocks(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(700, 4))

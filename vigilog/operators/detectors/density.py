@@ -16,6 +16,10 @@ from .common import as_matrix, collect_matrix, detection
 
 HISTORY_ROWS = 5_000
 _ROWS_AT_ONCE = 512
+#: Cells of the neighbour search at most, and rows of the sample for each; their boxes are broadcast.
+MAX_CELLS, _SAMPLE_ROWS = 16_384, 32
+#: Rows beyond which a cell, and asking rows beyond which the asking of a cell, are cut into parts.
+_CELL_ROWS, _ASKED_ROWS = 10_000, 50_000
 
 
 def nearest(x: np.ndarray, history: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -141,43 +145,136 @@ class LocalOutlierFactor:
         return detection(scored, name, -value, clip((value - 1.0) / 2.0, 0, 1), -value < self.offset).drop("_factor")
 
 
-def neighbours_by_cells(
-    df: DataFrame, features: Sequence[str], number: str, k: int, directions: int = 3, cell: int = 1_000, seed: int = 42
-) -> DataFrame:
-    """(number, near): the k nearest rows found for every row, as (_d, _id), nearest first.
-
-    All rows are ordered along a few random directions; each order is cut into cells of ``cell`` rows twice, the second
-    time half a cell on, and the neighbours inside a cell are exact. Rows near each other are near in every order, so
-    they meet in most cells; the best of all cells are kept. Equal or crowded rows fill more cells, never a larger one.
+class CellTree:
+    """Median splits along the widest feature, learned from a sample: deals rows into cells of near rows."""
+
+    def __init__(self, x: np.ndarray, leaf: int):
+        self.feature, self.threshold, self.child, self.leaves = [], [], [], 0
+        self._split(x, leaf)
+
+    def _split(self, x: np.ndarray, leaf: int) -> int:
+        at = len(self.feature)
+        self.feature.append(-1)
+        self.threshold.append(0.0)
+        self.child.append((-1, -1))
+        if len(x) > leaf:
+            for f in np.argsort(-x.var(axis=0)):
+                cut = float(np.median(x[:, f]))
+                if not (x[:, f] > cut).any():
+                    lower = x[x[:, f] < cut, f]
+                    if not len(lower):
+                        continue
+                    cut = float(lower.max())
+                inner = x[:, f] <= cut
+                self.feature[at], self.threshold[at] = int(f), cut
+                self.child[at] = (self._split(x[inner], leaf), self._split(x[~inner], leaf))
+                return at
+        self.child[at] = (self.leaves, -1)
+        self.leaves += 1
+        return at
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        out, stack = np.zeros(len(x), np.int64), [(0, np.arange(len(x)))]
+        while stack:
+            node, rows = stack.pop()
+            inner, outer = self.child[node]
+            if self.feature[node] < 0:
+                out[rows] = inner
+                continue
+            low = x[rows, self.feature[node]] <= self.threshold[node]
+            stack += [(inner, rows[low]), (outer, rows[~low])]
+        return out
+
+
+def neighbours_by_cells(df: DataFrame, features: Sequence[str], number: str, k: int, cell: int = 2_000) -> DataFrame:
+    """(number, near): the k nearest of all rows for every row, as (_d, _id), nearest first. Exact.
+
+    A tree of median splits deals the rows into cells of about ``cell`` rows. The k-th distance inside a row's own cell
+    bounds the search: the row also asks each other cell whose bounding box is nearer than that, so no neighbour is
+    lost. The tree is learned from a sample, which decides only who is dealt where. Cells that stay large (equal rows,
+    very large tables) are cut by a row hash, each part with a box of its own; cells asked often are asked in parts.
     """
-    from ..ordered import global_position
+    kind, names = df.schema[number].dataType.simpleString(), list(features)
+    values = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in names]
+    fixed = durable(df.select(number, *values))
+    total, spark = fixed.count(), df.sparkSession
+    near_type = f"array<struct<_d:double,_id:{kind}>>"
+    wanted = min(-(-total // cell), MAX_CELLS)
+    each = max(1, total // max(wanted * _SAMPLE_ROWS, 1))
+    row_hash = F.xxhash64(F.lit("cells"), number)
+    tree = CellTree(collect_matrix(fixed.where(F.pmod(row_hash, F.lit(each)) == 0), names), -(-total // (wanted * each)) if wanted else 1)
+    shared_tree = spark.sparkContext.broadcast(tree)
+
+    @F.pandas_udf("long")
+    def leaf(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in parts:
+            yield pd.Series(shared_tree.value.cells(as_matrix(columns)))
 
-    kind = df.schema[number].dataType.simpleString()
-    values = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]
-    rng, found = np.random.default_rng(seed), None
+    def dealt(rows: DataFrame, by: str, most: int) -> DataFrame:
+        """The number of parts of at most about ``most`` rows, by the column."""
+        return F.broadcast(rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / most).alias("_parts")))
+
+    part = F.pmod(row_hash, F.col("_parts"))
+    leaves = durable(fixed.withColumn("_leaf", leaf(*names)))
+    placed = durable(leaves.join(dealt(leaves, "_leaf", _CELL_ROWS), "_leaf").withColumn("_cell", F.col("_leaf") * (1 << 32) + part).drop("_leaf", "_parts"))
+
+    def pairs(d: np.ndarray, ids: np.ndarray, below: np.ndarray) -> list[list[dict]]:
+        return [[{"_d": a, "_id": b} for a, b in zip(x[x < m].tolist(), i[x < m].tolist())] for x, i, m in zip(d, ids, below)]
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = pdf[number].to_numpy(), pdf[list(features)].to_numpy(dtype=float)
-        if len(x) < 2:
-            return pd.DataFrame({number: ids, "_d": [[] for _ in ids], "_id": [[] for _ in ids]})
-        d, p = nearest(x, x, min(k, len(x) - 1), skip=np.arange(len(x)))
-        return pd.DataFrame({number: ids, "_d": list(d), "_id": list(ids[p])})
-
-    for _ in range(directions):
-        way = rng.normal(size=len(features))
-        along = sum((F.coalesce(F.col(f).cast("double"), F.lit(0.0)) * float(w) for f, w in zip(features, way)), F.lit(0.0))
-        placed = global_position(df.select(number, *values, along.alias("_along")), ["_along", number])
-        for shift in (0, cell // 2):
-            cells = placed.withColumn("_cell", F.floor((F.col("_pos") + shift) / cell)).groupBy("_cell")
-            near = cells.applyInPandas(inside, f"{number} {kind}, _d array<double>, _id array<{kind}>")
-            near = near.select(number, F.arrays_zip("_d", "_id").alias("near"))
-            found = near if found is None else found.unionByName(near)
-    best = F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k)
-    return found.groupBy(number).agg(best.alias("near"))
+        ids, x = pdf[number].to_numpy(), pdf[names].to_numpy(dtype=float)
+        out = pdf[[number, "_cell", *names]].assign(_bound=np.inf, near=[[] for _ in ids])
+        if len(x) > 1:
+            d, p = nearest(x, x, min(k, len(x) - 1), skip=np.arange(len(x)))
+            out["near"] = pairs(d, ids[p], np.full(len(x), np.inf))
+            if d.shape[1] == k:
+                out["_bound"] = d[:, -1]
+        return out
+
+    columns = ", ".join(f"{f} double" for f in names)
+    own = durable(placed.groupBy("_cell").applyInPandas(inside, f"{number} {kind}, _cell long, {columns}, _bound double, near {near_type}"))
+    boxes = placed.groupBy("_cell").agg(*[F.min(f).alias(f"l{i}") for i, f in enumerate(names)], *[F.max(f).alias(f"h{i}") for i, f in enumerate(names)]).toPandas()
+    if len(boxes) < 2:
+        return own.select(number, "near")
+    n = len(names)
+    shared = spark.sparkContext.broadcast((boxes["_cell"].to_numpy(), boxes.iloc[:, 1:1 + n].to_numpy(dtype=float), boxes.iloc[:, 1 + n:].to_numpy(dtype=float)))
+
+    def asking(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells, low, high = shared.value
+        at_once = max(1, 4_000_000 // len(cells))
+        for whole in parts:
+            for start in range(0, len(whole), at_once):
+                pdf = whole.iloc[start:start + at_once]
+                x, square = pdf[names].to_numpy(dtype=float), np.zeros((len(pdf), len(cells)))
+                for f in range(n):
+                    square += np.maximum(0.0, np.maximum(low[:, f] - x[:, f, None], x[:, f, None] - high[:, f])) ** 2
+                # A little wider than the bound, against rounding.
+                rows, hit = np.nonzero((np.sqrt(square) < (pdf["_bound"].to_numpy() * (1 + 1e-9))[:, None]) & (cells != pdf["_cell"].to_numpy()[:, None]))
+                yield pdf.iloc[rows][[number, *names, "_bound"]].assign(_cell=cells[hit])
+
+    asked = durable(own.drop("near").mapInPandas(asking, f"{number} {kind}, {columns}, _bound double, _cell long"))
+    # One row a cell; made twice, so that the two sides have no column in common.
+    counts = dealt(asked, "_cell", _ASKED_ROWS).toPandas()
+    left, right = (rows.join(F.broadcast(spark.createDataFrame(counts, "_cell long, _parts long")), "_cell") for rows in (asked, placed))
+    left = left.withColumn("_part", part).drop("_parts")
+    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+
+    def others(one: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(one) or not len(rows):
+            return pd.DataFrame({number: one[number].iloc[:0], "near": []})
+        x, ids = rows[names].to_numpy(dtype=float), rows[number].to_numpy()
+        d, p = nearest(one[names].to_numpy(dtype=float), x, min(k, len(x)))
+        near = pairs(d, ids[p], one["_bound"].to_numpy())
+        some = np.array([bool(m) for m in near])
+        return pd.DataFrame({number: one[number].to_numpy()[some], "near": [m for m in near if m]})
+
+    more = left.groupBy("_cell", "_part").cogroup(right.groupBy("_cell", "_part")).applyInPandas(others, f"{number} {kind}, near {near_type}")
+    found = own.select(number, "near").unionByName(more)
+    return found.groupBy(number).agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
 
 
 def outlier_factors(df: DataFrame, features: Sequence[str], number: str, k: int = 20, contamination: float = 0.05, name: str = "lof") -> DataFrame:
-    """Local outlier factor of every row against all rows, with neighbours from cells; no history is cut."""
+    """Local outlier factor of every row against all rows, with the exact neighbours; no history is cut."""
     near = durable(neighbours_by_cells(df, features, number, k))
     reach = near.select(F.col(number).alias("_id"), F.element_at("near", -1)["_d"].alias("_reach"))
     pairs = near.select(number, F.explode("near").alias("_n")).select(number, "_n._d", "_n._id")
