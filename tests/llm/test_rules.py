@@ -61,6 +61,31 @@ def test_leaks_and_clean_texts(spark, edges, nothing):
     assert same.columns == edges.columns and same.count() == edges.count()
 
 
+def test_leaks_at_every_window_start(spark):
+    def parts(words):
+        return [" ".join(words[i : i + 5]) for i in range(len(words) - 4)]
+
+    def similarity(one, other):
+        shared = sum(min(one.count(x), other.count(x)) for x in set(one))
+        return shared / (len(one) + len(other) - shared)
+
+    item = [f"w{i}" for i in range(60)]
+    other = [f"v{i % 17}" for i in range(44)]
+    before, after = [f"b{i}" for i in range(100)], [f"a{i}" for i in range(100)]
+    pieces = [item[30:] + item[:30], item[20:40] + item[:20] + item[40:], item[35:] + item[:30], item[:50] + before[:10], other[22:] + other[:22], item[40:]]
+    texts = [w for p in pieces for w in (before + p + after, p, before + p, p + after)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other))], "item_id long, text string")
+    want = {}
+    for i, words in enumerate(texts):
+        for j, x in ((1, item), (2, other)):
+            best = max(similarity(parts(words[s : s + len(x)]), parts(x)) for s in range(max(0, len(words) - len(x)) + 1))
+            if best >= 0.8:
+                want[i, j] = round(best, 9)
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontamination.leaks(docs, bench).collect()} == want
+    assert (0, 1) in want
+
+
 def test_blocks_of_the_benchmark_change_nothing(docs, spark, sf, monkeypatch):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     whole = set(map(tuple, decontamination.leaks(docs, bench).collect()))

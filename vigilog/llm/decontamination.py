@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index search, exact weighted-shingle similarity.
 
-A window of a document is as long as a benchmark item, in words. Only windows that hold a shingle of an item, at the
-place it has in the item, are built: a window that is similar to an item shares shingles with it, so none is lost. Each
+A window of a document is as long as a benchmark item, in words, and may begin at any word. A window and an item of a and
+b shingles can only reach the similarity if they share ``percent * (a + b) / (100 + percent)`` of them, so windows with
+fewer places of shingles of items of that length are not built; in whatever order the shingles stand, none is lost. Each
 window and each item has a 64-bit SimHash of its shingles, counted as often as they occur. The index has each item's
 eight 8-bit blocks with all keys within ``radius // 8`` bits; two fingerprints within ``radius`` bits agree with the
 other's key in at least one block, so the search finds all of them. Every candidate is then compared exactly: shared
@@ -75,30 +76,55 @@ def item_table(bench: DataFrame) -> DataFrame:
     )
 
 
-def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n_words, start, parts): the distinct item-sized windows that hold a shingle of an item."""
+def _starts(places: Column, n: Column, n_words: Column, percent: int) -> Column:
+    """The starts of all windows with as many of the sorted ``places`` (of shingles) as the similarity takes."""
+    size = F.least(n_words, F.lit(SHINGLE))
+    wide, whole = F.least(n, n_words) - size + 1, n_words - size + 1
+    need = F.ceil(percent * (wide + whole) / (100 + percent) - 1e-9).cast("int")
+
+    def between(i: Column) -> Column:
+        """Windows that hold the i-th place and the ``need - 1`` next."""
+        first = F.greatest(F.lit(0), F.get(places, i + need - 1) - wide + 1)
+        last = F.least(F.get(places, i), F.greatest(F.lit(0), n - n_words))
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    return F.array_distinct(F.flatten(F.transform(_positions(F.size(places) - need + 1), between)))
+
+
+def windows(docs: DataFrame, items: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
+    """(doc_id, text_key, n_words, start, parts): the distinct item-sized windows with enough shingles of items."""
     sizes = [r[0] for r in items.select(F.least("n_words", F.lit(SHINGLE))).distinct().collect()]
-    rows = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), plain_words(F.col("text")).alias("words"))
+    rows = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+    texts = rows.select("text_key", plain_words(F.col("text")).alias("words"))
     found = None
     for size in sorted(sizes):
         own = items.where((F.col("n_words") == size) if size < SHINGLE else (F.col("n_words") >= size))
-        anchors = own.select("n_words", F.posexplode(shingle_keys(F.col("words"), size)).alias("at", "key")).distinct()
-        anchors = stored(anchors.groupBy("key").agg(F.collect_set(F.struct("at", "n_words")).alias("places")), "anchors")
+        anchors = own.select("n_words", F.explode(shingle_keys(F.col("words"), size)).alias("key")).distinct()
+        anchors = stored(anchors.groupBy("key").agg(F.collect_set("n_words").alias("lengths")), "anchors")
         blocks = -(-anchors.count() // BROADCAST_SHINGLES)
         for block in range(blocks):
             part = anchors.where(F.expr(f"pmod(xxhash64(key), {blocks})") == block) if blocks > 1 else anchors
             hits = (
-                rows.select("doc_id", "text_key", "words", F.posexplode(shingle_keys(F.col("words"), size)).alias("pos", "key"))
+                texts.select("text_key", F.size("words").alias("n"), F.posexplode(shingle_keys(F.col("words"), size)).alias("pos", "key"))
                 .join(F.broadcast(part), "key")
-                .select("doc_id", "text_key", "words", "pos", F.explode("places").alias("place"))
-                .select("doc_id", "text_key", "words", F.col("place.n_words").alias("n_words"), (F.col("pos") - F.col("place.at")).alias("first"))
-                .withColumn("start", F.greatest(F.lit(0), F.least(F.col("first"), F.size("words") - F.col("n_words"))))
-                .select("doc_id", "text_key", "n_words", "start", F.slice("words", F.col("start") + 1, F.col("n_words")).alias("words"))
+                .select("text_key", "n", "pos", F.explode("lengths").alias("n_words"))
             )
             found = hits if found is None else found.unionByName(hits)
     if found is None:
-        found = rows.where(F.lit(False)).select("doc_id", "text_key", F.lit(0).alias("n_words"), F.lit(0).alias("start"), "words")
-    return found.distinct().select("doc_id", "text_key", "n_words", "start", shingles(F.col("words")).alias("parts"))
+        return rows.select("doc_id", "text_key", F.lit(0).alias("n_words"), F.lit(0).alias("start"), F.array().cast("array<string>").alias("parts")).limit(0)
+    # Equal texts have the same windows, so these are found once a text.
+    places = found.groupBy("text_key", "n", "n_words").agg(F.array_sort(F.collect_set("pos")).alias("places"))
+    starts = places.select("text_key", "n_words", _starts(F.col("places"), F.col("n"), F.col("n_words"), percent).alias("starts")).where(F.size("starts") > 0)
+    starts = stored(starts.groupBy("text_key").agg(F.collect_list(F.struct("n_words", "starts")).alias("lengths")), "starts")
+    size = starts.agg(F.count(F.lit(1)), F.sum(F.aggregate("lengths", F.lit(0), lambda k, x: k + F.size(x["starts"])))).first()
+    starts = F.broadcast(starts) if max(size[0], (size[1] or 0) // 8) <= BROADCAST_LEAKS else starts
+    cut = (
+        rows.join(starts, "text_key")
+        .select("doc_id", "text_key", plain_words(F.col("text")).alias("words"), F.explode("lengths").alias("length"))
+        .select("doc_id", "text_key", "words", F.col("length.n_words").alias("n_words"), F.explode("length.starts").alias("start"))
+        .select("doc_id", "text_key", "n_words", "start", F.slice("words", F.col("start") + 1, F.col("n_words")).alias("words"))
+    )
+    return cut.distinct().select("doc_id", "text_key", "n_words", "start", shingles(F.col("words")).alias("parts"))
 
 
 def candidates(found: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
