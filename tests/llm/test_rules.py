@@ -106,6 +106,25 @@ def test_licence_sentences(edges, nothing):
     assert licences.licence_scan(nothing).count() == 0
 
 
+def test_licences_in_prose_headers_and_spdx_lines():
+    bsd = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+    1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+    2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+       documentation and/or other materials provided with the distribution.\n"""
+    names = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    free = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    for text, want in (
+        ("This project is licensed under the MIT License.", ["MIT"]), ("This software is licensed under the MIT License - see LICENSE for more", ["MIT"]),
+        ("This code is not licensed under the MIT License.", []), ("The code is released under the Apache License, Version 2.0.", ["Apache-2.0"]),
+        ("// SPDX-License-Identifier: MIT", ["MIT"]), ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-2-Clause */", ["GPL-2.0-only", "BSD-2-Clause"]),
+        (free.format("program", "General Public License", "2"), ["GPL-2.0-or-later"]), (free.format("library", "Lesser General Public License", "2.1"), ["LGPL-2.1-or-later"]),
+        (free.format("program", "Affero General Public License", "3"), ["AGPL-3.0-or-later"]), ("The program is distributed under the GNU GPL v3 or later, as it was.", ["GPL-3.0-or-later"]),
+        (bsd, ["BSD-2-Clause"]), (bsd + names, ["BSD-3-Clause"]),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ["ISC"]),
+    ):
+        assert licences.licences([n for _, _, n in licences.known_sentences(text)]) == want, text
+
+
 def test_licences_of_the_documents(docs, con):
     got = {(r.doc_id, x) for r in licences.licence_scan(docs).collect() for x in r.licences.split(",") if x}
     lines = {

@@ -1,7 +1,9 @@
 """Licence recognition by sentence rules.
 
 A text is read as normalised words; sentences begin after sentence marks and line breaks. At each beginning the longest
-known licence sentence gives its identifier, if it also ends at an end (a sentence may run over line breaks). The
+known licence sentence gives its identifier, if it also ends at an end (a sentence may run over line breaks). Short grants
+("released under the MIT license") may stand after a subject ("this project is") and go on after the licence's name. An
+SPDX line gives an identifier for each licence of its expression. The
 identifiers of a text, in order, are then matched against an ordered list of rules: the first rule whose identifiers
 stand there in a row gives its licence and uses them up. Copyright lines are known too but stand in no one's way.
 
@@ -43,11 +45,66 @@ SENTENCES = {
     "cc0-short": ["released under cc0 1.0", "licensed under cc0 1.0", "this work is dedicated to the public domain"],
     "reserved": ["all rights reserved"],
 }
+_FREE = "this {0} is free software you can redistribute it and or modify it under the terms of the gnu {1} as published by the free software foundation either version {2} of the license or at your option any later version"
+_THINGS = ("program", "library", "software", "file")
+for _name, _text in (
+    ("gpl2-free", (_FREE, "general public license", "2")), ("gpl-free", (_FREE, "general public license", "3")),
+    ("lgpl21-free", (_FREE, "lesser general public license", "2.1")), ("lgpl3-free", (_FREE, "lesser general public license", "3")),
+    ("agpl3-free", (_FREE, "affero general public license", "3")),
+    ("gpl2-only-free", ("this {0} is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",)),
+    ("gpl-hope", ("this {0} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",)),
+):
+    SENTENCES.setdefault(_name, []).extend(_text[0].format(thing, *_text[1:]) for thing in _THINGS)
+SENTENCES |= {
+    "lgpl-see": ["see the gnu lesser general public license for more details"],
+    "agpl-see": ["see the gnu affero general public license for more details"],
+    "mit-liability": ["in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"],
+    "bsd-source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
+    "bsd-binary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
+    "bsd-names": [f"neither the name of the copyright {x} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission" for x in ("holder", "owner")],
+    "bsd-as-is": ["this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"],
+    "bsd-liability": [f"in no event shall the copyright {x} or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage" for x in ("holder", "holders", "owner")],
+    "isc-grant": [f"permission to use copy modify and {x}distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies" for x in ("or ", "")],
+    "isc-as-is": ["the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"],
+    "isc-liability": ["in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"],
+}
+
+
+def _gnu(long: str, short: str, number: str) -> list[str]:
+    """The ways to name a version of a GNU licence."""
+    return [f"{g}{long} {v}" for g in ("gnu ", "") for v in (f"version {number}", f"v{number}", number)] + [
+        f"{g}{short}{v}" for g in ("gnu ", "") for v in (f" version {number}", f" v{number}", f"v{number}", f"-{number}", f" {number}")]
+
+
+# Names of licences in short grants, by identifier.
+NAMES = {
+    "mit-short": ["mit license", "mit licence"], "isc-short": ["isc license"],
+    "apache-short": ["apache license version 2.0", "apache license 2.0", "apache license v2.0", "apache 2.0", "apache-2.0"],
+    "bsd-short": ["bsd license", "bsd 3-clause license", "3-clause bsd license", "bsd-3-clause license"],
+    "bsd2-short": ["bsd 2-clause license", "2-clause bsd license", "bsd-2-clause license", "simplified bsd license"],
+    "mpl-short": ["mozilla public license version 2.0", "mozilla public license 2.0", "mozilla public license v2.0", "mpl 2.0"],
+    "cc-by-short": ["cc by 4.0", "cc-by-4.0", "creative commons attribution 4.0 international license"],
+    "cc-by-sa-short": ["cc by-sa 4.0", "cc-by-sa-4.0", "creative commons attribution-sharealike 4.0 international license"],
+    "cc-by-nc-short": ["cc by-nc 4.0", "cc-by-nc-4.0", "creative commons attribution-noncommercial 4.0 international license"],
+    "cc-by-nc-nd-short": ["cc by-nc-nd 4.0", "cc-by-nc-nd-4.0"], "cc0-short": ["cc0 1.0", "cc0-1.0"],
+}
+for _family, _long, _short, _numbers in (
+    ("gpl2", "general public license", "gpl", ("2", "2.0")), ("gpl3", "general public license", "gpl", ("3", "3.0")),
+    ("lgpl21", "lesser general public license", "lgpl", ("2.1",)), ("lgpl3", "lesser general public license", "lgpl", ("3", "3.0")),
+    ("agpl3", "affero general public license", "agpl", ("3", "3.0")),
+):
+    _only = [x for n in _numbers for x in _gnu(_long, _short, n)]
+    NAMES[f"{_family}-short"] = _only
+    NAMES[f"{_family}-later"] = [f"{x} or {y}" for x in _only for y in ("later", "any later version", "newer", "at your option any later version", "at your option later")] + [f"{x}-or-later" for x in _only]
+SUBJECTS = frozenset("project code software program library work package repository source file files module application tool documentation data dataset".split())
+GRANTS = ("licensed", "released", "distributed", "published", "available", "provided")
 # Rules in the order in which they are tried.
 RULES = [
     ("Apache-2.0", ["apache-head", "apache-may-not", "apache-copy", "apache-as-is", "apache-see"]),
     ("Apache-2.0", ["apache-head", "apache-may-not"]),
     ("Apache-2.0", ["apache-short"]),
+    ("MIT", ["mit-short", "mit-grant", "mit-notice", "as-is", "mit-liability"]),
+    ("MIT", ["mit-grant", "mit-notice", "as-is", "mit-liability"]),
     ("MIT", ["mit-short", "mit-grant", "mit-notice", "as-is"]),
     ("MIT", ["mit-grant", "mit-notice", "as-is"]),
     ("MIT", ["mit-grant", "mit-notice"]),
@@ -57,6 +114,32 @@ RULES = [
     ("GPL-3.0-only", ["gpl3-short"]),
     ("GPL-2.0-only", ["gpl2-short"]),
     ("BSD-3-Clause", ["bsd-short"]),
+    ("GPL-3.0-or-later", ["gpl3-later"]),
+    ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope", "gpl-see"]),
+    ("GPL-2.0-or-later", ["gpl2-free"]),
+    ("GPL-2.0-or-later", ["gpl2-later"]),
+    ("GPL-2.0-only", ["gpl2-only-free", "gpl-hope", "gpl-see"]),
+    ("GPL-2.0-only", ["gpl2-only-free"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free", "gpl-hope", "lgpl-see"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free"]),
+    ("LGPL-2.1-or-later", ["lgpl21-later"]),
+    ("LGPL-2.1-only", ["lgpl21-short"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free", "gpl-hope", "lgpl-see"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free"]),
+    ("LGPL-3.0-or-later", ["lgpl3-later"]),
+    ("LGPL-3.0-only", ["lgpl3-short"]),
+    ("AGPL-3.0-or-later", ["agpl3-free", "gpl-hope", "agpl-see"]),
+    ("AGPL-3.0-or-later", ["agpl3-free"]),
+    ("AGPL-3.0-or-later", ["agpl3-later"]),
+    ("AGPL-3.0-only", ["agpl3-short"]),
+    ("ISC", ["isc-grant", "isc-as-is", "isc-liability"]),
+    ("ISC", ["isc-grant"]),
+    ("ISC", ["isc-short"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is", "bsd-liability"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-liability"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("BSD-2-Clause", ["bsd2-short"]),
     ("BSD", ["bsd-grant"]),
     ("MPL-2.0", ["mpl-short"]),
     ("CC-BY-NC-ND-4.0", ["cc-by-nc-nd-short"]),
@@ -70,19 +153,26 @@ RULES = [
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
 _BREAK = re.compile(r"[.!?;:\n]")
 #: A known sentence or copyright line has one of these; other texts need no reading.
-_SIGN = re.compile(r"licen[cs]e|copyright|permission|rights reserved|public domain|redistribut|warrant|©|\(c\)|cc0|gpl|free software", re.IGNORECASE)
+_SIGN = re.compile(r"licen[cs]e|copyright|permission|rights reserved|public domain|redistribut|warrant|©|\(c\)|cc0|gpl|free software|apache|cc.by|no event|spdx", re.IGNORECASE)
 _COPYRIGHT = re.compile(r"(?:copyright|©|\(c\))[^\n]{0,20}?(?:19|20)[0-9]{2}", re.IGNORECASE)
 
 
+#: SPDX lines: licences joined by AND, OR and WITH (an exception), with brackets.
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*((?:\([ \t]*)*[A-Za-z0-9.+-]+(?:[ \t)]+(?:AND|OR|WITH)[ \t(]+[A-Za-z0-9.+-]+)*)", re.IGNORECASE)
+_SPDX_PART = re.compile(r"(WITH[ \t(]+)?(?<![A-Za-z0-9.+-])(?!(?:AND|OR|WITH)\b)([A-Za-z0-9][A-Za-z0-9.+-]*)", re.IGNORECASE)
+
+
 def _tree() -> tuple[dict, frozenset[str]]:
-    """The known sentences as nested words; None leads to the identifier."""
+    """The known sentences and grants as nested words; None leads to the identifier and whether it is a grant."""
     root: dict = {}
-    for name, texts in SENTENCES.items():
-        for text in texts:
-            node = root
-            for word in text.split():
-                node = node.setdefault(word, {})
-            node[None] = name
+    grants = {k: [f"{g} under {t}{x}" for g in GRANTS for t in ("the ", "a ", "") for x in names] for k, names in NAMES.items()}
+    for table in (SENTENCES, grants):
+        for name, texts in table.items():
+            for text in texts:
+                node = root
+                for word in text.split():
+                    node = node.setdefault(word, {})
+                node[None] = (name, table is grants)
     return root, frozenset(root)
 
 
@@ -90,7 +180,7 @@ _ROOT, _FIRST = _tree()
 
 
 def known_sentences(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, identifier) of the licence sentences of a text, in order."""
+    """(start, end, identifier) of the licence sentences, grants and SPDX licences of a text, in order."""
     if not _SIGN.search(text):
         return []
     words = list(_WORD.finditer(text))
@@ -98,19 +188,26 @@ def known_sentences(text: str) -> list[tuple[int, int, str]]:
     while at < len(words):
         if at:
             begins = bool(_BREAK.search(text, words[at - 1].end(), words[at].start()))
-        longest = None
-        if begins and words[at][0].lower() in _FIRST:
-            node, i = _ROOT, at
+        longest, skipped = None, 0
+        if begins and words[at][0].lower() in ("this", "the"):
+            first = [w[0].lower() for w in words[at : at + 3]]
+            skipped = 3 if first[1:2] and first[1] in SUBJECTS and first[2:] in (["is"], ["are"]) else 0
+        for skip in (0, skipped) if skipped else (0,) if begins and words[at][0].lower() in _FIRST else ():
+            node, i = _ROOT, at + skip
             while i < len(words) and (node := node.get(words[i][0].lower())):
                 i += 1
-                ends = i == len(words) or _BREAK.search(text, words[i - 1].end(), words[i].start())
-                if ends and None in node:
-                    longest = (i, node[None])
+                if None in node:
+                    name, grant = node[None]
+                    ends = i == len(words) or _BREAK.search(text, words[i - 1].end(), words[i].start())
+                    if grant or (ends and not skip):
+                        longest = max(longest or (0, ""), (i, name))
         if longest:
             out.append((words[at].start(), words[longest[0] - 1].end(), longest[1]))
             at = longest[0]
         else:
             at += 1
+    named = [(m.start(1) + p.start(2), m.start(1) + p.end(2), f"spdx:{p[2]}") for m in _SPDX.finditer(text) for p in _SPDX_PART.finditer(m[1]) if not p[1]]
+    out += [x for x in named if not any(a < x[1] and x[0] < b for a, b, _ in out)]
     inside = [(m.start(), m.end(), "copyright") for m in _COPYRIGHT.finditer(text)]
     return sorted(out + [c for c in inside if not any(a < c[1] and c[0] < b for a, b, _ in out)])
 
@@ -120,6 +217,10 @@ def licences(identifiers: list[str]) -> list[str]:
     row = [x for x in identifiers if x != "copyright"]
     out, at = [], 0
     while at < len(row):
+        if row[at].startswith("spdx:"):
+            out.append(row[at][5:])
+            at += 1
+            continue
         name, used = next(((n, len(ids)) for n, ids in RULES if row[at : at + len(ids)] == ids), ("", 1))
         if name:
             out.append(name)
