@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, lattice, licences, packing, pages, pii, quality, simhash, substrings, token_counts
+from . import (
+    decontamination, divergence, lattice, licences, packing, pages, phrases, pii, quality, simhash, similarity, substrings, token_counts,
+)
 from .common import table
 from .decontamination_sql import LEAKS_SQL
 from .quality_sql import QUALITY_SQL
@@ -57,13 +59,25 @@ def op10_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_fast_similarity_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality_divergence, op2_packing_sum_of_squares, op3_html_host_suffixes, op4_token_counts_resync,
         op5_lattice_likelihood, op6_simhash_decontamination,
         op7_pii_boosting, op8_licence_rules, op9_substring_automata,
-        op10_simhash_vantage,
+        op10_simhash_vantage, op11_phrase_collocations, op12_fast_similarity_sketches, op13_source_divergence,
     )
 }
 #: Queries whose rows SQL can express; the others are tested against brute force.
