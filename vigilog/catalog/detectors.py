@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..constants import ENSEMBLE_WEIGHTS
-from ..operators.detectors import density, forest, scaling, statistical
+from ..operators.detectors import autoencoder, density, forest, scaling, statistical
 from ..operators.features_batch import FEATURES
 from ..session import durable
 from ..sources.logs import logs, table
@@ -61,6 +61,12 @@ def _(spark, sf):
 
 
 @query("det4_reconstruction_error")
+def _(spark, sf):
+    df = scaled(spark, sf)
+    return unpack(autoencoder.Autoencoder(FEATURES).fit(df).transform(df), "autoencoder", "doc_id")
+
+
+@query("det4_components")
 def _(spark, sf):
     df = scaled(spark, sf)
     return unpack(density.ReconstructionError(FEATURES).fit(df).transform(df), "autoencoder", "doc_id")
@@ -254,6 +260,36 @@ def _(spark, sf):
     return unpack(model.transform(df), "autoencoder", "event_id")
 
 
+# A network 2-3-2-2 by layers: for each unit its weights and its bias.
+_NET = [
+    [((0.8, -0.5), 0.1), ((-0.4, 0.9), 0.2), ((0.3, 0.6), -0.1)], [((0.7, -0.2, 0.5), 0.05), ((-0.3, 0.8, 0.4), -0.2)],
+    [((1.1, -0.6), 0.02), ((-0.2, 0.9), 0.3)],
+]
+
+
+def _net_sql() -> str:
+    """One sub-select a layer over the features a and b."""
+    sql, before = "SELECT event_id, value / 100 AS x0, user_id / 100e0 AS x1 FROM events", ["x0", "x1"]
+    for i, layer in enumerate(_NET):
+        sums = [" + ".join(f"{w}e0 * {x}" for w, x in zip(ws, before)) + f" + {bias}e0" for ws, bias in layer]
+        after = [f"y{i}_{j}" for j in range(len(layer))]
+        values = ", ".join(f"{s} AS {n}" if i == len(_NET) - 1 else f"greatest({s}, 0e0) AS {n}" for s, n in zip(sums, after))
+        sql, before = f"SELECT event_id, x0, x1, {values} FROM ({sql})", after
+    return f"SELECT event_id, (pow({before[0]} - x0, 2) + pow({before[1]} - x1, 2)) / 2 AS e FROM ({sql})"
+
+
+@query("det4_given_network", (
+    "SELECT event_id, round(e, 6) AS raw, round(1 - exp(-0.5e0 * e), 6) AS confidence, 1 - exp(-0.5e0 * e) > 0.8e0 AS anomaly FROM ("
+    + _net_sql() + ")"))
+def _(spark, sf):
+    import numpy as np
+
+    model = autoencoder.Autoencoder(["a", "b"], hidden=(3, 2))
+    model.weights = np.concatenate([np.append(np.array([ws for ws, _ in layer]).T.ravel(), [bias for _, bias in layer]) for layer in _NET])
+    df = table(spark, sf, "events").select("event_id", (F.col("value") / 100).alias("a"), (F.col("user_id") / 100).alias("b"))
+    return unpack(model.transform(df), "autoencoder", "event_id")
+
+
 _HISTORY = "event_id < 400"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ENSEMBLE_WEIGHTS
-from ..operators.detectors import density, forest, statistical
+from ..operators.detectors import autoencoder, density, forest, statistical
 from ..operators.features_local import FEATURES as LOCAL_FEATURES
 from ..operators.features_local import local_features
 from ..operators.threat import with_threat_level
@@ -29,7 +29,7 @@ def ensemble_detection(
     if "iforest" in wanted:
         out = forest.IsolationForest(features).fit(df, number).transform(out)
     if "autoencoder" in wanted:
-        out = density.ReconstructionError(features).fit(df).transform(out)
+        out = autoencoder.Autoencoder(features).fit(df).transform(out)
     if "lof" in wanted:
         out = density.outlier_factors(out, features, number)
     if "ocsvm" in wanted:
