@@ -1,8 +1,12 @@
+from collections import Counter, defaultdict
+
 import numpy as np
 import xxhash
 
 from vigilog.llm import simhash
 
+from .test_similarity import slow_components, slow_set
+
 
 def slow_fingerprint(text):
     words = (text or "").encode().lower().split()
@@ -49,15 +53,53 @@ def test_edges(edges, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
-def test_one_row_of_each_group_stays(edges, nothing):
-    kept = simhash.representatives(edges)
-    assert kept.columns == edges.columns
-    rows = expected(edges.collect())
-    assert kept.count() == len(set(slow_groups([slow_fingerprint(r.text) for r in edges.collect()])))
-    assert {r.doc_id for r in kept.select("doc_id").collect()} >= {r[2] for r in rows if r[2] is not None}
+def kept_rows(rows):
+    """The least known doc_id of each group at 0.8 over five words, by all pairs; texts without words are one group."""
+    sets = [slow_set(r.text, 5) for r in rows]
+    empty = next((i for i, s in enumerate(sets) if not s), None)
+    groups = [g if s else empty for g, s in zip(slow_components(sets), sets)]
+    least = {}
+    for g, r in zip(groups, rows):
+        least[g] = min(least.get(g, (True, 0)), (r.doc_id is None, r.doc_id or 0))
+    return sorted((None if unknown else i for unknown, i in least.values()), key=str)
+
+
+def test_one_row_of_each_group_stays(docs, edges, nothing):
+    for frame in (docs, edges):
+        kept = simhash.representatives(frame)
+        assert kept.columns == frame.columns
+        assert sorted((r.doc_id for r in kept.collect()), key=str) == kept_rows(frame.collect())
     assert simhash.representatives(nothing).count() == 0
 
 
+def pairs_by_prefixes(sets, percent=80):
+    """All pairs at or above the similarity: sets that are similar share an element among their rarest ones."""
+    count = Counter(x for s in sets for x in s)
+    place, found = defaultdict(list), set()
+    for i, s in sorted(enumerate(sets), key=lambda x: len(x[1])):
+        prefix = sorted(s, key=lambda x: (count[x], x))[: len(s) - -(-percent * len(s) // 100) + 1]
+        for j in {j for x in prefix for j in place[x]}:
+            both = len(s & sets[j])
+            if 100 * both >= percent * (len(s) + len(sets[j]) - both):
+                found.add((min(i, j), max(i, j)))
+        for x in prefix:
+            place[x].append(i)
+    return found
+
+
+def test_recall_at_a_hundredth(spark):
+    """Of the pairs that an exact search finds at 0.8 over five words, none keeps both rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id")
+    rows = docs.select("doc_id", "text").collect()
+    sets = [slow_set(r.text, 5) for r in rows]
+    pairs = pairs_by_prefixes(sets)
+    kept = {r.doc_id for r in simhash.representatives(docs).select("doc_id").collect()}
+    assert sum(sets[i] != sets[j] for i, j in pairs) > 10
+    assert not [(rows[i].doc_id, rows[j].doc_id) for i, j in pairs if rows[i].doc_id in kept and rows[j].doc_id in kept]
+    near = {i for p in pairs for i in p}
+    assert all(rows[i].doc_id in kept for i, s in enumerate(sets) if s and i not in near)
+
+
 def clustered(n=1500):
     rng = np.random.default_rng(1)
     codes = []

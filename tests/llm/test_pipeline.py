@@ -5,7 +5,7 @@ from vigilog.llm import decontamination, pii, simhash
 from vigilog.llm.decontamination_sql import LEAKS_SQL
 from vigilog.llm.quality_sql import QUALITY_SQL
 
-from .test_near_duplicates import slow_fingerprint, slow_groups
+from .test_similarity import slow_components, slow_set
 from .test_spans import slow_base
 from .test_tokens import check_packing, plain  # noqa: F401
 
@@ -13,7 +13,7 @@ from .test_tokens import check_packing, plain  # noqa: F401
 def test_stages_against_brute_force(spark, sf, docs, con, plain):  # noqa: F811
     texts = {r.doc_id: r.text for r in docs.collect()}
     good = sorted(i for i, kept in con.sql(f"SELECT doc_id, kept FROM ({QUALITY_SQL})").fetchall() if kept)
-    groups = slow_groups([slow_fingerprint(texts[i]) for i in good])
+    groups = slow_components([slow_set(texts[i], 5) for i in good])
     first = [i for k, i in enumerate(good) if groups[k] == k]
     leaking = {i for (i,) in con.sql(f"SELECT doc_id FROM ({LEAKS_SQL})").fetchall()}
     left = [i for i in first if i not in leaking]

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
+from .components import components
+from .similarity import groups
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints in a shard beyond which it is dealt once more. Bounds the memory of a task.
@@ -174,31 +176,6 @@ def links(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     return ordered.mapInArrow(grouped, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(a, b) from undirected edges: each node that has an edge, to the least node of its component.
-
-    Large-star and small-star steps by turns until nothing changes; each round is written to the shared folder, so its
-    lineage is short and nothing but two sums comes to the driver.
-    """
-    edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    before = state(edges)
-    while before[0]:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = stored(small.select("e.*").where("a <> b").distinct(), "edges")
-        if (now := state(edges)) == before:
-            break
-        before = now
-    return edges
-
-
 def headed(nodes: DataFrame) -> DataFrame:
     """``nodes`` (each distinct fp once) with ``head``, the least fingerprint of the node's component."""
     linked = components(links(nodes)).select(F.col("a").alias("fp"), F.col("b").alias("head"))
@@ -220,17 +197,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """``docs``, all columns, with one row of each component: the one with the least doc_id, null last.
+def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs``, all columns, with one row of each group of near-duplicates: the one with the least doc_id, null last.
 
-    Rows of one doc_id in a component are told apart by an MD5 of doc_id and text, of which the least stays; of repeated
-    rows one stays. Texts move once, to meet the keys of the rows that stay, by the same plan at every size.
+    A group is connected by pairs whose sets of five-word shingles have similarity 0.8 or more, each verified on the full
+    sets. Fingerprints can't find these: at 0.8 two differ by some ten bits of 64, where neither blocks nor triangle
+    bounds prune, so the candidates come from fast similarity sketches. Texts without words are one group. Rows of one
+    doc_id in a group are told apart by an MD5 of doc_id and text, of which the least stays; of repeated rows one stays.
+    Texts move once, to meet the keys of the rows that stay, by the same plan at every size.
     """
     key = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("doc_id").isNull().cast("string"), F.col("text").isNull().cast("string"), F.col("text")))
     rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
-    known = rows.select(F.struct("key", "row.doc_id").alias("who"), "row.text")
-    known = stored(fingerprints(known, "who").select("who.*", "fp"), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("first")
-    nodes = headed(known.groupBy("fp").agg(first))
-    kept = stored(nodes.groupBy("head").agg(F.min("first").alias("first")).select("first.key"), "representatives")
+    known = rows.select(F.struct(F.col("row.doc_id").isNull().alias("unknown"), "row.doc_id", "key").alias("who"), "row.text")
+    kept = stored(groups(known, "who", size, percent).groupBy("head").agg(F.min("who").alias("first")).select("first.key"), "representatives")
     return rows.join(kept.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select("row.*")

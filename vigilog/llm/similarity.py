@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ready, stored
-from .simhash import components
+from .components import components
 from .substrings import run_hashes, word_hashes
 
 SHINGLE, SIMILAR = 4, 80
