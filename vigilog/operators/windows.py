@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,25 +96,45 @@ def volume_statistics_row_order(df: DataFrame, key: str, order: Sequence[str], p
     }).drop("_x", "_ema", "_carried", "_std", "_pos")
 
 
+def _sliding(x: np.ndarray, size: int) -> np.ndarray:
+    """The window of ``size`` values that ends at each row of a column, NaN before the first row."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(size - 1, np.nan), x]), size)
+
+
+def _deviations(x: np.ndarray, short: int, long: int) -> np.ndarray:
+    """|mean of the last ``short`` - mean of the last ``long``| in deviations of the long ones, by row; nulls left out."""
+    near, far = _sliding(x, short), _sliding(x, long)
+    count = (~np.isnan(far)).sum(axis=1)
+    mean = np.nansum(far, axis=1) / np.maximum(count, 1)
+    spread = np.sqrt(np.nansum((far - mean[:, None]) ** 2, axis=1) / np.maximum(count, 1))
+    near_count = (~np.isnan(near)).sum(axis=1)
+    out = np.abs((np.nansum(near, axis=1) / np.maximum(near_count, 1) - mean) / (spread + EPSILON))
+    return np.where(near_count > 0, out, np.nan)
+
+
 def rolling_deviation(
     df: DataFrame, order: Sequence[str], features: Sequence[str], name: str = "deviation", short: int = 10, long: int = 100,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Largest deviation, over the features, of the short mean from the long mean in long deviations.
 
-    0 until ``short`` rows exist; the current row belongs to both windows.
+    0 until ``short`` rows exist; the current row belongs to both windows. Only position and features go through the
+    buckets; a bucket is a bounded array, over which the windows slide without being built row by row.
     """
     placed = global_position(df, order)
-
-    def build(part: DataFrame, window) -> DataFrame:
-        near, far = window.rowsBetween(1 - short, 0), window.rowsBetween(1 - long, 0)
-        parts: list[Column] = [
-            F.abs((F.avg(f).over(near) - F.avg(f).over(far)) / (F.stddev_pop(f).over(far) + EPSILON)) for f in features
-        ]
-        worst = F.greatest(*parts) if len(parts) > 1 else parts[0]
-        return part.withColumn(name, F.when(F.col("_pos") + 1 >= short, worst).otherwise(F.lit(0.0)))
-
-    return framed(placed, long - 1, build, rows=bucket_rows).drop("_pos")
+    narrow = placed.select("_pos", *[F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)])
+
+    def slide(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_pos")
+        position = rows["_pos"].to_numpy()
+        columns = [rows[f"_f{i}"].to_numpy().astype(float) for i in range(len(features))]
+        worst = np.fmax.reduce([_deviations(x, short, long) for x in columns])
+        worst = pa.array(np.where(position + 1 >= short, worst, 0.0), from_pandas=True)
+        home = (rows["_home"].to_numpy() == rows["_bucket"].to_numpy())
+        return pa.table({"_pos": rows["_pos"], name: worst}).filter(pa.array(home))
+
+    found = halo_buckets(narrow, long - 1, rows=bucket_rows).groupBy("_bucket").applyInArrow(slide, f"_pos long, {name} double")
+    return placed.join(found, "_pos").drop("_pos")
 
 
 def failures_in_window(
