@@ -2,15 +2,18 @@
 
 The fold over a user's events (an exponential mean of the risk, which itself raises the risk once it
 is over 80) is sequential. It is made parallel by splitting the ordered events into buckets: what a
-bucket does to the mean entering it is a step function with one common slope, so buckets are
-summarised in parallel, the summaries are chained, and then all buckets are replayed in parallel
-with their entry values. No task holds more than one bucket of rows, however large a user is.
+bucket does to the mean entering it is a step function with one common slope, and two such functions
+one after the other are one again. Buckets are summarised in parallel, runs of ``SCAN_BLOCK``
+summaries are composed to one summary, level by level, and the values entering the runs come down the
+same tree; then all buckets are replayed in parallel with their entry values. No task holds more than
+one bucket of rows or one run of summaries, however large a user is.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +27,8 @@ from .windows import failures_in_window
 
 _PAST_LIMIT = 80.0
 BUCKET_ROWS = 200_000
+#: Summaries of one user that a task composes or chains.
+SCAN_BLOCK = 1_000
 
 
 def _points(parts: list[tuple[Column, float]]) -> Column:
@@ -158,22 +163,72 @@ def _run_summaries(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
+def _arrive(past: float, slope: float, starts, shifts) -> float:
+    """The mean after a run that ``past`` enters."""
+    return slope * past + shifts[max(int(np.searchsorted(starts, past)) - 1, 0)]
+
+
+def _compose(slope: float, starts: list[float], shifts: list[float], then) -> tuple[float, list[float], list[float]]:
+    """One summary of two runs: the values leaving the first enter the second (a row with slope, starts and shifts)."""
+    new_starts: list[float] = []
+    new_shifts: list[float] = []
+    for i, (start, shift) in enumerate(zip(starts, shifts)):
+        stop = starts[i + 1] if i + 1 < len(starts) else float("inf")
+        for j, (turn, extra) in enumerate(zip(then.starts, then.shifts)):
+            # Entries above ``low`` and up to ``high`` leave the first run inside this piece of the second.
+            if slope > 1e-300:
+                low = (turn - shift) / slope if j else float("-inf")
+                high = (then.starts[j + 1] - shift) / slope if j + 1 < len(then.starts) else float("inf")
+            else:
+                inside = (not j or shift > turn) and (j + 1 == len(then.starts) or shift <= then.starts[j + 1])
+                low, high = (float("-inf"), float("inf")) if inside else (float("inf"), float("inf"))
+            if low < stop and high > start:
+                value = shift * then.slope + extra
+                if not new_shifts or new_shifts[-1] != value:
+                    new_starts.append(max(start, low))
+                    new_shifts.append(value)
+    return slope * then.slope, new_starts, new_shifts
+
+
+def _compose_run(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The summary of a run of one user's summaries."""
+    rows = list(pdf.sort_values("_bucket").itertuples(index=False))
+    slope, starts, shifts, fresh = rows[0].slope, list(rows[0].starts), list(rows[0].shifts), rows[0].fresh
+    for row in rows[1:]:
+        slope, starts, shifts = _compose(slope, starts, shifts, row)
+        fresh = _arrive(fresh, row.slope, row.starts, row.shifts)
+    return pd.DataFrame([{"_who": rows[0][0], "_bucket": int(pdf["_run"].iloc[0]), "slope": slope, "fresh": fresh, "starts": starts, "shifts": shifts}])
+
+
 def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Entry value of each run of one user, from the runs before it (one small row per bucket)."""
+    """The value entering each summary of a run, from the value entering the run."""
     pdf = pdf.sort_values("_bucket")
-    past, rows = pdf["initial"].iloc[0], []
+    past, rows = pdf["_entry"].iloc[0], []
     past = None if pd.isna(past) else float(past)
     columns = zip(pdf["_bucket"], pdf["_who"], pdf["fresh"], pdf["slope"], pdf["starts"], pdf["shifts"])
     for bucket, who, fresh, slope, starts, shifts in columns:
         rows.append((bucket, who, past))
-        if past is None:
-            past = fresh
-        else:
-            piece = max(i for i, start in enumerate(starts) if i == 0 or past > start)
-            past = slope * past + shifts[piece]
+        past = fresh if past is None else _arrive(past, slope, starts, shifts)
     return pd.DataFrame(rows, columns=["_bucket", "_who", "_entry"])
 
 
+_SUMMARY = "_who string, _bucket long, slope double, fresh double, starts array<double>, shifts array<double>"
+
+
+def _entries(runs: DataFrame, start: DataFrame, block: int) -> DataFrame:
+    """(_bucket, _who, _entry): the value entering each summary, by a tree of runs of ``block`` summaries of a user.
+
+    ``start`` (_who, initial) enters the first one. A user without it enters with null.
+    """
+    placed = runs.withColumn("_run", F.floor(F.col("_bucket") / block).cast("long"))
+    if (runs.agg(F.max("_bucket")).first()[0] or 0) < block:
+        above = placed.select("_who", "_run").distinct().join(start, "_who", "left").withColumnRenamed("initial", "_entry")
+    else:
+        composed = durable(placed.groupBy("_who", "_run").applyInPandas(_compose_run, _SUMMARY))
+        above = _entries(composed, start, block).withColumnRenamed("_bucket", "_run")
+    return placed.join(above, ["_who", "_run"]).groupBy("_who", "_run").applyInPandas(_chain, "_bucket long, _who string, _entry double")
+
+
 def _replay(pdf: pd.DataFrame, number: str) -> pd.DataFrame:
     """Risk, past risk and mean of every event of a bucket, users one after the other."""
     pdf = pdf.sort_values("_pos")
@@ -190,7 +245,7 @@ def _replay(pdf: pd.DataFrame, number: str) -> pd.DataFrame:
 
 def user_risk_fold(
     df: DataFrame, order: tuple[str, ...], initial: DataFrame | None = None, bucket_rows: int = BUCKET_ROWS,
-    number: str = "doc_id",
+    number: str = "doc_id", scan_block: int = SCAN_BLOCK,
 ) -> DataFrame:
     """Fold the risk per ``_who`` in order. Needs ``_calm`` and ``_tense``: the risk without and with a bad past.
 
@@ -204,10 +259,7 @@ def user_risk_fold(
     narrow = placed.select(
         number, "_pos", F.floor(F.col("_pos") / bucket_rows).cast("long").alias("_bucket"), "_who", "_calm", "_tense")
     start = initial if initial is not None else spark.createDataFrame([], "_who string, initial double")
-    runs = narrow.groupBy("_bucket").applyInPandas(
-        _run_summaries, "_who string, _bucket long, slope double, fresh double, starts array<double>, shifts array<double>")
-    entries = runs.join(start, "_who", "left").groupBy("_who").applyInPandas(
-        _chain, "_bucket long, _who string, _entry double")
+    entries = _entries(durable(narrow.groupBy("_bucket").applyInPandas(_run_summaries, _SUMMARY)), start, scan_block)
     # Users inside one bucket have no run of their own in ``entries``; they only need the initial value.
     with_entry = narrow.join(entries, ["_bucket", "_who"], "left")
     if initial is not None:
