@@ -77,3 +77,18 @@ def _(spark, sf):
         kept.write(counts, batch)
         kept.write(counts, batch)
     return state.merge_counts(kept.before(2), kept.before(0), "user_name")
+
+
+@query("src10_keyed_state", on_logs("SELECT user_name, count(*) AS n FROM logs WHERE user_name IS NOT NULL GROUP BY 1"))
+def _(spark, sf):
+    """Counters kept in buckets of keys: the last period is written twice, as after a failure."""
+    kept = state.KeyedStateTable(
+        spark, scratch_path(spark, "state"), "user_name", "user_name string, n long",
+        lambda rows: rows.groupBy("user_name").agg(F.sum("n").alias("n")), buckets=8)
+    df = logs(spark, sf).filter("user_name IS NOT NULL")
+    day = F.to_date("ts").cast("string")
+    for batch, part in enumerate([day < "2024-01-11", (day >= "2024-01-11") & (day < "2024-01-21"), day >= "2024-01-21"]):
+        counts = df.filter(part).groupBy("user_name").agg(F.count(F.lit(1)).alias("n"))
+        kept.write(counts, batch)
+    kept.write(counts, batch)
+    return kept.before()

@@ -6,6 +6,7 @@ from ..operators.features_behaviour import is_auth_failure
 from ..operators.risk import history_points, weighted_risk
 from ..session import scratch_path
 from ..sources.logs import logs, table
+from ..streaming import keyed
 from ..streaming import streams as st
 from .registry import on_logs, query
 from .risk import on_risk, pillars
@@ -39,8 +40,7 @@ def _(spark, sf):
     f"FROM (SELECT *, {_PART} AS part FROM logs)"))
 def _(spark, sf):
     df = logs(spark, sf).select("doc_id", "user_name", "ts")
-    out, _ = replay(spark, df, lambda s, o, state, c: st.new_entities(
-        s, "user_name", st.entity_state(spark, state, "user_name"), o, c))
+    out, _ = replay(spark, df, lambda s, o, _s, c: keyed.new_entities(s, "user_name", o, c))
     return spark.read.parquet(out).select("doc_id", "is_new")
 
 
@@ -49,8 +49,7 @@ def _(spark, sf):
     f"(PARTITION BY user_name ORDER BY part) END, 6) AS burst FROM (SELECT *, {_PART} AS part FROM logs)"))
 def _(spark, sf):
     df = logs(spark, sf).select("doc_id", "user_name", "ts")
-    out, _ = replay(spark, df, lambda s, o, state, c: st.burst_scores(
-        s, "user_name", st.counter_state(spark, state, "user_name"), o, c))
+    out, _ = replay(spark, df, lambda s, o, _s, c: keyed.burst_scores(s, "user_name", o, c))
     return spark.read.parquet(out).select("doc_id", F.round("burst", 6).alias("burst"))
 
 

@@ -10,9 +10,11 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 
 class StateTable:
     """Append-by-batch table with idempotent writes and merged snapshots."""
@@ -58,6 +60,71 @@ class StateTable:
             self.before(batch + 1).write.mode("overwrite").parquet(f"{self.path}/snapshot={batch + 1}")
 
 
+class KeyedStateTable:
+    """One row per key, in buckets of keys; a batch reads and rewrites only the buckets of its own keys.
+
+    ``data/batch=n/_bucket=b`` holds bucket ``b`` as batch ``n`` left it, ``manifest=n`` tells the newest version of each
+    bucket. A batch starts from the manifest before it, so writing it again gives the same state. Versions that neither
+    the newest manifest nor the one before it names are removed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: str, merge: Callable[[DataFrame], DataFrame], buckets: int = 64):
+        self.spark, self.path, self.key, self.schema = spark, path.rstrip("/"), key, schema
+        self.merge, self.buckets = merge, buckets
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def _numbers(self, folder: str, kind: str) -> list[int]:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [status.getPath() for status in fs.listStatus(path)] if fs.exists(path) else []
+        done = [p.getName().partition("=")[2] for p in names if p.getName().startswith(f"{kind}=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(map(int, done))
+
+    def _remove(self, folder: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def versions(self, batch: int | None = None) -> dict[int, int]:
+        """The newest version of each bucket that has rows, as the batches before ``batch`` left it."""
+        found = [n for n in self._numbers(self.path, "manifest") if batch is None or n < batch]
+        if not found:
+            return {}
+        return dict(self.spark.read.schema("bucket int, version int").parquet(f"{self.path}/manifest={found[-1]}").collect())
+
+    def _read(self, versions: dict[int, int]) -> DataFrame:
+        paths = [f"{self.path}/data/batch={version}/_bucket={bucket}" for bucket, version in sorted(versions.items())]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def before(self, batch: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """The state before ``batch`` (after all batches when None), of the buckets that hold ``keys`` when given."""
+        versions = self.versions(batch)
+        if keys is not None:  # at most as many rows as buckets
+            asked = {r[0] for r in keys.select(self._bucket()).distinct().collect()}
+            versions = {b: v for b, v in versions.items() if b in asked}
+        return self._read(versions)
+
+    def write(self, changes: DataFrame, batch: int) -> None:
+        """Merge the rows of ``batch`` into the state."""
+        changes = durable(changes.select(*self.spark.createDataFrame([], self.schema).columns))
+        versions = self.versions(batch)
+        touched = {r[0] for r in changes.select(self._bucket()).distinct().collect()}
+        old = self._read({b: v for b, v in versions.items() if b in touched})
+        merged = self.merge(old.unionByName(changes)).withColumn("_bucket", self._bucket())
+        merged.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/data/batch={batch}")
+        now = versions | dict.fromkeys(touched, batch)
+        rows = self.spark.createDataFrame(sorted(now.items()), "bucket int, version int")
+        rows.write.mode("overwrite").parquet(f"{self.path}/manifest={batch}")
+        used = {*now.values(), *versions.values(), batch}
+        for number in self._numbers(f"{self.path}/data", "batch"):
+            if number < batch and number not in used:
+                self._remove(f"{self.path}/data/batch={number}")
+        for number in [n for n in self._numbers(self.path, "manifest") if n < batch][:-1]:
+            self._remove(f"{self.path}/manifest={number}")
+
+
 def seen_after(known: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """Known entities joined by those of the batch."""
     return known.select(key).unionByName(batch.select(key).filter(F.col(key).isNotNull())).distinct()

@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 from ..operators.detectors.statistical import MOMENTS_SCHEMA, merge_moments, moments
 from ..operators.lookup import attach_stats, key_stats, new_key_flag, profile_keys
 from ..operators.risk import latest_user_risk, user_risk_fold
-from ..sources.state import StateTable, unseen
+from ..sources.state import KeyedStateTable, StateTable, unseen
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -97,15 +97,17 @@ def moments_state(spark: SparkSession, path: str) -> StateTable:
 
 
 def user_risk(
-    stream: DataFrame, state: StateTable, out: str, checkpoint: str, order: tuple[str, ...] = ("ts", "doc_id")
+    stream: DataFrame, state: KeyedStateTable, out: str, checkpoint: str, order: tuple[str, ...] = ("ts", "doc_id")
 ) -> StreamingQuery:
     """Continue every user's risk fold from the mean the earlier micro-batches left.
 
-    Rows carry ``_who``, ``_calm`` and ``_tense`` (the risk without and with a bad past).
+    Rows carry ``_who``, ``_calm`` and ``_tense`` (the risk without and with a bad past). The rows of a user are folded
+    by many tasks, so the state is a table of buckets of users and not one of the state store, which would bring all rows
+    of a user into one task; a micro-batch reads and rewrites the buckets of its own users.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        start = state.before(number).select("_who", "initial")
+        start = state.before(number, batch.select("_who")).select("_who", "initial")
         _put(user_risk_fold(batch, order, start), out, number)
         folded = batch.sparkSession.read.parquet(f"{out}/batch={number}")
         state.write(latest_user_risk(folded, order).withColumn("step", F.lit(number).cast("long")), number)
@@ -113,9 +115,9 @@ def user_risk(
     return run_batches(stream, step, checkpoint)
 
 
-def risk_state(spark: SparkSession, path: str) -> StateTable:
-    return StateTable(
-        spark, path, "_who string, initial double, step long",
+def risk_state(spark: SparkSession, path: str) -> KeyedStateTable:
+    return KeyedStateTable(
+        spark, path, "_who", "_who string, initial double, step long",
         lambda df: df.groupBy("_who").agg(F.max_by("initial", "step").alias("initial"), F.max("step").alias("step")))
 
 
