@@ -2,12 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from ..constants import NAMESPACE_ORDER
 from ..functions.scalar import percentage
 from ..operators import aggregates as agg
 from ..operators.filters import time_range
 from ..operators.rules import SAMPLE_RULES
 from ..plans.dashboard import dashboard_kpis, dashboard_lists, dashboard_trend, overview_metrics
-from ..sources.logs import logs, scored, table
+from ..session import durable
+from ..sources.logs import LOG_COLUMNS, logs, scored, table
 from .filters import END, RANGE, START
 from .paging import levels, on_levels
 from .registry import on_logs, on_raw, on_scored, query
@@ -96,12 +98,20 @@ def _(spark, sf):
         F.countDistinct("user_id").alias("users"), F.countDistinct("props").alias("props"))
 
 
-@query("agg6_distinct_approx", (
-    "SELECT true AS parts_close, true AS orders_close FROM lineitem LIMIT 1"))
+@query("agg6_distinct_approx", "SELECT count(DISTINCT l_partkey) AS parts, count(DISTINCT l_orderkey) AS orders FROM lineitem")
 def _(spark, sf):
-    close = lambda c: (F.abs(F.approx_count_distinct(c, 0.02) / F.countDistinct(c) - 1) < 0.08)
-    return table(spark, sf, "lineitem").agg(
-        close("l_partkey").alias("parts_close"), close("l_orderkey").alias("orders_close"))
+    """Estimates; below an eighth of the registers they are the counts."""
+    df = table(spark, sf, "lineitem").withColumnsRenamed({"l_partkey": "parts", "l_orderkey": "orders"})
+    return agg.united_distinct(agg.distinct_sketches(df, F.lit(0), ["parts", "orders"]), ["parts", "orders"])
+
+
+@query("agg6_kept_sketches", (
+    "SELECT count(DISTINCT user_id) AS user_id, count(DISTINCT props) AS props FROM events "
+    "WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'"))
+def _(spark, sf):
+    """Sketches of each day are kept; a range of days is their union, and no row is read again."""
+    days = agg.distinct_sketches(table(spark, sf, "events"), F.to_date("ts"), ["user_id", "props"])
+    return agg.united_distinct(durable(days).filter("part >= '2024-01-05' AND part < '2024-01-20'"), ["user_id", "props"])
 
 
 @query("agg7_value_count", on_logs("SELECT count(source_ip) AS n, count(network_bytes) AS n_bytes FROM logs"))
@@ -228,6 +238,17 @@ def _(spark, sf):
     return agg.top_list_terms(logs(spark, sf), "file_name")
 
 
+_LISTED = ["tags_text", "host_ip", "user_name", "host_name", "source_ip", "destination_ip", "event_category", "event_action", "event_outcome",
+           "event_kind", "process_name", "parent_name", "file_name"]
+
+
+@query("agg17_all_list_columns", on_logs("SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS INTEGER) AS rank FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS field, trim(item, '\'\'\" ') AS value, count(*) AS n FROM (SELECT unnest(string_split(trim({c}, '[]\'\'\"'), "
+    f"'\'\', \'\'')) AS item FROM logs WHERE {c} IS NOT NULL) GROUP BY ALL" for c in _LISTED) + ")) WHERE rank <= 15"))
+def _(spark, sf):
+    return agg.many_list_terms(logs(spark, sf), _LISTED)
+
+
 @query("agg18_value_distribution", on_logs(
     "SELECT event_outcome AS value, count(*) AS n FROM logs WHERE event_outcome IS NOT NULL GROUP BY 1"))
 def _(spark, sf):
@@ -321,24 +342,31 @@ def _(spark, sf):
     return agg.value_counts(scored(logs(spark, sf)).filter("is_anomaly"), "user_name").orderBy(F.col("n").desc(), "value")
 
 
-PROFILE_COLUMNS = ["host.name", "user.name", "event.action", "process.name", "message"]
-_PROFILE_SQL = {"host.name": "host_name", "user.name": "user_name", "event.action": "event_action",
-                "process.name": "process_name", "message": "command_line"}
-_ORDERED = ["process.name", "event.action", "host.name", "user.name", "message"]
+# All columns of the log view; those of a namespace by their dotted names.
+_SPACES = ("host", "user", "event", "process", "parent", "network", "file", "source", "destination")
+_PROFILED = {(c.replace("_", ".", 1) if c.split("_")[0] in _SPACES else c): c for c in LOG_COLUMNS if c != "event_no"}
 
 
-@query("agg29_schema_profile", on_logs(" UNION ALL ".join(
-    f"SELECT {i} AS position, '{c.split('.')[0] if '.' in c else '_root'}' AS namespace, '{c}' AS \"column\", "
-    f"(SELECT count({_PROFILE_SQL[c]}) FROM logs) AS non_null, "
-    f"(SELECT round(count({_PROFILE_SQL[c]}) * 100.0e0 / count(*), 1) FROM logs) AS fill_pct, "
-    f"(SELECT count(DISTINCT {_PROFILE_SQL[c]}) FROM logs) AS distinct_values, "
-    f"(SELECT string_agg(v || '=' || n, '|' ORDER BY n DESC, full_v) FROM (SELECT substring({_PROFILE_SQL[c]}, 1, 80) AS v, "
-    f"{_PROFILE_SQL[c]} AS full_v, count(*) AS n FROM logs WHERE {_PROFILE_SQL[c]} IS NOT NULL GROUP BY ALL "
-    f"ORDER BY n DESC, full_v LIMIT 5)) AS top_values" for i, c in enumerate(_ORDERED))))
-def _(spark, sf):
-    from ..constants import NAMESPACE_ORDER
+def _space(name: str) -> str:
+    return name.split(".")[0] if "." in name else "_root"
+
 
-    df = logs(spark, sf).select(*[F.col(_PROFILE_SQL[c]).alias(c) for c in PROFILE_COLUMNS])
+def _profile_sql() -> str:
+    rest = sorted({_space(c) for c in _PROFILED} - set(NAMESPACE_ORDER))
+    places = [*NAMESPACE_ORDER, *rest]
+    ordered = sorted(_PROFILED, key=lambda c: (places.index(_space(c)), c))
+    return " UNION ALL ".join(
+        f"SELECT {i} AS position, '{_space(c)}' AS namespace, '{c}' AS \"column\", (SELECT count({_PROFILED[c]}) FROM logs) AS non_null, "
+        f"(SELECT round(count({_PROFILED[c]}) * 100.0e0 / count(*), 1) FROM logs) AS fill_pct, "
+        f"(SELECT count(DISTINCT {_PROFILED[c]}) FROM logs) AS distinct_values, "
+        f"(SELECT string_agg(v || '=' || n, '|' ORDER BY n DESC, full_v) FROM (SELECT substring(CAST({_PROFILED[c]} AS VARCHAR), 1, 80) AS v, "
+        f"CAST({_PROFILED[c]} AS VARCHAR) AS full_v, count(*) AS n FROM logs WHERE {_PROFILED[c]} IS NOT NULL GROUP BY ALL "
+        f"ORDER BY n DESC, full_v LIMIT 5)) AS top_values" for i, c in enumerate(ordered))
+
+
+@query("agg29_schema_profile", on_logs(_profile_sql()))
+def _(spark, sf):
+    df = logs(spark, sf).select(*[F.col(column).alias(name) for name, column in _PROFILED.items()])
     return agg.schema_profile(df, NAMESPACE_ORDER)
 
 

@@ -94,7 +94,7 @@ _REPORT = ["doc_id", "event_no", "user_name", "network_bytes", "file_name", "ts_
 
 @query("cln7_quality_report", on_logs(
     "SELECT count(*) AS input_count, (SELECT count(*) FROM logs) AS output_count, "
-    "count(*) - (SELECT count(*) FROM logs) AS duplicates_removed, CAST(6 AS BIGINT) AS total_fields, "
+    "count(*) - (SELECT count(*) FROM logs) AS duplicates_removed, (SELECT count(*) FROM (DESCRIBE SELECT " + ", ".join(_REPORT) + " FROM logs)) AS total_fields, "
     "" + _fields("count({c}) = 0") + " AS fully_null_fields, " + _fields("count({c}) > 0 AND round((count(*) - count({c})) * 1e0 / count(*), 4) >= 0.5e0") + " AS high_null_fields, "
     "round((SELECT count(*) FROM logs) * 100e0 / count(*), 1) AS retention_rate, "
     "round(100e0 - (" + " + ".join(f"round((count(*) - count({c})) * 1e0 / count(*), 4)" for c in _REPORT)

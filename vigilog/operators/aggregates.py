@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..constants import INTERVAL_BY_HOURS, INTERVAL_REST
 from ..functions.fields import col_of
 from ..functions.scalar import percentage
+from ..session import durable
 
 # Calendar unit for truncation, or a fixed length in minutes.
 _UNITS = {"1M": ("month", "1 month"), "1w": ("week", "7 days"), "1d": ("day", "1 day"), "1h": ("hour", "1 hour"),
@@ -51,24 +53,47 @@ def time_histogram(
     )
     if not fill:
         return counted
-    step = F.expr(f"INTERVAL {interval_step(interval)}")
-    following = F.lead("bucket").over(Window.orderBy("bucket"))
-    filled = counted.withColumn("_next", following).withColumn("_bucket", F.explode(F.when(
-        F.col("_next") > F.col("bucket") + step, F.sequence(F.col("bucket"), F.col("_next") - step, step)).otherwise(F.array("bucket"))))
-    counts = [F.when(F.col("_bucket") == F.col("bucket"), F.coalesce(F.col(n), F.lit(0))).otherwise(F.lit(0)).alias(n) for n in aggregates]
-    return filled.select(F.col("_bucket").alias("bucket"), *counts)
+    return _without_gaps(counted, interval, list(aggregates))
+
+
+#: Buckets that one row fills: longer gaps are cut, and the parts dealt out, before they are filled.
+GAP_BUCKETS = 10_000
+
+
+def _without_gaps(counted: DataFrame, interval: str, names: Sequence[str]) -> DataFrame:
+    """Every bucket of the interval between the first and the last, new ones with 0.
+
+    The following bucket is looked up inside each calendar year; the last of a year is followed by the first of the next
+    year that has any. Times have fewer than 10,000 years, which bounds that table.
+    """
+    count, unit = interval_step(interval).split()
+    step, stride = (F.expr(f"INTERVAL {n} {unit}") for n in (int(count), int(count) * GAP_BUCKETS))
+    counted = durable(counted.withColumn("_year", F.year("bucket")))
+    firsts = sorted(counted.groupBy("_year").agg(F.min("bucket")).collect())
+    jumps = [(year, later[1]) for (year, _), later in zip(firsts, firsts[1:])]
+    table = counted.sparkSession.createDataFrame(jumps, "_year int, _jump timestamp_ntz")
+    inside = F.lead("bucket").over(Window.partitionBy("_year").orderBy("bucket"))
+    placed = counted.withColumn("_inside", inside).join(F.broadcast(table), "_year", "left").withColumn("_next", F.coalesce("_inside", "_jump"))
+    kept = placed.select("bucket", *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names])
+    gaps = placed.filter(F.col("_next") > F.col("bucket") + step).select((F.col("bucket") + step).alias("_from"), (F.col("_next") - step).alias("_to"))
+    parts = gaps.select(F.explode(F.sequence("_from", "_to", stride)).alias("_start"), "_to").repartition("_start")
+    filled = parts.select(F.explode(F.sequence("_start", F.least("_to", F.col("_start") + stride - step), step)).alias("bucket"))
+    return kept.unionByName(filled.select("bucket", *[F.lit(0).cast(kept.schema[n].dataType).alias(n) for n in names]))
 
 
 def time_histogram_by(df: DataFrame, ts: str, interval: str, by: str, values: Sequence[str] | None = None, most: int = 10) -> DataFrame:
     """Wide trend: total and one column per value; a value absent from a bucket is null.
 
-    Unless given, the values are the ``most`` frequent ones of the data, ties by value.
+    Unless given, the values are the ``most`` frequent ones of the data, ties by value. The rows are read once, counted
+    by bucket and value.
     """
+    start = bucket_start(F.col(ts), interval).alias("bucket")
+    pairs = durable(df.filter(F.col(ts).isNotNull()).groupBy(start, F.col(by).alias("value")).agg(F.count(F.lit(1)).alias("n")))
     if values is None:
-        terms = df.where(F.col(by).isNotNull()).groupBy(by).count().orderBy(F.desc("count"), by).limit(most)
+        terms = pairs.where(F.col("value").isNotNull()).groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(most)
         values = [r[0] for r in terms.collect()]
-    hits = {f"n_{v.lower()}": F.when(F.count(F.when(F.col(by) == v, 1)) > 0, F.count(F.when(F.col(by) == v, 1))) for v in values}
-    return time_histogram(df, ts, interval, {"total": F.count(F.lit(1)), **hits}, fill=False)
+    hits = [F.sum(F.when(F.col("value") == v, F.col("n"))).alias(f"n_{v.lower()}") for v in values]
+    return pairs.groupBy("bucket").agg(F.sum("n").alias("total"), *hits)
 
 
 def timeline_interval(df: DataFrame, ts: str) -> str:
@@ -113,6 +138,31 @@ def top_list_terms(df: DataFrame, field: str, n: int = 15) -> DataFrame:
     )
 
 
+def many_list_terms(df: DataFrame, fields: Sequence[str], n: int = 15) -> DataFrame:
+    """Top terms of several fields of list-like text in one scan: (field, value, n, rank)."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("text")) for c in fields])).alias("p")).select("p.*")
+    texts = long.filter(F.col("text").isNotNull()).groupBy("field", "text").agg(F.count(F.lit(1)).alias("n"))
+    items = F.explode(F.split(F.regexp_replace("text", r"^[\[\]'\"]+|[\[\]'\"]+$", ""), "', '"))
+    value = F.regexp_replace("item", r"^['\" ]+|['\" ]+$", "")
+    counted = texts.select("field", "n", items.alias("item")).groupBy("field", value.alias("value")).agg(F.sum("n").alias("n"))
+    best = Window.partitionBy("field").orderBy(F.col("n").desc(), "value")
+    return counted.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
+
+
+def distinct_sketches(df: DataFrame, by: Column, columns: Sequence[str], size: int = 18) -> DataFrame:
+    """(part, one sketch a column): mergeable distinct counts of each part, to be kept as a table and united later.
+
+    ``size`` is the logarithm of a sketch's registers; the estimates have a relative error of 1.04 / sqrt(2**size), and
+    are all but exact below an eighth of that number.
+    """
+    return df.groupBy(by.alias("part")).agg(*[F.hll_sketch_agg(F.col(c), size).alias(c) for c in columns])
+
+
+def united_distinct(sketches: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: the estimates over all given parts."""
+    return sketches.agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in columns])
+
+
 def address_items(df: DataFrame, field: str) -> DataFrame:
     """One row per address of a comma-separated address text, loopback left out."""
     from .filters import not_loopback
@@ -145,19 +195,77 @@ def many_top_terms(df: DataFrame, fields: dict[str, str], n: int = 15) -> DataFr
     return counted.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= n)
 
 
+#: Accuracy of the sketch that encloses a rank: the error is a rank share of 1 / SKETCH.
+SKETCH = 5_000
+
+
 def exact_percentiles(
-    df: DataFrame, column: str, percents: Sequence[float], local_values: int = 1_000_000
+    df: DataFrame, column: str, percents: Sequence[float], local_values: int = 20_000, sketch: int = SKETCH
 ) -> dict[float, float]:
-    """Exact interpolated percentiles without bringing all values to one task.
+    """Exact interpolated percentiles; only a narrow bracket of values around each wanted rank is ever shuffled.
 
-    Values are counted first. While more distinct values remain than one task should hold, the wanted
-    ranks are enclosed by approximate percentiles and only the enclosed values are kept, with the
-    count of everything below them carried along.
+    A mergeable sketch of the rows encloses the rank; the next pass counts what lies below and inside the bracket, where
+    the rows are. A bracket that holds more than ``local_values`` rows of several values is sketched again, some
+    ``sketch / 4`` times narrower each time. What is left is counted by value.
     """
-    counted = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return percentiles_of_counts(counted, percents, local_values)
+    rows = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    brackets = _brackets(rows, percents, local_values, sketch)
+    if not brackets:
+        return {p: None for p in percents}
+    wanted = reduce(lambda a, b: a | b, [F.col("v").between(b.low, b.high) for b in brackets.values()])
+    counted = rows.filter(wanted).groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy("v").collect()
+    out = {}
+    for p, bracket in brackets.items():
+        end, at = bracket.below, []
+        for value, n in ((r.v, r.n) for r in counted if bracket.low <= r.v <= bracket.high):
+            end += n
+            at += [value] * (sum(rank < end for rank in bracket.ranks) - len(at))
+        share = bracket.target - int(bracket.target)
+        out[p] = at[0] + (at[1] - at[0]) * share
+    return out
+
+
+@dataclass
+class _Bracket:
+    """A range of values that holds a fractional rank: rows below it and inside, and the margin of the next sketch."""
+
+    target: float
+    rows: int
+    low: float
+    high: float
+    below: int
+    inside: int
+    margin: int = 2
+
+    @property
+    def ranks(self) -> tuple[int, int]:
+        return int(self.target), min(int(self.target) + 1, self.rows - 1)
+
+
+def _brackets(rows: DataFrame, percents: Sequence[float], most: int, sketch: int) -> dict[float, _Bracket]:
+    size = rows.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    total = size["n"]
+    found = {p: _Bracket(p / 100.0 * (total - 1), total, size["lo"], size["hi"], 0, total) for p in percents} if total else {}
+    while large := {p: b for p, b in found.items() if b.inside > most and b.low < b.high}:
+        cuts, next_ = [], {}
+        for i, b in enumerate(large.values()):
+            slack = b.margin * (b.inside // sketch + 1)
+            shares = [max(0.0, (b.ranks[0] - b.below - slack) / b.inside), min(1.0, (b.ranks[1] + 1 - b.below + slack) / b.inside)]
+            cuts.append(F.percentile_approx(F.when(F.col("v").between(b.low, b.high), F.col("v")), shares, sketch).alias(f"c{i}"))
+        ends = dict(zip(large, rows.agg(*cuts).first()))
+        checks = [e.alias(f"{k}{i}") for i, (low, high) in enumerate(ends.values()) for k, e in (
+            ("b", F.count(F.when(F.col("v") < low, 1))), ("i", F.count(F.when(F.col("v").between(low, high), 1))))]
+        row = rows.agg(*checks).first()
+        for i, (p, b) in enumerate(large.items()):
+            (low, high), below, inside = ends[p], row[f"b{i}"], row[f"i{i}"]
+            if below <= b.ranks[0] and b.ranks[1] < below + inside and inside < b.inside:
+                next_[p] = _Bracket(b.target, b.rows, low, high, below, inside)
+            else:  # the sketch was off or could not part the values: ask for more room
+                next_[p] = replace(b, margin=b.margin * 4)
+                if b.margin * (b.inside // sketch + 1) > b.inside:
+                    next_[p] = replace(b, inside=min(b.inside, most))
+        found |= next_
+    return found
 
 
 def percentiles_of_counts(
