@@ -238,12 +238,11 @@ def _(spark, sf):
     return unpack(given_forest().transform(table(spark, sf, "events")), "iforest", "event_id")
 
 
-@query("det11_given_forest_sums", f"SELECT event_id, round({_LENGTH}, 6) AS path_length FROM events WHERE event_id % 100 = 0")
+@query("det11_given_forest_sums", f"SELECT event_id, round({_LENGTH}, 6) AS path_length FROM events")
 def _(spark, sf):
     """Contributions and the base value add up to a row's mean path length."""
     model = given_forest()
-    asked = table(spark, sf, "events").filter("event_id % 100 = 0").select("event_id", *_PAIR)
-    parts = model.attribute(asked, "event_id").groupBy("event_id").agg(F.sum("contribution").alias("total"))
+    parts = model.attribute(table(spark, sf, "events").select("event_id", *_PAIR), "event_id").groupBy("event_id").agg(F.sum("contribution").alias("total"))
     return parts.select("event_id", F.round(F.col("total") + model.base_value(), 6).alias("path_length"))
 
 
@@ -290,23 +289,19 @@ def _(spark, sf):
     return unpack(model.transform(df), "autoencoder", "event_id")
 
 
-_HISTORY = "event_id < 400"
-
-
 @query("det2_given_history", (
-    "WITH e AS (SELECT event_id, value, user_id + event_id / 10000e0 AS place FROM events), h AS (SELECT * FROM e WHERE " + _HISTORY + "), "
-    "hh AS (SELECT a.event_id AS i, b.event_id AS j, sqrt(pow(a.value - b.value, 2) + pow(a.place - b.place, 2)) AS d FROM h a JOIN h b ON a.event_id <> b.event_id), "
-    "hk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM hh) WHERE r <= 5), "
-    "reach AS (SELECT i, max(d) AS kd FROM hk GROUP BY i), "
-    "dens AS (SELECT hk.i, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM hk JOIN reach ON reach.i = hk.j GROUP BY hk.i), "
-    "q AS (SELECT a.event_id AS i, b.event_id AS j, sqrt(pow(a.value - b.value, 2) + pow(a.place - b.place, 2)) AS d FROM e a CROSS JOIN h b), "
-    "qk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM q) WHERE r <= 5) "
-    "SELECT qk.i AS event_id, round(-avg(lrd) * (avg(greatest(d, kd)) + 1e-10), 4) AS raw FROM qk JOIN reach ON reach.i = qk.j JOIN dens ON dens.i = qk.j GROUP BY qk.i"))
+    "WITH e AS (SELECT event_id AS i, value, user_id + event_id / 10000e0 AS place FROM events), "
+    "n AS (SELECT i, unnest(near) AS p FROM (SELECT a.i, min_by({'j': b.i, 'd': sqrt(pow(a.value - b.value, 2) + pow(a.place - b.place, 2))}, "
+    "sqrt(pow(a.value - b.value, 2) + pow(a.place - b.place, 2)), 5) AS near FROM e a JOIN e b ON a.i <> b.i GROUP BY a.i)), "
+    "k AS (SELECT i, p.j AS j, p.d AS d FROM n), reach AS (SELECT i, max(d) AS kd FROM k GROUP BY i), "
+    "dens AS (SELECT k.i, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM k JOIN reach ON reach.i = k.j GROUP BY k.i) "
+    "SELECT k.i AS event_id, round(-avg(o.lrd) / any_value(s.lrd), 4) AS raw FROM k JOIN dens o ON o.i = k.j JOIN dens s ON s.i = k.i GROUP BY k.i"))
 def _(spark, sf):
+    """Factors of all events against all events."""
     # The second feature has a part of the number, so that no two distances are equal.
     df = table(spark, sf, "events").select("event_id", "value", (F.col("user_id") + F.col("event_id") / 10000).alias("place"))
-    model = density.LocalOutlierFactor(["value", "place"], k=5).fit(df.filter(_HISTORY).orderBy("event_id"))
-    return unpack(model.transform(df), "lof", "event_id", digits=4).select("event_id", "raw")
+    out = density.outlier_factors(df, ["value", "place"], "event_id", 5)
+    return unpack(out, "lof", "event_id", digits=4).select("event_id", "raw")
 
 
 _DECISION = "(5 * (0.6e0 * cos(0.01e0 * value + 0.02e0 * user_id + 0.5e0) + 0.4e0 * cos(0.03e0 * value - 0.01e0 * user_id + 1) - 0.1e0))"

@@ -1,4 +1,4 @@
-"""Detectors around a bounded history: local outlier factor and one-class boundary; reconstruction error."""
+"""Detectors by density: local outlier factors, one-class boundary; reconstruction error of linear components."""
 
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ from ...functions.scalar import clip
 from ...session import durable
 from .common import as_matrix, collect_matrix, detection
 
-HISTORY_ROWS = 5_000
 _ROWS_AT_ONCE = 512
 #: Cells of the neighbour search at most, and rows of the sample for each; their boxes are broadcast.
 MAX_CELLS, _SAMPLE_ROWS = 16_384, 32
@@ -91,60 +90,6 @@ def nearest_of_all(
     return found.groupBy(number).agg(F.get(F.sort_array(F.collect_list("d")), F.lit(k - 1)).alias(name))
 
 
-class LocalOutlierFactor:
-    """Density around a row against the density around its neighbours (Breunig et al. 2000).
-
-    The history is bounded, so it is a model of fixed size that is broadcast. Finding the neighbours of
-    the history rows is itself spread over the executors.
-    """
-
-    def __init__(self, features: Sequence[str], k: int = 20, contamination: float = 0.05):
-        self.features, self.k, self.contamination = list(features), k, contamination
-        self.model: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-        self.offset = 0.0
-
-    def fit(self, history: DataFrame, max_rows: int = HISTORY_ROWS) -> "LocalOutlierFactor":
-        x = collect_matrix(history.limit(max_rows), self.features)
-        if len(x) <= self.k:
-            return self
-        spark = history.sparkSession
-        shared, k = spark.sparkContext.broadcast(x), self.k
-
-        def neighbours(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in parts:
-                at = pdf["id"].to_numpy()
-                distances, places = nearest(shared.value[at], shared.value, k, skip=at)
-                yield pd.DataFrame({"id": at, "d": distances.tolist(), "p": places.tolist()})
-
-        found = spark.range(len(x)).mapInPandas(neighbours, "id long, d array<double>, p array<long>").toPandas()
-        found = found.sort_values("id")
-        d, p = np.array(found["d"].tolist()), np.array(found["p"].tolist())
-        reach = d[:, -1]
-        density = 1.0 / (np.maximum(d, reach[p]).mean(axis=1) + 1e-10)
-        factor = density[p].mean(axis=1) / density
-        self.model = (x, reach, density)
-        self.offset = float(np.percentile(-factor, 100.0 * self.contamination))
-        return self
-
-    def transform(self, df: DataFrame, name: str = "lof") -> DataFrame:
-        """Without enough history every row gets 0."""
-        if self.model is None:
-            return detection(df, name, F.lit(0.0), F.lit(0.0), F.lit(False))
-        shared, k = df.sparkSession.sparkContext.broadcast(self.model), self.k
-
-        @F.pandas_udf("double")
-        def factor(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            history, reach, density = shared.value
-            for columns in parts:
-                d, p = nearest(as_matrix(columns), history, k)
-                own = 1.0 / (np.maximum(d, reach[p]).mean(axis=1) + 1e-10)
-                yield pd.Series(density[p].mean(axis=1) / own)
-
-        scored = df.withColumn("_factor", factor(*[F.col(f).cast("double") for f in self.features]))
-        value = F.col("_factor")
-        return detection(scored, name, -value, clip((value - 1.0) / 2.0, 0, 1), -value < self.offset).drop("_factor")
-
-
 class CellTree:
     """Median splits along the widest feature, learned from a sample: deals rows into cells of near rows."""
 
@@ -274,7 +219,12 @@ def neighbours_by_cells(df: DataFrame, features: Sequence[str], number: str, k:
 
 
 def outlier_factors(df: DataFrame, features: Sequence[str], number: str, k: int = 20, contamination: float = 0.05, name: str = "lof") -> DataFrame:
-    """Local outlier factor of every row against all rows, with the exact neighbours; no history is cut."""
+    """Local outlier factor of every row against all rows, with the exact neighbours; no history is cut.
+
+    Where rows have fewer than ``k`` others, there is no density yet: every row gets 0 and no flag.
+    """
+    if df.limit(k + 1).count() <= k:
+        return detection(df, name, F.lit(0.0), F.lit(0.0), F.lit(False))
     near = durable(neighbours_by_cells(df, features, number, k))
     reach = near.select(F.col(number).alias("_id"), F.element_at("near", -1)["_d"].alias("_reach"))
     pairs = near.select(number, F.explode("near").alias("_n")).select(number, "_n._d", "_n._id")

@@ -11,17 +11,21 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ...constants import EPSILON
 from ...functions.scalar import clip
-from .common import as_matrix, collect_matrix, detection, row_hash
+from ...session import durable
+from .common import as_matrix, detection, row_hash
 from .scaling import StandardScaler
 
 NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, size int, depth int")
 _EULER = 0.5772156649015329
+#: Rows that are explained at once.
+_EXPLAINED = 4_096
 
 
 def mean_path(n) -> np.ndarray:
@@ -155,52 +159,60 @@ class IsolationForest:
         weight = leaves["size"] / leaves["tree"].map(roots)
         return float((weight * (leaves["depth"] + mean_path(leaves["size"]))).sum() / len(roots))
 
-    def attribute(self, top: DataFrame, id_column: str) -> DataFrame:
-        """Shapley values of the mean path length for a bounded set of rows (a top-k list).
+    def attribute(self, df: DataFrame, id_column: str) -> DataFrame:
+        """(id, feature, contribution): Shapley values of the mean path length, for all rows, where the rows are.
 
-        Trees are explained in parallel and their contributions are added up.
+        What the leaves' paths ask of a row is worked out once and broadcast; its size is that of the forest.
         """
-        spark = top.sparkSession
-        ids = [r[0] for r in top.select(id_column).orderBy(id_column).collect()]
-        x = collect_matrix(top.orderBy(id_column), self.features)
-        shared = spark.sparkContext.broadcast((ids, x, self.features, len(self.nodes["tree"].unique())))
-        kind = top.schema[id_column].dataType.simpleString()
+        trees = [leaf_paths(nodes.sort_values("node")) for _, nodes in self.nodes.groupby("tree")]
+        shared = df.sparkSession.sparkContext.broadcast(trees)
+        names, kind = self.features, df.schema[id_column].dataType.simpleString()
 
-        def explain(pdf: pd.DataFrame) -> pd.DataFrame:
-            keys, rows, names, trees = shared.value
-            phi = tree_shapley(pdf.sort_values("node"), rows) / trees
-            return pd.DataFrame({
-                id_column: np.repeat(np.array(keys, dtype=object), len(names)),
-                "feature": np.tile(np.array(names, dtype=object), len(keys)), "value": phi.ravel()})
+        def explained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
+                for start in range(0, len(x), _EXPLAINED):
+                    rows = x[start:start + _EXPLAINED]
+                    phi = sum(path_shapley(paths, rows) for paths in shared.value) / len(shared.value)
+                    ids = batch.column(0).slice(start, len(rows)).take(pa.array(np.repeat(np.arange(len(rows)), len(names))))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(names * len(rows), pa.string()), pa.array(phi.ravel())], [id_column, "feature", "contribution"])
 
-        parts = self.node_table(spark).groupBy("tree").applyInPandas(
-            explain, f"{id_column} {kind}, feature string, value double")
-        return parts.groupBy(id_column, "feature").agg(F.sum("value").alias("contribution"))
+        values = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"_x{i}") for i, f in enumerate(names)]
+        return df.select(id_column, *values).mapInArrow(explained, f"{id_column} {kind}, feature string, contribution double")
 
 
-def tree_shapley(nodes: pd.DataFrame, x: np.ndarray) -> np.ndarray:
-    """Shapley values of one tree's leaf values for all rows, leaf by leaf (Lundberg et al. 2018).
+Path = tuple[float, dict[int, tuple[float, float, float]]]
 
-    A leaf counts fully for a known feature whose splits the row passes, and by the share of training
-    rows for an unknown one. Sums over feature subsets come from the coefficients of a product.
-    """
+
+def leaf_paths(nodes: pd.DataFrame) -> list[Path]:
+    """Of each leaf of a tree its path length, and by feature the range a row must lie in and the share of training rows
+    that does."""
     table = {int(n.node): n for n in nodes.itertuples()}
-    phi = np.zeros(x.shape)
-    waiting = [(0, {})]
+    out, waiting = [], [(0, {})]
     while waiting:
         node, path = waiting.pop()
         n = table[node]
-        if n.feature >= 0:
-            for child, side in ((n.left, 0), (n.right, 1)):
-                low, high, share = path.get(n.feature, (-np.inf, np.inf, 1.0))
-                low, high = (low, min(high, n.threshold)) if side == 0 else (max(low, n.threshold), high)
-                waiting.append((int(child), {**path, n.feature: (low, high, share * table[int(child)].size / n.size)}))
+        if n.feature < 0:
+            out.append((n.depth + float(mean_path(n.size)), path))
             continue
-        if not path:
-            continue
-        value = n.depth + float(mean_path(n.size))
+        for child, side in ((n.left, 0), (n.right, 1)):
+            low, high, share = path.get(n.feature, (-np.inf, np.inf, 1.0))
+            low, high = (low, min(high, n.threshold)) if side == 0 else (max(low, n.threshold), high)
+            waiting.append((int(child), {**path, n.feature: (low, high, share * table[int(child)].size / n.size)}))
+    return out
+
+
+def path_shapley(paths: list[Path], x: np.ndarray) -> np.ndarray:
+    """Shapley values of one tree's leaf values for all rows, leaf by leaf (Lundberg et al. 2018).
+
+    A leaf counts fully for a known feature whose splits the row passes, and by the share of training
+    rows for an unknown one. Sums over feature subsets come from the coefficients of a product.
+    """
+    phi = np.zeros(x.shape)
+    for value, path in paths:
         m = len(path)
         passes = {f: ((x[:, f] > low) & (x[:, f] <= high)).astype(float) for f, (low, high, _) in path.items()}
+        weights = np.array([factorial(k) * factorial(m - 1 - k) / factorial(m) for k in range(m)])
         for f, (_, _, share) in path.items():
             coefficients = np.zeros((m, len(x)))
             coefficients[0] = 1.0
@@ -209,7 +221,6 @@ def tree_shapley(nodes: pd.DataFrame, x: np.ndarray) -> np.ndarray:
                     shifted = np.zeros_like(coefficients)
                     shifted[1:] = coefficients[:-1] * passes[other]
                     coefficients = coefficients * other_share + shifted
-            weights = np.array([factorial(k) * factorial(m - 1 - k) / factorial(m) for k in range(m)])
             phi[:, f] += value * (passes[f] - share) * (weights @ coefficients)
     return phi
 
@@ -252,7 +263,7 @@ class ScaledForest:
         raw = self.forest._raw(self.scaler.transform(kept)).drop(*self.features).withColumnsRenamed(
             {v: k for k, v in hidden.items()})
         # The bounds need all scores; keep them instead of walking the forest twice.
-        raw = raw.persist()
+        raw = durable(raw)
         low, high = raw.agg(F.min("_raw"), F.max("_raw")).first()
         scaled = 1.0 - (F.col("_raw") - F.lit(low)) / F.lit((high or 0.0) - (low or 0.0) + EPSILON)
         return raw.withColumns({
