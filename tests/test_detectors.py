@@ -156,6 +156,19 @@ def test_neighbours_of_many_features_are_exact_beyond_a_cell(spark):
         assert len({n["_id"] for n in near[i]}) == 20
 
 
+def test_asked_cells_do_not_grow_with_the_table(spark):
+    """Two levels of cells; each row asks about as many other cells in a table ten times as large."""
+    shares = []
+    for rows in (4_000, 40_000):
+        x = F.struct(*[F.randn(seed=i).alias(n) for i, n in enumerate(NAMES)])
+        frame = spark.range(rows).select("id", x.alias("x")).select("id", "x.*")
+        cells = density.Cells(frame, NAMES, "id", 200)
+        assert cells.boxes.select("_leaf").distinct().count() <= 16 and cells.boxes.count() >= rows // 400
+        assert cells.placed.groupBy("_cell").count().agg(F.max("count")).first()[0] < 600
+        shares.append(cells.asked(density.inside_cells(cells, 5).drop("near")).count() / rows)
+    assert 0 < shares[1] < 1.3 * shares[0]
+
+
 def test_nearest_of_all_is_exact_in_blocks(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(700, 4))

@@ -344,7 +344,7 @@ def _(spark, sf):
 
 # All columns of the log view; those of a namespace by their dotted names.
 _SPACES = ("host", "user", "event", "process", "parent", "network", "file", "source", "destination")
-_PROFILED = {(c.replace("_", ".", 1) if c.split("_")[0] in _SPACES else c): c for c in LOG_COLUMNS if c != "event_no"}
+_PROFILED = {(c.replace("_", ".", 1) if c.split("_")[0] in _SPACES else c): c for c in LOG_COLUMNS}
 
 
 def _space(name: str) -> str:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.scalar import clip
@@ -15,7 +16,7 @@ from ...session import durable
 from .common import as_matrix, collect_matrix, detection
 
 _ROWS_AT_ONCE = 512
-#: Cells of the neighbour search at most, and rows of the sample for each; their boxes are broadcast.
+#: Leaves of the neighbour search's upper level at most, and rows of the samples for each leaf or cell.
 MAX_CELLS, _SAMPLE_ROWS = 16_384, 32
 #: Rows beyond which a cell, and asking rows beyond which the asking of a cell, are cut into parts.
 _CELL_ROWS, _ASKED_ROWS = 10_000, 50_000
@@ -131,89 +132,170 @@ class CellTree:
         return out
 
 
-def neighbours_by_cells(df: DataFrame, features: Sequence[str], number: str, k: int, cell: int = 2_000) -> DataFrame:
-    """(number, near): the k nearest of all rows for every row, as (_d, _id), nearest first. Exact.
+class Cells:
+    """Rows in cells of near rows, in two levels of median splits, and the boxes of both levels.
 
-    A tree of median splits deals the rows into cells of about ``cell`` rows. The k-th distance inside a row's own cell
-    bounds the search: the row also asks each other cell whose bounding box is nearer than that, so no neighbour is
-    lost. The tree is learned from a sample, which decides only who is dealt where. Cells that stay large (equal rows,
-    very large tables) are cut by a row hash, each part with a box of its own; cells asked often are asked in parts.
+    The upper tree has about as many leaves as each of its leaves has cells. It is learned from a sample of all rows and
+    broadcast with the boxes of its leaves, some thousands even for very many rows. A lower tree is learned from a sample
+    of its leaf's rows, where they are; it and the boxes of its cells stay with the leaf. The samples decide only who is
+    dealt where. A cell that stays large, since its rows are equal, is cut by a row hash.
     """
-    kind, names = df.schema[number].dataType.simpleString(), list(features)
-    values = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in names]
-    fixed = durable(df.select(number, *values))
-    total, spark = fixed.count(), df.sparkSession
-    near_type = f"array<struct<_d:double,_id:{kind}>>"
-    wanted = min(-(-total // cell), MAX_CELLS)
-    each = max(1, total // max(wanted * _SAMPLE_ROWS, 1))
-    row_hash = F.xxhash64(F.lit("cells"), number)
-    tree = CellTree(collect_matrix(fixed.where(F.pmod(row_hash, F.lit(each)) == 0), names), -(-total // (wanted * each)) if wanted else 1)
-    shared_tree = spark.sparkContext.broadcast(tree)
-
-    @F.pandas_udf("long")
-    def leaf(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for columns in parts:
-            yield pd.Series(shared_tree.value.cells(as_matrix(columns)))
 
-    def dealt(rows: DataFrame, by: str, most: int) -> DataFrame:
-        """The number of parts of at most about ``most`` rows, by the column."""
-        return F.broadcast(rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / most).alias("_parts")))
-
-    part = F.pmod(row_hash, F.col("_parts"))
-    leaves = durable(fixed.withColumn("_leaf", leaf(*names)))
-    placed = durable(leaves.join(dealt(leaves, "_leaf", _CELL_ROWS), "_leaf").withColumn("_cell", F.col("_leaf") * (1 << 32) + part).drop("_leaf", "_parts"))
-
-    def pairs(d: np.ndarray, ids: np.ndarray, below: np.ndarray) -> list[list[dict]]:
-        return [[{"_d": a, "_id": b} for a, b in zip(x[x < m].tolist(), i[x < m].tolist())] for x, i, m in zip(d, ids, below)]
+    def __init__(self, df: DataFrame, features: Sequence[str], number: str, cell: int):
+        self.names, self.number, self.cell = list(features), number, cell
+        self.kind = df.schema[number].dataType.simpleString()
+        self.columns = ", ".join(f"{f} double" for f in self.names)
+        fixed = durable(df.select(number, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in self.names]))
+        self.leaves = durable(self._upper(fixed))
+        self.placed = durable(self._lower(self.leaves))
+        low, high = ([f(n).alias(f"{k}{i}") for i, n in enumerate(self.names)] for k, f in (("l", F.min), ("h", F.max)))
+        self.boxes = durable(self.placed.groupBy("_leaf", "_cell").agg(*low, *high))
+
+    def _hash(self, label: str) -> Column:
+        return F.xxhash64(F.lit(label), self.number)
+
+    def _upper(self, fixed: DataFrame) -> DataFrame:
+        total = fixed.count()
+        wanted = max(1, min(int(np.ceil(np.sqrt(total / self.cell))), MAX_CELLS))
+        each = max(1, total // (wanted * _SAMPLE_ROWS))
+        sample = collect_matrix(fixed.where(F.pmod(self._hash("upper"), F.lit(each)) == 0), self.names)
+        shared = fixed.sparkSession.sparkContext.broadcast(CellTree(sample, max(1, -(-len(sample) // wanted))))
+
+        @F.pandas_udf("long")
+        def leaf(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            for columns in parts:
+                yield pd.Series(shared.value.cells(as_matrix(columns)))
+
+        return fixed.withColumn("_leaf", leaf(*self.names))
+
+    def _lower(self, leaves: DataFrame) -> DataFrame:
+        sizes = leaves.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_cells", F.ceil(F.col("_rows") / self.cell))
+        names, columns = self.names, f"{self.number} {self.kind}, {self.columns}, _leaf long, _cell long"
+        share = F.greatest(F.lit(1), F.floor(F.col("_rows") / (F.col("_cells") * _SAMPLE_ROWS)))
+        sample = leaves.join(F.broadcast(sizes), "_leaf").where(F.pmod(self._hash("lower"), share) == 0)
+
+        def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+            cells = int(pdf["_cells"].iloc[0])
+            tree = CellTree(pdf.sort_values(names)[names].to_numpy(dtype=float), max(1, -(-len(pdf) // cells)))
+            return pd.DataFrame({"_leaf": [pdf["_leaf"].iloc[0]], "tree": [pickle.dumps(tree, 5)]})
+
+        trees = durable(sample.groupBy("_leaf").applyInPandas(grow, "_leaf long, tree binary"))
+
+        def deal(rows: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows):
+                return pd.DataFrame({c: [] for c in (self_number, *names, "_leaf", "_cell")})
+            cells = pickle.loads(tree["tree"].iloc[0]).cells(rows[names].to_numpy(dtype=float)) if len(tree) else np.zeros(len(rows), np.int64)
+            return rows[[self_number, *names, "_leaf"]].assign(_cell=rows["_leaf"] * (1 << 36) + cells * (1 << 16))
+
+        self_number = self.number
+        left, right = self._salted(leaves, trees, "_leaf", "deal")
+        dealt = durable(left.cogroup(right).applyInPandas(deal, columns))
+        # Equal rows that no split parts.
+        parts = dealt.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / _CELL_ROWS).alias("_parts")).where("_parts > 1")
+        part = F.when(F.col("_parts").isNotNull(), F.pmod(self._hash("parts"), F.least(F.col("_parts"), F.lit((1 << 16) - 1)))).otherwise(F.lit(0))
+        return dealt.join(parts, "_cell", "left").withColumn("_cell", F.col("_cell") + part).drop("_parts")
+
+    def _salted(self, rows: DataFrame, side: DataFrame, by: str, label: str):
+        """Both frames grouped by the column and a part, so that at most some ``_ASKED_ROWS`` rows meet the side's."""
+        parts = durable(rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / _ASKED_ROWS).alias("_parts")))
+        left = rows.join(parts, by).withColumn("_part", F.pmod(self._hash(label), F.col("_parts"))).drop("_parts")
+        again = parts.select(F.col(by).alias("_by"), F.col("_parts").alias("_times"))
+        right = side.join(again, F.col(by) == F.col("_by")).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)))
+        return left.groupBy(by, "_part"), right.drop("_by", "_times").groupBy(by, "_part")
+
+    def asked(self, bounded: DataFrame) -> DataFrame:
+        """(number, features, _bound, _cell): each row with every other cell whose box is nearer than the row's bound.
+
+        First the leaves, by the broadcast boxes; then the cells of these leaves, where the boxes of a leaf are.
+        """
+        n, names, number, columns = len(self.names), self.names, self.number, f"{self.number} {self.kind}, {self.columns}, _bound double"
+        ends = [f(f"{k}{i}").alias(f"{k}{i}") for k, f in (("l", F.min), ("h", F.max)) for i in range(n)]
+        leaves = self.boxes.groupBy("_leaf").agg(*ends).toPandas()  # at most MAX_CELLS rows
+        shared = bounded.sparkSession.sparkContext.broadcast((leaves["_leaf"].to_numpy(), *_corners(leaves, n)))
+
+        def of_leaves(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            leaf, low, high = shared.value
+            for pdf in parts:
+                for rows, hit in _near(pdf[names].to_numpy(dtype=float), pdf["_bound"].to_numpy(), low, high):
+                    yield pdf.iloc[rows][[number, *names, "_bound"]].assign(_from=pdf["_cell"].to_numpy()[rows], _leaf=leaf[hit])
+
+        found = durable(bounded.mapInPandas(of_leaves, f"{columns}, _from long, _leaf long"))
+
+        def of_cells(rows: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
+            out = [rows.iloc[:0][[number, *names, "_bound"]].assign(_cell=np.zeros(0, np.int64))]
+            if len(rows) and len(boxes):
+                cell, own = boxes["_cell"].to_numpy(), rows["_from"].to_numpy()
+                for at, hit in _near(rows[names].to_numpy(dtype=float), rows["_bound"].to_numpy(), *_corners(boxes, n)):
+                    other = cell[hit] != own[at]
+                    out.append(rows.iloc[at[other]][[number, *names, "_bound"]].assign(_cell=cell[hit[other]]))
+            return pd.concat(out)
+
+        left, right = self._salted(found, self.boxes, "_leaf", "asked")
+        return durable(left.cogroup(right).applyInPandas(of_cells, f"{columns}, _cell long"))
+
+
+def _corners(boxes: pd.DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(boxes[[f"{k}{i}" for i in range(n)]].to_numpy(dtype=float) for k in "lh")
+
+
+def _near(x: np.ndarray, bound: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a row and a box that is nearer than the row's bound, block by block."""
+    at_once = max(1, 4_000_000 // len(low))
+    for start in range(0, len(x), at_once):
+        rows = x[start:start + at_once]
+        square = np.zeros((len(rows), len(low)))
+        for f in range(x.shape[1]):
+            square += np.maximum(0.0, np.maximum(low[:, f] - rows[:, f, None], rows[:, f, None] - high[:, f])) ** 2
+        # A little wider than the bound, against rounding.
+        at, hit = np.nonzero(np.sqrt(square) < (bound[start:start + at_once] * (1 + 1e-9))[:, None])
+        yield at + start, hit
+
+
+def _listed(d: np.ndarray, ids: np.ndarray, below: np.ndarray) -> list[list[dict]]:
+    return [[{"_d": a, "_id": b} for a, b in zip(x[x < m].tolist(), i[x < m].tolist())] for x, i, m in zip(d, ids, below)]
+
+
+def inside_cells(cells: Cells, k: int) -> DataFrame:
+    """Each row with its k nearest inside its own cell (``near``) and the k-th distance, infinite if there is none."""
+    names, number = cells.names, cells.number
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, x = pdf[number].to_numpy(), pdf[names].to_numpy(dtype=float)
         out = pdf[[number, "_cell", *names]].assign(_bound=np.inf, near=[[] for _ in ids])
         if len(x) > 1:
             d, p = nearest(x, x, min(k, len(x) - 1), skip=np.arange(len(x)))
-            out["near"] = pairs(d, ids[p], np.full(len(x), np.inf))
+            out["near"] = _listed(d, ids[p], np.full(len(x), np.inf))
             if d.shape[1] == k:
                 out["_bound"] = d[:, -1]
         return out
 
-    columns = ", ".join(f"{f} double" for f in names)
-    own = durable(placed.groupBy("_cell").applyInPandas(inside, f"{number} {kind}, _cell long, {columns}, _bound double, near {near_type}"))
-    boxes = placed.groupBy("_cell").agg(*[F.min(f).alias(f"l{i}") for i, f in enumerate(names)], *[F.max(f).alias(f"h{i}") for i, f in enumerate(names)]).toPandas()
-    if len(boxes) < 2:
-        return own.select(number, "near")
-    n = len(names)
-    shared = spark.sparkContext.broadcast((boxes["_cell"].to_numpy(), boxes.iloc[:, 1:1 + n].to_numpy(dtype=float), boxes.iloc[:, 1 + n:].to_numpy(dtype=float)))
-
-    def asking(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells, low, high = shared.value
-        at_once = max(1, 4_000_000 // len(cells))
-        for whole in parts:
-            for start in range(0, len(whole), at_once):
-                pdf = whole.iloc[start:start + at_once]
-                x, square = pdf[names].to_numpy(dtype=float), np.zeros((len(pdf), len(cells)))
-                for f in range(n):
-                    square += np.maximum(0.0, np.maximum(low[:, f] - x[:, f, None], x[:, f, None] - high[:, f])) ** 2
-                # A little wider than the bound, against rounding.
-                rows, hit = np.nonzero((np.sqrt(square) < (pdf["_bound"].to_numpy() * (1 + 1e-9))[:, None]) & (cells != pdf["_cell"].to_numpy()[:, None]))
-                yield pdf.iloc[rows][[number, *names, "_bound"]].assign(_cell=cells[hit])
-
-    asked = durable(own.drop("near").mapInPandas(asking, f"{number} {kind}, {columns}, _bound double, _cell long"))
-    # One row a cell; made twice, so that the two sides have no column in common.
-    counts = dealt(asked, "_cell", _ASKED_ROWS).toPandas()
-    left, right = (rows.join(F.broadcast(spark.createDataFrame(counts, "_cell long, _parts long")), "_cell") for rows in (asked, placed))
-    left = left.withColumn("_part", part).drop("_parts")
-    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    near = f"array<struct<_d:double,_id:{cells.kind}>>"
+    return durable(cells.placed.groupBy("_cell").applyInPandas(inside, f"{number} {cells.kind}, _cell long, {cells.columns}, _bound double, near {near}"))
+
+
+def neighbours_by_cells(df: DataFrame, features: Sequence[str], number: str, k: int, cell: int = 2_000) -> DataFrame:
+    """(number, near): the k nearest of all rows for every row, as (_d, _id), nearest first. Exact.
+
+    Rows are dealt into cells of about ``cell`` rows. The k-th distance inside a row's own cell bounds the search: the row
+    also asks each other cell whose bounding box is nearer than that, so no neighbour is lost. Which cells these are is
+    found level by level; cells asked often are asked in parts.
+    """
+    cells = Cells(df, features, number, cell)
+    names, near_type = cells.names, f"array<struct<_d:double,_id:{cells.kind}>>"
+    own = inside_cells(cells, k)
+    asked = cells.asked(own.drop("near"))
 
     def others(one: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(one) or not len(rows):
             return pd.DataFrame({number: one[number].iloc[:0], "near": []})
         x, ids = rows[names].to_numpy(dtype=float), rows[number].to_numpy()
         d, p = nearest(one[names].to_numpy(dtype=float), x, min(k, len(x)))
-        near = pairs(d, ids[p], one["_bound"].to_numpy())
+        near = _listed(d, ids[p], one["_bound"].to_numpy())
         some = np.array([bool(m) for m in near])
         return pd.DataFrame({number: one[number].to_numpy()[some], "near": [m for m in near if m]})
 
-    more = left.groupBy("_cell", "_part").cogroup(right.groupBy("_cell", "_part")).applyInPandas(others, f"{number} {kind}, near {near_type}")
+    left, right = cells._salted(asked, cells.placed.drop("_leaf"), "_cell", "others")
+    more = left.cogroup(right).applyInPandas(others, f"{number} {cells.kind}, near {near_type}")
     found = own.select(number, "near").unionByName(more)
     return found.groupBy(number).agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
 
