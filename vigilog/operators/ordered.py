@@ -103,13 +103,14 @@ def per_key_frames(
     build: Callable[[DataFrame, object], DataFrame],
     group_limit: int = GROUP_LIMIT,
     bucket_rows: int = BUCKET_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Per-key ordered frames reaching back at most ``halo`` rows; adds ``_rank`` (1-based, per key).
 
     Small groups use the plain per-key window. When the largest group is over ``group_limit`` rows,
-    all rows are numbered in (key, order) and cut into buckets instead.
+    all rows are numbered in (key, order) and cut into buckets instead. ``largest`` is that size when it is known.
     """
-    if largest_group(df, key) <= group_limit:
+    if (largest_group(df, key) if largest is None else largest) <= group_limit:
         window = Window.partitionBy(key).orderBy(*order)
         return build(df.withColumn("_rank", F.row_number().over(window)), window).drop("_rank")
     placed = global_position(df, [key, *order])

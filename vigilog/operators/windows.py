@@ -22,7 +22,7 @@ EMA_BUCKET = 500
 
 
 def seconds_since_previous(
-    df: DataFrame, key: str, ts: str, tie: str, name: str, group_limit: int | None = None
+    df: DataFrame, key: str, ts: str, tie: str, name: str, group_limit: int | None = None, largest: int | None = None
 ) -> DataFrame:
     """Seconds to the previous event of the same key, 0 for its first, limited to one hour."""
     options = {} if group_limit is None else {"group_limit": group_limit}
@@ -32,27 +32,29 @@ def seconds_since_previous(
         gap = clip(F.coalesce(gap, F.lit(0.0)), 0, GAP_LIMIT_SECONDS)
         return part.withColumn(name, F.when(F.col(key).isNotNull(), gap).otherwise(F.lit(0.0)))
 
-    return per_key_frames(df, key, [ts, tie], 1, build, **options)
+    return per_key_frames(df, key, [ts, tie], 1, build, largest=largest, **options)
 
 
-def running_count(df: DataFrame, key: str, order: Sequence[str], name: str, group_limit: int | None = None) -> DataFrame:
+def running_count(
+    df: DataFrame, key: str, order: Sequence[str], name: str, group_limit: int | None = None, largest: int | None = None
+) -> DataFrame:
     """How many rows of the key came so far, this one included; null for a null key."""
     options = {} if group_limit is None else {"group_limit": group_limit}
     return per_key_frames(
         df, key, order, 0,
         lambda part, window: part.withColumn(name, F.when(F.col(key).isNotNull(), F.col("_rank").cast("long"))),
-        **options,
+        largest=largest, **options,
     )
 
 
-def volume_statistics(df: DataFrame, key: str, order: Sequence[str], prefix: str) -> DataFrame:
+def volume_statistics(df: DataFrame, key: str, order: Sequence[str], prefix: str, largest: int | None = None) -> DataFrame:
     """Exponential mean, rolling deviation and z-score of the running count of each key.
 
     The running count of one key is 1, 2, 3, ..., so all three are functions of the rank alone: the
     mean lags behind the count t by the sum of (1-a)^j for j = 1..t-1, and n consecutive integers
     have sample variance n(n+1)/12. Only the rank needs ordering.
     """
-    out = running_count(df, key, order, "_t")
+    out = running_count(df, key, order, "_t", largest=largest)
     t = F.col("_t").cast("double")
     lag = (F.lit(1.0 - ALPHA) - F.pow(F.lit(1.0 - ALPHA), t)) / F.lit(ALPHA)
     n = F.least(t, F.lit(10.0))
