@@ -277,16 +277,20 @@ def _net_sql() -> str:
     return f"SELECT event_id, (pow({before[0]} - x0, 2) + pow({before[1]} - x1, 2)) / 2 AS e FROM ({sql})"
 
 
-@query("det4_given_network", (
-    "SELECT event_id, round(e, 6) AS raw, round(1 - exp(-0.5e0 * e), 6) AS confidence, 1 - exp(-0.5e0 * e) > 0.8e0 AS anomaly FROM ("
-    + _net_sql() + ")"))
-def _(spark, sf):
+def given_network():
     import numpy as np
 
     model = autoencoder.Autoencoder(["a", "b"], hidden=(3, 2))
     model.weights = np.concatenate([np.append(np.array([ws for ws, _ in layer]).T.ravel(), [bias for _, bias in layer]) for layer in _NET])
+    return model
+
+
+@query("det4_given_network", (
+    "SELECT event_id, round(e, 6) AS raw, round(1 - exp(-0.5e0 * e), 6) AS confidence, 1 - exp(-0.5e0 * e) > 0.8e0 AS anomaly FROM ("
+    + _net_sql() + ")"))
+def _(spark, sf):
     df = table(spark, sf, "events").select("event_id", (F.col("value") / 100).alias("a"), (F.col("user_id") / 100).alias("b"))
-    return unpack(model.transform(df), "autoencoder", "event_id")
+    return unpack(given_network().transform(df), "autoencoder", "event_id")
 
 
 @query("det2_given_history", (
@@ -307,13 +311,56 @@ def _(spark, sf):
 _DECISION = "(5 * (0.6e0 * cos(0.01e0 * value + 0.02e0 * user_id + 0.5e0) + 0.4e0 * cos(0.03e0 * value - 0.01e0 * user_id + 1) - 0.1e0))"
 
 
-@query("det3_given_boundary", (
-    f"SELECT event_id, round({_DECISION}, 6) AS raw, round(least(greatest(0.5e0 - {_DECISION} / 10, 0e0), 1e0), 6) AS confidence, "
-    f"{_DECISION} < 0 AS anomaly FROM events"))
-def _(spark, sf):
+def given_boundary():
     import numpy as np
 
     model = density.OneClassBoundary(_PAIR, width=2)
     model.directions, model.phases = np.array([[0.01, 0.03], [0.02, -0.01]]), np.array([0.5, 1.0])
     model.w, model.rho, model.scale = np.array([0.6, 0.4]), 0.1, 5.0
-    return unpack(model.transform(table(spark, sf, "events")), "ocsvm", "event_id")
+    return model
+
+
+@query("det3_given_boundary", (
+    f"SELECT event_id, round({_DECISION}, 6) AS raw, round(least(greatest(0.5e0 - {_DECISION} / 10, 0e0), 1e0), 6) AS confidence, "
+    f"{_DECISION} < 0 AS anomaly FROM events"))
+def _(spark, sf):
+    return unpack(given_boundary().transform(table(spark, sf, "events")), "ocsvm", "event_id")
+
+
+_SCALED_SCORE = _SCORE.replace("value <=", "v <=").replace("user_id <=", "u <=").replace("20 THEN", "0.25e0 THEN").replace("u <= 50", "u <= 0.5e0").replace("u <= 30", "u <= -0.25e0")
+
+
+@query("det9_given_scaled_forest", (
+    "WITH m AS (SELECT avg(value) AS mv, stddev_pop(value) AS sv, avg(user_id) AS mu, stddev_pop(user_id) AS su FROM events), "
+    f"r AS (SELECT event_id, {_SCALED_SCORE} AS raw FROM (SELECT event_id, (value - mv) / sv AS v, (user_id - mu) / su AS u FROM events, m)) "
+    "SELECT event_id, round(raw, 6) AS anomaly_score_raw, round(1 - (raw - (SELECT min(raw) FROM r)) / ((SELECT max(raw) FROM r) - (SELECT min(raw) FROM r) + 1e-9), 6) "
+    "AS anomaly_score, raw < -0.5e0 AS is_anomaly FROM r"))
+def _(spark, sf):
+    """The scaler learned from the events, a stated forest over the scaled values, scores from 0 to 1."""
+    df = table(spark, sf, "events")
+    model = forest.ScaledForest(_PAIR)
+    model.scaler.fit(df)
+    model.forest = given_forest()
+    cuts = {20.0: 0.25, 50.0: 0.5, 30.0: -0.25}
+    model.forest.nodes = model.forest.nodes.assign(threshold=[cuts.get(t, t) for t in model.forest.nodes["threshold"]])
+    return model.transform(df).select("event_id", *[F.round(c, 6).alias(c) for c in ("anomaly_score_raw", "anomaly_score")], "is_anomaly")
+
+
+_MODELS = {
+    "iforest": f"least(greatest(-{_SCORE}, 0e0), 1e0)", "ocsvm": f"least(greatest(0.5e0 - {_DECISION} / 10, 0e0), 1e0)",
+    "autoencoder": "1 - exp(-0.5e0 * e)", "statistical": "least(greatest(z / 6, 0e0), 1e0)",
+}
+_ALL = "(" + " + ".join(f"({sql}) * {ENSEMBLE_WEIGHTS[n]}e0" for n, sql in _MODELS.items()) + f") / {sum(ENSEMBLE_WEIGHTS[n] for n in _MODELS)}e0"
+
+
+@query("det8_given_ensemble", (
+    "WITH m AS (SELECT avg(value) AS mv, stddev_pop(value) AS sv, avg(user_id) AS mu, stddev_pop(user_id) AS su FROM events), "
+    f"n AS ({_net_sql()}) SELECT event_id, round({_ALL}, 6) AS confidence, {_ALL} > 0.6e0 AS anomaly, 4 AS explanations FROM (SELECT events.*, e, "
+    "greatest(abs((value - mv) / (sv + 1e-9)), abs((user_id - mu) / (su + 1e-9))) AS z FROM events JOIN n USING (event_id), m)"))
+def _(spark, sf):
+    """Four stated models run over the events, and their weighted verdict."""
+    df = table(spark, sf, "events").select("event_id", *_PAIR, (F.col("value") / 100).alias("a"), (F.col("user_id") / 100).alias("b"))
+    out = given_network().transform(given_boundary().transform(given_forest().transform(df)))
+    out = statistical.z_score(out, statistical.moments(df, _PAIR))
+    out = statistical.ensemble(out, {n: F.col(f"{n}.confidence") for n in _MODELS})
+    return out.select("event_id", F.round("confidence", 6).alias("confidence"), "anomaly", F.size("model_explanations").alias("explanations"))
