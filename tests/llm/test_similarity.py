@@ -77,6 +77,12 @@ def test_families_near_the_limit(spark, block):
     assert len({r[2] for r in got}) > 10
 
 
+def test_blocks_of_few_elements(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "ELEMENTS", 700)
+    frame = spark.createDataFrame(list(enumerate(family(50, 4, 6))), "doc_id long, text string")
+    assert rows_of(similarity.near_duplicates(frame)) == expected(frame.collect())
+
+
 def test_sketches_estimate_the_similarity():
     rng = np.random.default_rng(3)
     for n in (1, 2, 5, 40, 3000):
@@ -94,12 +100,3 @@ def test_similarity_is_exact():
     assert similarity.similar(np.arange(4, dtype=np.uint64), np.arange(5, dtype=np.uint64))
     assert not similarity.similar(a[:7], a)
     assert similarity.similar(a[:8], a)
-
-
-def test_forest_takes_the_best_links():
-    codes = np.random.default_rng(1).integers(0, 60_000, (6, 128)).astype(np.uint16)
-    codes[1], codes[2], codes[4] = codes[0], codes[0], codes[3]
-    codes[1, :10] += 1
-    codes[2, :40] += 1
-    codes[4, :60] += 1
-    assert similarity.forest(codes) == [(0, 1), (1, 2)]

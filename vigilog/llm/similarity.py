@@ -11,14 +11,15 @@ with the very same nodes one is kept.
 
 *Links.* Nobody lists all pairs of a band.
 
-1. The nodes of a band are dealt into blocks of about ``BLOCK``, each with the band's least node. A block gives a spanning
-   forest of its nodes, best estimates first, of pairs whose sketches agree in ``ENOUGH`` coordinates (a pair at 0.8
-   agrees in fewer with probability 3e-9). Forest pairs are verified on the full sets, and give first components.
-2. Where a band still holds several components, the nodes outside its largest one are held against all others, block
-   by block; pairs of different components that have not been refuted are verified too.
-
-So no link between different components is lost but by the two probabilities above, and each kept link is exact.
-Components are joined by star contraction.
+1. The nodes of a band are dealt into blocks of at most about ``BLOCK`` nodes and ``ELEMENTS`` elements, with their full
+   sets. In a block each node meets the later ones, unless they are in its component already; if the sketches agree in
+   ``ENOUGH`` coordinates (a pair at 0.8 agrees in fewer with probability 3e-9), the sets are compared. What leaves the
+   block is a spanning forest of links, fewer than it has nodes.
+2. Where a band has several blocks and still several components, the nodes outside its largest component are held against
+   all others, block by block, in the same way.
+
+So no link between different components is lost but by the two probabilities above, and each link is exact. Components
+are joined by star contraction.
 """
 
 from __future__ import annotations
@@ -38,8 +39,10 @@ from .substrings import run_hashes, word_hashes
 SHINGLE, SIMILAR = 4, 80
 COORDINATES, BAND = 128, 4
 ENOUGH = 76
-#: Nodes of a band that a task compares with each other.
-BLOCK = 1024
+#: Nodes of a band, and elements of their sets, that a task compares with each other.
+BLOCK, ELEMENTS = 1024, 1_000_000
+#: Bits of the map of wanted texts (16 MB). A fuller map lets more texts through, never fewer.
+MAP_BITS = 27
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 56) - 1)
 
@@ -75,8 +78,12 @@ def sketch(elements: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = SIMILAR) -> bool:
-    """Whether two sets (sorted, distinct) have at least this similarity."""
-    both = len(a) + len(b) - len(np.union1d(a, b))
+    """Whether two sets (sorted, distinct, not empty) have at least this similarity."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < percent * len(b):
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
@@ -116,123 +123,118 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Re
         yield held
 
 
-def _coordinates(bands: pa.ChunkedArray) -> np.ndarray:
-    """Rows of 16-bit coordinates from rows of bands."""
-    return bands.combine_chunks().flatten().to_numpy().view(np.uint16).reshape(-1, COORDINATES)
-
-
-def _pairs(a: list, b: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-
-def forest(codes: np.ndarray, enough: int = ENOUGH) -> list[tuple[int, int]]:
-    """A spanning forest of greatest estimates over the rows that agree in at least ``enough`` coordinates."""
-    n = len(codes)
-    left, best, owner = np.ones(n, bool), np.full(n, -1), np.zeros(n, np.int64)
-    found, at = [], 0
-    for _ in range(n):
-        left[at], best[at] = False, -1
-        agree = np.where(left, (codes == codes[at]).sum(axis=1), -1)
-        better = agree > best
-        best[better], owner[better] = agree[better], at
-        at = int(best.argmax())
-        if best[at] >= enough:
-            found.append((int(owner[at]), at))
-        elif left.any():
-            best[:] = -1
-            at = int(left.argmax())
-    return found
-
-
-def _dealt(nodes: DataFrame) -> DataFrame:
-    """(band, code, m, least, node): the nodes of each band that at least two share."""
-    rows = nodes.select("node", F.posexplode("bands").alias("band", "code"))
+class _Block:
+    """Nodes with their sets, and which of them are known to be connected."""
+
+    def __init__(self, run: list[pa.RecordBatch], percent: int):
+        rows = pa.Table.from_batches(run)
+        self.names = rows["node"].to_pylist()
+        self.sets = [np.frombuffer(x, np.uint64) for x in rows["elements"].to_pylist()]
+        self.codes = np.array([np.frombuffer(x, np.uint16) for x in rows["codes"].to_pylist()])
+        heads = rows["head"].to_pylist() if "head" in rows.column_names else self.names
+        self.head = np.unique(np.array(heads, object), return_inverse=True)[1]
+        self.percent = percent
+
+    def links(self, asking: np.ndarray, asked: np.ndarray) -> pa.RecordBatch:
+        """Links that connect what is not connected yet: each asking node against the asked ones."""
+        a, b = [], []
+        for i in np.flatnonzero(asking).tolist():
+            near = (self.codes == self.codes[i]).sum(axis=1) >= ENOUGH
+            for j in np.flatnonzero(near & asked & (self.head != self.head[i])).tolist():
+                if self.head[i] != self.head[j] and similar(self.sets[i], self.sets[j], self.percent):
+                    a.append(self.names[i])
+                    b.append(self.names[j])
+                    self.head[self.head == self.head[j]] = self.head[i]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
+def _dealt(nodes: DataFrame, block: int) -> DataFrame:
+    """(band, code, m, blocks, node): the nodes of each band that at least two share."""
+    rows = nodes.select("node", "n", F.posexplode("bands").alias("band", "code"))
     name = F.xxhash64("node")
     shared = (
         rows.groupBy("band", "code")
-        .agg(F.count("*").alias("m"), F.min(name).alias("least"), F.bit_xor(name).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+        .agg(F.count("*").alias("m"), F.sum("n").alias("n"), F.bit_xor(name).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
         .where("m > 1")
     )
     # Bands with the same nodes are told by size and 128 bits; one of them is enough.
-    once = shared.groupBy("m", "x", "y").agg(F.min(F.struct("band", "code", "least")).alias("first")).select("first.*", "m")
-    return rows.join(once, ["band", "code"])
+    once = shared.groupBy("m", "n", "x", "y").agg(F.min(F.struct("band", "code")).alias("first"))
+    blocks = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("n") / ELEMENTS))
+    return rows.drop("n").join(once.select("first.*", "m", blocks.alias("blocks")), ["band", "code"])
 
 
-def _in_blocks(dealt: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
-    """(a, b): forests of all blocks."""
-    blocks = F.ceil(F.col("m") / block)
-    own = F.array(F.pmod(F.xxhash64("node"), blocks))
-    everywhere = F.sequence(F.lit(0).cast("long"), blocks - 1)
-    placed = dealt.select("band", "code", F.explode(F.when(F.xxhash64("node") == F.col("least"), everywhere).otherwise(own)).alias("block"), "node").join(nodes.select("node", "bands"), "node")
+def _in_blocks(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links inside the blocks of all bands."""
 
-    def spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _groups(batches, 3):
-            rows = pa.Table.from_batches(run)
-            names = rows["node"].to_pylist()
-            if len(names) > 1:
-                edges = forest(_coordinates(rows["bands"]))
-                yield _pairs([names[i] for i, _ in edges], [names[j] for _, j in edges])
-
-    ordered = placed.select("band", "code", "block", "node", "bands").repartition("band", "code", "block").sortWithinPartitions("band", "code", "block", "node")
-    return _ordered(ordered.mapInArrow(spanned, "a binary, b binary"))
-
+            rows = _Block(run, percent)
+            every = np.ones(len(rows.names), bool)
+            yield rows.links(every, every)
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    columns = ["band", "code", "block"]
+    placed = dealt.select("band", "code", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "node").join(sets, "node")
+    ordered = placed.select(*columns, "node", "codes", "elements").repartition(*columns).sortWithinPartitions(*columns)
+    return ordered.mapInArrow(linked, "a binary, b binary").distinct()
 
 
-def _across(dealt: DataFrame, nodes: DataFrame, heads: DataFrame, block: int) -> DataFrame:
-    """(a, b): pairs in a band whose components differ and whose sketches agree enough."""
-    headed = stored(dealt.select("band", "code", "m", "node").join(heads, "node", "left").withColumn("head", F.coalesce("head", "node")), "bands")
+def _across(dealt: DataFrame, sets: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between blocks of a band, of nodes whose components differ."""
+    headed = stored(dealt.where("blocks > 1").join(heads, "node", "left").withColumn("head", F.coalesce("head", "node")), "bands")
     sizes = headed.groupBy("band", "code", "head").agg(F.count("*").alias("size"), F.first("m").alias("m")).where("size < m")
     largest = sizes.groupBy("band", "code").agg(F.max(F.struct("size", "head")).alias("top")).select("band", "code", F.col("top.head").alias("top"), F.col("top.size").alias("size"))
     rows = headed.join(largest, ["band", "code"])
-    asked, all_ = F.ceil((F.col("m") - F.col("size")) / block), F.ceil(F.col("m") / block)
+    # The asking nodes are dealt into i, all nodes into j, by the same number of rows a block.
+    asked = F.ceil((F.col("m") - F.col("size")) * F.col("blocks") / F.col("m"))
+    hashed, first = F.xxhash64("node", F.lit(2)), F.lit(0).cast("long")
     outside = F.col("head") != F.col("top")
-    range_ = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    hashed = F.xxhash64("node")
-    ask = rows.where(outside).select("band", "code", F.pmod(hashed, asked).alias("i"), F.explode(range_(all_)).alias("j"), F.lit(True).alias("asks"), "node", "head")
-    answer = rows.select("band", "code", F.explode(range_(asked)).alias("i"), F.pmod(hashed, all_).alias("j"), F.lit(False).alias("asks"), "node", "head")
-    placed = ask.unionByName(answer).join(nodes.select("node", "bands"), "node")
+    ask = rows.where(outside).select("band", "code", F.pmod(hashed, asked).alias("i"), F.explode(F.sequence(first, F.col("blocks") - 1)).alias("j"), F.lit(True).alias("asks"), "node", "head")
+    answer = rows.select("band", "code", F.explode(F.sequence(first, asked - 1)).alias("i"), F.pmod(hashed, "blocks").alias("j"), F.lit(False).alias("asks"), "node", "head")
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _groups(batches, 4):
-            rows = pa.Table.from_batches(run)
-            asks, names, heads = (rows[c].to_numpy() for c in ("asks", "node", "head"))
-            codes = _coordinates(rows["bands"])
-            other = np.flatnonzero(~asks)
-            for i in np.flatnonzero(asks).tolist():
-                near = other[((codes[other] == codes[i]).sum(axis=1) >= ENOUGH) & (heads[other] != heads[i])]
-                if len(near):
-                    yield _pairs([names[i]] * len(near), names[near].tolist())
+            rows = _Block(run, percent)
+            asks = np.concatenate([b.column("asks").to_numpy(zero_copy_only=False) for b in run])
+            yield rows.links(asks, ~asks)
 
     columns = ["band", "code", "i", "j"]
-    ordered = placed.select(*columns, "asks", "node", "head", "bands").repartition(*columns).sortWithinPartitions(*columns)
-    return _ordered(ordered.mapInArrow(compared, "a binary, b binary"))
+    placed = ask.unionByName(answer).join(sets, "node").select(*columns, "asks", "node", "head", "codes", "elements")
+    return placed.repartition(*columns).sortWithinPartitions(*columns).mapInArrow(linked, "a binary, b binary").distinct()
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, elements): the whole sets of the wanted texts (``same``), from the texts themselves."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t, size).tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["node", "elements"])
+def _wanted_map(wanted: DataFrame, bits: int) -> np.ndarray:
+    """A map of fixed size in which the bit of each wanted hash (``same``) is set."""
+    place = F.col("same").bitwiseAND((1 << bits) - 1)
+    rows = wanted.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(same & 63 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
 
-    texts = docs.select("text", F.xxhash64("text").alias("same")).join(wanted, "same", "left_semi").dropDuplicates(["same"])
-    return stored(texts.select("text").mapInArrow(read, "node binary, elements binary").dropDuplicates(["node"]), "sets")
 
+def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, elements, codes): the whole sets of the wanted texts (``same``), from the texts themselves.
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
+    A map of the wanted hashes, of fixed size, tells each task its texts, so that no text is shuffled; what else the map
+    lets through is never asked for.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(_wanted_map(wanted, MAP_BITS))
 
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = sent.value, np.zeros(0, np.uint64)
         for batch in batches:
-            columns = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array([similar(x, y, percent) for x, y in zip(*columns)], pa.bool_()))
+            hashes = batch.column(1).to_numpy().view(np.uint64)
+            at = hashes & np.uint64(64 * len(bits) - 1)
+            fine = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+            new, first = np.unique(hashes[fine], return_index=True)
+            keep = ~np.isin(new, seen)  # the same text again
+            seen = np.concatenate([seen if len(seen) < 1_000_000 else seen[:0], new[keep]])
+            texts = batch.column(0).take(pa.array(np.flatnonzero(fine)[first[keep]]))
+            sets = [shingles(t, size) for t in texts.to_pylist()]
+            columns = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [s.tobytes() for s in sets], [sketch(s).tobytes() if len(s) else b"" for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["node", "elements", "codes"])
 
-    x, y = sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(checked, "a binary, b binary")
+    texts = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("same"))
+    return stored(texts.mapInArrow(read, "node binary, elements binary, codes binary").dropDuplicates(["node"]), "sets")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", size: int = SHINGLE, percent: int = SIMILAR, block: int = BLOCK) -> DataFrame:
@@ -242,16 +244,12 @@ def groups(docs: DataFrame, key: str = "doc_id", size: int = SHINGLE, percent: i
     """
     ready(docs.sparkSession)
     rows = stored(_rows(docs, key, size), "sketches")
-    nodes = stored(rows.where("n > 0").select("node", "bands", "same").dropDuplicates(["node"]), "nodes")
-    dealt = stored(_dealt(nodes), "bands")
-    members = dealt.select("node").distinct()
-    sets = _full_sets(docs, nodes.join(members, "node").select("same"), size)
-
-    tried = stored(_in_blocks(dealt, nodes, block), "pairs")
-    links = stored(_verified(tried, sets, percent), "links")
+    nodes = stored(rows.where("n > 0").select("node", "n", "bands", "same").dropDuplicates(["node"]), "nodes")
+    dealt = stored(_dealt(nodes, block), "bands")
+    sets = _full_sets(docs, nodes.join(dealt.select("node").distinct(), "node").select("same"), size)
+    links = stored(_in_blocks(dealt, sets, percent), "links")
     heads = stored(components(links).select(F.col("a").alias("node"), F.col("b").alias("head")), "heads")
-    more = stored(_across(dealt, nodes, heads, block).join(tried, ["a", "b"], "left_anti"), "pairs")
-    later = stored(_verified(more, sets, percent), "links")
+    later = stored(_across(dealt, sets, heads, percent), "links")
     # A link found later joins two components of the first round.
     short = later.join(heads.withColumnsRenamed({"node": "a", "head": "x"}), "a", "left").join(heads.withColumnsRenamed({"node": "b", "head": "y"}), "b", "left")
     joined = components(short.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))).select(F.col("a").alias("head"), F.col("b").alias("top"))
