@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -99,8 +100,8 @@ def test_licence_sentences(edges, nothing):
         "you may not use this file except\nin compliance with the License. Released under the MIT\nLicense. It is released under the MIT License."
     )
     names = [n for _, _, n in licences.known_sentences(text)]
-    assert names == ["copyright", "reserved", "apache-head", "apache-may-not", "mit-short"]
-    assert licences.licences(names) == ["all-rights-reserved", "Apache-2.0", "MIT"]
+    assert names == ["copyright", "reserved", "apache-head", "apache-may-not", "mit-short", "mit-short"]
+    assert licences.licences(names) == ["all-rights-reserved", "Apache-2.0", "MIT", "MIT"]
     got = licences.licence_scan(edges).collect()
     assert len(got) == edges.count() and all(r.n_sentences == 0 and r.licences == "" for r in got)
     assert licences.licence_scan(nothing).count() == 0
@@ -125,6 +126,62 @@ def test_licences_in_prose_headers_and_spdx_lines():
         assert licences.licences([n for _, _, n in licences.known_sentences(text)]) == want, text
 
 
+def test_grants_at_any_word():
+    for text, want in (
+        ("It is released under the MIT License.", ["MIT"]), ("The code in this repository is released under the MIT license.", ["MIT"]),
+        ("Licensed under the Eclipse Public License 2.0.", ["EPL-2.0"]), ("Dual-licensed under MIT or Apache-2.0", ["MIT", "Apache-2.0"]),
+        ("It needs a tool which is licensed under the GPL v3.", ["GPL-3.0-only"]), ("It is dual licensed under either the MIT license or the Boost Software License 1.0, too", ["MIT", "BSL-1.0"]),
+        ("It was never released under the MIT license.", []), ("licensed under MIT press rules", []), ("licensed under MIT", ["MIT"]), ("released under licence", []),
+    ):
+        assert licences.licences([n for _, _, n in licences.known_sentences(text)]) == want, text
+
+
+def slow_sentences(text):
+    """Every table entry tried at every word."""
+    places = list(re.finditer(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*", text))
+    words = [w[0].lower() for w in places]
+    ends = [i + 1 == len(words) or bool(re.search(r"[.!?;:\n]", text[places[i].end() : places[i + 1].start()])) for i in range(len(words))]
+    grants = [f"{g} under{t}".split() for g in licences.GRANTS for t in ("", " the", " a", " either", " either the")]
+
+    def longest(table, at, whole):
+        fits = [(at + len(x.split()), k) for k, xs in table.items() for x in xs if words[at : at + len(x.split())] == x.split()]
+        return max((f for f in fits if not whole or ends[f[0] - 1]), key=lambda f: f[0], default=(0, ""))
+
+    def name(at):
+        found, bare = longest(licences.NAMES, at, False), longest(licences.BARE, at, False)
+        return found if found[0] else bare if bare[0] and (ends[bare[0] - 1] or words[bare[0]] in ("or", "and")) else (0, "")
+
+    out, at = [], 0
+    while at < len(words):
+        sentence = longest(licences.SENTENCES, at, True) if not at or ends[at - 1] else (0, "")
+        opened = max((at + len(g) for g in grants if words[at : at + len(g)] == g), default=0)
+        if sentence[0]:
+            out.append(sentence[1])
+            at = sentence[0]
+            continue
+        end = at
+        if opened and not set(words[max(0, at - 3) : at]) & licences._NOT:
+            here = opened
+            while here < len(words) and name(here)[0]:
+                end, found = name(here)
+                out.append(found)
+                if end == len(words) or words[end] not in ("or", "and") or ends[end - 1]:
+                    break
+                here = end + 1 + (words[end + 1 : end + 2] in (["the"], ["a"]))
+        at = max(end, at + 1)
+    return out
+
+
+def test_sentences_against_brute_force():
+    rng = random.Random(4)
+    known = [x for table in (licences.SENTENCES, licences.NAMES, licences.BARE) for xs in table.values() for x in xs]
+    words = ["licensed", "under", "the", "mit", "released", "not", "or", "and", "a", "dual-licensed", "license", "gpl", "v3", "either", "apache-2.0"]
+    for _ in range(1500):
+        parts = [rng.choice([rng.choice(known), f"{rng.choice(licences.GRANTS)} under {rng.choice(['the ', '', 'a '])}{rng.choice(known)}", rng.choice(words)]) for _ in range(rng.randrange(1, 8))]
+        text = "".join(p + rng.choice([" ", " ", ". ", "\n", ", "]) for p in parts)
+        assert [n for _, _, n in licences.known_sentences(text) if n != "copyright"] == slow_sentences(text), text
+
+
 def test_licences_of_the_documents(docs, con):
     got = {(r.doc_id, x) for r in licences.licence_scan(docs).collect() for x in r.licences.split(",") if x}
     lines = {

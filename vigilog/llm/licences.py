@@ -2,8 +2,8 @@
 
 A text is read as normalised words; sentences begin after sentence marks and line breaks. At each beginning the longest
 known licence sentence gives its identifier, if it also ends at an end (a sentence may run over line breaks). Short grants
-("released under the MIT license") may stand after a subject ("this project is") and go on after the licence's name. An
-SPDX line gives an identifier for each licence of its expression. The
+("released under the MIT license") may stand at any word and go on after the licence's name, unless a "not" stands shortly
+before; a grant may name several licences ("under MIT or Apache-2.0"). An SPDX line gives an identifier for each licence of its expression. The
 identifiers of a text, in order, are then matched against an ordered list of rules: the first rule whose identifiers
 stand there in a row gives its licence and uses them up. Copyright lines are known too but stand in no one's way.
 
@@ -87,7 +87,12 @@ NAMES = {
     "cc-by-sa-short": ["cc by-sa 4.0", "cc-by-sa-4.0", "creative commons attribution-sharealike 4.0 international license"],
     "cc-by-nc-short": ["cc by-nc 4.0", "cc-by-nc-4.0", "creative commons attribution-noncommercial 4.0 international license"],
     "cc-by-nc-nd-short": ["cc by-nc-nd 4.0", "cc-by-nc-nd-4.0"], "cc0-short": ["cc0 1.0", "cc0-1.0"],
+    "epl2-short": ["eclipse public license 2.0", "eclipse public license version 2.0", "eclipse public license v2.0", "eclipse public license v 2.0", "epl 2.0", "epl-2.0"],
+    "unlicense-short": ["unlicense"], "bsl1-short": ["boost software license 1.0", "boost software license version 1.0", "bsl-1.0"],
+    "zlib-short": ["zlib license"],
 }
+#: Names that stand for a licence only as the whole object of a grant.
+BARE = {"mit-short": ["mit"], "isc-short": ["isc"], "bsd-short": ["bsd-3-clause"], "bsd2-short": ["bsd-2-clause"], "mpl-short": ["mpl-2.0"]}
 for _family, _long, _short, _numbers in (
     ("gpl2", "general public license", "gpl", ("2", "2.0")), ("gpl3", "general public license", "gpl", ("3", "3.0")),
     ("lgpl21", "lesser general public license", "lgpl", ("2.1",)), ("lgpl3", "lesser general public license", "lgpl", ("3", "3.0")),
@@ -96,8 +101,9 @@ for _family, _long, _short, _numbers in (
     _only = [x for n in _numbers for x in _gnu(_long, _short, n)]
     NAMES[f"{_family}-short"] = _only
     NAMES[f"{_family}-later"] = [f"{x} or {y}" for x in _only for y in ("later", "any later version", "newer", "at your option any later version", "at your option later")] + [f"{x}-or-later" for x in _only]
-SUBJECTS = frozenset("project code software program library work package repository source file files module application tool documentation data dataset".split())
-GRANTS = ("licensed", "released", "distributed", "published", "available", "provided")
+GRANTS = ("licensed", "dual-licensed", "dual licensed", "released", "distributed", "published", "available", "provided", "made available")
+_NOT = frozenset("not never no longer neither nor isn't unless".split())
+_JOIN = frozenset(("or", "and"))
 # Rules in the order in which they are tried.
 RULES = [
     ("Apache-2.0", ["apache-head", "apache-may-not", "apache-copy", "apache-as-is", "apache-see"]),
@@ -148,6 +154,10 @@ RULES = [
     ("CC-BY-4.0", ["cc-by-short"]),
     ("CC0-1.0", ["cc0-short"]),
     ("all-rights-reserved", ["reserved"]),
+    ("EPL-2.0", ["epl2-short"]),
+    ("Unlicense", ["unlicense-short"]),
+    ("BSL-1.0", ["bsl1-short"]),
+    ("Zlib", ["zlib-short"]),
 ]
 
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
@@ -162,50 +172,64 @@ _SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*((?:\([ \t]*)*[A-Za-z0-9.+-]+
 _SPDX_PART = re.compile(r"(WITH[ \t(]+)?(?<![A-Za-z0-9.+-])(?!(?:AND|OR|WITH)\b)([A-Za-z0-9][A-Za-z0-9.+-]*)", re.IGNORECASE)
 
 
-def _tree() -> tuple[dict, frozenset[str]]:
-    """The known sentences and grants as nested words; None leads to the identifier and whether it is a grant."""
-    root: dict = {}
-    grants = {k: [f"{g} under {t}{x}" for g in GRANTS for t in ("the ", "a ", "") for x in names] for k, names in NAMES.items()}
-    for table in (SENTENCES, grants):
-        for name, texts in table.items():
-            for text in texts:
-                node = root
-                for word in text.split():
-                    node = node.setdefault(word, {})
-                node[None] = (name, table is grants)
-    return root, frozenset(root)
+def _tree(table: dict[str, list[str]], root: dict | None = None) -> dict:
+    """Texts as nested words; None leads to the identifier."""
+    root = {} if root is None else root
+    for name, texts in table.items():
+        for text in texts:
+            node = root
+            for word in text.split():
+                node = node.setdefault(word, {})
+            node[None] = name
+    return root
 
 
-_ROOT, _FIRST = _tree()
+_SENTENCES, _NAMES, _BARE = _tree(SENTENCES), _tree(NAMES), _tree(BARE)
+_GRANTS = _tree({"grant": [f"{g} under{t}" for g in GRANTS for t in (" the", " a", " either the", " either", "")]})
+
+
+def _longest(root: dict, words: list[str], at: int, ends: list[bool] | None = None) -> tuple[int, str]:
+    """(end, identifier) of the longest known text from a word on, (0, "") if there is none; with ``ends`` it must end there."""
+    node, i, best = root, at, (0, "")
+    while i < len(words) and (node := node.get(words[i])):
+        i += 1
+        if None in node and (ends is None or ends[i - 1]):
+            best = (i, node[None])
+    return best
+
+
+def _named(words: list[str], at: int, ends: list[bool]) -> tuple[int, str]:
+    """A licence's name after a grant; a bare name only where nothing but another licence follows."""
+    found = _longest(_NAMES, words, at)
+    if found[0]:
+        return found
+    end, name = _longest(_BARE, words, at)
+    return (end, name) if end and (ends[end - 1] or words[end] in _JOIN) else (0, "")
 
 
 def known_sentences(text: str) -> list[tuple[int, int, str]]:
     """(start, end, identifier) of the licence sentences, grants and SPDX licences of a text, in order."""
     if not _SIGN.search(text):
         return []
-    words = list(_WORD.finditer(text))
-    out, at, begins = [], 0, True
+    places = list(_WORD.finditer(text))
+    words = [w[0].lower() for w in places]
+    ends = [bool(_BREAK.search(text, a.end(), b.start())) for a, b in zip(places, places[1:])] + [True] * bool(words)
+    out, at = [], 0
     while at < len(words):
-        if at:
-            begins = bool(_BREAK.search(text, words[at - 1].end(), words[at].start()))
-        longest, skipped = None, 0
-        if begins and words[at][0].lower() in ("this", "the"):
-            first = [w[0].lower() for w in words[at : at + 3]]
-            skipped = 3 if first[1:2] and first[1] in SUBJECTS and first[2:] in (["is"], ["are"]) else 0
-        for skip in (0, skipped) if skipped else (0,) if begins and words[at][0].lower() in _FIRST else ():
-            node, i = _ROOT, at + skip
-            while i < len(words) and (node := node.get(words[i][0].lower())):
-                i += 1
-                if None in node:
-                    name, grant = node[None]
-                    ends = i == len(words) or _BREAK.search(text, words[i - 1].end(), words[i].start())
-                    if grant or (ends and not skip):
-                        longest = max(longest or (0, ""), (i, name))
-        if longest:
-            out.append((words[at].start(), words[longest[0] - 1].end(), longest[1]))
-            at = longest[0]
-        else:
-            at += 1
+        begins = not at or ends[at - 1]
+        end, name = _longest(_SENTENCES, words, at, ends) if begins and words[at] in _SENTENCES else (0, "")
+        if not end and words[at] in _GRANTS and (found := _longest(_GRANTS, words, at)[0]) and _NOT.isdisjoint(words[max(0, at - 3) : at]):
+            start, here = at, found
+            while (one := _named(words, here, ends))[0]:
+                out.append((places[start].start(), places[one[0] - 1].end(), one[1]))
+                end, start = one[0], one[0] + 1
+                here = start if end < len(words) and words[end] in _JOIN and not ends[end - 1] else len(words)
+                here += here < len(words) and words[here] in ("the", "a")
+            at = max(end, at + 1)
+            continue
+        if end:
+            out.append((places[at].start(), places[end - 1].end(), name))
+        at = end or at + 1
     named = [(m.start(1) + p.start(2), m.start(1) + p.end(2), f"spdx:{p[2]}") for m in _SPDX.finditer(text) for p in _SPDX_PART.finditer(m[1]) if not p[1]]
     out += [x for x in named if not any(a < x[1] and x[0] < b for a, b, _ in out)]
     inside = [(m.start(), m.end(), "copyright") for m in _COPYRIGHT.finditer(text)]
