@@ -195,6 +195,17 @@ def test_article_of_a_page():
     assert pages.parse("").text() == "" and pages.parse("<p").text() == ""
     assert pages.parse("<article>a <p class='notice'>n <p>b</article>").text() == "a\nb"
     assert pages.parse("<main><div class=cookie-bar>c<div>d</div></div>x &#233;</main>").text() == "x é"
+    assert pages.parse('<article>Story here.</article><div id="comments"><article class="comment-body"><p>Reader says hi</article></div>').text() == "Story here."
+    assert pages.parse('<article><p>Story<div id="comments"><article class="comment-body"><p>Reader says hi at great length</article></div></article>').text() == "Story"
+    assert pages.parse('<article>A</article><article class="comment"><p>Reader</p></article>').text() == "A"
+    assert pages.parse('<div>x y</div><aside class="related"><article class="card"><p>Other teaser</article></aside>').text() == ""
+    assert pages.parse('<aside class="related"><article class="card"><p>Other teaser</article></aside><main>M</main>').text() == "M"
+    assert pages.parse('<main><p>a</p><div class="post-content share-friendly"><p>Body of text</div></main>').text() == "a\nBody of text"
+    assert pages.parse('<main><p>a</p><div class="share-box"><p>Body of a long text</div><div class=share>tell</div></main>').text() == "a\nBody of a long text"
+    assert pages.parse('<main><p>a long text of it</p><div class="share-box"><p>tell</div></main>').text() == "a long text of it"
+    assert pages.parse('<div class="layout sidebar"><nav>n</nav><main>M<div class=sidebar>s</div></main></div>').text() == "M"
+    assert pages.parse('<div class="has-sidebar no-ads"><main>M</main></div>').text() == "M"
+    assert pages.parse("<nav>menu<article>M</article>").text() == "M" and pages.parse("<nav>menu<article>M</article></nav>").text() == ""
     assert pages.host_of("HTTPS://u:p@Www.Ex.org:80/a?b") == "www.ex.org" and pages.host_of(None) == ""
 
 
