@@ -24,6 +24,15 @@ def test_ids_equal_the_library(plain):
         assert token_counts.encoder("byte_bpe_50k.json").ids(text) == plain(text)
 
 
+def test_long_documents_are_spliced(plain, docs):
+    """Documents over a chunk are counted from spliced chunks, and equal the whole."""
+    long = docs.where(f"length(text) > {token_counts.CHUNK}").collect()
+    own = token_counts.encoder("byte_bpe_50k.json")
+    assert long
+    for r in long:
+        assert own.ids(r.text) == own.spliced(r.text) == plain(r.text)
+
+
 @pytest.mark.parametrize("chunk, overlap", [(20, 2), (50, 8), (7, 1)])
 def test_spliced_chunks_equal_the_whole(plain, chunk, overlap):
     rng = random.Random(chunk)

@@ -26,6 +26,8 @@ from .common import stored
 from .token_counts import encoder
 
 WINDOW = 2048
+#: Texts of up to so many characters are encoded at once, longer ones in chunks.
+WHOLE = 262_144
 #: Tokens for one packer. Only the last open windows of a packer are padded, so larger packers pad less.
 PACKER_TOKENS = 8_000_000
 
@@ -66,7 +68,7 @@ def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int =
     """The pieces of every document: doc_id, start, length, ids_crc32, doc_tokens; each id is in exactly one piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary)
+        own = encoder(vocabulary, WHOLE)
         for batch in batches:
             rows, start, length, crc, total = [], array("q"), array("q"), array("q"), array("q")
             for row, text in enumerate(batch.column(1).to_pylist()):

@@ -7,7 +7,7 @@ chunks are spliced at the first stable place inside the overlap at which both sh
 the overlap is doubled, at last to the end of the text. The result equals encoding the whole text at once.
 
 Texts that fit a chunk are encoded whole. If all their characters belong to long settled Latin blocks and no special
-string occurs, the rank table of the same vocabulary gives the same ids in less time; other texts, and all huge ones, go
+string occurs, the rank table of the same vocabulary gives the same ids in less time; other texts, and all that are cut, go
 through the tokenizer file.
 """
 
@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 
 from .common import tokenizer, vocabulary_path
 
-#: Characters of one chunk of a huge text, and of the first overlap.
-CHUNK, OVERLAP = 262_144, 256
+#: Characters of one chunk of a long text, and of the first overlap.
+CHUNK, OVERLAP = 16_384, 256
 #: A space behind a character that no tokenizer takes for white space.
 _STABLE_SPACE = re.compile(r"(?<![\s\x1c-\x1f]) ")
 #: Outside these blocks the two libraries could class a character by different Unicode versions.
@@ -89,14 +89,14 @@ class Encoder:
         return None
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(vocabulary: str) -> Encoder:
-    """One encoder a worker and vocabulary, loaded once."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = Encoder(vocabulary_path(vocabulary))
-    return _ENCODERS[vocabulary]
+def encoder(vocabulary: str, chunk: int = CHUNK) -> Encoder:
+    """One encoder a worker, vocabulary and size of chunks, loaded once."""
+    if (vocabulary, chunk) not in _ENCODERS:
+        _ENCODERS[vocabulary, chunk] = Encoder(vocabulary_path(vocabulary), chunk)
+    return _ENCODERS[vocabulary, chunk]
 
 
 def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = 1024) -> DataFrame:
