@@ -121,6 +121,30 @@ def test_vantage_tree_groups_are_exact():
     assert simhash.shard_groups(codes).tolist() == [least[g] for g in groups]
 
 
+def test_triangle_bounds_prune():
+    """Fingerprints of many groups that share a block: a query at radius 3 sees a small part of the tree."""
+    rng = np.random.default_rng(6)
+    block = np.uint64(0x1234)
+    codes = np.unique(rng.integers(0, 2**48, 4000).astype(np.uint64) << np.uint64(16) | block)
+    tree = simhash.VantageTree(codes)
+    assert len(tree.nodes) > 500
+    seen = 0
+
+    alive = np.ones(len(codes), bool)
+    for query in tree.codes[::100]:
+        stack, visited = [tree.root], 0
+        while stack:
+            low, high, middle, inner, outer = tree.nodes[stack.pop()]
+            visited += 1
+            if inner >= 0:
+                far = int(np.bitwise_count(query ^ tree.codes[low]))
+                stack += [inner] * (far <= middle + 3) + [outer] * (far > middle - 3)
+        seen += visited
+        want = np.flatnonzero(np.bitwise_count(tree.codes ^ query) <= 3)
+        assert np.array_equal(tree.within(np.array([query]), alive, 3), want)
+    assert seen / len(tree.codes[::100]) < 0.9 * len(tree.nodes)
+
+
 def test_hot_shards_dealt_again_give_the_same_components(spark):
     codes = clustered(400)
     nodes = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")

@@ -28,7 +28,7 @@ from .similarity import groups
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints in a shard beyond which it is dealt once more. Bounds the memory of a task.
 SHARD_ROWS = 20_000
-_LEAF = 48
+_LEAF = 8
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
