@@ -71,6 +71,36 @@ def test_trees_add_what_the_patterns_miss(spark):
     assert clean[1].text is None and clean[1].n_chars is None
 
 
+def test_weak_labels():
+    def labels(text):
+        base = set(pii.base_spans(text))
+        return {text[a:b]: pii.weak_label(text, (k, a, b), base) for k, a, b in pii.candidates(text) if k == 3}
+
+    assert labels("Tel. 0044 20 7946 0958 now")["0044 20 7946 0958"] == 1.0
+    assert labels("phone: (555) 010-9999 now")["(555) 010-9999"] == 1.0
+    assert labels("it is (555) 010-9999 now")["(555) 010-9999"] is None
+    assert labels("order 7781 3342 now")["7781 3342"] == 0.0
+    assert labels("at +44 20 7946 0958 now")["+44 20 7946 0958"] == 1.0
+
+
+def test_numbers_of_many_groups_are_candidates():
+    for text in ("0033 (0)1 23 45 67 89", "41 11 11 11 11 11 11 11"):
+        assert any(f"x {text} y"[a:b] == text for _, a, b in pii.candidates(f"x {text} y"))
+
+
+def test_trees_add_announced_numbers(spark):
+    """Telephone numbers without a plus, announced by a word, are learned from weak labels; bare numbers stay."""
+    rng = np.random.default_rng(12)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+
+    def row(i):
+        return (i, f"word{i} call +1 (743) 555-{digits(4)} or phone 0044 20 {digits(4)} {digits(4)} part {digits(4)} {digits(4)} lot {digits(3)} {digits(3)} {digits(3)} end")
+
+    model = pii.fit(spark.createDataFrame([row(i) for i in range(600)], "doc_id long, text string"))
+    text = "Please phone 0044 20 7946 0958 about part 7781 3342."
+    assert [text[a:b] for _, a, b in model.added([text], [pii.base_spans(text)])[0]] == ["0044 20 7946 0958"]
+
+
 def test_taken_stretches():
     rng = np.random.default_rng(8)
     for _ in range(200):
