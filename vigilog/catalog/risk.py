@@ -49,11 +49,14 @@ def on_risk(tail: str) -> str:
     return on_batch("", **RISK_CTES).replace("WITH logs", "WITH RECURSIVE logs", 1).rstrip() + _FOLD + tail
 
 
-def pillars(spark, sf):
+def featured(spark, sf):
     df = spread_logs(spark, sf)
-    rows = afterwards(df)
-    ready = beh.behaviour_features(rows, state_of(df), ["user", "ip", "process"])
-    return risk.with_pillars(ready.withColumn("ml_confidence", F.expr(SCORE_SQL)), rows)
+    ready = beh.behaviour_features(afterwards(df), state_of(df), ["user", "ip", "process"])
+    return ready.withColumn("ml_confidence", F.expr(SCORE_SQL))
+
+
+def pillars(spark, sf):
+    return risk.with_pillars(featured(spark, sf), afterwards(spread_logs(spark, sf)))
 
 
 def _pillar(key, column):
@@ -70,20 +73,20 @@ _pillar("rsk5_temporal_pillar", "temporal_pillar")
 
 @query("rsk4_history_pillar", on_risk("SELECT doc_id, history_pillar FROM r"))
 def _(spark, sf):
-    return risk.with_risk(pillars(spark, sf)).select("doc_id", "history_pillar")
+    return risk.scored_risk(featured(spark, sf)).select("doc_id", "history_pillar")
 
 
 @query("win7_user_risk_fold", on_risk(
     "SELECT doc_id, round(past, 6) AS past_risk, round(risk, 6) AS final_risk, round(mean, 6) AS user_risk FROM r"))
 def _(spark, sf):
-    return risk.with_risk(pillars(spark, sf)).select(
+    return risk.scored_risk(featured(spark, sf)).select(
         "doc_id", *[F.round(c, 6).alias(c) for c in ("past_risk", "final_risk", "user_risk")])
 
 
 @query("rsk6_risk_score", on_risk(
     "SELECT doc_id, CAST(floor(risk) AS INTEGER) AS risk_score, risk_level, CAST(floor(conf * 100) AS INTEGER) AS confidence FROM r"))
 def _(spark, sf):
-    return risk.with_risk(pillars(spark, sf)).select("doc_id", "risk_score", "risk_level", "confidence")
+    return risk.scored_risk(featured(spark, sf)).select("doc_id", "risk_score", "risk_level", "confidence")
 
 
 def _detail(*cases: str) -> str:
@@ -136,7 +139,7 @@ _REPORT = (
 
 @query("rsk7_risk_report", on_risk(_REPORT))
 def _(spark, sf):
-    out = risk.with_report(risk.with_risk(pillars(spark, sf)))
+    out = risk.with_report(risk.scored_risk(featured(spark, sf)))
     return out.select(
         "doc_id", F.array_join(F.transform("contributors", lambda c: F.concat(
             c["pillar"], F.lit(" "), F.round(c["score"] * 100).cast("bigint").cast("string"), F.lit(": "), c["detail"])), " > ").alias("contributors"),

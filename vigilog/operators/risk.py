@@ -93,9 +93,15 @@ def with_pillars(
     Needs ``ml_confidence`` and the behaviour features of users, addresses and processes. ``logs`` are
     the rows before the features were added: ordering them is cheaper than ordering ``df``.
     """
+    recent = recent_failures(df if logs is None else logs, number, order, window)
+    return _temporal(_static(df).join(recent, number))
+
+
+def _static(df: DataFrame) -> DataFrame:
+    """What the pillars need of a row alone, and all pillars but the temporal one."""
     message = [F.col("message")] if "message" in df.columns else []
     command = F.coalesce(F.col("command_line"), *message, F.lit(""))
-    df = df.join(recent_failures(df if logs is None else logs, number, order, window), number).withColumns({
+    df = df.withColumns({
         "_who": F.coalesce("user_name", F.lit("unknown")), "_failed": F.coalesce(is_auth_failure(), F.lit(False)),
         "_base64": scalar.has_base64_run(command), "_keyword": scalar.first_keyword(command),
     })
@@ -105,10 +111,13 @@ def with_pillars(
         "behaviour_pillar": _points([(s.new_user, 30.0), (s.new_ip, 20.0), (s.odd_command, 50.0), (s.failed_often, 40.0)]),
         "intel_pillar": _points([(s.base64, 60.0), (s.keyword, 40.0), (s.port, 30.0)]),
         "asset_points": _points([(s.critical_host, 50.0)]),
-        "temporal_pillar": _points([(s.brute_force, 80.0)]),
     })
 
 
+def _temporal(df: DataFrame) -> DataFrame:
+    return df.withColumn("temporal_pillar", _points([(signals().brute_force, 80.0)]))
+
+
 def weighted_risk(history: Column, weights: dict[str, float] = K.RISK_WEIGHTS) -> Column:
     total = (
         F.lit(weights["ml"]) * F.col("ml_pillar") + F.lit(weights["behaviour"]) * F.col("behaviour_pillar")
@@ -275,16 +284,32 @@ def user_risk_fold(
     return df.join(folded, number)
 
 
-def with_risk(
+def scored_risk(
     df: DataFrame, order: tuple[str, ...] = ("ts", "doc_id"), initial: DataFrame | None = None,
-    bucket_rows: int = BUCKET_ROWS, number: str = "doc_id",
+    bucket_rows: int = BUCKET_ROWS, number: str = "doc_id", window: int = K.FAILURE_WINDOW,
 ) -> DataFrame:
-    """Final risk of rows with pillars, with the past of each user fed back."""
-    ready = durable(df.withColumns({
+    """Pillars and final risk at once. Needs the same columns as ``with_pillars``.
+
+    The rows are stored once. Both orders, by time for the failures and by user for the fold, run over the few numbers
+    they need; their outcome meets the rows in one join.
+    """
+    ready = durable(_static(df))
+    pillars = ["ml_pillar", "behaviour_pillar", "intel_pillar", "asset_points"]
+    narrow = ready.select(number, *[c for c in order if c != number], "_who", "_failed", *pillars)
+    narrow = _temporal(failures_in_window(narrow, "_who", "_failed", list(order), "_recent", window))
+    narrow = durable(_calm_and_tense(narrow).select(number, *[c for c in order if c != number], "_who", "_recent", "temporal_pillar", "_calm", "_tense"))
+    folded = user_risk_fold(narrow, order, initial, bucket_rows, number)
+    return _finished(ready.join(folded.select(number, "_recent", "temporal_pillar", "past_risk", "final_risk", "user_risk"), number))
+
+
+def _calm_and_tense(df: DataFrame) -> DataFrame:
+    return df.withColumns({
         "_calm": weighted_risk(history_points(F.lit(0.0))), "_tense": weighted_risk(history_points(F.lit(100.0))),
-    }))
-    out = user_risk_fold(ready, order, initial, bucket_rows, number).drop("_calm", "_tense")
-    return out.withColumns({
+    })
+
+
+def _finished(df: DataFrame) -> DataFrame:
+    return df.withColumns({
         "history_pillar": history_points(F.col("past_risk")),
         "risk_score": F.floor("final_risk").cast("int"), "risk_level": scalar.score_level(F.col("final_risk")),
         "confidence": F.floor(F.col("ml_confidence") * 100).cast("int"),
