@@ -76,7 +76,9 @@ def _without_gaps(counted: DataFrame, interval: str, names: Sequence[str]) -> Da
     placed = counted.withColumn("_inside", inside).join(F.broadcast(table), "_year", "left").withColumn("_next", F.coalesce("_inside", "_jump"))
     kept = placed.select("bucket", *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names])
     gaps = placed.filter(F.col("_next") > F.col("bucket") + step).select((F.col("bucket") + step).alias("_from"), (F.col("_next") - step).alias("_to"))
-    parts = gaps.select(F.explode(F.sequence("_from", "_to", stride)).alias("_start"), "_to").repartition("_start")
+    parts = gaps.select(F.explode(F.sequence("_from", "_to", stride)).alias("_start"), "_to")
+    if (pieces := parts.count()) > 1:  # a stated number, as so few bytes would be merged to one task again
+        parts = parts.repartition(min(pieces, int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "_start")
     filled = parts.select(F.explode(F.sequence("_start", F.least("_to", F.col("_start") + stride - step), step)).alias("bucket"))
     return kept.unionByName(filled.select("bucket", *[F.lit(0).cast(kept.schema[n].dataType).alias(n) for n in names]))
 
