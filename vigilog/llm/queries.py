@@ -12,7 +12,10 @@ from . import (
 )
 from .common import table
 from .decontamination_sql import LEAKS_SQL
+from .divergence_sql import DIVERGENCE_SQL
+from .phrases_sql import COLLOCATIONS_SQL
 from .quality_sql import QUALITY_SQL
+from .similarity_sql import NEAR_DUPLICATES_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,4 +84,7 @@ QUERIES: dict[str, Query] = {
     )
 }
 #: Queries whose rows SQL can express; the others are tested against brute force.
-SQL: dict[str, str] = {"op1_quality_divergence": QUALITY_SQL, "op6_simhash_decontamination": LEAKS_SQL}
+SQL: dict[str, str] = {
+    "op1_quality_divergence": QUALITY_SQL, "op6_simhash_decontamination": LEAKS_SQL, "op11_phrase_collocations": COLLOCATIONS_SQL,
+    "op12_fast_similarity_sketches": NEAR_DUPLICATES_SQL, "op13_source_divergence": DIVERGENCE_SQL,
+}
