@@ -69,16 +69,22 @@ def _without_gaps(counted: DataFrame, interval: str, names: Sequence[str]) -> Da
     count, unit = interval_step(interval).split()
     step, stride = (F.expr(f"INTERVAL {n} {unit}") for n in (int(count), int(count) * GAP_BUCKETS))
     counted = durable(counted.withColumn("_year", F.year("bucket")))
-    firsts = sorted(counted.groupBy("_year").agg(F.min("bucket")).collect())
-    jumps = [(year, later[1]) for (year, _), later in zip(firsts, firsts[1:])]
+    years = sorted(counted.groupBy("_year").agg(F.min("bucket"), F.max("bucket"), F.count(F.lit(1))).collect())
+    jumps = [(year[0], later[1]) for year, later in zip(years, years[1:])]
+    # How many buckets are missing at most, by the shortest step of the unit.
+    shortest = int(count) * {"month": 28 * 86400, "days": 86400, "day": 86400, "hour": 3600, "minute": 60, "minutes": 60}[unit]
+    missing = ((years[-1][2] - years[0][1]).total_seconds() / shortest + 1 - sum(y[3] for y in years)) if years else 0
+    kept = counted.select("bucket", *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names])
+    if missing < 1:
+        return kept
     table = counted.sparkSession.createDataFrame(jumps, "_year int, _jump timestamp_ntz")
     inside = F.lead("bucket").over(Window.partitionBy("_year").orderBy("bucket"))
     placed = counted.withColumn("_inside", inside).join(F.broadcast(table), "_year", "left").withColumn("_next", F.coalesce("_inside", "_jump"))
-    kept = placed.select("bucket", *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names])
     gaps = placed.filter(F.col("_next") > F.col("bucket") + step).select((F.col("bucket") + step).alias("_from"), (F.col("_next") - step).alias("_to"))
     parts = gaps.select(F.explode(F.sequence("_from", "_to", stride)).alias("_start"), "_to")
-    if (pieces := parts.count()) > 1:  # a stated number, as so few bytes would be merged to one task again
-        parts = parts.repartition(min(pieces, int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "_start")
+    if missing > GAP_BUCKETS:  # a stated number of tasks, as so few bytes would be merged to one again
+        tasks = min(int(missing / GAP_BUCKETS) + 1, int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        parts = parts.repartition(tasks, "_start")
     filled = parts.select(F.explode(F.sequence("_start", F.least("_to", F.col("_start") + stride - step), step)).alias("bucket"))
     return kept.unionByName(filled.select("bucket", *[F.lit(0).cast(kept.schema[n].dataType).alias(n) for n in names]))
 
