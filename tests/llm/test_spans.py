@@ -71,6 +71,33 @@ def test_trees_add_what_the_patterns_miss(spark):
     assert clean[1].text is None and clean[1].n_chars is None
 
 
+def test_model_and_thresholds_come_from_all_documents(spark):
+    """Eight thousand documents without numbers, and some with, all of which a sample by text hash would leave out."""
+    digits = lambda i, n: str(i * 7919 % 10**n).zfill(n)
+    given = [f"word{i} call +1 (743) 555-{digits(i, 4)} part {digits(i + 1, 4)} {digits(i + 2, 4)} end" for i in range(200)]
+    few = spark.createDataFrame([(t,) for t in given], "text string").where("pmod(xxhash64(text), 2) = 1")
+    docs = few.unionByName(spark.range(8000).selectExpr("concat('plain words ', repeat('x', cast(id % 50 AS INT))) AS text"))
+    texts = [r.text for r in few.collect()]
+    want = Counter(pii.weak_label(t, c, set(pii.base_spans(t))) for t in texts for c in pii.candidates(t))
+    got = {r.y: r.n for r in pii.examples(docs).groupBy("y").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    assert got == {y: n for y, n in want.items() if y is not None} and set(got) == {0.0, 1.0}
+    model = pii.fit(docs)
+    assert model and model.least[3] < 1
+    text = "all of +1 (743) 555-1234 here"
+    assert model.trees.probability(np.array([pii.features(text, (3, 7, 24))]))[0] > model.least[3]
+
+
+def test_thresholds_count_every_candidate():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        score, true = rng.integers(0, 40, 300), rng.random(300) < 0.995
+        levels = np.unique(score)
+        counts = [np.array([(score == v).sum() for v in levels]), np.array([(true & (score == v)).sum() for v in levels])]
+        good = [v for v in levels if (score >= v).sum() >= 20 and true[score >= v].sum() >= 0.99 * (score >= v).sum()]
+        want = max(0.5, min(good) * 1024 / pii.SCORE_LEVELS) if good else None
+        assert pii._threshold(levels * 1024, *counts) == want
+
+
 def test_weak_labels():
     def labels(text):
         base = set(pii.base_spans(text))

@@ -2,14 +2,16 @@
 
 Four kinds: email, ip, card, phone. Strict patterns (leftmost, non-overlapping, checked) give the base spans, which
 always stay. High-recall generators propose many overlapping spans: all short runs of number groups and everything
-around an at sign. Trees score each candidate; they are fitted on the candidates of a bounded sample of documents
-(``SAMPLE_DOCS`` in expectation, by text hash; at most ``SAMPLE_CANDIDATES`` candidates) with weak labels: true are the
-finds of the strict patterns, and candidates whose format and context both speak for their kind ("tel 0044 20 7946 0958",
-"card" before a number with a right check digit). Candidates that only one of them, or a strict check, speaks for are not
-used for fitting: they are what the trees are to decide. A second half of the sample calibrates the least score of each
-kind at which nearly all accepted candidates are true; a kind with few takes that of all kinds together. Accepted spans
-that touch neither a base span nor a better candidate are added.
-
+around an at sign. Trees score each candidate; they are fitted on the candidates of all documents with weak labels: true
+are the finds of the strict patterns, and candidates whose format and context both speak for their kind ("tel 0044 20
+7946 0958", "card" before a number with a right check digit). Candidates that only one of them, or a strict check, speaks
+for are not used for fitting: they are what the trees are to decide. Half of the candidates, told by a hash of their
+surroundings, fit the trees; the other half calibrates the least score of each kind at which nearly all accepted
+candidates are true; a kind with few takes that of all kinds together. Accepted spans that touch neither a base span nor
+a better candidate are added.
+
+Candidates with the same features, label and half are one stored row with its count; trees and thresholds are made from
+sums over these rows.
 Rows are scanned where they are read; only the model (some kilobytes) is sent to the tasks.
 """
 
@@ -27,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .boosting import BoostedTrees
+from .boosting import BoostedTrees, packed, unpacked
+from .common import stored
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS, SAMPLE_CANDIDATES = 4_000, 40_000
 #: Share of true candidates among accepted ones that calibration asks for, and the fewest accepted ones it trusts.
 PRECISION, LEAST_ACCEPTED = 0.99, 20
+#: Thresholds are whole multiples of one part in this many; a power of two, so that they are exact.
+SCORE_LEVELS = 1 << 16
 #: Digits in one candidate.
 MAX_DIGITS = 19
 #: Candidates whose features are held at once.
@@ -229,44 +233,59 @@ class SpanModel:
         return out
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_candidates: int = SAMPLE_CANDIDATES) -> SpanModel | None:
-    """Fit and calibrate on a bounded sample; None if it shows no personal data or nothing else."""
-    total = docs.count()
+def examples(docs: DataFrame) -> DataFrame:
+    """(x, y, fitting, n): how often a feature vector stands with a label, among the labelled candidates of all ``docs``."""
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                base, found = set(base_spans(text)), candidates(text)
-                while some := list(islice(found, BLOCK_CANDIDATES)):
-                    known = [(c, label) for c in some if (label := weak_label(text, c, base)) is not None]
-                    rows = [[*map(float, features(text, c)), label] for c, label in known]
-                    keys = (f"{text[max(0, c[1] - 30) : c[2] + 30]}{c[0]}{c[2] - c[1]}" for c, _ in known)
-                    order = [int.from_bytes(hashlib.blake2b(k.encode(), digest_size=7).digest()) for k in keys]
-                    yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(rows, pa.list_(pa.float64()))], ["order", "x"])
-
-    some = docs.where(F.col("text").rlike("[@0-9]") & (F.expr(f"pmod(xxhash64(text), {max(1, total // sample_docs)})") == 0))
-    sample = some.select("text").mapInArrow(labelled, "order long, x array<double>").sort("order", "x").limit(sample_candidates).toArrow()
-    if not sample.num_rows:
-        return None
-    rows = np.array(sample.column(1).to_pylist())
-    x, y = rows[:, :-1], rows[:, -1]
-    fitting = np.array(sample.column(0)) % 2 == 0
-    if not (0 < y[fitting].mean() < 1 if fitting.any() else False):
+            found = ((text, base, c) for text in batch.column(0).to_pylist() for base in (set(base_spans(text)),) for c in candidates(text))
+            while some := list(islice(found, BLOCK_CANDIDATES)):
+                known = [(text, c, label) for text, base, c in some if (label := weak_label(text, c, base)) is not None]
+                if not known:
+                    continue
+                keys = (f"{text[max(0, c[1] - 30) : c[2] + 30]}{c[0]}{c[2] - c[1]}" for text, c, _ in known)
+                fitting = [hashlib.blake2b(k.encode(), digest_size=7).digest()[-1] % 2 == 0 for k in keys]
+                x = packed(np.array([features(text, c) for text, c, _ in known]))
+                yield pa.RecordBatch.from_arrays([x, pa.array([label for *_, label in known]), pa.array(fitting)], ["x", "y", "fitting"])
+
+    some = docs.where(F.col("text").rlike("[@0-9]")).select("text")
+    return some.mapInArrow(labelled, "x binary, y double, fitting boolean").groupBy("x", "y", "fitting").agg(F.count("*").alias("n"))
+
+
+def fit(docs: DataFrame) -> SpanModel | None:
+    """Fit and calibrate on the candidates of all documents; None if they show no personal data or nothing else."""
+    counted = stored(examples(docs), "candidates")
+    if counted.where("fitting").agg(F.count_distinct("y")).first()[0] < 2:
         return None
-    trees = BoostedTrees().fit(x[fitting], y[fitting])
-    score, true, kind = trees.probability(x[~fitting]), y[~fitting], x[~fitting][:, 0]
-    together = _threshold(score, true)
-    return SpanModel(trees, [_threshold(score[kind == k], true[kind == k]) or together or 2.0 for k in range(len(KINDS))])
-
-
-def _threshold(score: np.ndarray, true: np.ndarray) -> float | None:
-    """The least score from which on the accepted candidates are true often enough, at least one half; None if too few are."""
-    order = np.argsort(-score, kind="stable")
-    s, right = score[order], np.cumsum(true[order])
-    seen = np.arange(1, len(s) + 1)
-    last = np.append(s[:-1] != s[1:], True) if len(s) else np.zeros(0, bool)
-    good = last & (right >= PRECISION * seen) & (seen >= LEAST_ACCEPTED)
-    return max(0.5, float(s[good].min())) if good.any() else None
+    trees = BoostedTrees().fit(counted.where("fitting"))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = unpacked(batch.column(0))
+                level = np.floor(SCORE_LEVELS * trees.probability(x)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(level), *batch.columns[1:]], ["kind", "level", "y", "n"])
+
+    scores = counted.where("NOT fitting").select("x", "y", "n").mapInArrow(scored, "kind int, level long, y double, n long")
+    sums = scores.groupBy("kind", "level").agg(F.sum("n").alias("seen"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("right")).toArrow()
+    kind, level, seen, right = (sums[c].to_numpy() for c in ("kind", "level", "seen", "right"))
+    together = _threshold(level, seen, right)
+    own = [_threshold(*(v[kind == k] for v in (level, seen, right))) for k in range(len(KINDS))]
+    return SpanModel(trees, [o or together or 2.0 for o in own])
+
+
+def _threshold(level: np.ndarray, seen: np.ndarray, right: np.ndarray) -> float | None:
+    """The least score from which on the accepted candidates are true often enough, at least one half; None if too few are.
+
+    Given are all candidates and the true ones by score level, each level once or, of several kinds, more than once.
+    """
+    levels, at = np.unique(-level, return_inverse=True)
+    total, true = np.zeros((2, len(levels)), np.int64)
+    np.add.at(total, at, seen)
+    np.add.at(true, at, right)
+    total, true = total.cumsum(), true.cumsum()
+    good = (true >= PRECISION * total) & (total >= LEAST_ACCEPTED)
+    return max(0.5, float(-levels[good].max()) / SCORE_LEVELS) if good.any() else None
 
 
 def written(spans: list[Span]) -> str:
