@@ -283,6 +283,30 @@ def test_host_boilerplate_of_unmarked_pages(spark):
     assert pages.main_text(frame.limit(0)).count() == 0
 
 
+def test_suffix_order_of_hosts(spark):
+    """The order of all suffixes against a plain suffix array of each host; ranges, copies and long tokens change nothing."""
+    rng = np.random.default_rng(7)
+    words = [b"a", b"b", "é".encode(), b"x" * 90, b"x" * 91]
+    streams = [(f"h{i % 3}", [words[w] for w in rng.integers(0, 5, rng.integers(0, 60))]) for i in range(60)]
+    shared = [words[w] for w in rng.integers(0, 5, 40)]
+    streams += [(f"h{i % 3}", streams[i][1][:5] + shared[i : i + 30]) for i in range(9)] + streams[:10]
+    rows = [(h, hash(tuple(t)) % 2**60, b" ".join(t)) for h, t in streams]
+    frame = spark.createDataFrame(rows, "host string, page long, outside binary").repartition(4)
+    for long in (4, 13):
+        want = set()
+        for host in ("h0", "h1", "h2"):
+            own = {tuple(pages.short_tokens(t)) for h, t in streams if h == host}
+            order = sorted((t[i:], t) for t in own for i in range(len(t)))
+            for (one, p), (other, q) in itertools.combinations(order, 2):
+                if p != q and len(one) >= long and one[:long] == other[:long]:
+                    want.add((host, int(pages.long_runs(list(one[:long]), long)[0])))
+        got = [tuple(r) for r in pages.repeated_runs(frame, long).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+        for part in pages.ordered_suffixes(frame, long).rdd.glom().collect():
+            keys = [(r.host, r.suffix.encode()) for r in part]
+            assert keys == sorted(set(keys))
+
+
 def test_articles_of_all_pages(spark, sf):
     frame = spark.read.parquet(f"{sf}/pages.parquet")
     for r in pages.main_text(frame).join(frame.select("page_id", "html"), "page_id").collect():

@@ -6,10 +6,12 @@ text inside is the main text, whole, even where other pages repeat it. Pages wit
 
 Boilerplate is found over the token streams of all pages of a host (outside marked articles). A run of tokens goes if it
 lies in a substring of at least ``LONG`` tokens that distinct pages of the host repeat; pages with equal streams count
-as one page, so a page and its copies don't erase each other. In a suffix array these substrings are the intervals of
-suffixes with a common prefix of ``LONG`` tokens and more than one page. A host may hold a third of all pages, so the
-array is not built in one task: suffixes, cut after ``LONG`` tokens and hashed, are brought together by the shuffle, and
-an interval is its least and greatest page, combined before the shuffle. Only unmarked pages are joined back.
+as one page, so a page and its copies don't erase each other. For this all suffixes of a host are put in order: these
+substrings are the intervals of suffixes whose neighbours have ``LONG`` tokens or more in common and that come from more
+than one page. A host may hold a third of all pages, so the order is not an array in one task: suffixes are dealt out
+by ranges of host and first ``LONG`` tokens, so that no interval is cut, and put in order inside each range. Suffixes are
+cut after ``DEPTH`` tokens, and equal ones are one row (its least and greatest page) before they are shuffled, since a
+menu may stand on every page. Only unmarked pages are joined back.
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ from .substrings import run_hashes, word_hashes
 
 #: Least tokens of a repeated substring.
 LONG = 10
+#: Tokens of a suffix, at least ``LONG``; suffixes that have all of them in common are equal in the order.
+DEPTH = 12
+#: Bytes beyond which a token stands in the order by a digest, so that suffixes of very long tokens stay short.
+TOKEN_BYTES = 32
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[A-Za-z/!?][^>]*>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
@@ -237,11 +243,63 @@ def long_runs(tokens: list[bytes], long: int = LONG) -> np.ndarray:
     return run_hashes(word_hashes(tokens, 11), long).view(np.int64)
 
 
+def short_tokens(tokens: list[bytes]) -> list[bytes]:
+    return [t if len(t) <= TOKEN_BYTES else xxhash.xxh3_128_hexdigest(t).encode() for t in tokens]
+
+
+def ordered_suffixes(streams: DataFrame, long: int = LONG) -> DataFrame:
+    """(host, suffix, a, b): the distinct suffixes of all streams (host, page, outside) with their least and greatest page.
+
+    In order inside partitions, which are ranges of host and the suffix's first ``long`` tokens.
+    """
+    depth = max(long, DEPTH)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, pages = batch.column(0), batch.column(1)
+            tokens = [short_tokens(x.split()) for x in batch.column(2).to_pylist()]
+            found = [[b" ".join(t[i : i + depth]) for i in range(len(t) - long + 1)] for t in tokens]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            yield pa.RecordBatch.from_arrays([hosts.take(at), pa.array([x for f in found for x in f], pa.binary()).cast(pa.string()), pages.take(at)], ["host", "suffix", "page"])
+
+    rows = streams.select("host", "page", "outside").mapInArrow(cut, "host string, suffix string, page long")
+    once = rows.groupBy("host", "suffix").agg(F.min("page").alias("a"), F.max("page").alias("b"))
+    return once.repartitionByRange("host", F.substring_index("suffix", " ", long)).sortWithinPartitions("host", "suffix")
+
+
+def common_tokens(one: list[bytes], other: list[bytes]) -> int:
+    return next((i for i, (x, y) in enumerate(zip(one, other)) if x != y), min(len(one), len(other)))
+
+
+def repeated_runs(streams: DataFrame, long: int = LONG) -> DataFrame:
+    """(host, run): the beginnings of the intervals of a host's suffix order that come from more than one page."""
+
+    def intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host, tokens, least, greatest = None, [], 0, 0
+        for batch in batches:
+            hosts, runs = [], []
+            for h, suffix, a, b in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                now = suffix.encode().split(b" ")
+                if h == host and common_tokens(tokens, now) >= long:
+                    least, greatest = min(least, a), max(greatest, b)
+                else:
+                    if least < greatest:
+                        hosts.append(host)
+                        runs.append(tokens[:long])
+                    least, greatest = a, b
+                host, tokens = h, now
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([long_runs(r, long)[0] for r in runs], pa.int64())], ["host", "run"])
+        if least < greatest:
+            yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array(long_runs(tokens[:long], long))], ["host", "run"])
+
+    return ordered_suffixes(streams, long).mapInArrow(intervals, "host string, run long")
+
+
 def unique_blocks(blocks: list[str], tokens: list[bytes], repeated: set[int], long: int = LONG) -> list[str]:
     """Blocks without the tokens that lie in repeated runs of the page's tokens; blocks without a token left go."""
     place = 0
     covered = np.zeros(len(tokens) + 1, np.int64)
-    for i, run in enumerate(long_runs(tokens, long).tolist()):
+    for i, run in enumerate(long_runs(short_tokens(tokens), long).tolist()):
         if run in repeated:
             covered[i] += 1
             covered[i + long] -= 1
@@ -275,8 +333,8 @@ def main_text(pages: DataFrame, long: int = LONG) -> DataFrame:
             whole = np.array([xxhash.xxh64_intdigest(x, 5) for x in streams], np.uint64).view(np.int64)
             columns = [
                 pa.array(done, pa.bool_()), pa.array([p.text() for p in found], pa.string()), pa.array([host_of(u) for u in batch.column(2).to_pylist()], pa.string()),
-                pa.array(whole), pa.array([np.unique(long_runs(p.outside, long)) for p in found], pa.list_(pa.int64())),
-                pa.array([None if d else p.other for p, d in zip(found, done)], pa.list_(pa.string())), pa.array([None if d else x for x, d in zip(streams, done)], pa.binary()),
+                pa.array(whole), pa.array([None if d else np.unique(long_runs(short_tokens(p.outside), long)) for p, d in zip(found, done)], pa.list_(pa.int64())),
+                pa.array([None if d else p.other for p, d in zip(found, done)], pa.list_(pa.string())), pa.array(streams, pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["row", "page_id", "url", "done", "text", "host", "page", "runs", "other", "outside"])
 
@@ -290,8 +348,7 @@ def main_text(pages: DataFrame, long: int = LONG) -> DataFrame:
             texts = ["\n".join(unique_blocks(other, outside.split(), set(r or ()), long)) for other, outside, r in zip(*columns)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    runs = found.select("host", "page", F.explode("runs").alias("run"))
-    repeated = runs.groupBy("host", "run").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a < b").select("host", "run")
+    repeated = repeated_runs(found, long)
     rest = found.where("NOT done")
     answers = rest.select("row", "host", F.explode("runs").alias("run")).join(repeated, ["host", "run"]).groupBy("row").agg(F.collect_list("run").alias("repeated"))
     result = f"page_id {kinds['page_id']}, url {kinds['url']}, text string"
