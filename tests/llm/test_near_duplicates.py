@@ -100,6 +100,30 @@ def test_recall_at_a_hundredth(spark):
     assert all(rows[i].doc_id in kept for i, s in enumerate(sets) if s and i not in near)
 
 
+def test_representatives_are_found_by_vantage_trees(docs, monkeypatch):
+    """The links of the stage come out of the trees over fingerprints: trees that find nothing leave only equal sets."""
+    rows = docs.collect()
+    sets = [slow_set(r.text, 5) for r in rows]
+    frozen = simhash.Search(simhash.set_fingerprint, type("Blind", (), {"__init__": lambda self, codes: None, "near": lambda self, i, alive: np.zeros(0, np.int64)}))
+    monkeypatch.setattr(simhash, "Search", lambda code, index: frozen)
+    assert simhash.representatives(docs).count() == len({frozenset(s) for s in sets}) > len(kept_rows(rows))
+
+
+def test_wide_trees_find_all_similar_sets():
+    """Pairs at 0.8, small and large, lie within the radius, and the tree finds all codes within it."""
+    rng = np.random.default_rng(3)
+    for n in (4, 8, 40, 400):
+        for _ in range(400):
+            own = rng.integers(0, 2**63, n).astype(np.uint64)
+            more = np.concatenate([own, rng.integers(0, 2**63, n // 4).astype(np.uint64)])
+            assert (simhash.set_fingerprint(own) ^ simhash.set_fingerprint(more)).bit_count() <= simhash.WIDE
+    codes = np.concatenate([clustered(600), clustered(600)[:50]])
+    tree, alive = simhash.WideTree(codes), rng.random(len(codes)) < 0.7
+    for i in range(0, len(codes), 7):
+        assert tree.near(i, alive).tolist() == np.flatnonzero(alive & (np.bitwise_count(codes ^ codes[i]) <= simhash.WIDE)).tolist()
+    assert simhash.set_fingerprint(np.zeros(0, np.uint64)) == 0
+
+
 def clustered(n=1500):
     rng = np.random.default_rng(1)
     codes = []

@@ -23,12 +23,15 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .components import components
-from .similarity import groups
+from .similarity import Search, groups, mixed
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints in a shard beyond which it is dealt once more. Bounds the memory of a task.
 SHARD_ROWS = 20_000
 _LEAF = 8
+#: Differing bits up to which sets may have similarity 0.8, and the leaves of trees that search so far. A bit differs with
+#: probability 0.1875 at most (sets of four and five, one inside the other), so more bits differ in one pair of a million.
+WIDE, _WIDE_LEAF = 28, 64
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -60,7 +63,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 class VantageTree:
     """Fingerprints partitioned by Hamming distance: each node is a slice whose first row is the vantage point."""
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, leaf: int = _LEAF):
+        self.leaf = leaf
         self.order = np.arange(len(codes))
         self.codes = codes
         self.nodes: list[tuple[int, int, int, int, int]] = []  # low, high, median distance, inner, outer (-1: leaf)
@@ -70,7 +74,7 @@ class VantageTree:
     def _split(self, low: int, high: int) -> int:
         at = len(self.nodes)
         self.nodes.append((low, high, 0, -1, -1))
-        if high - low > _LEAF:
+        if high - low > self.leaf:
             rest = self.order[low + 1 : high]
             far = np.bitwise_count(self.codes[rest] ^ self.codes[self.order[low]])
             middle = int(np.median(far))
@@ -197,17 +201,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def set_fingerprint(elements: np.ndarray) -> int:
+    """SimHash of a set, given as hashes: a bit is 1 if it is set in over half of them; 0 for the empty set."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(elements), 65_536):
+        bits = np.unpackbits(mixed(elements[at : at + 65_536]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(elements), bitorder="little").view(np.uint64)[0])
+
+
+class WideTree:
+    """The fingerprints of a block in a vantage-point tree, asked for all within ``WIDE`` bits of one of them."""
+
+    def __init__(self, codes: np.ndarray):
+        self.tree = VantageTree(codes, _WIDE_LEAF)
+        self.codes = codes
+
+    def near(self, i: int, alive: np.ndarray) -> np.ndarray:
+        order = self.tree.order
+        return np.sort(order[self.tree.within(self.codes[i : i + 1], alive[order], WIDE)])
+
+
 def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs``, all columns, with one row of each group of near-duplicates: the one with the least doc_id, null last.
 
-    A group is connected by pairs whose sets of five-word shingles have similarity 0.8 or more, each verified on the full
-    sets. Fingerprints can't find these: at 0.8 two differ by some ten bits of 64, where neither blocks nor triangle
-    bounds prune, so the candidates come from fast similarity sketches. Texts without words are one group. Rows of one
+    A group is connected by pairs whose sets of five-word shingles have similarity 0.8 or more. Such pairs differ in some
+    ten bits of 64 between their SimHash fingerprints, so that no block of bits is left equal and bits can't deal them out:
+    bands of a sketch do, in which a pair at 0.8 meets. Inside each block of a band the fingerprints of the sets stand in a
+    vantage-point tree, which finds those within ``WIDE`` bits; each pair it finds is verified on the full sets.
+    Texts without words are one group. Rows of one
     doc_id in a group are told apart by an MD5 of doc_id and text, of which the least stays; of repeated rows one stays.
     Texts move once, to meet the keys of the rows that stay, by the same plan at every size.
     """
     key = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("doc_id").isNull().cast("string"), F.col("text").isNull().cast("string"), F.col("text")))
     rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
     known = rows.select(F.struct(F.col("row.doc_id").isNull().alias("unknown"), "row.doc_id", "key").alias("who"), "row.text")
-    kept = stored(groups(known, "who", size, percent).groupBy("head").agg(F.min("who").alias("first")).select("first.key"), "representatives")
+    kept = stored(groups(known, "who", size, percent, search=Search(set_fingerprint, WideTree)).groupBy("head").agg(F.min("who").alias("first")).select("first.key"), "representatives")
     return rows.join(kept.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select("row.*")

@@ -24,7 +24,9 @@ are joined by star contraction.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +49,20 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 56) - 1)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+class Index(Protocol):
+    def near(self, i: int, alive: np.ndarray) -> np.ndarray:
+        """Places of the codes, among those alive, that may be similar to code i."""
+
+
+@dataclass(frozen=True)
+class Search:
+    """Another first look inside blocks: a 64-bit code of each set, and an index over the codes of a block."""
+
+    code: Callable[[np.ndarray], int]
+    index: Callable[[np.ndarray], Index]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -70,11 +85,11 @@ def sketch(elements: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     at, step = 0, max(1, 1024 // len(elements))  # rounds beyond the last needed one change nothing
     while at < 2 * coordinates and bins.max() == np.iinfo(np.uint64).max:
         rounds = np.arange(at, min(at + step, 2 * coordinates), dtype=np.uint64)[:, None]
-        hashes = _mixed(elements[None, :] + (rounds + np.uint64(1)) * _GOLDEN)
+        hashes = mixed(elements[None, :] + (rounds + np.uint64(1)) * _GOLDEN)
         place = np.where(rounds < coordinates, hashes >> shift, rounds % np.uint64(coordinates))
         np.minimum.at(bins, place.ravel().astype(np.int64), ((rounds << np.uint64(56)) | (hashes & _LOW)).ravel())
         at += step
-    return (_mixed(bins) & np.uint64(0xFFFF)).astype(np.uint16)
+    return (mixed(bins) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = SIMILAR) -> bool:
@@ -126,7 +141,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Re
 class _Block:
     """Nodes with their sets, and which of them are known to be connected."""
 
-    def __init__(self, run: list[pa.RecordBatch], percent: int):
+    def __init__(self, run: list[pa.RecordBatch], percent: int, search: Search | None):
         rows = pa.Table.from_batches(run)
         self.names = rows["node"].to_pylist()
         self.sets = [np.frombuffer(x, np.uint64) for x in rows["elements"].to_pylist()]
@@ -134,13 +149,18 @@ class _Block:
         heads = rows["head"].to_pylist() if "head" in rows.column_names else self.names
         self.head = np.unique(np.array(heads, object), return_inverse=True)[1]
         self.percent = percent
+        self.index = search.index(rows["fp"].to_numpy().view(np.uint64)) if search else None
+
+    def near(self, i: int, alive: np.ndarray) -> np.ndarray:
+        """Places of nodes alive that may be similar to node i: those the index finds, and of them those whose sketches agree."""
+        rows = self.index.near(i, alive) if self.index else np.flatnonzero(alive)
+        return rows[(self.codes[rows] == self.codes[i]).sum(axis=1) >= ENOUGH]
 
     def links(self, asking: np.ndarray, asked: np.ndarray) -> pa.RecordBatch:
         """Links that connect what is not connected yet: each asking node against the asked ones."""
         a, b = [], []
         for i in np.flatnonzero(asking).tolist():
-            near = (self.codes == self.codes[i]).sum(axis=1) >= ENOUGH
-            for j in np.flatnonzero(near & asked & (self.head != self.head[i])).tolist():
+            for j in self.near(i, asked & (self.head != self.head[i])).tolist():
                 if self.head[i] != self.head[j] and similar(self.sets[i], self.sets[j], self.percent):
                     a.append(self.names[i])
                     b.append(self.names[j])
@@ -163,22 +183,22 @@ def _dealt(nodes: DataFrame, block: int) -> DataFrame:
     return rows.drop("n").join(once.select("first.*", "m", blocks.alias("blocks")), ["band", "code"])
 
 
-def _in_blocks(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _in_blocks(dealt: DataFrame, sets: DataFrame, percent: int, search: Search | None) -> DataFrame:
     """(a, b): links inside the blocks of all bands."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _groups(batches, 3):
-            rows = _Block(run, percent)
+            rows = _Block(run, percent, search)
             every = np.ones(len(rows.names), bool)
             yield rows.links(every, every)
 
     columns = ["band", "code", "block"]
     placed = dealt.select("band", "code", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "node").join(sets, "node")
-    ordered = placed.select(*columns, "node", "codes", "elements").repartition(*columns).sortWithinPartitions(*columns)
+    ordered = placed.select(*columns, *sets.columns).repartition(*columns).sortWithinPartitions(*columns)
     return ordered.mapInArrow(linked, "a binary, b binary").distinct()
 
 
-def _across(dealt: DataFrame, sets: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+def _across(dealt: DataFrame, sets: DataFrame, heads: DataFrame, percent: int, search: Search | None) -> DataFrame:
     """(a, b): links between blocks of a band, of nodes whose components differ."""
     headed = stored(dealt.where("blocks > 1").join(heads, "node", "left").withColumn("head", F.coalesce("head", "node")), "bands")
     sizes = headed.groupBy("band", "code", "head").agg(F.count("*").alias("size"), F.first("m").alias("m")).where("size < m")
@@ -193,12 +213,12 @@ def _across(dealt: DataFrame, sets: DataFrame, heads: DataFrame, percent: int) -
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _groups(batches, 4):
-            rows = _Block(run, percent)
+            rows = _Block(run, percent, search)
             asks = np.concatenate([b.column("asks").to_numpy(zero_copy_only=False) for b in run])
             yield rows.links(asks, ~asks)
 
     columns = ["band", "code", "i", "j"]
-    placed = ask.unionByName(answer).join(sets, "node").select(*columns, "asks", "node", "head", "codes", "elements")
+    placed = ask.unionByName(answer).join(sets, "node").select(*columns, "asks", "head", *sets.columns)
     return placed.repartition(*columns).sortWithinPartitions(*columns).mapInArrow(linked, "a binary, b binary").distinct()
 
 
@@ -211,12 +231,14 @@ def _wanted_map(wanted: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, elements, codes): the whole sets of the wanted texts (``same``), from the texts themselves.
+def _full_sets(docs: DataFrame, wanted: DataFrame, size: int, search: Search | None) -> DataFrame:
+    """(node, elements, codes, fp): the whole sets of the wanted texts (``same``), from the texts themselves; fp for a search.
 
     A map of the wanted hashes, of fixed size, tells each task its texts, so that no text is shuffled; what else the map
     lets through is never asked for.
     """
+    names = ["node", "elements", "codes"] + ["fp"] * bool(search)
+    read_as = "node binary, elements binary, codes binary" + ", fp long" * bool(search)
     sent = docs.sparkSession.sparkContext.broadcast(_wanted_map(wanted, MAP_BITS))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,25 +253,29 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             texts = batch.column(0).take(pa.array(np.flatnonzero(fine)[first[keep]]))
             sets = [shingles(t, size) for t in texts.to_pylist()]
             columns = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [s.tobytes() for s in sets], [sketch(s).tobytes() if len(s) else b"" for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["node", "elements", "codes"])
+            arrays = [pa.array(c, pa.binary()) for c in columns]
+            if search:
+                arrays.append(pa.array(np.array([search.code(s) for s in sets], np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     texts = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("same"))
-    return stored(texts.mapInArrow(read, "node binary, elements binary, codes binary").dropDuplicates(["node"]), "sets")
+    return stored(texts.mapInArrow(read, read_as).dropDuplicates(["node"]), "sets")
 
 
-def groups(docs: DataFrame, key: str = "doc_id", size: int = SHINGLE, percent: int = SIMILAR, block: int = BLOCK) -> DataFrame:
+def groups(docs: DataFrame, key: str = "doc_id", size: int = SHINGLE, percent: int = SIMILAR, block: int = BLOCK, search: Search | None = None) -> DataFrame:
     """(key, n, node, head): of each row of ``docs`` its set's size and name, and the name of its component.
 
-    Rows without words have neither node nor head. The bands and ``ENOUGH`` are made for ``percent`` of 80 or more.
+    Rows without words have neither node nor head. The bands and ``ENOUGH`` are made for ``percent`` of 80 or more. With
+    a ``search``, candidates inside blocks are found by its index over codes of the full sets.
     """
     ready(docs.sparkSession)
     rows = stored(_rows(docs, key, size), "sketches")
     nodes = stored(rows.where("n > 0").select("node", "n", "bands", "same").dropDuplicates(["node"]), "nodes")
     dealt = stored(_dealt(nodes, block), "bands")
-    sets = _full_sets(docs, nodes.join(dealt.select("node").distinct(), "node").select("same"), size)
-    links = stored(_in_blocks(dealt, sets, percent), "links")
+    sets = _full_sets(docs, nodes.join(dealt.select("node").distinct(), "node").select("same"), size, search)
+    links = stored(_in_blocks(dealt, sets, percent, search), "links")
     heads = stored(components(links).select(F.col("a").alias("node"), F.col("b").alias("head")), "heads")
-    later = stored(_across(dealt, sets, heads, percent), "links")
+    later = stored(_across(dealt, sets, heads, percent, search), "links")
     # A link found later joins two components of the first round.
     short = later.join(heads.withColumnsRenamed({"node": "a", "head": "x"}), "a", "left").join(heads.withColumnsRenamed({"node": "b", "head": "y"}), "b", "left")
     joined = components(short.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))).select(F.col("a").alias("head"), F.col("b").alias("top"))
