@@ -6,6 +6,9 @@ one bucket). A document is kept if, in both histograms, some language's referenc
 minimum lengths give no stable histogram and are not judged by it. The references are the mean histograms of all
 documents of a language that pass the base rules, learned in two rounds, the second without what the first rejects.
 
+Small letters are most of a text and are cut out once; all other characters are counted in what is left. Words are put in
+order to find repeated windows only where hashes say that some repeat.
+
 Per-row work is array functions; only the narrow features are stored, and the only shuffle is the mean per language.
 """
 
@@ -39,11 +42,22 @@ def _without(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, "")).cast("long")
 
 
+def _text() -> Column:
+    return F.coalesce("text", F.lit(""))
+
+
+def with_rest(rows: DataFrame) -> DataFrame:
+    """Add ``rest``, the text without a to z."""
+    return rows.withColumn("rest", F.regexp_replace(_text(), "[a-z]+", ""))
+
+
 def base_features(rows: DataFrame) -> DataFrame:
-    """Add the counts of the base rules to (``text``, ``words``)."""
-    text, w = F.coalesce("text", F.lit("")), F.col("words")
+    """Add the counts of the base rules to (``text``, ``rest``, ``words``)."""
+    text, w, rest = _text(), F.col("words"), F.col("rest")
+    hashes = F.when(F.size(w) > 2, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
+    # Equal windows have equal hashes: without a repeated hash there is none to find.
     triples = F.when(
-        F.size(w) > 2,
+        F.size(F.array_distinct("_hashes")) < F.size("_hashes"),
         F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("t"), i.alias("p"))),
     )
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -55,23 +69,24 @@ def base_features(rows: DataFrame) -> DataFrame:
     places = F.col("_places")
     covered = F.aggregate(F.transform(places, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(places, k + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     return (
-        rows.withColumn("_triples", F.sort_array(triples))
+        rows.withColumn("_hashes", hashes)
+        .withColumn("_triples", F.sort_array(triples))
         .withColumn("_places", F.sort_array(F.transform(F.filter(order, twice), lambda x: x["p"])))
         .withColumns({
             "n_words": F.size(w).cast("long"),
-            "word_chars": _without(text, SPACE + "+"),
-            "n_symbols": _without(text, "[^#*$%&|<>]+"),
+            "word_chars": (F.length(text) - F.length(rest) + _without(rest, SPACE + "+")).cast("long"),
+            "n_symbols": _without(rest, "[^#*$%&|<>]+"),
             "n_dup_lines": bind(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
         })
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
-        .drop("_triples", "_places")
+        .drop("_hashes", "_triples", "_places")
     )
 
 
 def histograms(rows: DataFrame) -> DataFrame:
-    """Add n_chars_all, classes (counts by character class) and common (counts by common word, the others last)."""
-    text = F.coalesce("text", F.lit(""))
+    """Add to (``text``, ``rest`` and the base counts) n_chars_all, classes (counts by character class) and common (counts by common word, the others last)."""
+    text = _text()
     # The common words of the text with a space on both sides of each; the shortening without a word counts it.
     own = F.filter(F.split(text, r"[\x20\x09-\x0D.,;:!?]+"), lambda x: x.isin(ALL_COMMON))
     kept = F.concat(F.lit(" "), F.array_join(own, "  "), F.lit(" "))
@@ -80,19 +95,20 @@ def histograms(rows: DataFrame) -> DataFrame:
         return ((F.length(joined) - F.length(F.replace(joined, F.lit(f" {word} "), F.lit("")))) / (len(word) + 2)).cast("long")
 
     common = bind(kept, lambda s: F.array(*(count(s, w) for w in ALL_COMMON)))
-    rest = lambda total, parts: F.concat(parts, F.array(total - F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x)))
-    classes = F.array(*(_without(text, others) for others in CLASSES.values()), (F.length(text) - F.col("word_chars")).cast("long"))
+    filled = lambda total, parts: F.concat(parts, F.array(total - F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x)))
+    counts = {"lower": (F.length(text) - F.length("rest")).cast("long")} | {c: _without(F.col("rest"), others) for c, others in CLASSES.items() if c != "lower"}
+    classes = F.array(*(counts[c] for c in CLASSES), (F.length(text) - F.col("word_chars")).cast("long"))
     return rows.withColumns({
         "n_chars_all": F.length(text).cast("long"),
-        "classes": bind(classes, lambda x: rest(F.length(text).cast("long"), x)),
-        "common": bind(common, lambda x: rest(F.col("n_words"), x)),
+        "classes": bind(classes, lambda x: filled(F.length(text).cast("long"), x)),
+        "common": bind(common, lambda x: filled(F.col("n_words"), x)),
     })
 
 
 def features(docs: DataFrame, carry: list[Column]) -> DataFrame:
     """``carry`` with all counts of every row, stored, so that texts are read once."""
-    rows = docs.select(*carry, F.col("text"), F.col("lang"), words(F.col("text")).alias("words"))
-    return stored(histograms(base_features(rows)).drop("text", "words"), "quality")
+    rows = with_rest(docs.select(*carry, F.col("text"), F.col("lang"), words(F.col("text")).alias("words")))
+    return stored(histograms(base_features(rows)).drop("text", "rest", "words"), "quality")
 
 
 def _shares(counts: Column) -> Column:
