@@ -87,6 +87,35 @@ def test_boundary_leaves_about_nu_outside(frame):
     assert 0.02 < flags.mean() < 0.09 and flags[:12].mean() > 0.9
 
 
+def slow_boundary(model, x, nu=0.05):
+    """The same steps over all rows at once, with a second look for the rows outside."""
+    z = model._map(x)
+    w = z.mean(axis=0)
+    best, best_loss = None, np.inf
+    for step in range(model.steps):
+        edges = density._edges(w)
+        below = np.cumsum(np.histogram(z @ w, bins=edges)[0])
+        rho = edges[min(int(np.searchsorted(below, nu * len(z))) + 1, len(edges) - 1)]
+        outside = z @ w < rho
+        loss = 0.5 * w @ w - rho + (rho - z[outside] @ w).sum() / (nu * len(z))
+        if loss < best_loss:
+            best, best_loss = (w, rho), loss
+        w = w + (z[outside].sum(axis=0) / (nu * len(z)) - w) / (step + 2.0)
+    return best
+
+
+def test_boundary_takes_one_pass_a_step_whatever_the_guess(frame, points, monkeypatch):
+    passes, whole, guess = [], density.OneClassBoundary._by_bin, density._guess
+    monkeypatch.setattr(density.OneClassBoundary, "_by_bin", lambda self, *a: passes.append(a) or whole(self, *a))
+    for wrong, most in ((False, 41), (True, 81)):
+        monkeypatch.setattr(density, "_guess", (lambda *a: (1, 1)) if wrong else guess)
+        model = density.OneClassBoundary(NAMES).fit(frame.repartition(5))
+        assert 41 <= len(passes) <= most
+        w, rho = slow_boundary(model, points)
+        assert np.allclose(model.w, w, atol=1e-12) and model.rho == pytest.approx(rho, abs=1e-12)
+        passes.clear()
+
+
 def test_reconstruction_error(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(500, 2))

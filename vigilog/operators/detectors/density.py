@@ -20,6 +20,8 @@ _ROWS_AT_ONCE = 512
 MAX_CELLS, _SAMPLE_ROWS = 16_384, 32
 #: Rows beyond which a cell, and asking rows beyond which the asking of a cell, are cut into parts.
 _CELL_ROWS, _ASKED_ROWS = 10_000, 50_000
+#: Rows that are mapped to cosine features at once, and about so many that the offset is guessed from.
+_MAPPED_AT_ONCE, _GUESS_ROWS = 1_024, 8_192
 
 
 def nearest(x: np.ndarray, history: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -324,8 +326,9 @@ class OneClassBoundary:
     """One-class support vector machine with a Gaussian kernel, approximated by random cosine features.
 
     Rahimi and Recht (2007). The linear problem over the features is solved by subgradient steps over all rows of the
-    history; a step is two passes of partial sums, one small row a task. The best offset for a direction is the
-    nu-quantile of the projections, found on a histogram.
+    history. The best offset for a direction is the nu-quantile of the projections, found on a histogram; a step is one
+    pass, one small row a task. Some rows tell beforehand about where the offset lies, so that the pass can keep the sums of
+    the bins there apart; the counts of all rows decide, and where that guess fails the step takes a second pass.
     """
 
     def __init__(self, features: Sequence[str], nu: float = 0.05, width: int = 128, steps: int = 40, seed: int = 42):
@@ -345,30 +348,23 @@ class OneClassBoundary:
         self.phases = rng.uniform(0.0, 2.0 * np.pi, self.width)
         mapped = self._map
         rows = history.select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in names])
-
-        def summed(part) -> np.ndarray:
-            """The sum over all rows of what ``part`` gives for the mapped rows of a batch."""
-
-            def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                total = None
-                for batch in batches:
-                    own = part(mapped(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])))
-                    total = own if total is None else total + own
-                if total is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
-
-            return np.sum([r[0] for r in rows.mapInArrow(partial, "sums array<double>").collect()], axis=0)
-
-        total = summed(lambda z: np.append(z.sum(axis=0), len(z)))
-        n, nu = int(total[-1]), self.nu
-        w = total[:-1] / n
+        # One bin first: the sum of all mapped rows.
+        counts, total, _ = self._by_bin(rows, np.zeros(self.width), np.array([-1.0, 1.0]), 1, 1)
+        n, nu = int(counts.sum()), self.nu
+        w = total / n
+        some = mapped(collect_matrix(rows.sample(min(1.0, _GUESS_ROWS / n), self.seed), names))
         best, best_loss = (w, 0.0), np.inf
         for step in range(self.steps):
             edges = _edges(w)
-            counts = summed(lambda z, w=w, edges=edges: np.histogram(z @ w, bins=edges)[0].astype(float))
-            rho = float(edges[min(int(np.searchsorted(np.cumsum(counts), nu * n)) + 1, len(edges) - 1)])
-            beyond = summed(lambda z, w=w, rho=rho: _violations(z, w, rho))
-            total, short = beyond[:-1], beyond[-1]
+            low, high = _guess(some @ w, edges, nu)
+            counts, head, near = self._by_bin(rows, w, edges, low, high)
+            place = min(int(np.searchsorted(np.cumsum(counts), nu * n)) + 1, len(edges) - 1)
+            if not low <= place <= high:  # the guess was wrong
+                low = place
+                _, head, near = self._by_bin(rows, w, edges, place, place)
+            # The offset is an edge, so the rows outside are those of the bins before it.
+            rho, total = float(edges[place]), head + near[:place - low].sum(axis=0)
+            short = rho * counts[:place].sum() - w @ total
             loss = 0.5 * w @ w - rho + short / (nu * n)
             if loss < best_loss:
                 best, best_loss = (w, rho), loss
@@ -378,6 +374,28 @@ class OneClassBoundary:
         self.scale = nu * n
         return self
 
+    def _by_bin(self, rows: DataFrame, w: np.ndarray, edges: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the projections of all rows on ``w``: the rows in each histogram bin, the sum of the mapped rows in the bins
+        before ``low``, and that of each bin from ``low`` to ``high``."""
+        mapped, bins, width = self._map, len(edges) - 1, self.width
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts, head, near = np.zeros(bins), np.zeros(width), np.zeros((high - low, width))
+            for batch in batches:
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                for start in range(0, len(x), _MAPPED_AT_ONCE):
+                    z = mapped(x[start:start + _MAPPED_AT_ONCE])
+                    place = np.clip(np.searchsorted(edges, z @ w, side="right") - 1, 0, bins - 1)
+                    counts += np.bincount(place, minlength=bins)
+                    head += (place < low) @ z
+                    found = np.flatnonzero((place >= low) & (place < high))
+                    np.add.at(near, place[found] - low, z[found])
+            if counts.any():
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([counts, head, near.ravel()])])], ["sums"])
+
+        total = np.sum([r[0] for r in rows.mapInArrow(partial, "sums array<double>").collect()], axis=0)
+        return total[:bins], total[bins:bins + width], total[bins + width:].reshape(-1, width)
+
     def transform(self, df: DataFrame, name: str = "ocsvm") -> DataFrame:
         shared = df.sparkSession.sparkContext.broadcast((self.w, self.rho, self.scale))
         mapped = self._map
@@ -393,19 +411,20 @@ class OneClassBoundary:
         return detection(scored, name, value, clip(0.5 - value / 10.0, 0, 1), value < 0).drop("_decision")
 
 
-def _violations(z: np.ndarray, w: np.ndarray, rho: float) -> np.ndarray:
-    """The sum of the rows outside, and by how much they are."""
-    projected = z @ w
-    outside = projected < rho
-    return np.append(z[outside].sum(axis=0), (rho - projected[outside]).sum())
-
-
 def _edges(w: np.ndarray, cells: int = 2_000) -> np.ndarray:
     """Histogram edges over the possible range of the projections."""
     reach = float(np.abs(w).sum()) * np.sqrt(2.0 / len(w)) + 1e-12
     return np.linspace(-reach, reach, cells + 1)
 
 
+def _guess(projected: np.ndarray, edges: np.ndarray, nu: float) -> tuple[int, int]:
+    """Edges between which the nu-quantile of all rows probably lies, by some of them."""
+    if not len(projected):
+        return 1, 1
+    ends = np.searchsorted(edges, np.quantile(projected, [0.7 * nu, min(1.0, 1.3 * nu)]))
+    return max(1, int(ends[0]) - 2), min(len(edges) - 1, int(ends[1]) + 2)
+
+
 class ReconstructionError:
     """Error of rebuilding a row from its leading components: the best linear autoencoder.
 
