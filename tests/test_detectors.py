@@ -185,6 +185,40 @@ def test_neighbours_of_many_features_are_exact_beyond_a_cell(spark):
         assert len({n["_id"] for n in near[i]}) == 20
 
 
+def test_boxes_find_the_nearest_of_all_rows():
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(5_000, 6)) * [1, 1, 3, 0.2, 1, 0], 1)
+    x[:300] = x[0]
+    x[-1] = 1e4
+    boxes = density.Boxes(x)
+    assert sorted(boxes.order.tolist()) == list(range(len(x))) and boxes.sizes.max() == 300
+    own, _ = density.nearest(x, x, 20, skip=np.arange(len(x)))
+    d, p = boxes.nearest(boxes.x, 20, np.full(len(x), np.inf), skip=np.arange(len(x)))
+    assert np.allclose(d, own[boxes.order], atol=1e-9) and not (p == boxes.order[:, None]).any()
+    assert np.allclose(np.sqrt(((x[p] - boxes.x[:, None]) ** 2).sum(axis=2)), d) and all(len(set(r)) == 20 for r in p.tolist())
+    # Under a bound only what is nearer comes back.
+    q, bound = rng.normal(size=(70, 6)), rng.uniform(0.5, 2.0, 70)
+    d, p = boxes.nearest(q, 20, bound)
+    for i, b in enumerate(bound):
+        want = np.sort(np.sqrt(((x - q[i]) ** 2).sum(axis=1)))
+        assert np.allclose(d[i][p[i] >= 0], want[want < b][:20], atol=1e-9) and (p[i] >= 0).sum() == min(20, (want < b).sum())
+
+
+def test_large_leaves_are_searched_in_shares(spark, monkeypatch):
+    monkeypatch.setattr(density, "_LEAF_ROWS", 300)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3_000, 3))
+    x[:1_200] = x[0]
+    frame = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double")
+    cells = density.Cells(frame, NAMES, "id", 100)
+    assert cells.shards.count() > cells.shards.select("_leaf").distinct().count() >= 10
+    near = {r.id: r.near for r in density.neighbours_by_cells(frame, NAMES, "id", 10, cell=100).collect()}
+    exact, _ = density.nearest(x, x, 10, skip=np.arange(len(x)))
+    assert len(near) == len(x)
+    for i, d in enumerate(exact):
+        assert np.allclose([n["_d"] for n in near[i]], d, atol=1e-9) and len({n["_id"] for n in near[i]} - {i}) == 10
+
+
 def test_asked_cells_do_not_grow_with_the_table(spark):
     """Two levels of cells; each row asks about as many other cells in a table ten times as large."""
     shares = []

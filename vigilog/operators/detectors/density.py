@@ -18,8 +18,14 @@ from .common import as_matrix, collect_matrix, detection
 _ROWS_AT_ONCE = 512
 #: Leaves of the neighbour search's upper level at most, and rows of the samples for each leaf or cell.
 MAX_CELLS, _SAMPLE_ROWS = 16_384, 32
-#: Rows beyond which a cell, and asking rows beyond which the asking of a cell, are cut into parts.
-_CELL_ROWS, _ASKED_ROWS = 10_000, 50_000
+#: Rows beyond which a cell, and asking rows beyond which the asking of a leaf, are cut into parts.
+_CELL_ROWS, _ASKED_ROWS = 10_000, 200_000
+#: Rows of a leaf that a task searches at once, about; a leaf of more than twice as many is cut into shares.
+_LEAF_ROWS = 100_000
+#: Rows of the boxes that a search goes through, asking rows that go through them together, and boxes that they ask at once.
+_BOX_ROWS, _BLOCK_ROWS, _BOXES_AT_ONCE = 64, 128, 32
+#: More than the relative error of squared distances in single precision.
+_SINGLE = 1e-5
 #: Rows that are mapped to cosine features at once, and about so many that the offset is guessed from.
 _MAPPED_AT_ONCE, _GUESS_ROWS = 1_024, 8_192
 
@@ -93,6 +99,101 @@ def nearest_of_all(
     return found.groupBy(number).agg(F.get(F.sort_array(F.collect_list("d")), F.lit(k - 1)).alias(name))
 
 
+class Boxes:
+    """Rows in small boxes by median splits, asked for the nearest rows by blocks of rows that lie near each other.
+
+    A block goes through the boxes from the nearest on and leaves off where no box is nearer than what its rows have found.
+    Single precision, with its error allowed for, only tells which distances are worked out in full.
+    """
+
+    def __init__(self, x: np.ndarray, size: int = _BOX_ROWS):
+        parts = _split_rows(x, size)
+        self.order, self.sizes = np.concatenate(parts), np.array([len(p) for p in parts])
+        self.x, self.starts = x[self.order], np.cumsum(self.sizes) - self.sizes
+        self.low, self.high = np.minimum.reduceat(self.x, self.starts), np.maximum.reduceat(self.x, self.starts)
+
+    def nearest(self, q: np.ndarray, k: int, bound: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Distances and places of the up to k nearest rows nearer than the bound, nearest first; without more: infinite, -1.
+
+        ``skip`` gives for each asking row the place that is the row itself.
+        """
+        found = [self._block(q[at:at + _BLOCK_ROWS], k, bound[at:at + _BLOCK_ROWS], None if skip is None else skip[at:at + _BLOCK_ROWS])
+                 for at in range(0, len(q), _BLOCK_ROWS)]
+        return np.vstack([d for d, _ in found]), np.vstack([p for _, p in found])
+
+    def _block(self, q: np.ndarray, k: int, bound: np.ndarray, skip: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        best, place = np.full((len(q), k), np.inf), np.full((len(q), k), -1)
+        limit = bound**2 * (1 + 1e-9)
+        gap = _gaps(q.min(axis=0), q.max(axis=0), self.low, self.high)
+        boxes = np.argsort(gap, kind="stable")
+        middle = q.mean(axis=0)
+        centred = (q - middle).astype(np.float32)
+        norms = (1 - _SINGLE) * (centred**2).sum(axis=1)
+        asking = np.column_stack([-2 * centred, np.ones(len(q), np.float32)])
+        for at in range(0, len(boxes), _BOXES_AT_ONCE):
+            active = np.flatnonzero(limit > gap[boxes[at]])
+            if not len(active):
+                break
+            some = boxes[at:at + _BOXES_AT_ONCE]
+            rows = np.repeat(self.starts[some] - np.cumsum(self.sizes[some]) + self.sizes[some], self.sizes[some]) + np.arange(self.sizes[some].sum())
+            x = self.x[rows]
+            own = (x - middle).astype(np.float32)
+            square = asking[active] @ np.column_stack([own, (1 - _SINGLE) * (own**2).sum(axis=1)]).T
+            free = np.flatnonzero(np.isinf(limit[active]))
+            if len(free) and len(rows) > k:  # the first boxes: k of their rows give a bound
+                few = np.argpartition(square[free], k, axis=1)[:, :k + 1]
+                exact = ((q[active[free]][:, None, :] - x[few]) ** 2).sum(axis=2)
+                if skip is not None:
+                    exact[rows[few] == skip[active[free]][:, None]] = np.inf
+                limit[active[free]] = np.partition(exact, k - 1, axis=1)[:, k - 1] * (1 + 1e-9)
+            r, c = np.nonzero(square <= (limit[active] - norms[active]).astype(np.float32)[:, None] + np.float32(1e-30))
+            if skip is not None:
+                other = rows[c] != skip[active[r]]
+                r, c = r[other], c[other]
+            if not len(r):
+                continue
+            exact = ((q[active[r]] - x[c]) ** 2).sum(axis=1)
+            touched, first, count = np.unique(r, return_index=True, return_counts=True)
+            column = k + np.arange(len(r)) - np.repeat(first, count)
+            which = np.repeat(np.arange(len(touched)), count)
+            both, places = np.full((len(touched), k + count.max()), np.inf), np.full((len(touched), k + count.max()), -1)
+            both[:, :k], places[:, :k] = best[active[touched]], place[active[touched]]
+            both[which, column], places[which, column] = exact, rows[c]
+            keep = np.argpartition(both, k - 1, axis=1)[:, :k]
+            best[active[touched]] = now = np.take_along_axis(both, keep, axis=1)
+            place[active[touched]] = np.take_along_axis(places, keep, axis=1)
+            limit[active[touched]] = np.minimum(limit[active[touched]], now.max(axis=1) * (1 + 1e-9))
+        order = np.lexsort((place, best), axis=1)
+        best, place = np.sqrt(np.take_along_axis(best, order, axis=1)), np.take_along_axis(place, order, axis=1)
+        far = best >= bound[:, None]
+        best[far], place[far] = np.inf, -1
+        return best, np.where(place < 0, -1, self.order[place])
+
+
+def _split_rows(x: np.ndarray, size: int) -> list[np.ndarray]:
+    """The places of rows by median splits along the widest feature, down to ``size`` rows or equal ones, near ones next to each other."""
+    out, waiting = [], [np.arange(len(x))]
+    while waiting:
+        rows = waiting.pop()
+        part = x[rows]
+        spread = part.max(axis=0) - part.min(axis=0) if len(rows) > size else np.zeros(1)
+        if not spread.any():
+            out.append(rows)
+            continue
+        f = int(np.argmax(np.where(spread > 0, part.var(axis=0), -1.0)))
+        cut = float(np.median(part[:, f]))
+        low = part[:, f] <= cut
+        if low.all():
+            low = part[:, f] < cut
+        waiting += [rows[~low], rows[low]]
+    return out
+
+
+def _gaps(q_low: np.ndarray, q_high: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distances of one box to many."""
+    return (np.maximum(0.0, np.maximum(low - q_high, q_low - high)) ** 2).sum(axis=1)
+
+
 class CellTree:
     """Median splits along the widest feature, learned from a sample: deals rows into cells of near rows."""
 
@@ -149,7 +250,8 @@ class Cells:
         self.columns = ", ".join(f"{f} double" for f in self.names)
         fixed = durable(df.select(number, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in self.names]))
         self.leaves = durable(self._upper(fixed))
-        self.placed = durable(self._lower(self.leaves))
+        self.placed = durable(self._shared(self._lower(self.leaves)))
+        self.shards = durable(self.placed.select("_leaf", "_shard").distinct())
         low, high = ([f(n).alias(f"{k}{i}") for i, n in enumerate(self.names)] for k, f in (("l", F.min), ("h", F.max)))
         self.boxes = durable(self.placed.groupBy("_leaf", "_cell").agg(*low, *high))
 
@@ -158,7 +260,7 @@ class Cells:
 
     def _upper(self, fixed: DataFrame) -> DataFrame:
         total = fixed.count()
-        wanted = max(1, min(int(np.ceil(np.sqrt(total / self.cell))), MAX_CELLS))
+        wanted = max(1, min(max(int(np.ceil(np.sqrt(total / self.cell))), -(-total // _LEAF_ROWS)), MAX_CELLS))
         each = max(1, total // (wanted * _SAMPLE_ROWS))
         sample = collect_matrix(fixed.where(F.pmod(self._hash("upper"), F.lit(each)) == 0), self.names)
         shared = fixed.sparkSession.sparkContext.broadcast(CellTree(sample, max(1, -(-len(sample) // wanted))))
@@ -197,107 +299,142 @@ class Cells:
         part = F.when(F.col("_parts").isNotNull(), F.pmod(self._hash("parts"), F.least(F.col("_parts"), F.lit((1 << 16) - 1)))).otherwise(F.lit(0))
         return dealt.join(parts, "_cell", "left").withColumn("_cell", F.col("_cell") + part).drop("_parts")
 
+    def _shared(self, placed: DataFrame) -> DataFrame:
+        """Add ``_shard``, a leaf or the share of a very large one."""
+        large = self.leaves.groupBy("_leaf").agg(F.floor(F.count(F.lit(1)) / _LEAF_ROWS).alias("_shares")).where("_shares > 1")
+        share = F.when(F.col("_shares").isNotNull(), F.pmod(self._hash("share"), F.least(F.col("_shares"), F.lit(1 << 16)))).otherwise(F.lit(0))
+        return placed.join(F.broadcast(large), "_leaf", "left").withColumn("_shard", F.shiftleft("_leaf", 16) + share).drop("_shares")
+
     def _salted(self, rows: DataFrame, side: DataFrame, by: str, label: str):
         """Both frames grouped by the column and a part, so that at most some ``_ASKED_ROWS`` rows meet the side's."""
-        parts = durable(rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / _ASKED_ROWS).alias("_parts")))
-        left = rows.join(parts, by).withColumn("_part", F.pmod(self._hash(label), F.col("_parts"))).drop("_parts")
+        # One row a leaf or shard.
+        sizes = [tuple(r) for r in rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / _ASKED_ROWS)).collect()]
+        parts = rows.sparkSession.createDataFrame(sizes, f"{by} long, _parts long")
+        left = rows.join(F.broadcast(parts), by).withColumn("_part", F.pmod(self._hash(label), F.col("_parts"))).drop("_parts")
         again = parts.select(F.col(by).alias("_by"), F.col("_parts").alias("_times"))
-        right = side.join(again, F.col(by) == F.col("_by")).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)))
+        right = side.join(F.broadcast(again), F.col(by) == F.col("_by")).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)))
         return left.groupBy(by, "_part"), right.drop("_by", "_times").groupBy(by, "_part")
 
     def asked(self, bounded: DataFrame) -> DataFrame:
-        """(number, features, _bound, _cell): each row with every other cell whose box is nearer than the row's bound.
+        """(number, features, _bound, _shard): each row with every other shard that has a box nearer than the row's bound.
 
-        First the leaves, by the broadcast boxes; then the cells of these leaves, where the boxes of a leaf are.
+        The boxes are those of the cells, neighbouring ones of a leaf together where there are more than ``MAX_CELLS``.
         """
-        n, names, number, columns = len(self.names), self.names, self.number, f"{self.number} {self.kind}, {self.columns}, _bound double"
+        n, names, number = len(self.names), self.names, self.number
+        together = -(-self.boxes.count() // MAX_CELLS)
+        group = F.floor(F.shiftright(F.col("_cell").bitwiseAND((1 << 36) - 1), 16) / together)
         ends = [f(f"{k}{i}").alias(f"{k}{i}") for k, f in (("l", F.min), ("h", F.max)) for i in range(n)]
-        leaves = self.boxes.groupBy("_leaf").agg(*ends).toPandas()  # at most MAX_CELLS rows
-        shared = bounded.sparkSession.sparkContext.broadcast((leaves["_leaf"].to_numpy(), *_corners(leaves, n)))
+        boxes = self.boxes.groupBy("_leaf", group.alias("_group")).agg(*ends).toPandas()
+        shared = bounded.sparkSession.sparkContext.broadcast((boxes["_leaf"].to_numpy(), *_corners(boxes, n)))
+        rows = bounded.select(number, *names, "_bound", F.shiftright("_shard", 16).alias("_from"), "_shard")
 
-        def of_leaves(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             leaf, low, high = shared.value
-            for pdf in parts:
-                for rows, hit in _near(pdf[names].to_numpy(dtype=float), pdf["_bound"].to_numpy(), low, high):
-                    yield pdf.iloc[rows][[number, *names, "_bound"]].assign(_from=pdf["_cell"].to_numpy()[rows], _leaf=leaf[hit])
-
-        found = durable(bounded.mapInPandas(of_leaves, f"{columns}, _from long, _leaf long"))
-
-        def of_cells(rows: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
-            out = [rows.iloc[:0][[number, *names, "_bound"]].assign(_cell=np.zeros(0, np.int64))]
-            if len(rows) and len(boxes):
-                cell, own = boxes["_cell"].to_numpy(), rows["_from"].to_numpy()
-                for at, hit in _near(rows[names].to_numpy(dtype=float), rows["_bound"].to_numpy(), *_corners(boxes, n)):
-                    other = cell[hit] != own[at]
-                    out.append(rows.iloc[at[other]][[number, *names, "_bound"]].assign(_cell=cell[hit[other]]))
-            return pd.concat(out)
+            for batch in batches:
+                x, bound, home = _matrix(batch, names), batch["_bound"].to_numpy(), batch["_from"].to_numpy()
+                for at, hit in _near(x, bound, low, high):
+                    pairs = np.unique(np.column_stack([at, leaf[hit]])[(leaf[hit] != home[at]) | (batch["_shard"].to_numpy()[at] & 0xFFFF > 0)], axis=0)
+                    out = batch.take(pa.array(pairs[:, 0]))
+                    yield pa.RecordBatch.from_arrays([*out.columns[:n + 2], out["_shard"], pa.array(pairs[:, 1])], [number, *names, "_bound", "_own", "_leaf"])
 
-        left, right = self._salted(found, self.boxes, "_leaf", "asked")
-        return durable(left.cogroup(right).applyInPandas(of_cells, f"{columns}, _cell long"))
+        found = rows.mapInArrow(leaves, f"{number} {self.kind}, {self.columns}, _bound double, _own long, _leaf long")
+        shares = self.shards.groupBy("_leaf").agg(F.collect_list("_shard").alias("_shards"))
+        each = found.join(F.broadcast(shares), "_leaf").select(number, *names, "_bound", "_own", F.explode("_shards").alias("_shard"))
+        return each.where("_shard <> _own").drop("_own")
 
 
 def _corners(boxes: pd.DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(boxes[[f"{k}{i}" for i in range(n)]].to_numpy(dtype=float) for k in "lh")
 
 
-def _near(x: np.ndarray, bound: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a row and a box that is nearer than the row's bound, block by block."""
-    at_once = max(1, 4_000_000 // len(low))
-    for start in range(0, len(x), at_once):
-        rows = x[start:start + at_once]
-        square = np.zeros((len(rows), len(low)))
-        for f in range(x.shape[1]):
-            square += np.maximum(0.0, np.maximum(low[:, f] - rows[:, f, None], rows[:, f, None] - high[:, f])) ** 2
-        # A little wider than the bound, against rounding.
-        at, hit = np.nonzero(np.sqrt(square) < (bound[start:start + at_once] * (1 + 1e-9))[:, None])
-        yield at + start, hit
+def _matrix(rows: pa.RecordBatch | pa.Table, names: Sequence[str]) -> np.ndarray:
+    return np.column_stack([rows[c].to_numpy() if isinstance(rows, pa.Table) else rows[c].to_numpy(zero_copy_only=False) for c in names])
 
 
-def _listed(d: np.ndarray, ids: np.ndarray, below: np.ndarray) -> list[list[dict]]:
-    return [[{"_d": a, "_id": b} for a, b in zip(x[x < m].tolist(), i[x < m].tolist())] for x, i, m in zip(d, ids, below)]
+def _near(x: np.ndarray, bound: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a row and a box that is nearer than the row's bound, block by block; quick for rows next to near ones."""
+    for start in range(0, len(x), _BLOCK_ROWS):
+        rows = x[start:start + _BLOCK_ROWS]
+        # A little wider than the bound, against rounding.
+        limit = (bound[start:start + _BLOCK_ROWS] * (1 + 1e-9)) ** 2
+        gap = _gaps(rows.min(axis=0), rows.max(axis=0), low, high)
+        boxes = np.flatnonzero(gap < limit.max())
+        boxes = boxes[np.argsort(gap[boxes], kind="stable")]
+        pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for at in range(0, len(boxes), _BLOCK_ROWS):
+            some, active = boxes[at:at + _BLOCK_ROWS], np.flatnonzero(limit > gap[boxes[at]])
+            square = np.zeros((len(active), len(some)))
+            for f in range(x.shape[1]):
+                own = rows[active, f][:, None]
+                square += np.maximum(0.0, np.maximum(low[some, f] - own, own - high[some, f])) ** 2
+            r, c = np.nonzero(square < limit[active][:, None])
+            pairs.append((start + active[r], some[c]))
+        yield tuple(np.concatenate(p) for p in zip(*pairs))
+
+
+def _listed(number: pa.Array, ids: pa.Array, d: np.ndarray, places: np.ndarray) -> list[pa.Array]:
+    """The asking rows' numbers and, as lists of (_d, _id), what they found."""
+    found = places >= 0
+    ends = np.concatenate([[0], found.sum(axis=1).cumsum()])
+    near = pa.StructArray.from_arrays([pa.array(d[found]), ids.take(pa.array(places[found]))], ["_d", "_id"])
+    return [number, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), near)]
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
 
 
 def inside_cells(cells: Cells, k: int) -> DataFrame:
-    """Each row with its k nearest inside its own cell (``near``) and the k-th distance, infinite if there is none."""
-    names, number = cells.names, cells.number
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = pdf[number].to_numpy(), pdf[names].to_numpy(dtype=float)
-        out = pdf[[number, "_cell", *names]].assign(_bound=np.inf, near=[[] for _ in ids])
-        if len(x) > 1:
-            d, p = nearest(x, x, min(k, len(x) - 1), skip=np.arange(len(x)))
-            out["near"] = _listed(d, ids[p], np.full(len(x), np.inf))
-            if d.shape[1] == k:
-                out["_bound"] = d[:, -1]
-        return out
+    """Each row with its k nearest inside its own shard (``near``) and the k-th distance, infinite if there is none."""
+    names, number, few = cells.names, cells.number, cells.cell
+
+    def inside(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(number)
+        x = _matrix(rows, names)
+        if len(x) <= few:
+            order, d, p = np.arange(len(x)), np.zeros((len(x), 0)), np.zeros((len(x), 0), np.int64)
+            if len(x) > 1:
+                d, p = nearest(x, x, min(k, len(x) - 1), skip=order)
+        else:
+            boxes = Boxes(x)
+            order = boxes.order
+            d, p = boxes.nearest(boxes.x, k, np.full(len(x), np.inf), skip=np.arange(len(x)))
+        bound = d[:, -1] if d.shape[1] == k else np.full(len(x), np.inf)
+        out = rows.take(pa.array(order))
+        _, near = _listed(None, _one(rows[number]), d, p)
+        return pa.table([*(out[c] for c in (number, "_shard", *names)), pa.array(bound), near], [number, "_shard", *names, "_bound", "near"])
 
     near = f"array<struct<_d:double,_id:{cells.kind}>>"
-    return durable(cells.placed.groupBy("_cell").applyInPandas(inside, f"{number} {cells.kind}, _cell long, {cells.columns}, _bound double, near {near}"))
+    rows = cells.placed.select(number, "_shard", *names)
+    return durable(rows.groupBy("_shard").applyInArrow(inside, f"{number} {cells.kind}, _shard long, {cells.columns}, _bound double, near {near}"))
 
 
 def neighbours_by_cells(df: DataFrame, features: Sequence[str], number: str, k: int, cell: int = 2_000) -> DataFrame:
     """(number, near): the k nearest of all rows for every row, as (_d, _id), nearest first. Exact.
 
-    Rows are dealt into cells of about ``cell`` rows. The k-th distance inside a row's own cell bounds the search: the row
-    also asks each other cell whose bounding box is nearer than that, so no neighbour is lost. Which cells these are is
-    found level by level; cells asked often are asked in parts.
+    Rows are dealt into leaves and, in them, cells of about ``cell`` rows. A leaf is searched whole, through small boxes.
+    The k-th distance inside its own leaf bounds a row's further search: the row also asks each other leaf with a cell whose
+    bounding box is nearer than that, so no neighbour is lost. Leaves of very many equal rows are shards, asked one by one.
     """
     cells = Cells(df, features, number, cell)
     names, near_type = cells.names, f"array<struct<_d:double,_id:{cells.kind}>>"
     own = inside_cells(cells, k)
-    asked = cells.asked(own.drop("near"))
+    asked = durable(cells.asked(own.drop("near")))
 
-    def others(one: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    def others(one: pa.Table, rows: pa.Table) -> pa.Table:
         if not len(one) or not len(rows):
-            return pd.DataFrame({number: one[number].iloc[:0], "near": []})
-        x, ids = rows[names].to_numpy(dtype=float), rows[number].to_numpy()
-        d, p = nearest(one[names].to_numpy(dtype=float), x, min(k, len(x)))
-        near = _listed(d, ids[p], one["_bound"].to_numpy())
-        some = np.array([bool(m) for m in near])
-        return pd.DataFrame({number: one[number].to_numpy()[some], "near": [m for m in near if m]})
-
-    left, right = cells._salted(asked, cells.placed.drop("_leaf"), "_cell", "others")
-    more = left.cogroup(right).applyInPandas(others, f"{number} {cells.kind}, near {near_type}")
+            return pa.table({number: one[number].slice(0, 0), "near": pa.array([], pa.list_(pa.struct([("_d", pa.float64()), ("_id", one.schema.field(number).type)])))})
+        rows = rows.sort_by(number)
+        x, q, bound = _matrix(rows, names), _matrix(one, names), one["_bound"].to_numpy()
+        # Near ones next to each other.
+        order = np.concatenate(_split_rows(q, _BLOCK_ROWS))
+        d, p = Boxes(x).nearest(q[order], k, bound[order])
+        some = p[:, 0] >= 0
+        columns = _listed(_one(one[number]).take(pa.array(order[some])), _one(rows[number]), d[some], p[some])
+        return pa.table(columns, [number, "near"])
+
+    left, right = cells._salted(asked, cells.placed.select(number, "_shard", *names), "_shard", "others")
+    more = left.cogroup(right).applyInArrow(others, f"{number} {cells.kind}, near {near_type}")
     found = own.select(number, "near").unionByName(more)
     return found.groupBy(number).agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
 
