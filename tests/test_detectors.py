@@ -240,3 +240,16 @@ def test_nearest_of_all_is_exact_in_blocks(spark):
     for i in range(0, 700, 10):
         assert abs(np.sort(np.linalg.norm(x - x[i], axis=1))[4] - got[i]) < 1e-9
     assert len(got) == 70
+
+
+def test_ensemble_takes_neighbours_from_the_stored_rows(spark, frame, monkeypatch):
+    """Not from rows to which other detectors' results are added, which each reading would work out again."""
+    from vigilog.plans import detection
+
+    given, whole = [], density.outlier_factors
+    monkeypatch.setattr(density, "outlier_factors", lambda df, *a: given.append(df.columns) or whole(df, *a))
+    weights = {"rolling": 0.2, "statistical": 0.3, "lof": 0.5}
+    out = detection.ensemble_detection(frame, NAMES, ["id"], "id", weights)
+    assert given == [frame.columns]
+    for r in out.select("confidence", "rolling", "statistical", "lof").collect():
+        assert r.confidence == pytest.approx(sum(w * r[n].confidence for n, w in weights.items()))

@@ -24,14 +24,15 @@ def ensemble_detection(
     weights = ENSEMBLE_WEIGHTS if weights is None else weights
     wanted = [name for name, weight in weights.items() if weight]
     out = df
+    # First, over the stored rows: neighbours read them several times, and what is added later would be worked out again.
+    if "lof" in wanted:
+        out = density.outlier_factors(out, features, number)
     if "rolling" in wanted:
         out = statistical.rolling(out, order, features)
     if "iforest" in wanted:
         out = forest.IsolationForest(features).fit(df, number).transform(out)
     if "autoencoder" in wanted:
         out = autoencoder.Autoencoder(features).fit(df).transform(out)
-    if "lof" in wanted:
-        out = density.outlier_factors(out, features, number)
     if "ocsvm" in wanted:
         out = density.OneClassBoundary(features).fit(df).transform(out)
     if "statistical" in wanted:
