@@ -87,6 +87,20 @@ def test_leaks_at_every_window_start(spark):
     assert (0, 1) in want
 
 
+def test_windows_are_found_once_a_text_and_candidates_are_names(spark):
+    item, again = " ".join(f"w{i}" for i in range(30)), "one two three four five six " * 6
+    bench = spark.createDataFrame([(1, item), (2, item), (3, again), (3, item + " end")], "item_id long, text string")
+    docs = spark.createDataFrame([(i % 40, t) for i in range(80) for t in (f"so {item} it ends", again + "seven")], "doc_id long, text string")
+    items = decontamination.item_table(bench)
+    found = decontamination.windows(docs, items)
+    assert found.count() == decontamination.windows(docs.limit(2), items).count() == found.select("text_key", "n_words", "start").distinct().count()
+    pairs = decontamination.candidates(found, items)
+    assert pairs.count() and all(kind in ("string", "int") for _, kind in pairs.dtypes)
+    got = sorted((r.doc_id, r.item_id, round(r.similarity, 6)) for r in decontamination.leaks(docs, bench).collect())
+    best = round(26 / 28, 6)  # the item with one word more
+    assert got == sorted((i, *x) for i in range(40) for x in ((1, 1.0), (2, 1.0), (3, best), (3, 1.0)))
+
+
 def test_blocks_of_the_benchmark_change_nothing(docs, spark, sf, monkeypatch):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     whole = set(map(tuple, decontamination.leaks(docs, bench).collect()))

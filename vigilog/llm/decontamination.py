@@ -6,7 +6,8 @@ fewer places of shingles of items of that length are not built; in whatever orde
 window and each item has a 64-bit SimHash of its shingles, counted as often as they occur. The index has each item's
 eight 8-bit blocks with all keys within ``radius // 8`` bits; two fingerprints within ``radius`` bits agree with the
 other's key in at least one block, so the search finds all of them. Every candidate is then compared exactly: shared
-shingles by the lesser count over all by the greater count.
+shingles by the lesser count over all by the greater count. Equal texts are searched once; the search carries names and
+fingerprints only, and a candidate's shingles meet in one row.
 
 All steps are DataFrame functions. The shingles of the items are broadcast in blocks of at most ``BROADCAST_SHINGLES``
 (one block for up to some thousands of items); a larger benchmark takes one pass over the documents a block.
@@ -68,10 +69,10 @@ def _near_keys(bits: int) -> list[int]:
 
 
 def item_table(bench: DataFrame) -> DataFrame:
-    """item_id, n_words, parts (shingles) and fp of every item that has a word; repeated items count once."""
+    """item_id, words, n_words, item_key (of the words), parts (shingles) and fp of every item that has a word; repeated items count once."""
     words = bench.select("item_id", plain_words(F.col("text")).alias("words")).distinct().where(F.size("words") > 0)
     return stored(
-        words.select("item_id", "words", F.size("words").alias("n_words"), shingles(F.col("words")).alias("parts"))
+        words.select("item_id", "words", F.size("words").alias("n_words"), F.md5(F.concat_ws(" ", "words")).alias("item_key"), shingles(F.col("words")).alias("parts"))
         .withColumn("fp", simhash(F.col("parts"))), "items",
     )
 
@@ -92,9 +93,9 @@ def _starts(places: Column, n: Column, n_words: Column, percent: int) -> Column:
 
 
 def windows(docs: DataFrame, items: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """(doc_id, text_key, n_words, start, parts): the distinct item-sized windows with enough shingles of items."""
+    """(text_key, n_words, start, fp, parts): the item-sized windows with enough shingles of items, each once a text."""
     sizes = [r[0] for r in items.select(F.least("n_words", F.lit(SHINGLE))).distinct().collect()]
-    rows = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+    rows = docs.select(text_key().alias("text_key"), "text")
     texts = rows.select("text_key", plain_words(F.col("text")).alias("words"))
     found = None
     for size in sorted(sizes):
@@ -111,53 +112,69 @@ def windows(docs: DataFrame, items: DataFrame, percent: int = SIMILARITY_PERCENT
             )
             found = hits if found is None else found.unionByName(hits)
     if found is None:
-        return rows.select("doc_id", "text_key", F.lit(0).alias("n_words"), F.lit(0).alias("start"), F.array().cast("array<string>").alias("parts")).limit(0)
+        found = texts.select("text_key", F.lit(0).alias("n"), F.lit(0).alias("pos"), F.lit(0).alias("n_words")).limit(0)
     # Equal texts have the same windows, so these are found once a text.
     places = found.groupBy("text_key", "n", "n_words").agg(F.array_sort(F.collect_set("pos")).alias("places"))
     starts = places.select("text_key", "n_words", _starts(F.col("places"), F.col("n"), F.col("n_words"), percent).alias("starts")).where(F.size("starts") > 0)
     starts = stored(starts.groupBy("text_key").agg(F.collect_list(F.struct("n_words", "starts")).alias("lengths")), "starts")
     size = starts.agg(F.count(F.lit(1)), F.sum(F.aggregate("lengths", F.lit(0), lambda k, x: k + F.size(x["starts"])))).first()
     starts = F.broadcast(starts) if max(size[0], (size[1] or 0) // 8) <= BROADCAST_LEAKS else starts
-    cut = (
-        rows.join(starts, "text_key")
-        .select("doc_id", "text_key", plain_words(F.col("text")).alias("words"), F.explode("lengths").alias("length"))
-        .select("doc_id", "text_key", "words", F.col("length.n_words").alias("n_words"), F.explode("length.starts").alias("start"))
-        .select("doc_id", "text_key", "n_words", "start", F.slice("words", F.col("start") + 1, F.col("n_words")).alias("words"))
-    )
-    return cut.distinct().select("doc_id", "text_key", "n_words", "start", shingles(F.col("words")).alias("parts"))
+    # A window is cut out of the words where they are; the words themselves are not repeated for each window.
+    window = lambda w, k, at: F.struct(k.alias("n_words"), at.alias("start"), F.slice(w, at + 1, k).alias("words"))
+    cut = F.transform("lengths", lambda x: F.transform(x["starts"], lambda at: window(F.col("words"), x["n_words"], at)))
+    windows = (
+        rows.join(starts, "text_key").select("text_key", "lengths", plain_words(F.col("text")).alias("words"))
+        .select("text_key", F.explode(F.flatten(cut)).alias("window")).select("text_key", "window.*").dropDuplicates(["text_key", "n_words", "start"])
+    )
+    parts = windows.select("text_key", "n_words", "start", shingles(F.col("words")).alias("parts"))
+    return stored(parts.withColumn("fp", simhash(F.col("parts"))), "windows")
 
 
 def candidates(found: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Windows with every item of their length whose fingerprint is within the radius."""
+    """(text_key, n_words, start, item_key): windows with every item of their length whose fingerprint is within the radius."""
     near = F.array(*(F.lit(x) for x in _near_keys(radius // BLOCKS)))
 
     def keys(b: int) -> Column:
         return F.transform(near, lambda x: _block(F.col("fp"), b).bitwiseXOR(x) + F.lit(b << 8))
 
-    index = items.select(
-        "item_id", "n_words", F.col("fp").alias("item_fp"), F.col("parts").alias("item_parts"),
-        F.explode(F.concat(*(keys(b) for b in range(BLOCKS)))).alias("block"),
-    )
-    asked = found.withColumn("fp", simhash(F.col("parts"))).withColumn("block", F.explode(F.array(*(_block(F.col("fp"), b) + F.lit(b << 8) for b in range(BLOCKS)))))
+    # Fingerprints and names only: an item stands in the index under some 300 keys, a window asks under eight.
+    index = items.dropDuplicates(["item_key"]).select("item_key", "n_words", F.col("fp").alias("item_fp"), F.explode(F.concat(*(keys(b) for b in range(BLOCKS)))).alias("block"))
+    asked = found.select("text_key", "n_words", "start", "fp", F.explode(F.array(*(_block(F.col("fp"), b) + F.lit(b << 8) for b in range(BLOCKS)))).alias("block"))
     return (
         asked.join(index, ["n_words", "block"])
         .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-        .select("doc_id", "text_key", "n_words", "start", "item_id", "parts", "item_parts").distinct()
+        .select("text_key", "n_words", "start", "item_key").distinct()
     )
 
 
-def verified(pairs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """doc_id, text_key, item_id, similarity, first_word: the best window of each document and item."""
-    key = ["doc_id", "text_key", "item_id", "start", "n_words"]
+def numbered(parts: Column) -> Column:
+    """Each part with how many equal ones stand before it, so that sets of them compare as bags of parts."""
+
+    def of(p: Column) -> Column:
+        before = F.transform(_positions(F.size(p)), lambda i: i - F.array_position(p, F.get(p, i)).cast("int") + 1)
+        return F.when(F.size(F.array_distinct(p)) == F.size(p), F.transform(p, lambda x: F.concat(x, F.lit("\n0")))).otherwise(
+            F.zip_with(p, before, lambda x, i: F.concat_ws("\n", x, i.cast("string"))))
+
+    return bind(F.array_sort(parts), of)
+
+
+def verified(pairs: DataFrame, found: DataFrame, items: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
+    """text_key, item_id, similarity, first_word: the best window of each text and item.
+
+    The pairs (``candidates``) meet the parts of their windows and items, and are compared row by row.
+    """
+    key = ["text_key", "n_words", "start"]
+    own = items.dropDuplicates(["item_key"]).select("item_key", numbered(F.col("parts")).alias("item_parts"))
+    both = pairs.join(found.select(*key, numbered(F.col("parts")).alias("parts")), key).join(own, "item_key")
+    shared = F.size(F.array_intersect("parts", "item_parts"))
+    counts = both.select("text_key", "item_key", "start", F.size("parts").alias("n"), F.size("item_parts").alias("m"), shared.alias("shared"))
+    counts = counts.withColumn("all", F.col("n") + F.col("m") - F.col("shared"))
+    similar = counts.where(100 * F.col("shared") >= percent * F.col("all")).withColumn("similarity", F.col("shared") / F.col("all")).join(items.select("item_key", "item_id"), "item_key")
+    return similar.groupBy("text_key", "item_id").agg(F.max("similarity").alias("similarity"), F.max_by("start", F.struct("similarity", -F.col("start"))).cast("long").alias("first_word"))
 
-    def side(parts: str, number: int) -> Column:
-        return F.transform(parts, lambda s: F.struct(s.alias("part"), F.lit(number).alias("side")))
 
-    sides = pairs.select(*key, F.size("parts").alias("n"), F.size("item_parts").alias("m"), F.explode(F.concat(side("parts", 0), side("item_parts", 1))).alias("x"))
-    counts = sides.groupBy(*key, "n", "m", "x.part").agg(F.least(F.count_if(F.col("x.side") == 0), F.count_if(F.col("x.side") == 1)).alias("shared"))
-    both = counts.groupBy(*key, "n", "m").agg(F.sum("shared").alias("shared")).withColumn("all", F.col("n") + F.col("m") - F.col("shared"))
-    similar = both.where(100 * F.col("shared") >= percent * F.col("all")).withColumn("similarity", F.col("shared") / F.col("all"))
-    return similar.groupBy("doc_id", "text_key", "item_id").agg(F.max("similarity").alias("similarity"), F.max_by("start", F.struct("similarity", -F.col("start"))).cast("long").alias("first_word"))
+def text_key() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")))
 
 
 def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
@@ -168,7 +185,10 @@ def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     Other columns are ignored whatever their names; empty tables give an empty result.
     """
     items = item_table(bench)
-    return verified(candidates(windows(docs, items), items))
+    found = windows(docs, items)
+    bad = stored(verified(candidates(found, items), found, items), "leaking-texts")
+    rows = docs.select("doc_id", text_key().alias("text_key")).distinct()
+    return rows.join(bad, "text_key").select("doc_id", "text_key", "item_id", "similarity", "first_word")
 
 
 def decontaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
