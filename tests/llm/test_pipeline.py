@@ -1,6 +1,8 @@
 import re
+import zlib
 
 import corpus_pipeline
+import numpy as np
 from vigilog.llm import decontamination, pii, simhash
 from vigilog.llm.decontamination_sql import LEAKS_SQL
 from vigilog.llm.quality_sql import QUALITY_SQL
@@ -42,3 +44,12 @@ def test_no_personal_data_is_left(spark, sf, docs):
     for r in corpus_pipeline.personal_data(spark, docs, sf).collect():
         assert not slow_base(r.text) and r.n_chars == len(r.text)
         assert not re.search(r"@[a-z0-9]+\.example", r.text)
+
+
+def test_windows_hold_their_ids(spark, sf, edges, nothing, plain):  # noqa: F811
+    rows = corpus_pipeline.token_windows(spark, edges, sf).collect()
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+    long = next(r.text for r in edges.collect() if r.text and len(r.text) > 100_000)
+    parts = sorted((r.start, r.ids) for r in rows if r.doc_id == 7 and r.doc_tokens > 2048)
+    assert sum((ids for _, ids in parts), []) == [*plain(long), 1] and len(parts) > 1
+    assert corpus_pipeline.token_windows(spark, nothing, sf).count() == 0

@@ -4,7 +4,7 @@ Documents longer than a window give full windows and one rest. Each rest is plac
 sum of the squared counts of partially filled windows, N(1)^2 + ... + N(size-1)^2, becomes least: a window at level h
 moves to level h + length, a new one comes from level 0, a full one leaves the sum. The counts are one level array.
 
-Tokens are counted once and only piece descriptions (no text, no ids) are shuffled. Each packer task gets pieces of about
+Tokens are counted once and only piece descriptions are shuffled, with the ids only where they are asked for. Each packer task gets pieces of about
 ``PACKER_TOKENS`` tokens, a number of packers in proportion to the input, so that no task grows with it; a packer holds
 its level array and the numbers of its open windows. Longer pieces arrive first, ties by doc_id, start and checksum,
 so a task that is run again gives the same windows.
@@ -64,13 +64,13 @@ class LevelArray:
         return window, level
 
 
-def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 1, size: int = WINDOW) -> DataFrame:
-    """The pieces of every document: doc_id, start, length, ids_crc32, doc_tokens; each id is in exactly one piece."""
+def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 1, size: int = WINDOW, with_ids: bool = False) -> DataFrame:
+    """The pieces of every document: doc_id, start, length, ids_crc32, doc_tokens, and ids if asked for; each id is in exactly one piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary, WHOLE)
         for batch in batches:
-            rows, start, length, crc, total = [], array("q"), array("q"), array("q"), array("q")
+            rows, start, length, crc, total, kept = [], array("q"), array("q"), array("q"), array("q"), []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 ids = np.array([*own.ids(text or ""), end_id], "<u4")
                 for at in range(0, len(ids), size):
@@ -80,13 +80,17 @@ def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int =
                     length.append(len(part))
                     crc.append(zlib.crc32(part.tobytes()))
                     total.append(len(ids))
+                    if with_ids:
+                        kept.append(part.astype(np.int32))
+            ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+            given = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*kept, np.zeros(0, np.int32)])))] if with_ids else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(np.frombuffer(x, np.int64) if len(x) else [], pa.int64()) for x in (start, length, crc, total))],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
+                [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(np.frombuffer(x, np.int64) if len(x) else [], pa.int64()) for x in (start, length, crc, total)), *given],
+                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
 
 
 def pack(parts: DataFrame, size: int = WINDOW, packer_tokens: int = PACKER_TOKENS) -> DataFrame:
@@ -105,11 +109,11 @@ def pack(parts: DataFrame, size: int = WINDOW, packer_tokens: int = PACKER_TOKEN
     return ordered.mapInArrow(place, f"{kind}, sequence_id long, offset long")
 
 
-def packed(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 1, size: int = WINDOW) -> DataFrame:
-    """Pack all documents; one row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+def packed(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 1, size: int = WINDOW, with_ids: bool = False) -> DataFrame:
+    """Pack all documents; one row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; ids if asked for.
 
     Null text counts as empty and gives one piece with the end id alone. Repeated rows and repeated or null doc_ids
     are packed row by row. Other columns are ignored whatever their names; an empty table gives no pieces. Very long
     texts become windows of their own and one rest.
     """
-    return pack(stored(pieces(docs, vocabulary, end_id, size), "pieces"), size)
+    return pack(stored(pieces(docs, vocabulary, end_id, size, with_ids), "pieces"), size)
